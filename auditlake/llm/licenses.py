@@ -117,7 +117,7 @@ def oracle_sql() -> str:
     """DuckDB SQL for scan_licenses over ``documents`` with the fixed phrases and templates."""
     phrases = ", ".join(f"('{p}', '{label}', {len(p.split())})" for p, label in PHRASES)
     templates = ", ".join(f"({i}, '{label}', {sorted(set(t.split()))})" for i, (t, label) in enumerate(TEMPLATES))
-    words = "list_filter(regexp_split_to_array(translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), x -> x <> '')"
+    words = "list_filter(regexp_split_to_array(translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
     return f"""
     WITH d AS (SELECT doc_id, {words.format("text")} AS w FROM documents),
     phrase(p, label, n) AS (VALUES {phrases}),

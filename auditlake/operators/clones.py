@@ -17,21 +17,26 @@ KEYWORDS = (
 MIN_TOKENS, SHINGLE, THRESHOLD = 8, 5, 0.85
 
 
+def let(value: Column, f) -> Column:
+    """f of a value that is computed once, also where f uses it within lambdas."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def tokens(body: Column | str) -> Column:
     """Normalised tokens: no comments, STR_ and NUM_ for literals, p1, p2 ... for other names in order of first sight."""
     body = F.col(body) if isinstance(body, str) else body
     raw = F.filter(F.regexp_extract_all(F.coalesce(body, F.lit("")), F.lit(TOKEN), F.lit(0)), lambda t: ~(F.startswith(t, F.lit("//")) | F.startswith(t, F.lit("/*"))))
     keep = F.array(*map(F.lit, KEYWORDS))
     is_name = lambda t: F.regexp_like(t, F.lit(r"^[A-Za-z_$]")) & ~F.array_contains(keep, t)
-    names = F.array_distinct(F.filter(raw, is_name))
-    return F.transform(raw, lambda t: F.when(F.regexp_like(t, F.lit(r"^[\"'`]")), "STR_").when(F.regexp_like(t, F.lit(r"^(?U)\d")), "NUM_").when(is_name(t), F.concat(F.lit("p"), F.array_position(names, t).cast("string"))).otherwise(t))
+    word = lambda t, names: F.when(F.regexp_like(t, F.lit(r"^[\"'`]")), "STR_").when(F.regexp_like(t, F.lit(r"^(?U)\d")), "NUM_").when(is_name(t), F.concat(F.lit("p"), F.array_position(names, t).cast("string"))).otherwise(t)
+    return let(raw, lambda r: let(F.array_distinct(F.filter(r, is_name)), lambda names: F.transform(r, lambda t: word(t, names))))
 
 
 def shingles(toks: Column | str, k: int = SHINGLE) -> Column:
     """Distinct runs of k tokens; fewer tokens make one run."""
     toks = F.col(toks) if isinstance(toks, str) else toks
-    n = F.size(toks)
-    return F.when(n < k, F.array(F.array_join(toks, " "))).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda i: F.array_join(F.slice(toks, i, k), " "))))
+    runs = lambda t: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(t) - k + 1, F.lit(1))), lambda i: F.array_join(F.slice(t, i, k), " ")))
+    return let(toks, lambda t: F.when(F.size(t) < k, F.array(F.array_join(t, " "))).otherwise(runs(t)))
 
 
 def jaccard(a: Column | str, b: Column | str) -> Column:

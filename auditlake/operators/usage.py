@@ -58,5 +58,5 @@ def call_durations(events: DataFrame) -> DataFrame:
     """
     w = Window.partitionBy("session").orderBy("ts", F.when(F.col("kind") == "start", 0).otherwise(1))
     paired = events.withColumns({"p": F.lag("ts").over(w), "k": F.lag("kind").over(w)}).filter("kind = 'end' and k = 'start'")
-    seconds = F.col("ts").cast("double") - F.col("p").cast("double")
+    seconds = F.col("ts").cast("timestamp").cast("double") - F.col("p").cast("timestamp").cast("double")
     return paired.select("session", "ts", seconds.alias("duration_s"), F.when((seconds > 0.01) & (F.col("output_tokens") > 0), F.col("output_tokens") / seconds).alias("tokens_per_s"))

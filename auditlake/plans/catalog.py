@@ -1,10 +1,440 @@
-"""Queries over the driver's tables by name, with the SQL that gives the same rows."""
+"""Queries over the driver's tables by name, with the SQL that gives the same rows.
+
+The tables stand for the library's own: documents are files (source = repository, lang = language), their lines are
+scanned by rules; conversations are tool logs and model calls; events are findings over time and usage events; part,
+lineitem and orders are definitions, calls and spans; pages are texts with markup. Every query reads whole tables.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+
+from ..functions import scalars as S
+from ..operators import clones, corpus, findings as fnd, grounding, guidelines, history, packs, patches, plc_pack, rules, symbols, usage
+from ..shared import ship
+from ..streaming import events as ev
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+#: Rules for prose, without look-around so that other engines read them too.
+TEXT_RULES = [
+    ("SEC-001", "Credential in text", "critical", r"(?i)(api[_-]?key|secret|password|token)\s*[:=]", "A credential stands in the text.", "Remove it and replace the credential."),
+    ("PII-001", "Mail address", "warning", r"[A-Za-z0-9._]+@[A-Za-z0-9.]+", "A mail address stands in the text.", None),
+    ("LIC-001", "License line", "info", r"(?i)(licensed under|released under|all rights reserved)", "A license line.", None),
+    ("NUM-001", "Large number", "warning", r"(^|[^0-9A-Za-z_.])[0-9]{5,}([^0-9A-Za-z_.]|$)", "A number of five digits or more.", None),
+]
+
+
+def query(sql: str | None = None):
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return docs.select(F.col("doc_id").alias("path"), "source", F.posexplode(F.split("text", "\n")).alias("i", "text")).select("path", "source", (F.col("i") + 1).alias("line_no"), "text")
+
+
+def doc_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule findings of all documents in the findings' shape, with source."""
+    lines = doc_lines(spark, sf_dir)
+    hits = rules.scan_rules(lines.withColumn("path", F.concat_ws("/", "source", F.col("path").cast("string"))), TEXT_RULES)
+    return hits.select(F.substring_index("path", "/", 1).alias("source"), F.col("path").alias("file_path"), F.col("line_no").alias("line_start"), "severity", F.col("rule_id"), F.col("name").alias("title"), "text")
+
+
+_LINES = "line AS (SELECT doc_id, source, i AS line_no, l[i] AS text FROM (SELECT doc_id, source, string_split(text, chr(10)) AS l FROM documents) t, unnest(range(1, len(l) + 1)) AS r(i))"
+_HITS = _LINES + ", hit AS (" + " UNION ALL ".join(f"SELECT source, source || '/' || doc_id AS file_path, line_no AS line_start, '{r[2]}' AS severity, '{r[0]}' AS rule_id, '{r[1]}' AS title, text FROM line WHERE regexp_matches(text, '{r[3]}') AND NOT starts_with(trim(text), '//') AND NOT starts_with(trim(text), '(*')" for r in TEXT_RULES) + ")"
+_COUNTS = ", ".join(f"count(*) FILTER (severity = '{s}') AS n_{s}" for s in fnd.SEVERITIES)
+
+
+@query(f"WITH {_HITS} SELECT source, {_COUNTS}, count(*) AS n_total, CASE WHEN bool_or(severity = 'critical') THEN 2 ELSE 0 END AS exit_code, count(DISTINCT substr(sha1(concat_ws('|', file_path, line_start::VARCHAR, lower(title))), 1, 16)) AS n_fingerprints FROM hit GROUP BY source")
+def audit_rollup(spark, sf_dir):
+    """The flagship: scan, fingerprint, roll up by severity, gate."""
+    found = history.with_fingerprint(doc_findings(spark, sf_dir))
+    exit_code = F.when(F.bool_or(F.col("severity") == "critical"), 2).otherwise(0)
+    return found.groupBy("source").agg(*[F.count_if(F.col("severity") == s).alias(f"n_{s}") for s in fnd.SEVERITIES], F.count("*").alias("n_total"), exit_code.alias("exit_code"), F.countDistinct("fingerprint").alias("n_fingerprints"))
+
+
+@query(f"WITH {_HITS} SELECT file_path, line_start, rule_id, severity, substr(sha1(concat_ws('|', file_path, line_start::VARCHAR, lower(title))), 1, 16) AS fingerprint, substr(sha1(regexp_replace(text, '^\\s+|\\s+$', '', 'g')), 1, 12) AS line_content_hash FROM hit")
+def rule_scan(spark, sf_dir):
+    found = doc_findings(spark, sf_dir)
+    return found.select("file_path", "line_start", "rule_id", "severity", S.finding_fingerprint("file_path", "line_start", "title").alias("fingerprint"), S.line_hash("text").alias("line_content_hash"))
+
+
+@query(f"WITH {_HITS} SELECT source, rule_id, severity, grouping(source, rule_id, severity)::BIGINT AS level, count(*) AS n FROM hit GROUP BY CUBE (source, rule_id, severity)")
+def findings_cube(spark, sf_dir):
+    return fnd.rollup_findings(doc_findings(spark, sf_dir), ["source", "rule_id", "severity"]).select("source", "rule_id", "severity", F.col("level").cast("long").alias("level"), "n")
+
+
+@query(f"WITH {_HITS} SELECT title, count(DISTINCT file_path) AS n_files, count(*) AS n FROM hit GROUP BY title HAVING count(DISTINCT file_path) >= 3")
+def systemic_rules(spark, sf_dir):
+    return fnd.systemic(doc_findings(spark, sf_dir))
+
+
+@query("SELECT source, lang, count(*) AS n_files, sum(n_chars)::BIGINT AS size, grouping(source, lang)::BIGINT AS level FROM documents GROUP BY CUBE (source, lang)")
+def inventory_cube(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return docs.cube("source", "lang").agg(F.count("*").alias("n_files"), F.sum("n_chars").alias("size"), F.grouping_id().cast("long").alias("level"))
+
+
+@query("WITH c AS (SELECT source, lang, count(*) AS n FROM documents GROUP BY ALL) SELECT source, sum(n)::BIGINT AS total_files, arg_min(lang, struct_pack(a := -n, b := lang)) AS primary_language, round(100.0 * max(n) / sum(n), 1) AS top_share FROM c GROUP BY source")
+def primary_language(spark, sf_dir):
+    counted = table(spark, sf_dir, "documents").groupBy("source", "lang").agg(F.count("*").alias("n"))
+    return counted.groupBy("source").agg(F.sum("n").alias("total_files"), F.min_by("lang", F.struct(-F.col("n"), "lang")).alias("primary_language"), F.round(F.lit(100.0) * F.max("n") / F.sum("n"), 1).alias("top_share"))
+
+
+def _doc_prints(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    words = F.filter(F.split(F.lower("text"), r"[ \t\n\r]+"), lambda w: w != "")
+    return docs.select(F.col("doc_id").alias("id"), F.sha2("text", 256).alias("structural_hash"), clones.shingles(words).alias("shingles"))
+
+
+@query("SELECT sha256(text) AS structural_hash, count(*) AS n_members, min(doc_id) AS representative, array_to_string(list_sort(list(doc_id)), ',') AS members FROM documents GROUP BY 1 HAVING count(*) > 1")
+def duplicate_groups(spark, sf_dir):
+    groups = clones.duplicate_groups(_doc_prints(spark, sf_dir).select("id", "structural_hash"))
+    return groups.withColumn("members", F.array_join(F.col("members").cast("array<string>"), ","))
+
+
+@query("WITH g AS (SELECT count(*) AS n FROM documents GROUP BY sha256(text)) SELECT sum(n)::BIGINT AS indexed, count(*) AS unique_structures, count(*) FILTER (n > 1) AS groups, coalesce(sum(n) FILTER (n > 1), 0)::BIGINT AS members FROM g")
+def clone_stats(spark, sf_dir):
+    return clones.clone_stats(_doc_prints(spark, sf_dir).select("id", "structural_hash"))
+
+
+_PAIRS = """w AS (SELECT min(doc_id) AS id, list_filter(regexp_split_to_array(lower(text), '[ \\t\\n\\r]+'), lambda x: x <> '') AS w FROM documents GROUP BY text),
+    s AS (SELECT DISTINCT id, hash(array_to_string(w[i : i + 4], ' ')) AS s FROM w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS r(i)),
+    n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
+    o AS (SELECT a.id AS a, b.id AS b, count(*) AS o FROM s a JOIN s b ON a.s = b.s AND a.id < b.id GROUP BY ALL),
+    p AS (SELECT a, b, round(o / (x.n + y.n - o), 9) AS similarity FROM o JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE o >= 0.8 * (x.n + y.n - o) - 1e-9)"""
+
+
+@query(f'WITH {_PAIRS} SELECT a AS "left", b AS "right", similarity FROM p')
+def near_duplicate_pairs(spark, sf_dir):
+    """Pairs of different texts at five words and 0.8, exactly; copies stand behind their first."""
+    return clones.near_duplicate_pairs(_doc_prints(spark, sf_dir), 0.8).withColumn("similarity", F.round("similarity", 9))
+
+
+@query(f"""WITH RECURSIVE {_PAIRS}, e AS (SELECT a, b FROM p UNION SELECT b, a FROM p),
+    r AS (SELECT a AS node, a AS top FROM e UNION SELECT e.b, r.top FROM r JOIN e ON e.a = r.node)
+    SELECT node, min(top) AS component FROM r GROUP BY node""")
+def near_duplicate_clusters(spark, sf_dir):
+    return clones.clusters(clones.near_duplicate_pairs(_doc_prints(spark, sf_dir), 0.8))
+
+
+def _event_runs(spark, sf_dir):
+    """Two runs of findings: events up to the middle of their time, and those after it."""
+    events = table(spark, sf_dir, "events")
+    edge = events.agg(F.min("ts").alias("a"), F.max("ts").alias("b")).select((F.unix_micros(F.col("a").cast("timestamp")) / 2 + F.unix_micros(F.col("b").cast("timestamp")) / 2).cast("long").alias("m"))
+    rows = events.crossJoin(F.broadcast(edge)).select(F.when(F.unix_micros(F.col("ts").cast("timestamp")) <= F.col("m"), 1).otherwise(2).alias("run"), F.concat(F.lit("user/"), F.col("user_id").cast("string")).alias("file_path"), F.floor("value").cast("int").alias("line_start"), F.lit(None).cast("int").alias("line_end"), F.col("event_type").alias("title"), F.when(F.col("event_type") == "error", "error").otherwise("info").alias("severity"), F.lit("potential_bug").alias("category"), F.lit(0.9).alias("confidence"), S.line_hash("props").alias("line_content_hash"))
+    keyed = history.with_fingerprint(rows)
+    return keyed.filter("run = 1"), keyed.filter("run = 2")
+
+
+def _empty_history(spark):
+    return spark.createDataFrame([], history.HISTORY)
+
+
+_RUNS = """m AS (SELECT (epoch_us(min(ts)) / 2 + epoch_us(max(ts)) / 2)::BIGINT AS m FROM events),
+    f AS (SELECT CASE WHEN epoch_us(ts) <= m THEN 1 ELSE 2 END AS run, 'user/' || user_id AS file_path, floor(value)::INT AS line_start, event_type AS title, substr(sha1(regexp_replace(props, '^\\s+|\\s+$', '', 'g')), 1, 12) AS h FROM events, m),
+    k AS (SELECT *, substr(sha1(concat_ws('|', file_path, line_start::VARCHAR, lower(title))), 1, 16) AS fingerprint FROM f),
+    h1 AS (SELECT fingerprint, count(*) AS n, max(h) AS h FROM k WHERE run = 1 GROUP BY 1), h2 AS (SELECT fingerprint, count(*) AS n, max(h) AS h FROM k WHERE run = 2 GROUP BY 1)"""
+
+
+@query(f"WITH {_RUNS} SELECT coalesce(h1.fingerprint, h2.fingerprint) AS fingerprint, (coalesce(h1.n, 0) + coalesce(h2.n, 0))::INT AS run_count, coalesce(h2.h, h1.h) AS line_content_hash, CASE WHEN h1.n IS NULL THEN 2 ELSE 1 END AS first_run, CASE WHEN h2.n IS NULL THEN 1 ELSE 2 END AS last_run FROM h1 FULL OUTER JOIN h2 USING (fingerprint)")
+def history_record(spark, sf_dir):
+    one, two = _event_runs(spark, sf_dir)
+    at = lambda n: F.timestamp_seconds(F.lit(n))
+    held = history.record_run(history.record_run(_empty_history(spark), one, at(1)), two, at(2))
+    return held.select("fingerprint", "run_count", "line_content_hash", F.unix_seconds("first_seen").cast("int").alias("first_run"), F.unix_seconds("last_seen").cast("int").alias("last_run"))
+
+
+@query(f"WITH {_RUNS}, c AS (SELECT CASE WHEN h1.fingerprint IS NULL THEN 'new' WHEN k.h <> h1.h THEN 'maybe_fixed' ELSE 'still_present' END AS status FROM k LEFT JOIN h1 USING (fingerprint) WHERE run = 2) SELECT count(*) FILTER (status = 'new') AS new, count(*) FILTER (status = 'still_present') AS still_present, count(*) FILTER (status = 'maybe_fixed') AS maybe_fixed, (SELECT count(*) FROM h1) AS history_size FROM c")
+def history_compare(spark, sf_dir):
+    one, two = _event_runs(spark, sf_dir)
+    held = history.record_run(_empty_history(spark), one, F.timestamp_seconds(F.lit(1)))
+    return history.compare_summary(history.compare(two, held), held)
+
+
+@query(f"WITH {_RUNS} SELECT fingerprint, n::INT AS run_count FROM h1 ANTI JOIN h2 USING (fingerprint)")
+def history_not_seen(spark, sf_dir):
+    one, two = _event_runs(spark, sf_dir)
+    held = history.record_run(_empty_history(spark), one, F.timestamp_seconds(F.lit(1)))
+    return history.not_seen(held, two).select("fingerprint", "run_count")
+
+
+@query("SELECT event_id, user_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS r FROM events) t WHERE r <= 5")
+def retain_newest(spark, sf_dir):
+    return history.retain_newest(table(spark, sf_dir, "events"), 5, "user_id", "ts", "event_id").select("event_id", "user_id")
+
+
+@query("""WITH t AS (SELECT conv_id, turn, role, length(text) AS n FROM conversations),
+    facts AS (SELECT u.conv_id, u.turn, max(r.n) AS seen FROM t u JOIN t r ON r.conv_id = u.conv_id AND r.turn = u.turn + 1 WHERE u.role = 'user' GROUP BY ALL)
+    SELECT t.conv_id::VARCHAR AS session, t.turn AS turn, CASE WHEN f.turn IS NULL THEN 'drop' WHEN 2 * t.n > f.seen THEN 'downgrade' ELSE 'keep' END AS verdict,
+      CASE WHEN f.turn IS NOT NULL AND 2 * t.n > f.seen THEN 'warning' ELSE 'error' END AS severity FROM t LEFT JOIN facts f ON f.conv_id = t.conv_id AND f.turn = t.turn""")
+def grounding_verdicts(spark, sf_dir):
+    """User turns are reads of a file each, the next turn its result; every turn holds one finding."""
+    c = table(spark, sf_dir, "conversations")
+    key = F.col("conv_id").cast("string").alias("session")
+    calls = c.filter("role = 'user'").select(key, F.col("turn").cast("string").alias("id"), F.lit("read_file").alias("name"), F.create_map(F.lit("path"), F.concat(F.lit("src/"), F.col("turn").cast("string"))).alias("args"))
+    results = c.select(key, (F.col("turn") - 1).cast("string").alias("id"), F.concat(F.lit("(lines 1 of "), F.length("text").cast("string"), F.lit(")")).alias("content"))
+    found = c.select(key, "turn", F.concat(F.lit("./src/"), F.col("turn").cast("string")).alias("file_path"), (F.length("text") * 2).alias("line_start"), F.lit("error").alias("severity"), F.lit(0.9).alias("confidence"), F.lit(True).alias("verified"), F.array(fnd.evidence("tool_call", F.lit("read"))).alias("evidence"), F.lit("agent").alias("detected_by"))
+    return grounding.ground(found, grounding.tool_facts(calls, results)).select("session", "turn", "verdict", "severity")
+
+
+MODELS = ["deepseek-v4-pro", "Claude-Sonnet-4-6-x", "gpt-4o-mini", "codestral:22b", "unknown-7b"]
+
+
+def _usage(spark, sf_dir):
+    """Assistant and other turns as model calls: a token per four characters begun."""
+    c = table(spark, sf_dir, "conversations")
+    tokens = F.ceil(F.length("text") / 4).cast("long")
+    return c.select(F.col("conv_id").alias("session"), F.col("turn").alias("ts"), F.element_at(F.array(*map(F.lit, MODELS)), (F.col("conv_id") % 5 + 1).cast("int")).alias("model"), F.when(F.col("role") != "assistant", tokens).otherwise(0).alias("input_tokens"), F.when(F.col("role") == "assistant", tokens).otherwise(0).alias("output_tokens"), (F.length("text") / 100).alias("duration_s"))
+
+
+_PRICES = ", ".join(f"('{k}', {i}, {o})" for k, i, o in usage.PRICING)
+_USAGE = f"""price(key, i, o) AS (VALUES {_PRICES}),
+    u AS (SELECT conv_id AS session, turn AS ts, {MODELS}[conv_id % 5 + 1] AS model, CASE WHEN role <> 'assistant' THEN ceil(length(text) / 4)::BIGINT ELSE 0 END AS input_tokens, CASE WHEN role = 'assistant' THEN ceil(length(text) / 4)::BIGINT ELSE 0 END AS output_tokens, length(text) / 100 AS d FROM conversations),
+    best AS (SELECT model, arg_max(i, length(key)) AS i, arg_max(o, length(key)) AS o FROM (SELECT DISTINCT model FROM u) JOIN price ON contains(lower(model), key) GROUP BY model),
+    c AS (SELECT u.*, (input_tokens * coalesce(i, 0) + output_tokens * coalesce(o, 0)) / 1000000 AS cost FROM u LEFT JOIN best USING (model))"""
+
+
+@query(f"WITH {_USAGE} SELECT session, count(*) AS calls, sum(input_tokens)::BIGINT AS input_tokens, sum(output_tokens)::BIGINT AS output_tokens, round(sum(cost), 9) AS cost_usd, round(sum(output_tokens) / sum(d), 6) AS tokens_per_s FROM c GROUP BY session")
+def usage_by_session(spark, sf_dir):
+    out = usage.usage_by_session(usage.with_cost(_usage(spark, sf_dir), usage.pricing_table(spark)))
+    return out.select("session", "calls", "input_tokens", "output_tokens", F.round("cost_usd", 9).alias("cost_usd"), F.round("tokens_per_s", 6).alias("tokens_per_s"))
+
+
+@query(f"WITH {_USAGE} SELECT session, ts, sum(input_tokens) OVER w::BIGINT AS total_input, sum(output_tokens) OVER w::BIGINT AS total_output, round(sum(cost) OVER w, 9) AS total_cost FROM c WINDOW w AS (PARTITION BY session ORDER BY ts ROWS UNBOUNDED PRECEDING)")
+def running_usage(spark, sf_dir):
+    out = usage.running_usage(usage.with_cost(_usage(spark, sf_dir)))
+    return out.select("session", "ts", "total_input", "total_output", F.round("total_cost", 9).alias("total_cost"))
+
+
+def _event_usage(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", "ts", "user_id", F.col("event_type").alias("session"), (F.col("event_id") % 7).alias("input_tokens"), F.floor("value").cast("long").alias("output_tokens"))
+
+
+@query("SELECT date_trunc('hour', ts) AS start, event_type AS session, sum(event_id % 7)::BIGINT AS input_tokens, sum(floor(value)::BIGINT)::BIGINT AS output_tokens, count(*) AS calls FROM events GROUP BY ALL")
+def usage_tumbling(spark, sf_dir):
+    return ev.usage_per_window(_event_usage(spark, sf_dir), "1 hour").drop("end")
+
+
+@query("SELECT date_trunc('hour', ts) - to_hours(j) AS start, event_type AS session, sum(event_id % 7)::BIGINT AS input_tokens, sum(floor(value)::BIGINT)::BIGINT AS output_tokens, count(*) AS calls FROM events, (VALUES (0), (1)) v(j) GROUP BY ALL")
+def usage_sliding(spark, sf_dir):
+    return ev.usage_per_window(_event_usage(spark, sf_dir), "2 hours", "1 hour").drop("end")
+
+
+@query("""WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+    s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+    SELECT user_id, min(ts) AS start, count(*) AS n_events FROM s GROUP BY user_id, k""")
+def activity_sessions(spark, sf_dir):
+    return ev.activity_sessions(table(spark, sf_dir, "events")).drop("end")
+
+
+@query("SELECT event_type AS session, sum(event_id % 7)::BIGINT AS input_tokens, sum(floor(value)::BIGINT)::BIGINT AS output_tokens, count(*) AS calls, max(ts) AS last_ts FROM events GROUP BY event_type")
+def running_totals(spark, sf_dir):
+    return ev.running_totals(_event_usage(spark, sf_dir))
+
+
+@query("""WITH e AS (SELECT user_id, ts, CASE WHEN event_type = 'click' THEN 'start' ELSE 'end' END AS kind, floor(value)::BIGINT AS n FROM events WHERE event_type IN ('click', 'purchase')),
+    p AS (SELECT *, lag(ts) OVER w AS p, lag(kind) OVER w AS k FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts, CASE WHEN kind = 'start' THEN 0 ELSE 1 END))
+    SELECT user_id AS session, ts, round((epoch_us(ts) - epoch_us(p)) / 1000000.0, 3) AS duration_s FROM p WHERE kind = 'end' AND k = 'start'""")
+def call_durations(spark, sf_dir):
+    e = table(spark, sf_dir, "events").filter(F.col("event_type").isin("click", "purchase"))
+    rows = e.select(F.col("user_id").alias("session"), "ts", F.when(F.col("event_type") == "click", "start").otherwise("end").alias("kind"), F.floor("value").alias("output_tokens"))
+    return usage.call_durations(rows).select("session", "ts", F.round("duration_s", 3).alias("duration_s"))
+
+
+def _calls(spark, sf_dir):
+    functions = table(spark, sf_dir, "part").select(F.lit("r").alias("repo"), F.col("p_brand").alias("path"), F.concat(F.lit("f"), F.col("p_partkey").cast("string")).alias("name"), F.lit(1).alias("line_start"), (F.col("p_size") % 2 == 0).alias("is_exported"), "p_partkey")
+    calls = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey")).select(F.lit("r").alias("repo"), F.concat("p_brand", F.lit("::f"), F.col("p_partkey").cast("string"), F.lit("@1")).alias("target"))
+    return symbols.call_counts(functions, calls)
+
+
+@query("SELECT p_partkey, count(l_partkey) AS n_calls FROM part LEFT JOIN lineitem ON l_partkey = p_partkey GROUP BY p_partkey")
+def call_counts(spark, sf_dir):
+    return _calls(spark, sf_dir).select("p_partkey", "n_calls")
+
+
+@query("SELECT p_partkey, p_size % 2 = 0 AS is_exported FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem)")
+def uncalled(spark, sf_dir):
+    return symbols.uncalled(_calls(spark, sf_dir), True).select("p_partkey", "is_exported")
+
+
+@query("SELECT l_partkey AS p_partkey FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_partkey HAVING count(*) = 1")
+def single_call(spark, sf_dir):
+    return symbols.single_call(_calls(spark, sf_dir)).select("p_partkey")
+
+
+@query("""WITH f AS (SELECT l_orderkey AS path, 'f' || l_partkey AS n, l_linenumber AS a, l_linenumber + l_quantity::INT AS b FROM lineitem),
+    p AS (SELECT DISTINCT l_orderkey AS path, l_linenumber + 3 AS line FROM lineitem),
+    r AS (SELECT p.path, line, n, a, row_number() OVER (PARTITION BY p.path, line ORDER BY b - a, a, n) AS k FROM p LEFT JOIN f ON f.path = p.path AND line BETWEEN a AND b)
+    SELECT path, line, n AS function, a AS function_line FROM r WHERE k = 1""")
+def enclosing_function(spark, sf_dir):
+    """Order lines as functions with a span of their quantity; points three lines below each start."""
+    li = table(spark, sf_dir, "lineitem")
+    functions = li.select(F.lit("r").alias("repo"), F.col("l_orderkey").alias("path"), F.concat(F.lit("f"), F.col("l_partkey").cast("string")).alias("name"), F.col("l_linenumber").alias("line_start"), (F.col("l_linenumber") + F.col("l_quantity").cast("int")).alias("line_end"))
+    points = li.select(F.lit("r").alias("repo"), F.col("l_orderkey").alias("path"), (F.col("l_linenumber") + 3).alias("line")).distinct()
+    return symbols.enclosing_function(points, functions).select("path", "line", "function", "function_line")
+
+
+@query("WITH n AS (SELECT l_orderkey AS path, l_returnflag AS var, l_linenumber AS line_no, lead(l_linenumber) OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_linenumber) AS next_line FROM lineitem) SELECT * FROM n WHERE next_line - line_no < 3")
+def close_rewrites(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("path"), F.col("l_returnflag").alias("var"), F.col("l_linenumber").alias("line_no"))
+    return rules.close_rewrites(rows)
+
+
+@query(f"WITH {_LINES}, c AS (SELECT *, string_agg(text, chr(10)) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS context FROM line) SELECT doc_id AS path, line_no FROM c WHERE NOT starts_with(trim(text), '//') AND NOT starts_with(trim(text), '(*') AND regexp_matches(text, '[0-9]{{3,}}') AND NOT regexp_matches(context, '(?i)license|@')")
+def guarded_hits(spark, sf_dir):
+    """Lines with a number of three digits or more and neither a license nor a mail address in the six lines up to them."""
+    return rules.guarded_hits(doc_lines(spark, sf_dir), F.regexp_like("text", F.lit("[0-9]{3,}")), "(?i)license|@", 5).select("path", "line_no")
+
+
+@query("""WITH t AS (SELECT page_id, regexp_extract_all(html, '</?[a-z0-9]+') AS g FROM pages), l AS (SELECT page_id, i, g[i] AS tag FROM t, unnest(range(1, len(g) + 1)) AS r(i)),
+    s AS (SELECT *, sum(CASE WHEN regexp_matches(tag, '^<(div|p|b|ul|li|article|nav|body|html|head)$') THEN 1 WHEN regexp_matches(tag, '^</(div|p|b|ul|li|article|nav|body|html|head)$') THEN -1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY i) AS s FROM l),
+    d AS (SELECT page_id, s - least(0, min(s) OVER (PARTITION BY page_id ORDER BY i)) AS depth FROM s)
+    SELECT page_id AS path, max(depth)::BIGINT AS max_depth FROM d GROUP BY page_id""")
+def nesting_depth(spark, sf_dir):
+    tags = table(spark, sf_dir, "pages").select(F.col("page_id").alias("path"), F.posexplode(F.regexp_extract_all("html", F.lit("(</?[a-z0-9]+)"), F.lit(1))).alias("line_no", "text"))
+    names = "(div|p|b|ul|li|article|nav|body|html|head)$"
+    return rules.nesting_depth(tags, "^<" + names, "^</" + names).groupBy("path").agg(F.max("depth").cast("long").alias("max_depth"))
+
+
+_COSINE = "list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[])"
+
+
+@query(f"SELECT query_id, vec_id, score, rank::INT AS rank FROM (SELECT q.vec_id AS query_id, e.vec_id, round({_COSINE}, 6) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COSINE} DESC, e.vec_id) AS rank FROM embeddings q, embeddings e WHERE q.vec_id % 100 = 0) t WHERE rank <= 5")
+def top_k_chunks(spark, sf_dir):
+    """Every hundredth vector as a stated query set against all."""
+    e = table(spark, sf_dir, "embeddings")
+    queries = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return guidelines.search(e, queries, 5, "vec_id").select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query()
+def chunk_documents(spark, sf_dir):
+    """Greedy chunks of all documents, paragraphs by line."""
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", F.posexplode(guidelines.chunk("text", 1000, "\n")).alias("chunk_index", "chunk")).select("doc_id", "chunk_index", F.length("chunk").alias("n"), F.sha2("chunk", 256).alias("sha256"))
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k')::INT AS k FROM events")
+def lenient_json(spark, sf_dir):
+    """JSON found in prose around it."""
+    e = table(spark, sf_dir, "events").select("event_id", S.lenient_json(F.concat(F.lit("see:\n```json\n"), "props", F.lit("\n``` done"))).alias("j"))
+    return e.select("event_id", F.get_json_object("j", "$.k").cast("int").alias("k"))
+
+
+_LABEL = "CASE " + " ".join(f"WHEN regexp_matches(text, '{p}') THEN '{k}'" for k, p in S.REQUEST_LABELS) + " ELSE 'chat' END"
+
+
+@query(f"SELECT {_LABEL} AS label, count(*) AS n FROM conversations GROUP BY 1")
+def request_labels(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").groupBy(S.request_label("text").alias("label")).agg(F.count("*").alias("n"))
+
+
+def _doc_patches(spark, sf_dir):
+    """Each document is a file; its first line is to be taken away, if it is what the op says (even sizes only)."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content"), "n_chars")
+    old = F.when(F.col("n_chars") % 2 == 0, F.substring_index("content", "\n", 1)).otherwise("something else")
+    ops = docs.select(F.col("path").alias("patchset_id"), F.lit(0).alias("op_idx"), F.lit("delete_lines").alias("op_type"), F.col("path").alias("file_path"), F.lit(1).alias("line_start"), F.lit(1).alias("line_end"), old.alias("old_content"), F.lit(None).cast("string").alias("new_content"), F.lit(None).cast("string").alias("new_path"), F.lit("x").alias("reason"))
+    return docs.select("path", "content"), ops
+
+
+@query("SELECT doc_id::VARCHAR AS path, sha256(CASE WHEN n_chars % 2 = 0 THEN CASE WHEN contains(text, chr(10)) THEN substr(text, instr(text, chr(10)) + 1) ELSE '' END ELSE text END) AS sha256 FROM documents")
+def apply_patches(spark, sf_dir):
+    files, ops = _doc_patches(spark, sf_dir)
+    return patches.apply_patches(files, ops).select("path", F.sha2("content", 256).alias("sha256"))
+
+
+@query("SELECT doc_id::VARCHAR AS patchset_id, n_chars % 2 = 0 AS ok, CASE WHEN n_chars % 2 <> 0 THEN 'old_content does not match' END AS reason FROM documents")
+def can_apply(spark, sf_dir):
+    files, ops = _doc_patches(spark, sf_dir)
+    return patches.can_apply(ops, files)
+
+
+@query("SELECT doc_id::VARCHAR AS path, sha256(text) AS sha256 FROM documents")
+def undo_patches(spark, sf_dir):
+    """Applying and undoing gives the files back."""
+    files, ops = _doc_patches(spark, sf_dir)
+    kept = patches.snapshot(files, ops, "s1")
+    back, _ = patches.undo(patches.apply_patches(files, ops), kept, "s1")
+    return back.select("path", F.sha2("content", 256).alias("sha256"))
+
+
+@query("SELECT source AS repo, 'pack-' || lang AS name, 'language: ' || lang AS reason FROM documents GROUP BY source, lang")
+def activate_packs(spark, sf_dir):
+    """A pack per language, active where a source has documents in it."""
+    docs = table(spark, sf_dir, "documents")
+    none = F.array().cast("array<string>")
+    repos = docs.groupBy(F.col("source").alias("repo")).agg(F.collect_set("lang").alias("languages")).select("repo", none.alias("extensions"), none.alias("imports"), none.alias("frameworks"), "languages", none.alias("filenames"))
+    table_of = docs.groupBy(F.concat(F.lit("pack-"), "lang").alias("name")).agg(F.collect_set("lang").alias("languages")).select("name", F.lit("x").alias("description"), none.alias("extensions"), none.alias("imports"), none.alias("frameworks"), "languages", none.alias("filename_patterns"))
+    return packs.activate(table_of, repos).select("repo", "name", F.col("reasons")[0].alias("reason"))
+
+
+@query("""WITH u AS (SELECT regexp_extract(url, '://[^/?#]*([^?#]*)', 1) AS p, page_id FROM pages)
+    SELECT page_id, regexp_extract(p, '([^/]*)$', 1) AS base, regexp_extract(p, '^(.*)/[^/]*$', 1) AS parent, lower(regexp_extract(p, '[^/](\\.[^./]+)$', 1)) AS ext FROM u""")
+def url_paths(spark, sf_dir):
+    """Path functions over the paths of all urls."""
+    p = F.regexp_extract("url", "://[^/?#]*([^?#]*)", 1)
+    rows = table(spark, sf_dir, "pages").select("page_id", p.alias("p"))
+    return rows.select("page_id", S.basename("p").alias("base"), S.parent("p").alias("parent"), S.suffix("p").alias("ext"))
+
+
+def _turn_graph(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("path"), F.col("turn").alias("node"), "role")
+    nxt = F.lead("node").over(Window.partitionBy("path").orderBy("node"))
+    edges = c.withColumn("dst", nxt).filter("dst is not null and role <> 'system'").select("path", F.col("node").alias("src"), "dst")
+    return c.select("path", "node"), edges
+
+
+@query("SELECT conv_id AS path, turn AS node FROM conversations c WHERE turn > 0 AND EXISTS (SELECT 1 FROM conversations s WHERE s.conv_id = c.conv_id AND s.role = 'system' AND s.turn < c.turn)")
+def unreachable_blocks(spark, sf_dir):
+    """Turns as blocks, each with an edge to the next unless it is a system turn."""
+    return plc_pack.unreachable(*_turn_graph(spark, sf_dir))
+
+
+@query("WITH n AS (SELECT conv_id AS path, count(*) AS n, count(*) FILTER (role <> 'system' AND turn < m) AS e FROM (SELECT *, max(turn) OVER (PARTITION BY conv_id) AS m FROM conversations) t GROUP BY conv_id) SELECT path, n AS n_nodes, e AS n_edges, e - n + 2 AS complexity, e - n + 2 > 15 AS too_complex FROM n")
+def cyclomatic_complexity(spark, sf_dir):
+    return plc_pack.complexity(*_turn_graph(spark, sf_dir))
+
+
+@query(f"WITH {_HITS} SELECT file_path, line_start, rule_id, 'still' AS origin FROM hit SEMI JOIN (SELECT source || '/' || doc_id AS file_path FROM documents JOIN labels USING (doc_id) WHERE quality = 1) s USING (file_path)")
+def scoped_findings(spark, sf_dir):
+    """Findings in documents that a label calls good."""
+    good = table(spark, sf_dir, "labels").filter("quality = 1").join(table(spark, sf_dir, "documents"), "doc_id").select(F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path"))
+    return fnd.scope(doc_findings(spark, sf_dir), good).select("file_path", "line_start", "rule_id", F.lit("still").alias("origin"))
+
+
+@query()
+def plc_scan(spark, sf_dir):
+    """The controller rule pack over all documents as files: counts by rule."""
+    files = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content"))
+    return plc_pack.scan_plc(files).groupBy("rule_id", "severity").agg(F.count("*").alias("n"), F.countDistinct("path").alias("n_files"))
+
+
+@query()
+def code_fingerprints(spark, sf_dir):
+    """Normalised tokens and structural hashes of all pages' markup."""
+    none = F.lit(None).cast("string")
+    f = table(spark, sf_dir, "pages").select(F.col("url").alias("path"), F.col("page_id").cast("string").alias("name"), none.alias("enclosing_class"), F.lit(1).alias("line_start"), F.lit(1).alias("line_end"), F.col("html").alias("body"))
+    return clones.fingerprint_functions(f).select("id", "n_tokens", "structural_hash", F.size("shingles").alias("n_shingles"))
+
+
+@query("SELECT doc_id::VARCHAR AS path, CASE WHEN lang = 'en' THEN 'generic' ELSE 'auto' END AS profile FROM documents")
+def language_profiles(spark, sf_dir):
+    """Documents as files whose extension follows from their language (English ones as .scala)."""
+    docs = table(spark, sf_dir, "documents")
+    files = docs.select(F.col("doc_id").cast("string").alias("path"), F.when(F.col("lang") == "en", ".SCALA").otherwise(".zzz").alias("ext"))
+    return corpus.with_profile(corpus.with_language(files)).select("path", "profile")

@@ -161,7 +161,7 @@ def _by_join(texts: DataFrame, wins: DataFrame, kind: str) -> DataFrame:
     hits = scanned.filter("k is not null").distinct().join(wins.select("item", "k", "print", "words").distinct(), ["k", "print", "words"])
     hits = hits.groupBy("doc_id", "text_print").agg(F.array_sort(F.collect_set("item")).alias("items"), F.collect_set(F.struct("at", "k")).alias("found"))
     covered = F.array_sort(F.array_distinct(F.flatten(F.transform("found", lambda f: F.sequence(f["at"], f["at"] + f["k"] - 1)))))
-    step = lambda a, x: F.when((F.size(a) > 0) & (F.element_at(a, -1)["last"] + 1 == x), F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.struct(F.element_at(a, -1)["first"].alias("first"), x.alias("last"))))).otherwise(F.concat(a, F.array(F.struct(x.alias("first"), x.alias("last")))))
+    step = lambda a, x: F.when((F.size(a) > 0) & (F.element_at(a, -1)["last"] + 1 == x), F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.named_struct(F.lit("first"), F.element_at(a, -1)["first"], F.lit("last"), x)))).otherwise(F.concat(a, F.array(F.named_struct(F.lit("first"), x, F.lit("last"), x))))
     hits = hits.withColumn("covered", covered)
     joined = rows.alias("r").join(hits.alias("h"), (F.col("r.doc_id").eqNullSafe(F.col("h.doc_id"))) & (F.col("r.text_print") == F.col("h.text_print")), "left")
     spans = F.aggregate(F.col("covered"), F.array().cast("array<struct<first:bigint,last:bigint>>"), step)

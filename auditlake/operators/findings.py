@@ -90,7 +90,7 @@ def render_markdown(reports: DataFrame, by: str = "run_id") -> DataFrame:
     title = F.concat(F.lit("# Review "), F.col(by).cast("string"), F.lit("\n\n"), F.col("n_total").cast("string"), F.lit(" findings\n"))
     parts = [title]
     for s in reversed(SEVERITIES):
-        own = F.filter("findings", lambda x, s=s: x["severity"] == s)
+        own = F.filter("findings", (lambda level: lambda x: x["severity"] == level)(s))
         lines = F.transform(own, lambda x: F.concat(F.lit("- **"), x["title"], F.lit("** `"), x["file_path"], F.lit(":"), F.coalesce(x["line_start"].cast("string"), F.lit("?")), F.lit("` ("), x["category"], F.format_string(", %.2f)", x["confidence"])))
         parts.append(F.when(F.size(own) > 0, F.concat(F.lit(f"\n## {s.capitalize()}\n\n"), F.array_join(lines, "\n"), F.lit("\n"))).otherwise(""))
     return reports.select(by, F.concat(*parts).alias("markdown"))

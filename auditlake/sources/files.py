@@ -29,7 +29,7 @@ def read_repo(spark: SparkSession, path: str, repo: str | None = None, ignored:
 
 def read_guidelines(spark: SparkSession, path: str, max_files: int = 500) -> DataFrame:
     """``source, content`` of guideline documents, hidden paths passed over, the first ``max_files`` by path."""
-    docs = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(path).select(_relative(path).alias("source"), F.col("value").alias("content"))
+    docs = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(_relative(path).alias("source"), F.col("value").alias("content"))
     docs = docs.filter(suffix("source").isin(GUIDELINES) & ~F.regexp_like("source", F.lit(r"(?:^|/)\.")))
     return docs.orderBy("source").limit(max_files)
 
@@ -58,7 +58,7 @@ def read_packs(spark: SparkSession, path: str) -> DataFrame:
                 rows.append({"name": fields.get("name") or (parts[-2] if len(parts) > 1 else parts[-1]), "description": fields.get("description") or "", "body": body} | {k: fields[k] if isinstance(fields.get(k), list) else [fields[k]] if fields.get(k) else [] for k in lists})
             yield pd.DataFrame(rows, columns=["name", "description", *lists, "body"])
 
-    raw = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").text(path)
+    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").text(path, wholetext=True)
     front = r"(?s)\A---\s*\n(.*?)\n---\s*\n?(.*)\z"
     cut = raw.select(_relative(path).alias("source"), F.regexp_extract("value", front, 1).alias("head"), F.regexp_extract("value", front, 2).alias("body")).filter("head <> ''")
     schema = "name string, description string, " + ", ".join(f"{k} array<string>" for k in lists) + ", body string"

@@ -49,7 +49,7 @@ def stream_history(findings: DataFrame, root: str, checkpoint: str, lines: DataF
 
 def stream_guidelines(spark: SparkSession, folder: str, index: str, checkpoint: str, embedder=None):
     """New or changed guideline files into the index: chunks of a source replace its former ones."""
-    raw = spark.readStream.schema("value string").option("wholetext", "true").text(folder).select(F.substring_index(F.col("_metadata.file_path"), "/", -1).alias("source"), F.col("value").alias("content"))
+    raw = spark.readStream.text(folder, wholetext=True).select(F.substring_index(F.col("_metadata.file_path"), "/", -1).alias("source"), F.col("value").alias("content"))
 
     def put(batch: DataFrame, n: int) -> None:
         chunks = guidelines.embed_chunks(guidelines.chunk_documents(batch), embedder)

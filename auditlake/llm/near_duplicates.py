@@ -3,22 +3,27 @@
 A document's set holds its distinct ``k``-word shingles; two documents link when their Jaccard similarity is at
 least ``num / den``. The join works on distinct sets (exact copies share one), in these steps:
 
-1. one scan gives each document's set fingerprint and size, a few minhashes, and the shingles that are frequent
-   within a scan task, which fix a global order (frequent shingles last);
-2. sets that share a minhash are compared with the least set of that bucket; verified ones form a *group*;
-3. prefix filter: two linked sets share one of their rarest ``n - ceil(n num / den) + 1`` shingles, so each such
-   shingle that several groups hold proposes (query set, group) pairs, within the size bounds;
-4. the token-group matrix holds the union of the shingles of each proposed group; a query whose overlap with the
-   union is under ``n num / den`` cannot link to any member, and that group stays shut;
-5. only qualifying groups are opened: the query is compared with their members, exactly.
-
-Groups only steer the work: every link between different groups is found, whatever they look like. Pairs inside a
-group are not listed (its members are linked to its first), so copies cost no quadratic work. Frequent shingles,
-bit sets and groups are heuristics of cost alone.
+1. one scan gives each document's set fingerprint and size and a few minhashes;
+2. sets that share a minhash are compared with one leading set of that bucket (that of most copies); verified links
+   join them to components early, so that a large group of copies costs one comparison per member;
+3. two linked sets of sizes x and y differ in at most ``d = (x + y)(den - num)/(den + num)`` shingles. Shingles are
+   dealt by hash into somewhat more than d parts, as many for all sets of a size class, so that linked sets agree
+   in some whole part. Sets that share a part, directly or by others, form a *family*; links stay within families.
+   (A passage that many documents share makes no family: its shingles are dealt among all the others.)
+4. each family is partitioned into *groups* of similar members and bounded size. The token-group matrix is the union
+   of each group's shingles: a query set whose overlap with a group's union is under ``n num / den`` cannot link to
+   any member, and the group stays shut to it;
+5. only qualifying queries open a group: their overlaps with its members are counted exactly, as a product of
+   incidence matrices over the shingles that both sides hold. Pairs of groups that step 2 has put into one
+   component as a whole, or whose sizes cannot fit, are left out.
+
+Links are reported as long as they connect what was apart in a pair of groups; their components are those of all
+links. Bit sets, families and groups bear on cost alone.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased; with fewer than k words the whole sequence is one shingle.
 Defined cases: null or empty texts, and texts without words, have an empty set and link with nothing; a null id
-keeps its row, links with nothing and has a null component; repeated ids keep a row each; other columns are not read.
+keeps its row, links with nothing and has its own null component; repeated ids keep a row each; other columns are
+not read.
 """
 
 from __future__ import annotations
@@ -27,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..operators.graph import connected_components
 from ..shared import materialize
@@ -35,7 +40,7 @@ from . import _text as T
 from ._bits import bit_set, in_bits
 
 HASHES = 4
-LOG_FREQUENT = 20
+GROUP_SHINGLES, LEAST_WEIGHT = 300_000, 600  # a group's shingles, and what a small set counts for at least
 _SEEDS = np.random.Generator(np.random.PCG64(11)).integers(0, 2**63, HASHES, dtype=np.uint64)
 _SEED2 = np.uint64(0x5851F42D4C957F2D)
 
@@ -61,46 +66,31 @@ def _minima(tokens: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def _base(texts: DataFrame, k: int, id_type: str) -> DataFrame:
-    """Rows of documents (id, n, node, minhashes) and, with n null, rows of shingles frequent within a task (node, count)."""
+    """``id, n, node, minima``: size, set fingerprint and minhashes of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        id_arrow = None
-        for batch in T.slices(batches, most=16 << 20):
-            id_arrow = batch.schema.field(0).type
+        for batch in T.slices(batches):
             tokens, offsets, node = _sets(batch, k)
             low = T.signed(_minima(tokens, offsets))
-            m = len(batch)
-            minima = pa.ListArray.from_arrays(pa.array(np.arange(0, m * HASHES + 1, HASHES, dtype=np.int32)), pa.array(low.ravel()))
+            minima = pa.ListArray.from_arrays(pa.array(np.arange(0, len(batch) * HASHES + 1, HASHES, dtype=np.int32)), pa.array(low.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets)), pa.array(T.signed(node)), minima], names=["id", "n", "node", "minima"])
-            tokens.sort()
-            edge = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1], [True]])) if len(tokens) else np.zeros(1, np.int64)
-            count = np.diff(edge)
-            often = np.flatnonzero(count >= 3)
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(often), id_arrow), pa.array(count[often]), pa.array(T.signed(tokens[edge[:-1][often]])), pa.nulls(len(often), pa.list_(pa.int64()))], names=["id", "n", "node", "minima"])
 
     return texts.mapInArrow(run, f"id {id_type}, n long, node long, minima array<long>")
 
 
-def _frequent(base: DataFrame) -> np.ndarray:
-    """A fixed table: how frequent, in powers of two, the shingles of each of 2**LOG_FREQUENT buckets are."""
-    rows = base.filter("minima is null").groupBy(F.shiftrightunsigned("node", 64 - LOG_FREQUENT).alias("b")).agg(F.max(F.floor(F.log2("n"))).cast("byte").alias("f"))
-    got = rows.toPandas()
-    out = np.zeros(1 << LOG_FREQUENT, np.uint8)
-    out[got["b"].to_numpy(np.int64)] = got["f"].to_numpy(np.uint8)
-    return out
-
-
-def _ordered(tokens: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """The shingles as numbers in the global order: rare ones first."""
-    rank = frequent[tokens >> np.uint64(64 - LOG_FREQUENT)].astype(np.uint64)
-    return (rank << np.uint64(58)) | (T.mix(tokens) >> np.uint64(6))
-
+def size_classes(num: int, den: int, most: int = 1 << 40) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Least size of each class, its number of parts, and how many of them exceed the greatest difference.
 
-def _key(node: np.ndarray, ids: pa.Array) -> np.ndarray:
-    """A number for a set together with its first document, so that further copies are passed over."""
-    text = ids.cast(pa.string()) if not pa.types.is_integer(ids.type) else None
-    values = np.array([hash(x) for x in text.to_pylist()], np.int64) if text is not None else ids.fill_null(-1).cast(pa.int64()).to_numpy(zero_copy_only=False)
-    return T.signed(T.mix(values.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ node)
+    The larger of two linked sets is in the class of the smaller or in the next, so every set is dealt twice.
+    """
+    least, parts, spare = [1], [], []
+    while least[-1] <= most:
+        top = least[-1] * den // num
+        differ = (top + top * den // num) * (den - num) // (den + num)
+        spare.append(4 + top // 100)
+        parts.append(differ + spare[-1])
+        least.append(top + 1)
+    return np.array(least[:-1]), np.array(parts), np.array(spare)
 
 
 def _tokens_of(texts: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
@@ -121,13 +111,13 @@ def _tokens_of(texts: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Those (a, b) whose sets reach the similarity, with their overlap; both sets are looked up in ``sets``."""
+    """Those (a, b) whose sets reach the similarity; both sets are looked up in ``sets``."""
     with_a = pairs.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("ta")), "a")
     with_both = with_a.join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("tb")), "b").select("a", "b", "ta", "tb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep, size = [], []
+            keep = []
             for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 both = np.concatenate([x, y])
@@ -135,105 +125,162 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
                 same = int((both[1:] == both[:-1]).sum())
                 if den * same >= num * (len(x) + len(y) - same):
                     keep.append(i)
-                    size.append(same)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int32())), batch.column(1).take(pa.array(keep, pa.int32())), pa.array(size, pa.int64())], names=["a", "b", "overlap"])
+            keep = pa.array(keep, pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep)], names=["a", "b"])
+
+    return with_both.mapInArrow(run, "a long, b long")
 
-    return with_both.mapInArrow(run, "a long, b long, overlap long")
 
+def _parts(texts: DataFrame, k: int, num: int, den: int, bits=None) -> DataFrame:
+    """``part, node``: a fingerprint of each part of each set, with ``bits`` only those in the bit set.
 
-def _prefixes(texts: DataFrame, k: int, num: int, den: int, frequent, bits=None) -> DataFrame:
-    """``token, node, n``: each set's rarest shingles that decide, with ``bits`` only those in the bit set."""
+    Empty parts are alike in all sets and left out: linked sets agree in ``spare`` parts at least, so some part that
+    is not empty is among them, unless both have as many empty ones; such sets (hardly any) share one more part.
+    """
+    least, parts, spare = size_classes(num, den)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in T.slices(batches):
             tokens, offsets, node = _sets(batch, k)
-            order = _ordered(tokens, frequent.value)
             size = np.diff(offsets)
-            take = size - (size * num + den - 1) // den + 1
-            out = []
-            for i in np.flatnonzero(size).tolist():
-                own = order[offsets[i] : offsets[i + 1]]
-                m = int(take[i])
-                out.append(np.partition(own, m - 1)[:m] if m < len(own) else own)
-            token = np.concatenate(out) if out else np.zeros(0, np.uint64)
-            row = np.repeat(np.flatnonzero(size), take[size > 0])
-            if bits is not None:
-                keep = in_bits(T.signed(token), bits.value)
-                token, row = token[keep], row[keep]
-            yield pa.RecordBatch.from_arrays([pa.array(T.signed(token)), pa.array(T.signed(node)[row]), pa.array(size[row])], names=["token", "node", "n"])
-
-    return texts.mapInArrow(run, "token long, node long, n long")
-
-
-def _matrix_overlap(proposed: DataFrame, members: DataFrame, sets: DataFrame) -> DataFrame:
-    """``q, g, overlap``: how many shingles of query q are in the union of group g, for the proposed pairs."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            parts = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(1)]
-            for at in range(0, len(parts), 64):
-                some = parts[at : at + 64]
-                row = np.repeat(np.arange(at, at + len(some)), [len(x) for x in some])
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(np.concatenate(some) if some else np.zeros(0, np.int64))], names=["key", "token"])
-
-    groups = proposed.select("g").distinct()
-    of_groups = members.join(groups, "g", "left_semi").join(sets, "node").select("g", "tokens")
-    matrix = of_groups.mapInArrow(run, "key long, token long").distinct().withColumnRenamed("key", "g")
-    of_queries = proposed.select("q").distinct().join(sets, F.col("q") == F.col("node")).select("q", "tokens")
-    queries = of_queries.mapInArrow(run, "key long, token long").withColumnRenamed("key", "q").join(proposed.select("q", "g"), "q")
-    return queries.join(matrix, ["g", "token"]).groupBy("q", "g").agg(F.count("*").alias("overlap"))
+            rows = np.flatnonzero(size)
+            held = np.repeat(rows, size[rows])
+            mixed = T.mix(tokens * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
+            low, high = (mixed & np.uint64(0xFFFFFFFF)).astype(np.float64), (mixed >> np.uint64(32)).astype(np.float64)
+            own = np.searchsorted(least, size, "right") - 1
+            for cls in (own, own - 1):
+                live = (size > 0) & (cls >= 0)
+                m = np.where(live, parts[np.maximum(cls, 0)], 0)
+                base = np.cumsum(m) - m
+                use = live[held]
+                cell = base[held[use]] + (tokens[use] % m[held[use]].astype(np.uint64)).astype(np.int64)
+                total = int(m.sum())
+                a, b = (np.bincount(cell, w[use], total).astype(np.uint64) for w in (low, high))
+                count = np.bincount(cell, minlength=total)
+                row, place = T.ragged(m)
+                label = (cls[row].astype(np.uint64) << np.uint64(40)) + place.astype(np.uint64)
+                key = T.mix(T.mix((a + (b << np.uint64(32))) ^ T.mix(label + np.uint64(7))) + count.astype(np.uint64))
+                keep = count > 0
+                empty = np.bincount(row[~keep], minlength=len(m))
+                odd = np.flatnonzero(live & (empty >= spare[np.maximum(cls, 0)]))
+                key = np.concatenate([key[keep], T.mix(cls[odd].astype(np.uint64) ^ np.uint64(0xABCDEF123))])
+                row = np.concatenate([row[keep], odd])
+                if bits is not None:
+                    keep = in_bits(T.signed(key), bits.value)
+                    key, row = key[keep], row[keep]
+                yield pa.RecordBatch.from_arrays([pa.array(T.signed(key)), pa.array(T.signed(node)[row])], names=["part", "node"])
+
+    return texts.mapInArrow(run, "part long, node long")
+
+
+def _overlaps(left: list[np.ndarray], right: list[np.ndarray], vocabulary: np.ndarray) -> np.ndarray:
+    """How many tokens each set on the left has in common with each on the right; all common ones are in the vocabulary."""
+
+    def incidence(sets: list[np.ndarray], words: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(sets), len(words)), np.float32)
+        for i, x in enumerate(sets):
+            at = np.minimum(np.searchsorted(words, x), len(words) - 1)
+            out[i, at[words[at] == x]] = 1
+        return out
+
+    total = np.zeros((len(left), len(right)))
+    for at in range(0, len(vocabulary), 4096):
+        words = vocabulary[at : at + 4096]
+        total += incidence(left, words) @ incidence(right, words).T
+    return total.astype(np.int64)
+
+
+def _open_groups(num: int, den: int):
+    """For one pair of groups: the queries that the matrix lets through, then their exact links, as far as they connect."""
+
+    def run(table: pa.Table) -> pa.Table:
+        side, node = table.column("side").to_numpy(), table.column("node").to_numpy()
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("tokens")]
+        a, b = np.flatnonzero(side != 1), np.flatnonzero(side != 0)  # side 2: the group meets itself
+        union = lambda rows: np.unique(np.concatenate([sets[i] for i in rows]))
+        same = len(a) == len(b) == len(side)
+        of_a = union(a)
+        of_b = of_a if same else union(b)
+
+        def qualify(rows: np.ndarray, matrix: np.ndarray) -> np.ndarray:
+            ok = []
+            for i in rows:
+                at = np.minimum(np.searchsorted(matrix, sets[i]), len(matrix) - 1)
+                ok.append(den * int((matrix[at] == sets[i]).sum()) >= num * len(sets[i]))
+            return rows[np.array(ok, bool)]
+
+        qa, qb = (a, b) if same else (qualify(a, of_b), qualify(b, of_a))
+        out: list[tuple[int, int]] = []
+        if len(qa) and len(qb):
+            left, right = [sets[i] for i in qa], [sets[i] for i in qb]
+            if same:
+                words, count = np.unique(np.concatenate(left), return_counts=True)
+                words = words[count > 1]
+            else:
+                words = np.intersect1d(np.concatenate(left), np.concatenate(right))
+            over = _overlaps(left, right, words)
+            na, nb = np.array([len(x) for x in left]), np.array([len(x) for x in right])
+            linked = den * over >= num * (na[:, None] + nb[None] - over)
+            top = {int(i): int(i) for i in (*qa, *qb)}
+
+            def find(x: int) -> int:
+                while top[x] != x:
+                    top[x] = x = top[top[x]]
+                return x
+
+            for i, j in zip(*np.nonzero(linked), strict=True):
+                x, y = find(int(qa[i])), find(int(qb[j]))
+                if x != y:
+                    top[max(x, y)] = min(x, y)
+                    out.append((int(node[qa[i]]), int(node[qb[j]])))
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+
+    return run
 
 
 def links(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(documents, links): ``id, n, node, set_id`` for every row, and links ``a, b`` between distinct sets (nodes).
-
-    ``node`` identifies a set. The links connect every two linked sets, directly or through sets linked to both
-    sides' groups: their components are those of all links.
-    """
+    """(documents, links): ``id, n, node`` for every row, and links ``a, b`` between distinct sets (nodes)."""
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     spark = docs.sparkSession
-    base = materialize(_base(texts, k, texts.schema["id"].dataType.simpleString()), "near-base")
-    rows = base.filter("minima is not null")
+    rows = materialize(_base(texts, k, texts.schema["id"].dataType.simpleString()), "near-base")
     live = texts.filter("id is not null")
-    sets = materialize(rows.filter("n > 0 and id is not null").groupBy("node").agg(F.first("n").alias("n"), F.min("id").alias("first_id"), F.first("minima").alias("minima")), "near-sets")
-
-    # Groups: sets that share a minhash, verified against the least set of that bucket.
-    buckets = sets.select("node", F.posexplode("minima").alias("j", "m"))
-    tops = buckets.groupBy("j", "m").agg(F.min("node").alias("top"), F.max("node").alias("other")).filter("top < other").select("j", "m", "top")
-    sized = sets.select("node", "n")
-    stars = buckets.join(tops, ["j", "m"]).filter("node > top").select(F.col("node").alias("a"), F.col("top").alias("b")).distinct()
-    stars = stars.join(sized.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").join(sized.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b").filter(F.col("na") * den >= F.col("nb") * num).filter(F.col("nb") * den >= F.col("na") * num)
-    stars = materialize(stars.select("a", "b"), "near-stars")
+    sets = rows.filter("n > 0 and id is not null").groupBy("node").agg(F.first("n").alias("n"), F.count("*").alias("copies"), F.first("minima").alias("minima"))
+    sets = materialize(sets, "near-sets")
+
+    # Early components: sets that share a minhash, verified against that bucket's leading set.
+    buckets = sets.select("node", "n", "copies", F.posexplode("minima").alias("j", "m"))
+    tops = buckets.groupBy("j", "m").agg(F.max(F.struct("copies", "node", "n")).alias("top"), F.min("node").alias("x"), F.max("node").alias("y")).filter("x < y")
+    stars = buckets.join(tops.select("j", "m", F.col("top.node").alias("b"), F.col("top.n").alias("nb")), ["j", "m"]).filter("node <> b")
+    stars = stars.filter(F.col("n") * den >= F.col("nb") * num).filter(F.col("nb") * den >= F.col("n") * num)
+    stars = materialize(stars.select(F.col("node").alias("a"), "b").distinct(), "near-stars")
     wanted = stars.select(F.col("a").alias("node")).unionByName(stars.select(F.col("b").alias("node"))).distinct()
-    near = materialize(_verified(stars, _tokens_of(live, wanted, k), num, den).select("a", "b"), "near-verified")
-    group = materialize(connected_components(near), "near-groups")
-    members = sized.join(group, "node", "left").select("node", "n", F.coalesce("component", "node").alias("g"))
-    members = materialize(members, "near-members")
-
-    # Proposals: prefix shingles that several groups hold.
-    frequent = spark.sparkContext.broadcast(_frequent(base))
-    shared = _prefixes(live, k, num, den, frequent).groupBy("token").agg(F.min("node").alias("x"), F.max("node").alias("y")).filter("x < y").select("token")
-    bits = spark.sparkContext.broadcast(bit_set(shared, "token"))
-    held = _prefixes(live, k, num, den, frequent, bits).distinct().join(members.select("node", "g"), "node")
-    by_group = materialize(held.select("token", "node", "n", "g"), "near-prefixes")
-    matrix = by_group.groupBy("token", "g").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    several = matrix.groupBy("token").agg(F.min("g").alias("x"), F.max("g").alias("y")).filter("x < y").select("token")
-    matrix, query = matrix.join(several, "token", "left_semi"), by_group.join(several, "token", "left_semi")
-    proposed = query.select("token", F.col("node").alias("q"), "n", F.col("g").alias("own")).join(matrix, "token")
-    proposed = proposed.filter("own > g").filter(F.col("most") * den >= F.col("n") * num).filter(F.col("n") * den >= F.col("least") * num)
-    proposed = materialize(proposed.select("q", "n", "g").distinct(), "near-proposed")
-
-    # Open the groups whose union holds enough of the query.
-    opened = members.join(proposed.select("g").distinct(), "g", "left_semi")
-    wanted = proposed.select(F.col("q").alias("node")).unionByName(opened.select("node")).distinct()
-    tokens = materialize(_tokens_of(live, wanted, k), "near-tokens")
-    bound = _matrix_overlap(proposed, members.select("node", "g"), tokens)
-    good = proposed.join(bound, ["q", "g"]).filter(F.col("overlap") * den >= F.col("n") * num)
-    cross = good.select("q", "n", "g").join(members.select("g", F.col("node").alias("b"), F.col("n").alias("nb")), "g").filter(F.col("nb") * den >= F.col("n") * num).filter(F.col("n") * den >= F.col("nb") * num)
-    found = _verified(cross.select(F.col("q").alias("a"), "b"), tokens, num, den).select("a", "b")
-    all_links = near.unionByName(found)
+    near = materialize(_verified(stars, _tokens_of(live, wanted, k), num, den), "near-verified")
+    early = connected_components(near)
+
+    # Families: sets that share parts.
+    shared = _parts(live, k, num, den).groupBy("part").agg(F.min("node").alias("x"), F.max("node").alias("y")).filter("x < y").select("part")
+    bits = spark.sparkContext.broadcast(bit_set(shared, "part"))
+    held = materialize(_parts(live, k, num, den, bits), "near-parts")
+    least = held.groupBy("part").agg(F.min("node").alias("x"), F.max("node").alias("y")).filter("x < y")
+    family = connected_components(held.join(least, "part").filter("node <> x").select(F.col("node").alias("a"), F.col("x").alias("b")).distinct())
+
+    # Groups: members in the order of early component and size, cut by weight.
+    members = family.withColumnRenamed("component", "family").join(sets.select("node", "n"), "node").join(early, "node", "left").select("node", "n", "family", F.coalesce("component", "node").alias("part_of"))
+    running = F.sum(F.greatest("n", F.lit(LEAST_WEIGHT))).over(Window.partitionBy("family").orderBy("part_of", "n", "node").rowsBetween(Window.unboundedPreceding, -1))
+    members = materialize(members.withColumn("grp", F.floor(F.coalesce(running, F.lit(0)) / GROUP_SHINGLES)), "near-members")
+    groups = members.groupBy("family", "grp").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("part_of").alias("x"), F.max("part_of").alias("y"))
+    left, right = (groups.select("family", *[F.col(c).alias(c + s) for c in ("grp", "low", "high", "x", "y")]) for s in ("1", "2"))
+    pairs = left.join(right, "family").filter("grp1 <= grp2").filter(F.col("high1") * den >= F.col("low2") * num).filter(F.col("high2") * den >= F.col("low1") * num)
+    pairs = materialize(pairs.filter("not (x1 = y1 and x2 = y2 and x1 = x2)").select("family", "grp1", "grp2"), "near-pairs")
+
+    # Open the groups that qualify.
+    with_sets = members.join(_tokens_of(live, members.select("node"), k), "node").select("family", "grp", "node", "tokens")
+    with_sets = materialize(with_sets, "near-tokens")
+    one = pairs.join(with_sets.withColumnRenamed("grp", "grp1"), ["family", "grp1"]).select("family", "grp1", "grp2", F.when(F.col("grp1") == F.col("grp2"), 2).otherwise(0).alias("side"), "node", "tokens")
+    two = pairs.filter("grp1 < grp2").join(with_sets.withColumnRenamed("grp", "grp2"), ["family", "grp2"]).select("family", "grp1", "grp2", F.lit(1).alias("side"), "node", "tokens")
+    found = one.unionByName(two).groupBy("family", "grp1", "grp2").applyInArrow(_open_groups(num, den), "a long, b long")
     documents = rows.select("id", "n", F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("node")).alias("node"))
-    return documents, materialize(all_links, "near-links")
+    return documents, materialize(near.unionByName(found), "near-links")
 
 
 def near_duplicate_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -40,7 +40,7 @@ from . import _text as T
 from ._bits import bit_set, in_bits
 
 HASHES = 4
-GROUP_SHINGLES, LEAST_WEIGHT = 300_000, 600  # a group's shingles, and what a small set counts for at least
+GROUP_SHINGLES, LEAST_WEIGHT = 1_200_000, 600  # a group's shingles, and what a small set counts for at least
 _SEEDS = np.random.Generator(np.random.PCG64(11)).integers(0, 2**63, HASHES, dtype=np.uint64)
 _SEED2 = np.uint64(0x5851F42D4C957F2D)
 

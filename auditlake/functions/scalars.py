@@ -70,7 +70,7 @@ def format_cost(usd: Column | str) -> Column:
 def looks_like_error(text: Column | str) -> Column:
     """A tool result that failed: one of three openings within the first 60 characters, or a missing file."""
     head = F.substring(F.ltrim(col(text)), 1, 60)
-    openings = ("Error:", "Cannot read", "Permission denied")
+    openings = ("Error:", "error:", "Tool error:")
     return F.coalesce(F.contains(F.lower(col(text)), F.lit("file not found")), F.lit(False)) | F.coalesce(_any(F.startswith(head, F.lit(o)) for o in openings), F.lit(False))
 
 
@@ -83,17 +83,15 @@ def _any(tests) -> Column:
 
 def max_line(text: Column | str) -> Column:
     """The highest line number at the start of a numbered line; else the total in ``of N)``; else null."""
-    numbers = F.transform(F.regexp_extract_all(col(text), F.lit(r"(?m)^\s*(\d{1,9})\s*[|:\t]"), 1), lambda x: x.cast("int"))
-    total = F.regexp_extract(col(text), r"of (\d{1,9})\)", 1)
+    numbers = F.transform(F.regexp_extract_all(col(text), F.lit(r"(?m)^\s*(\d{1,9})\s{2,}"), 1), lambda x: x.cast("int"))
+    total = F.regexp_extract(col(text), r"of\s+(\d{1,9})\s*\)", 1)
     return F.coalesce(F.array_max(numbers), F.when(total != "", total.cast("int")))
 
 
 def strip_markup(text: Column | str) -> Column:
-    """Takes fabricated tool-call markup out of a text."""
-    out = col(text)
-    for pattern in (r"(?is)<tool_call>.*?</tool_call>", r"(?is)<function_calls?>.*?</function_calls?>", r"(?is)<invoke\b.*?</invoke>", r"(?is)<\|tool.*?\|>", r"(?is)```tool_(?:call|code).*?```"):
-        out = F.regexp_replace(out, pattern, "")
-    return F.trim(out)
+    """Puts a note in the place of fabricated tool-call markup."""
+    markup = r"(?is)<tool_call>.*?</tool_call>|<tool_response>.*?</tool_response>|<function_calls>.*?</function_calls>|<function_results>.*?</function_results>|```(?:tool_call|tool_response|function_calls)\s.*?```"
+    return F.trim(F.regexp_replace(col(text), markup, "[removed: fabricated tool-call markup]"))
 
 
 def path_variants(path: Column | str) -> Column:
@@ -158,35 +156,46 @@ def lenient_json(text: Column | str) -> Column:
 
 
 def has_code_snippet(text: Column | str) -> Column:
-    """A fenced block; or three filled lines of which half look like code, with two structural characters or more."""
+    """A filled fence; or three filled lines, two of them code-like, and half of them code-like or indented."""
     text = F.coalesce(col(text), F.lit(""))
-    lines = F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")
-    code = F.filter(lines, lambda x: F.regexp_like(x, F.lit(r"^(?: {2,}|\t)|[;{}]\s*$|^\s*(?:def|class|function|import|from|return|if|for|while|var|let|const)\b|:=|=>")))
-    structural = F.regexp_count(text, F.lit(r"[{}();=]|=>|:="))
-    return F.regexp_like(text, F.lit(r"(?s)```.*?\S.*?```")) | ((F.size(lines) >= 3) & (structural >= 2) & (F.size(code) * 2 >= F.size(lines)))
+    lines = F.filter(F.split(text, r"\r?\n"), lambda x: F.trim(x) != "")
+    mark = r";\s*$|[{}]\s*$|=>|\bdef\s|\bfunction\s|\bclass\s|\breturn\s|#include|\bimport\s|\bpublic\s|\bprivate\s|\bstatic\s|\bconst\s|\blet\s|\bvar\s|\bif\s*\(|\bfor\s*\(|\bwhile\s*\("
+    code = F.size(F.filter(lines, lambda x: F.regexp_like(x, F.lit(mark))))
+    indented = F.size(F.filter(lines, lambda x: F.regexp_like(x, F.lit(r"^[ \t]"))))
+    return F.regexp_like(text, F.lit(r"(?s)```[A-Za-z0-9_+-]*\n\s*[^\s`].*?```")) | ((F.size(lines) >= 3) & (code >= 2) & ((code + indented) * 2 >= F.size(lines)))
 
 
+#: Words that mark a settings request by themselves, nouns that do so with a verb, and those verbs.
+CONFIG_WORDS = "api key|apikey|api-key|密钥|钥匙|endpoint|api url|base url|接口|端点|budget|预算|额度|cost|成本|花费|费用|花了多少|多少钱"
+CONFIG_NOUNS = r"url|model|模型|\bmode\b|模式|profile|配置文件|config|settings|配置|设置"
+CONFIG_VERBS = "set|change|switch|update|use|configure|make it|show|open|改|换|设置|设成|调|切换|更新|配置成|用|显示|查看|打开"
 #: Request labels in order, the first match wins.
 REQUEST_LABELS = [
-    ("settings", r"(?i)\b(?:set|use|switch|change)\b.*\b(?:model|language|theme|profile|provider|key)\b|设置|切换"),
-    ("undo", r"(?i)\b(?:undo|revert|roll ?back)\b|撤销|回滚"),
-    ("fix", r"(?i)\b(?:fix|repair|patch)\b|修复"),
-    ("dedup", r"(?i)\b(?:dedup|duplicate|clone)|重复"),
-    ("audit", r"(?i)\b(?:audit|scan|security)\b|审计|扫描"),
-    ("review", r"(?i)\b(?:review|diff|pull request|pr)\b|审查|评审"),
-    ("explain", r"(?i)\b(?:explain|what|how|why)\b|解释"),
+    ("dedup", "dedup|redundan|duplicate|duplication|dead code|重复|冗余|去重|死代码"),
+    ("audit", "audit|scan|vulnerab|security|exploit|cve|审计|扫描|漏洞|安全|全仓"),
+    ("review", "review|diff|commit|pull request|this change|check this file|look at this file|审查|检查这个|看看这个|看一下|读取这个"),
 ]
 
 
 def request_label(text: Column | str) -> Column:
-    out = F.lit("chat")
+    """config, dedup, audit or review by their words; review where only a path stands; else capability."""
+    low = F.lower(col(text))
+    has = lambda p: F.regexp_like(low, F.lit(p))
+    out = F.when(request_path(text).isNotNull(), "review").otherwise("capability")
     for label, pattern in reversed(REQUEST_LABELS):
-        out = F.when(F.regexp_like(col(text), F.lit(pattern)), label).otherwise(out)
-    return out
+        out = F.when(has(pattern), label).otherwise(out)
+    return F.when(has(CONFIG_WORDS) | (has(CONFIG_NOUNS) & has(CONFIG_VERBS)), "config").otherwise(out)
+
+
+#: Shapes of paths (quoted file, Windows, network, absolute file, relative).
+REQUEST_PATH = r'''(?i)("[^"]+\.[a-z0-9]{1,8}"|'[^']+\.[a-z0-9]{1,8}'|[A-Z]:\\[^\s"',]+|\\\\[^\s"',]+|/(?:[^/\s"',]+/)*[^/\s"',]+\.[a-z0-9]{1,8}|\.{1,2}/[^\s"',]+)'''
+
+
+def request_path(text: Column | str) -> Column:
+    found = F.regexp_replace(F.regexp_extract(col(text), REQUEST_PATH, 1), r"""^["']|["']$""", "")
+    return F.nullif(found, F.lit(""))
 
 
-def request_target(text: Column | str) -> Column:
-    """The first thing that looks like a path, else a git reference, else null."""
-    path = F.regexp_extract(col(text), r"((?:\.{0,2}/)?[\w.-]+(?:/[\w.-]+)+|[\w-]+\.(?:py|js|ts|go|rs|java|c|cpp|st|sql|sh))", 1)
-    ref = F.regexp_extract(col(text), r"\b(HEAD(?:~\d+)?|[0-9a-f]{7,40}|origin/[\w.-]+)\b", 1)
-    return F.coalesce(F.nullif(path, F.lit("")), F.nullif(ref, F.lit("")))
+def request_ref(text: Column | str) -> Column:
+    """The first git reference, or null."""
+    return F.nullif(F.regexp_extract(col(text), r"\b(HEAD(?:~\d+|\^+)?|[a-f0-9]{7,40})\b", 1), F.lit(""))

@@ -9,7 +9,11 @@ CATEGORIES = ["security", "potential_bug", "performance", "readability", "redund
 EVIDENCE = "array<struct<kind:string,summary:string,detail:string,source:string>>"
 SCHEMA = f"file_path string, line_start int, line_end int, severity string, category string, title string, hypothesis string, evidence {EVIDENCE}, counter_considered string, confidence double, verified boolean, suggestion string, detected_by string"
 #: Category order by review mode.
-PRIORITIES = {"audit": ["security", "potential_bug", "architecture", "performance", "redundancy", "readability", "convention", "code_style"], "review": ["potential_bug", "security", "readability", "performance", "architecture", "redundancy", "convention", "code_style"], "dedup": ["redundancy", "architecture", "readability", "potential_bug", "performance", "security", "convention", "code_style"]}
+PRIORITIES = {
+    "review": ["security", "potential_bug", "architecture", "convention", "code_style", "performance", "redundancy", "readability"],
+    "audit": ["security", "potential_bug", "performance", "architecture", "redundancy", "code_style", "convention", "readability"],
+    "dedup": ["redundancy", "potential_bug", "architecture", "performance", "readability", "convention", "security", "code_style"],
+}
 
 
 def sev_rank(severity: Column | str = "severity") -> Column:

@@ -44,8 +44,9 @@ def ground(findings: DataFrame, facts: DataFrame, drop: bool = True, apply_to_st
 
 
 def downgrade(findings: DataFrame, where) -> DataFrame:
-    """Lower findings: severity to warning at most, confidence to 0.4 at most, not verified, first evidence marked."""
-    marked = F.transform("evidence", lambda e, i: F.when(i == 0, e.withField("summary", F.substring(F.concat(F.lit("[ungrounded] "), e["summary"]), 1, 300))).otherwise(e))
+    """Lower findings: severity to warning at most, confidence to 0.4 at most, not verified, a note put before their evidence."""
+    note = F.struct(F.lit("reasoning").alias("kind"), F.concat(F.lit("[ungrounded] "), F.coalesce("reason", F.lit(""))).alias("summary"), F.lit(None).cast("string").alias("detail"), F.lit(None).cast("string").alias("source"))
+    marked = F.when(F.size("evidence") > 0, F.array_prepend("evidence", note)).otherwise(F.col("evidence"))
     return findings.withColumns({
         "severity": F.when(where & F.col("severity").isin("critical", "error"), "warning").otherwise(F.col("severity")),
         "confidence": F.when(where, F.least("confidence", F.lit(0.4))).otherwise(F.col("confidence")),

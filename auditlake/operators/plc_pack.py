@@ -23,8 +23,8 @@ LINE_RULES = [
     ("PLC-022", "EXIT statement in loop", "info", r"(?i)\bEXIT\b", "EXIT makes loops hard to predict.", "Restructure the loop condition."),
 ]
 NUMERIC, SENSORS = ["REAL", "LREAL", "INT", "DINT", "SINT", "UINT", "UDINT"], ["REAL", "LREAL", "INT", "DINT"]
-#: Categories of the rules that are not potential bugs.
-CATEGORY = {"security": "PLC-007 PLC-009 PLC-018 PLC-019", "convention": "PLC-001 PLC-013 PLC-016", "readability": "PLC-003 PLC-015 PLC-020 PLC-021 PLC-022 PLC-023 PLC-025", "redundancy": "PLC-024"}
+#: Categories of rules; all others are convention.
+CATEGORY = {"security": "PLC-002 PLC-007 PLC-009 PLC-017 PLC-018 PLC-019 HW-001 HW-002 HW-005 HW-006 HW-007 HW-008 HW-009", "potential_bug": "PLC-006 PLC-008 PLC-012 CFG-001 CFG-002 CFG-003", "redundancy": "CFG-004", "readability": "CFG-005"}
 
 
 def _violation(df: DataFrame, rule: str, name: str, severity: str, text: Column | str, line: Column | None = None) -> DataFrame:
@@ -89,10 +89,10 @@ def scan_plc(files: DataFrame) -> DataFrame:
 
 def violations_to_findings(violations: DataFrame, confidence: float = 0.9) -> DataFrame:
     """Violations in the findings' normal form."""
-    category = F.lit("potential_bug")
+    category = F.lit("convention")
     for c, ids in CATEGORY.items():
         category = F.when(F.col("rule_id").isin(ids.split()), c).otherwise(category)
-    return violations.select(F.col("path").alias("file_path"), F.coalesce("line_no", F.lit(1)).alias("line_start"), F.lit(None).cast("int").alias("line_end"), "severity", category.alias("category"), F.concat(F.lit("["), "rule_id", F.lit("] "), "name").alias("title"), F.col("description").alias("hypothesis"), F.array(evidence("static_rule", F.concat("rule_id", F.lit(": "), "description"), None, F.concat(F.lit("plc:"), "rule_id"))).alias("evidence"), F.lit(None).cast("string").alias("counter_considered"), F.lit(confidence).alias("confidence"), F.lit(True).alias("verified"), F.lit(None).cast("string").alias("suggestion"), F.lit("static").alias("detected_by"))
+    return violations.select(F.col("path").alias("file_path"), F.coalesce("line_no", F.lit(1)).alias("line_start"), F.lit(None).cast("int").alias("line_end"), "severity", category.alias("category"), F.substring("name", 1, 80).alias("title"), F.col("description").alias("hypothesis"), F.array(evidence("static_rule", F.concat("rule_id", F.lit(": "), "description"), None, F.concat(F.lit("plc:"), "rule_id"))).alias("evidence"), F.lit(None).cast("string").alias("counter_considered"), F.lit(confidence).alias("confidence"), F.lit(True).alias("verified"), F.lit(None).cast("string").alias("suggestion"), F.lit("static").alias("detected_by"))
 
 
 # Flow graphs: statements(path, stmt_id, block_id, line_no, text, defines, uses), cfg_edges(path, src, dst, edge_type).
@@ -169,14 +169,24 @@ def endless_loops(statements: DataFrame, edges: DataFrame) -> DataFrame:
 # programs array<string>).
 
 #: Firmware prefixes known to be vulnerable, by model.
-VULNERABLE = [("S7-1200", "V4.0"), ("S7-1200", "V4.1"), ("S7-1500", "V1."), ("S7-1500", "V2.0"), ("S7-300", "V2."), ("S7-400", "V5.")]
+VULNERABLE = {"S7-1200": "4.0 4.1 4.2 4.4", "S7-1500": "2.0 2.5 2.6 2.8 2.8.3"}
+#: Article numbers by the model that they stand for.
+ARTICLES = {
+    "S7-1200": "211-1AE40 212-1AE40 214-1AG40 215-1AG40 217-1AG40",
+    "S7-1500": "511-1CK02 512-1DK02 513-1AL02 515-2AM02 516-3AN02 517-3AP00 518-4AP00",
+    "S7-1500F": "510-1SJ02 511-1FK02 513-1FL02 515-2FM02 516-3FN02 517-3FP00 518-4FP00",
+}
 
 
 def audit_hardware(config: DataFrame) -> DataFrame:
     """``path, rule_id, severity, description`` of every hardware rule that a configuration breaks."""
-    weak = F.lit(False)
-    for model, prefix in VULNERABLE:
-        weak = weak | (F.contains("cpu.model", F.lit(model)) & F.startswith("cpu.firmware", F.lit(prefix)))
+    weak = misfit = F.lit(False)
+    version = F.regexp_replace("cpu.firmware", "^[Vv]", "")
+    for model, prefixes in VULNERABLE.items():
+        weak = weak | (F.contains("cpu.model", F.lit(model)) & reduce(Column.__or__, [F.startswith(version, F.lit(p)) for p in prefixes.split()]))
+    article = F.upper(F.replace("cpu.article", F.lit(" "), F.lit("")))
+    for model, numbers in ARTICLES.items():
+        misfit = misfit | (reduce(Column.__or__, [F.contains(article, F.lit("6ES7" + n)) for n in numbers.split()]) & ~F.contains(F.upper("cpu.model"), F.lit(model)))
     unsafe = lambda x: F.coalesce(x["is_safety"], F.lit(False)) & ~F.coalesce(x["redundant"], F.lit(False))
     open_net = lambda x: (F.upper(x["type"]) == "PROFINET") & ~F.coalesce(x["port_security"], F.lit(False))
     safety = F.coalesce(F.col("cpu.is_safety"), F.lit(False))
@@ -187,7 +197,7 @@ def audit_hardware(config: DataFrame) -> DataFrame:
         ("HW-005", "error", none, "no programs"), ("HW-006", "warning", F.exists(F.coalesce("networks", F.array().cast("array<struct<name:string,type:string,port_security:boolean>>")), open_net), "PROFINET without port security"),
         ("HW-007", "critical", safety & F.col("cpu.safety_password").isNull(), "safety without password"), ("HW-008", "warning", F.col("cpu.web_port").isin(80, 8080), "web server on an open port"),
         ("HW-009", "warning", F.contains("cpu.model", F.lit("S7")) & ~F.coalesce(F.col("cpu.encrypted"), F.lit(False)), "unencrypted communication"), ("HW-011", "info", F.col("cpu.memory_kb") < 100, "under 100 KB of memory"),
-        ("HW-012", "info", F.col("cpu.article").isNotNull() & F.col("cpu.model").isNotNull() & ~F.contains(F.replace("cpu.model", F.lit("-"), F.lit("")), F.substring(F.replace("cpu.article", F.lit(" "), F.lit("")), 1, 2)), "article number and model do not fit"),
+        ("HW-012", "info", misfit, "article number and model do not fit"),
     ]
     hits = F.array(*[F.when(F.coalesce(test, F.lit(False)), F.struct(F.lit(i).alias("rule_id"), F.lit(s).alias("severity"), F.lit(d).alias("description"))) for i, s, test, d in rules])
     return config.select("path", F.explode(F.array_compact(hits)).alias("v")).select("path", "v.*")

@@ -336,7 +336,7 @@ def lenient_json(spark, sf_dir):
     return e.select("event_id", F.get_json_object("j", "$.k").cast("int").alias("k"))
 
 
-_LABEL = "CASE " + " ".join(f"WHEN regexp_matches(text, '{p}') THEN '{k}'" for k, p in S.REQUEST_LABELS) + " ELSE 'chat' END"
+_LABEL = f"CASE WHEN regexp_matches(lower(text), '{S.CONFIG_WORDS}') OR (regexp_matches(lower(text), '{S.CONFIG_NOUNS}') AND regexp_matches(lower(text), '{S.CONFIG_VERBS}')) THEN 'config' " + " ".join(f"WHEN regexp_matches(lower(text), '{p}') THEN '{k}'" for k, p in S.REQUEST_LABELS) + " WHEN regexp_matches(text, '" + S.REQUEST_PATH.replace("'", "''") + "') THEN 'review' ELSE 'capability' END"
 
 
 @query(f"SELECT {_LABEL} AS label, count(*) AS n FROM conversations GROUP BY 1")

@@ -111,7 +111,7 @@ def test_history(spark):
 
 def test_grounding(spark):
     calls = spark.createDataFrame([("s", "1", "read_file", {"path": "src/server.js"}), ("s", "2", "read_file", {"path": "src/gone.js"})], "session string, id string, name string, args map<string,string>")
-    results = spark.createDataFrame([("s", "1", "  1 | a\n  2 | b\n"), ("s", "2", "Error: no")], "session string, id string, content string")
+    results = spark.createDataFrame([("s", "1", "  1  a\n  2  b\n"), ("s", "2", "Error: no")], "session string, id string, content string")
     f = spark.createDataFrame([(p, n) for p, n in (("./src/server.js", 2), ("/x/src/server.js", 9), ("src/auth.js", 1), ("src/gone.js", 1))], "file_path string, line_start int").select(F.lit("s").alias("session"), "*", F.lit("critical").alias("severity"), F.lit(0.9).alias("confidence"), F.lit(True).alias("verified"), F.array(fnd.evidence("x", F.lit("e"))).alias("evidence"), F.lit("agent").alias("detected_by"))
     got = {r.file_path: r for r in grounding.ground(f, grounding.tool_facts(calls, results)).collect()}
     assert [got[p].verdict for p in ("./src/server.js", "/x/src/server.js", "src/auth.js", "src/gone.js")] == ["keep", "downgrade", "drop", "drop"]

@@ -41,7 +41,8 @@ def _open(path: str, write: bool):
     system, at = fs.FileSystem.from_uri(path)
     if write:
         system.create_dir(at.rpartition("/")[0], recursive=True)
-    return system.open_output_stream(at) if write else system.open_input_stream(at)
+    # The name ends in .zst, which pyarrow would otherwise take as a wish to compress once more.
+    return system.open_output_stream(at, compression=None) if write else system.open_input_stream(at, compression=None)
 
 
 def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = LEAST_BYTES) -> DataFrame:

@@ -131,46 +131,85 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     return with_both.mapInArrow(run, "a long, b long")
 
 
-def _parts(texts: DataFrame, k: int, num: int, den: int, bits=None) -> DataFrame:
-    """``part, node``: a fingerprint of each part of each set, with ``bits`` only those in the bit set.
+def _parts(tokens: np.ndarray, offsets: np.ndarray, node: np.ndarray, least: np.ndarray, parts: np.ndarray, spare: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprints of the parts that can join sets to families, and the node of each.
 
-    Empty parts are alike in all sets and left out: linked sets agree in ``spare`` parts at least, so some part that
-    is not empty is among them, unless both have as many empty ones; such sets (hardly any) share one more part.
+    Linked sets agree in ``spare`` parts at least. Empty parts are alike in all sets and parts of one shingle alike in
+    many, so they count only in sets that have ``spare`` such parts or more: in all others, some part of several
+    shingles is among those that agree. Sets with as many empty parts (hardly any) share one more part.
     """
-    least, parts, spare = size_classes(num, den)
+    size = np.diff(offsets)
+    rows = np.flatnonzero(size)
+    held = np.repeat(rows, size[rows])
+    mixed = T.mix(tokens * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
+    low, high = (mixed & np.uint64(0xFFFFFFFF)).astype(np.float64), (mixed >> np.uint64(32)).astype(np.float64)
+    own = np.searchsorted(least, size, "right") - 1
+    keys, nodes = [], []
+    for cls in (own, own - 1):
+        live = (size > 0) & (cls >= 0)
+        m = np.where(live, parts[np.maximum(cls, 0)], 0)
+        base = np.cumsum(m) - m
+        use = live[held]
+        cell = base[held[use]] + (tokens[use] % m[held[use]].astype(np.uint64)).astype(np.int64)
+        total = int(m.sum())
+        a, b = (np.bincount(cell, w[use], total).astype(np.uint64) for w in (low, high))
+        count = np.bincount(cell, minlength=total)
+        row, place = T.ragged(m)
+        label = (cls[row].astype(np.uint64) << np.uint64(40)) + place.astype(np.uint64)
+        key = T.mix(T.mix((a + (b << np.uint64(32))) ^ T.mix(label + np.uint64(7))) + count.astype(np.uint64))
+        enough = spare[np.maximum(cls, 0)]
+        thin = np.bincount(row[count < 2], minlength=len(m)) >= enough
+        odd = np.flatnonzero(live & (np.bincount(row[count == 0], minlength=len(m)) >= enough))
+        keep = (count > 1) | ((count == 1) & thin[row])
+        keys += [key[keep], T.mix(cls[odd].astype(np.uint64) ^ np.uint64(0xABCDEF123))]
+        nodes += [node[row[keep]], node[odd]]
+    return np.concatenate(keys), np.concatenate(nodes)
+
+
+def _family_links(texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """``a, b``: sets that share a part, each with one other of that part, so that components are families.
+
+    Each batch joins its own sets first and sends a part once, so a part that very many sets share reaches its task
+    as one row a batch.
+    """
+    classes = size_classes(num, den)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(part: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(T.signed(x)) for x in (part, a, b)], names=["part", "a", "b"])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in T.slices(batches):
-            tokens, offsets, node = _sets(batch, k)
-            size = np.diff(offsets)
-            rows = np.flatnonzero(size)
-            held = np.repeat(rows, size[rows])
-            mixed = T.mix(tokens * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
-            low, high = (mixed & np.uint64(0xFFFFFFFF)).astype(np.float64), (mixed >> np.uint64(32)).astype(np.float64)
-            own = np.searchsorted(least, size, "right") - 1
-            for cls in (own, own - 1):
-                live = (size > 0) & (cls >= 0)
-                m = np.where(live, parts[np.maximum(cls, 0)], 0)
-                base = np.cumsum(m) - m
-                use = live[held]
-                cell = base[held[use]] + (tokens[use] % m[held[use]].astype(np.uint64)).astype(np.int64)
-                total = int(m.sum())
-                a, b = (np.bincount(cell, w[use], total).astype(np.uint64) for w in (low, high))
-                count = np.bincount(cell, minlength=total)
-                row, place = T.ragged(m)
-                label = (cls[row].astype(np.uint64) << np.uint64(40)) + place.astype(np.uint64)
-                key = T.mix(T.mix((a + (b << np.uint64(32))) ^ T.mix(label + np.uint64(7))) + count.astype(np.uint64))
-                keep = count > 0
-                empty = np.bincount(row[~keep], minlength=len(m))
-                odd = np.flatnonzero(live & (empty >= spare[np.maximum(cls, 0)]))
-                key = np.concatenate([key[keep], T.mix(cls[odd].astype(np.uint64) ^ np.uint64(0xABCDEF123))])
-                row = np.concatenate([row[keep], odd])
-                if bits is not None:
-                    keep = in_bits(T.signed(key), bits.value)
-                    key, row = key[keep], row[keep]
-                yield pa.RecordBatch.from_arrays([pa.array(T.signed(key)), pa.array(T.signed(node)[row])], names=["part", "node"])
-
-    return texts.mapInArrow(run, "part long, node long")
+            part, node = _parts(*_sets(batch, k), *classes)
+            order = np.argsort(part, kind="stable")
+            part, node = part[order], node[order]
+            fresh = np.ones(len(part), bool)
+            fresh[1:] = part[1:] != part[:-1]
+            head = node[np.flatnonzero(fresh)[np.cumsum(fresh) - 1]]
+            yield rows(part[fresh], node[fresh], node[fresh])
+            own = np.unique(np.stack([node, head], 1)[node != head], axis=0)
+            yield rows(T.mix(own[:, 0] ^ T.mix(own[:, 1])), own[:, 0], own[:, 1])
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, first = None, 0  # the part at hand and its first set
+        for batch in batches:
+            part, a, b = (c.to_numpy() for c in batch.columns)
+            linked = a != b
+            la, lb = a[linked], b[linked]
+            part, a = part[~linked], a[~linked]
+            if len(part):
+                fresh = np.ones(len(part), bool)
+                fresh[1:] = part[1:] != part[:-1]
+                fresh[0] = last is None or part[0] != last
+                at = np.cumsum(fresh) - 1
+                heads = np.append(a[fresh], first)  # index -1: the part that the batch before began
+                head = heads[at]
+                last, first = part[-1], head[-1]
+                la, lb = np.concatenate([la, a[a != head]]), np.concatenate([lb, head[a != head]])
+            pairs = np.unique(np.stack([la, lb], 1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    dealt = texts.mapInArrow(deal, "part long, a long, b long").repartition("part").sortWithinPartitions("part")
+    return dealt.mapInArrow(join, "a long, b long")
 
 
 def _overlaps(left: list[np.ndarray], right: list[np.ndarray], vocabulary: np.ndarray) -> np.ndarray:
@@ -241,7 +280,6 @@ def _open_groups(num: int, den: int):
 def links(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(documents, links): ``id, n, node`` for every row, and links ``a, b`` between distinct sets (nodes)."""
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    spark = docs.sparkSession
     rows = materialize(_base(texts, k, texts.schema["id"].dataType.simpleString()), "near-base")
     live = texts.filter("id is not null")
     sets = rows.filter("n > 0 and id is not null").groupBy("node").agg(F.first("n").alias("n"), F.count("*").alias("copies"), F.first("minima").alias("minima"))
@@ -258,11 +296,7 @@ def links(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, id_col: str =
     early = connected_components(near)
 
     # Families: sets that share parts.
-    shared = _parts(live, k, num, den).groupBy("part").agg(F.min("node").alias("x"), F.max("node").alias("y")).filter("x < y").select("part")
-    bits = spark.sparkContext.broadcast(bit_set(shared, "part"))
-    held = materialize(_parts(live, k, num, den, bits), "near-parts")
-    least = held.groupBy("part").agg(F.min("node").alias("x"), F.max("node").alias("y")).filter("x < y")
-    family = connected_components(held.join(least, "part").filter("node <> x").select(F.col("node").alias("a"), F.col("x").alias("b")).distinct())
+    family = connected_components(_family_links(live, k, num, den))
 
     # Groups: members in the order of early component and size, cut by weight.
     members = family.withColumnRenamed("component", "family").join(sets.select("node", "n"), "node").join(early, "node", "left").select("node", "n", "family", F.coalesce("component", "node").alias("part_of"))

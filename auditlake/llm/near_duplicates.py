@@ -277,6 +277,23 @@ def _open_groups(num: int, den: int):
     return run
 
 
+def _grouped(members: DataFrame) -> DataFrame:
+    """Adds ``grp``: each family cut by running weight, in the order of early component and size.
+
+    The order is dealt by ranges, so a family of any size runs over many tasks; a window over a whole family sees
+    one row per range.
+    """
+    order = ["part_of", "n", "node"]
+    ranged = members.withColumn("weight", F.greatest("n", F.lit(LEAST_WEIGHT))).repartitionByRange("family", *order)
+    ranged = materialize(ranged.withColumn("range", F.spark_partition_id()), "near-ranges")
+    before = Window.rowsBetween(Window.unboundedPreceding, -1)
+    sums = ranged.groupBy("family", "range").agg(F.sum("weight").alias("sum"))
+    sums = sums.select("family", "range", F.coalesce(F.sum("sum").over(before.partitionBy("family").orderBy("range")), F.lit(0)).alias("start"))
+    running = F.coalesce(F.sum("weight").over(before.partitionBy("family", "range").orderBy(*order)), F.lit(0))
+    cut = ranged.withColumn("running", running).join(sums, ["family", "range"])
+    return materialize(cut.withColumn("grp", F.floor((F.col("start") + F.col("running")) / GROUP_SHINGLES)).drop("weight", "range", "running", "start"), "near-members")
+
+
 def links(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(documents, links): ``id, n, node`` for every row, and links ``a, b`` between distinct sets (nodes)."""
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -300,8 +317,7 @@ def links(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, id_col: str =
 
     # Groups: members in the order of early component and size, cut by weight.
     members = family.withColumnRenamed("component", "family").join(sets.select("node", "n"), "node").join(early, "node", "left").select("node", "n", "family", F.coalesce("component", "node").alias("part_of"))
-    running = F.sum(F.greatest("n", F.lit(LEAST_WEIGHT))).over(Window.partitionBy("family").orderBy("part_of", "n", "node").rowsBetween(Window.unboundedPreceding, -1))
-    members = materialize(members.withColumn("grp", F.floor(F.coalesce(running, F.lit(0)) / GROUP_SHINGLES)), "near-members")
+    members = _grouped(members)
     groups = members.groupBy("family", "grp").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("part_of").alias("x"), F.max("part_of").alias("y"))
     left, right = (groups.select("family", *[F.col(c).alias(c + s) for c in ("grp", "low", "high", "x", "y")]) for s in ("1", "2"))
     pairs = left.join(right, "family").filter("grp1 <= grp2").filter(F.col("high1") * den >= F.col("low2") * num).filter(F.col("high2") * den >= F.col("low1") * num)

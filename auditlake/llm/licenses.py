@@ -1,8 +1,10 @@
 """License scans with DataFrame functions only: exact phrases, and an exact set-similarity join with templates.
 
 Base: places where a phrase's words stand consecutively among the text's words. The method's own labels come from
-text blocks (lines): a template is found where a block's distinct words hold at least ``num / den`` of the
-template's. The join orders words by how many blocks of the whole corpus hold them, rare ones first, and indexes
+text blocks: a template is found where a block's distinct words hold at least ``num / den`` of the template's. A
+block is a line, or as many successive words over line ends as the template has, so that a notice wrapped at any
+width is found and words of unrelated lines are not put together. With ``wrapped=False`` a block is a line alone, as
+the SQL has it. The join orders words by how many blocks of the whole corpus hold them, rare ones first, and indexes
 for each template only the prefix of ``t - need + 1`` words (one of which every match must hold). A candidate has
 to pass the length filter (as many template words at all) and the positional filter (enough words left in both
 orders from the first common one on) before its overlap is counted. Templates are a small fixed or given list; the
@@ -19,6 +21,8 @@ import string
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..operators.clones import let
+
 #: Phrases and their labels.
 PHRASES = [("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc")]
 #: Templates of license lines and their labels.
@@ -63,44 +67,62 @@ def _rows(spark, rows: list[tuple], columns: list[str]) -> DataFrame:
     return spark.sql("SELECT * FROM VALUES " + ", ".join("(" + ", ".join(text(v) for v in r) + ")" for r in rows) + f" AS t({', '.join(columns)})")
 
 
-def template_hits(texts: DataFrame, templates: list[tuple[str, str]] | None = None, num: int = NUM, den: int = DEN) -> DataFrame:
-    """``id, h, label, share`` of every block of ``texts(id, h, words_by_line)`` that holds enough of a template."""
+def _blocks(lines: Column, reach: int) -> Column:
+    """``line, turn`` of each line that has words: all of them; and its last ``reach`` with the next ``reach`` after it."""
+    words = F.transform(F.filter(lines, lambda x: x != ""), lambda x: F.split(x, " "))
+    heads = lambda ws: F.transform(ws, lambda w: F.slice(w, 1, reach))
+    ends = lambda w: F.slice(w, F.greatest(F.size(w) - reach + 1, F.lit(1)), reach)
+    after = lambda hs, i: F.slice(F.flatten(F.slice(hs, i + 2, reach)), 1, reach)
+    return let(words, lambda ws: let(heads(ws), lambda hs: F.transform(ws, lambda w, i: F.struct(w.alias("line"), F.concat(ends(w), after(hs, i)).alias("turn")))))
+
+
+def template_hits(texts: DataFrame, templates: list[tuple[str, str]] | None = None, num: int = NUM, den: int = DEN, wrapped: bool = True) -> DataFrame:
+    """``id, h, label, share`` of every block of ``texts(id, h, lines)`` that holds enough of a template."""
     templates = templates if templates is not None else TEMPLATES
+    reach = max((len(t.split()) for t, _ in templates), default=1) - 1 if wrapped else 0
     sets = [(i, label, sorted(set(t.split()))) for i, (t, label) in enumerate(templates)]
     vocabulary = sorted({w for _, _, ws in sets for w in ws})
     if not all(w.isascii() and w.isalnum() and w == w.lower() for w in vocabulary):
         raise ValueError("templates must consist of lower-case ASCII words")
     least = min((-(-num * len(ws) // den) for _, _, ws in sets), default=1)
     known = F.array(*[F.lit(w) for w in vocabulary])
-    lines = texts.select("id", "h", F.explode("lines").alias("line"))
-    blocks = lines.select("id", "h", F.array_intersect(F.split("line", " "), known).alias("words")).filter(F.size("words") >= least)
+    # Blocks are cut only of texts that hold enough words of some template at all.
+    held = F.array(*[F.struct(F.lit(-(-num * len(ws) // den)).alias("need"), F.array(*[F.lit(w) for w in ws]).alias("ws")) for _, _, ws in sets])
+    can = lambda own: F.exists(held, lambda t: F.size(F.array_intersect(own, t["ws"])) >= t["need"])
+    own = lambda x: F.array_intersect(F.split(F.array_join(x, " "), " "), known)
+    cut = let(F.col("lines"), lambda x: F.when(let(own(x), can), _blocks(x, reach)))
+    blocks = texts.select("id", "h", F.inline(cut))
+    blocks = blocks.select("id", "h", F.array_intersect("line", known).alias("line"), "turn", F.array_intersect(F.concat("line", "turn"), known).alias("words")).filter(F.size("words") >= least)
     counts = dict(blocks.select(F.explode("words").alias("w")).groupBy("w").count().collect())  # at most the vocabulary
     order = {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (counts.get(w, 0), w)))}
     index = []
     for i, label, ws in sets:
         ws = sorted(ws, key=order.get)
         need = -(-num * len(ws) // den)
-        index += [(w, j, i, label, len(ws), need, ws) for j, w in enumerate(ws[: len(ws) - need + 1])]
-    prefix = _rows(texts.sparkSession, index, ["w", "j", "template", "label", "t", "need", "t_words"])
+        index += [(w, j, i, label, len(ws), need, ws, len(templates[i][0].split())) for j, w in enumerate(ws[: len(ws) - need + 1])]
+    prefix = _rows(texts.sparkSession, index, ["w", "j", "template", "label", "t", "need", "t_words", "span"])
     ranks = F.map_from_arrays(known, F.array(*[F.lit(order[w]) for w in vocabulary]))
     placed = blocks.filter(F.arrays_overlap("words", F.array(*[F.lit(w) for w in sorted({r[0] for r in index})])))
     placed = placed.withColumn("words", F.array_sort("words", lambda a, b: F.element_at(ranks, a) - F.element_at(ranks, b)))
-    tokens = placed.select("id", "h", "words", F.size("words").alias("b"), F.posexplode("words").alias("i", "w"))
+    tokens = placed.select("id", "h", "line", "turn", "words", F.size("words").alias("b"), F.posexplode("words").alias("i", "w"))
     pairs = tokens.join(F.broadcast(prefix), "w").filter("b >= need")  # length
     # From the first common word on, both sides have so many left; later common words repeat the pair.
     pairs = pairs.filter(F.col("i") == F.array_position("words", F.element_at(F.filter("words", lambda w: F.array_contains("t_words", w)), 1)) - 1)
     pairs = pairs.filter(F.least(F.col("b") - F.col("i"), F.col("t") - F.col("j")) >= F.col("need"))  # position
-    share = F.size(F.array_intersect("words", "t_words"))
-    return pairs.withColumn("same", share).filter("same >= need").select("id", "h", "label", (F.col("same") / F.col("t")).alias("share"))
+    most = lambda ws: F.size(F.array_intersect(ws, "t_words"))
+    starts = F.sequence(F.lit(1), F.greatest(F.size("turn") - F.col("span") + 1, F.lit(1)))
+    same = F.greatest(most("line"), F.array_max(F.transform(starts, lambda j: most(F.slice("turn", j, F.col("span"))))))
+    pairs = pairs.filter(most("words") >= F.col("need"))  # a line and what follows hold enough: the block itself decides
+    return pairs.withColumn("same", same).filter("same >= need").select("id", "h", "label", (F.col("same") / F.col("t")).alias("share"))
 
 
-def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases: list[tuple[str, str]] | None = None, templates: list[tuple[str, str]] | None = None, num: int = NUM, den: int = DEN) -> DataFrame:
+def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases: list[tuple[str, str]] | None = None, templates: list[tuple[str, str]] | None = None, num: int = NUM, den: int = DEN, wrapped: bool = True) -> DataFrame:
     """``doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score`` per document row."""
     phrases = phrases if phrases is not None else PHRASES
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     # A line's words are those of the text: a line end is no part of a word.
     lined = texts.select("id", F.xxhash64("text").alias("h"), F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), normal).alias("lines"))
-    hits = template_hits(lined, templates, num, den).groupBy("id", "h").agg(F.collect_set("label").alias("more"), F.max("share").alias("share"))
+    hits = template_hits(lined, templates, num, den, wrapped).groupBy("id", "h").agg(F.collect_set("label").alias("more"), F.max("share").alias("share"))
     base = texts.select("id", F.xxhash64("text").alias("h"), normal(F.col("text")).alias("words"))
     base = base.select("id", "h", _count(F.col("words")).alias("n_words"), *[_places(F.col("words"), p).alias(f"p{i}") for i, (p, _) in enumerate(phrases)])
     places = F.concat(*[F.col(f"p{i}") for i in range(len(phrases))])

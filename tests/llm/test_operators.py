@@ -221,6 +221,18 @@ def test_licenses(spark, docs, none):
     assert licenses.scan_licenses(docs).count() == docs.count()
 
 
+def test_wrapped_licenses(spark):
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that"
+    mit = " * Permission is hereby granted, free of charge,\r\n * to any person obtaining a copy of this software and associated files"
+    rows = [(1, bsd), (2, mit), (3, "Licensed under the Apache License,\nVersion 2.0 (the License)"), (4, bsd.replace(" ", "\n\n")), (5, "Text before it. " + bsd.replace("\n", " ").replace(" in", "\nin").replace(" with ", "\nwith ")), (6, "All\nrights\nreserved"), (7, "Under the license of 2 pages.\nGeht nur mit Papier"), (8, "All of them\nhave rights\nreserved")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.labels for r in licenses.scan_licenses(d).collect()}
+    assert got == {1: "bsd", 2: "mit", 3: "apache-2", 4: "bsd", 5: "bsd", 6: "all-rights-reserved", 7: "", 8: ""}
+    score = {r.doc_id: r.score for r in licenses.scan_licenses(d).collect()}
+    assert score[1] == score[3] == score[4] == 1.0
+    assert set(r.labels for r in licenses.scan_licenses(d.filter("doc_id in (1, 2, 4)"), wrapped=False).collect()) == {""}
+
+
 def test_warc(spark, tmp_path):
     big = "<p>" + "é" * 1200
     rows = [(1, "http://a/ü\r\nX: y", big), (2, None, big), (3, "u", big), (4, "u", "small"), (5, "u", "small"), (6, "u", None), (None, "u", ""), (7, "u", "x" * 70000), (7, "u", "x" * 70000), (8, "u", "x" * 70000)]

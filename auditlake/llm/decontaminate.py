@@ -132,8 +132,12 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = N, id_col
     return texts.mapInArrow(run, f"doc_id {kind}, {_HITS}")
 
 
-def _by_join(texts: DataFrame, wins: DataFrame, kind: str) -> DataFrame:
-    """The same by a shuffle join: windows that pass the bit set, one row per document row, joined on their words."""
+def _joined(texts: DataFrame, wins: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, hits) by a shuffle join: windows that pass the bit set, one row per document row, joined on their words.
+
+    rows: ``doc_id, text_print, n_words, times``; hits, for each id and text with some: ``doc_id, text_print, n_words,
+    items, covered, spans``.
+    """
     lengths = sorted(r[0] for r in wins.select("k").distinct().collect())  # at most n of them
     bits = texts.sparkSession.sparkContext.broadcast(bit_set(wins, "print", 27))
     keyed = "doc_id {0}, text_print long, n_words long, k int, at long, print long, words string"
@@ -159,13 +163,19 @@ def _by_join(texts: DataFrame, wins: DataFrame, kind: str) -> DataFrame:
     scanned = one.mapInArrow(run, keyed.format(kind))
     rows = scanned.filter("k is null").groupBy("doc_id", "text_print", "n_words").agg(F.count("*").alias("times"))
     hits = scanned.filter("k is not null").distinct().join(wins.select("item", "k", "print", "words").distinct(), ["k", "print", "words"])
-    hits = hits.groupBy("doc_id", "text_print").agg(F.array_sort(F.collect_set("item")).alias("items"), F.collect_set(F.struct("at", "k")).alias("found"))
+    hits = hits.groupBy("doc_id", "text_print", "n_words").agg(F.array_sort(F.collect_set("item")).alias("items"), F.collect_set(F.struct("at", "k")).alias("found"))
     covered = F.array_sort(F.array_distinct(F.flatten(F.transform("found", lambda f: F.sequence(f["at"], f["at"] + f["k"] - 1)))))
     step = lambda a, x: F.when((F.size(a) > 0) & (F.element_at(a, -1)["last"] + 1 == x), F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.named_struct(F.lit("first"), F.element_at(a, -1)["first"], F.lit("last"), x)))).otherwise(F.concat(a, F.array(F.named_struct(F.lit("first"), x, F.lit("last"), x))))
     hits = hits.withColumn("covered", covered)
-    joined = rows.alias("r").join(hits.alias("h"), (F.col("r.doc_id").eqNullSafe(F.col("h.doc_id"))) & (F.col("r.text_print") == F.col("h.text_print")), "left")
     spans = F.aggregate(F.col("covered"), F.array().cast("array<struct<first:bigint,last:bigint>>"), step)
-    out = joined.select("r.doc_id", "n_words", F.coalesce(F.size("covered").cast("long"), F.lit(0)).alias("n_hit"), F.coalesce(F.size("items").cast("long"), F.lit(0)).alias("n_items"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.coalesce(spans, F.array().cast("array<struct<first:bigint,last:bigint>>")).alias("spans"), F.explode(F.sequence(F.lit(1), F.col("times"))).alias("x"))
+    return rows, hits.select("doc_id", "text_print", "n_words", "items", "covered", spans.alias("spans"))
+
+
+def _by_join(texts: DataFrame, wins: DataFrame, kind: str) -> DataFrame:
+    """find_contamination by :func:`_joined`."""
+    rows, hits = _joined(texts, wins, kind)
+    joined = rows.alias("r").join(hits.alias("h"), (F.col("r.doc_id").eqNullSafe(F.col("h.doc_id"))) & (F.col("r.text_print") == F.col("h.text_print")), "left")
+    out = joined.select("r.doc_id", "r.n_words", F.coalesce(F.size("covered").cast("long"), F.lit(0)).alias("n_hit"), F.coalesce(F.size("items").cast("long"), F.lit(0)).alias("n_items"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.coalesce("spans", F.array().cast("array<struct<first:bigint,last:bigint>>")).alias("spans"), F.explode(F.sequence(F.lit(1), F.col("times"))).alias("x"))
     return out.withColumn("n_hit", F.greatest("n_hit", F.lit(0))).withColumn("n_items", F.greatest("n_items", F.lit(0))).drop("x")
 
 
@@ -174,20 +184,61 @@ def contaminated(n_hit: str = "n_hit", n_words: str = "n_words", share: int = 20
     return (F.col(n_hit) > 0) & (F.lit(share) * F.col(n_hit) >= F.col(n_words))
 
 
+def _cut(batch: pa.RecordBatch, found: dict[int, list], place: int, chars: int | None, s: np.ndarray, e: np.ndarray, first: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
+    """A batch without the spans ``found`` of its rows; s, e, first and offsets are those of its words."""
+    texts, counts = batch.column(place).to_pylist(), batch.column(chars).to_pylist() if chars is not None else None
+    for i, spans in found.items():
+        raw, keep, at = texts[i].encode(), [], 0
+        for span in spans:
+            keep.append(raw[at : s[first[i] + span["first"]] - offsets[i]])
+            at = e[first[i] + span["last"]] - offsets[i]
+        texts[i] = (b"".join(keep) + raw[at:]).decode()
+        if counts is not None:
+            counts[i] = len(texts[i])
+    columns = list(batch.columns)
+    columns[place] = pa.array(texts, batch.schema.field(place).type)
+    if counts is not None:
+        columns[chars] = pa.array(counts, batch.schema.field(chars).type)
+    return pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+
+
+def _decontaminate_by_join(docs: DataFrame, wins: DataFrame, mode: str, share: int, text_col: str) -> DataFrame:
+    own = F.col("doc_id") if "doc_id" in docs.columns else F.lit(None).cast("long")
+    texts = docs.select(own.alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    _, hits = _joined(texts, wins, texts.schema["doc_id"].dataType.simpleString())
+    found = hits.select(F.col("doc_id").alias("__id"), F.col("text_print").alias("__print"), "n_words", F.size("covered").alias("n_hit"), F.col("spans").alias("__spans"))
+    same = own.eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(f"`{text_col}`")) == F.col("__print"))
+    if mode == "document":
+        return docs.join(found.filter(contaminated(share=share)).select("__id", "__print"), same, "left_anti")
+    place, width = docs.columns.index(text_col), len(docs.columns)
+    chars = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in T.slices(batches, text_col):
+            spans = {i: x for i, x in enumerate(batch.column(width).to_pylist()) if x}
+            batch = batch.select(range(width))
+            if spans:
+                data, offsets = T.utf8(batch.column(place))
+                s, e, _, first = T.words(data, offsets, T.ALNUM)
+                batch = _cut(batch, spans, place, chars, s, e, first, offsets)
+            yield batch
+
+    joined = docs.join(found.select("__id", "__print", "__spans"), same, "left").select(*[F.col(f"`{c}`") for c in docs.columns], "__spans")
+    return joined.mapInArrow(run, docs.schema)
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "document", share: int = 20, n: int = N, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
     """The documents, all columns as they were, without contaminated ones (``document``) or without hit words (``span``).
 
     In mode ``span`` what stands between the first and last hit word of each span goes, and an ``n_chars`` column
-    is counted again. Above ``broadcast_windows`` only the ``document`` mode with a ``doc_id`` is offered, by an anti join.
+    is counted again. Above ``broadcast_windows`` the same rows are judged or cut by a join on ``doc_id`` (where there is
+    one) and the text's fingerprint.
     """
     if mode not in ("document", "span"):
         raise ValueError(f"mode must be document or span, not {mode}")
     wins = item_windows(benchmark, n, item_col, item_text_col)
     if wins.limit(broadcast_windows + 1).count() > broadcast_windows:
-        if mode == "span":
-            raise ValueError("span removal needs windows within broadcast_windows; split the benchmark")
-        bad = find_contamination(docs, benchmark, n, "doc_id", text_col, item_col, item_text_col, broadcast_windows).filter(contaminated(share=share)).select(F.col("doc_id").alias("__id"))
-        return docs.join(bad.distinct(), F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
+        return _decontaminate_by_join(docs, wins, mode, share, text_col)
     index = docs.sparkSession.sparkContext.broadcast(_Index([tuple(r) for r in wins.collect()]))
     place = docs.columns.index(text_col)
     chars = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
@@ -198,19 +249,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "document",
             if mode == "document":
                 yield batch.filter(pa.array(~((n_hit > 0) & (share * n_hit >= n_words))))
                 continue
-            texts, counts = batch.column(place).to_pylist(), batch.column(chars).to_pylist() if chars is not None else None
-            for i, (mask, _) in hits.items():
-                raw, keep, at = texts[i].encode(), [], 0
-                for span in _spans(mask):
-                    keep.append(raw[at : s[first[i] + span["first"]] - offsets[i]])
-                    at = e[first[i] + span["last"]] - offsets[i]
-                texts[i] = (b"".join(keep) + raw[at:]).decode()
-                if counts is not None:
-                    counts[i] = len(texts[i])
-            columns = list(batch.columns)
-            columns[place] = pa.array(texts, batch.schema.field(place).type)
-            if counts is not None:
-                columns[chars] = pa.array(counts, batch.schema.field(chars).type)
-            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+            found = {i: _spans(mask) for i, (mask, _) in hits.items()}
+            yield _cut(batch, found, place, chars, s, e, first, offsets)
 
     return docs.mapInArrow(run, docs.schema)

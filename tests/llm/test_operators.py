@@ -164,6 +164,22 @@ def test_contamination_spans_and_no_benchmark(spark, docs):
     assert decontaminate.find_contamination(docs, bench.limit(0)).filter("n_hit > 0").count() == 0
 
 
+@pytest.mark.parametrize("mode", ["document", "span"])
+def test_contamination_does_not_depend_on_the_benchmark_size(spark, mode):
+    bad, clean = "one two three four", "nothing of that kind is here"
+    rows = [(None, bad, 7, 1), (None, clean, 8, 2), (None, clean, 8, 2), (None, None, 9, 3), (1, f"x {bad} y {bad.upper()}!", 7, 4), (1, clean, 8, 5), (2, "", 7, 6), (3, "é " * 200 + bad, 7, 7), (3, "é " * 200 + bad, 7, 7)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, n_words long, n_chars long").repartition(3)
+    bench = spark.createDataFrame([(1, bad), (2, "five six")], "item_id long, text string")
+    for docs in (d, d.drop("doc_id")):
+        small, large = (sorted(map(repr, decontaminate.decontaminate(docs, bench, mode, broadcast_windows=n).collect())) for n in (100, 1))
+        assert small == large
+        assert len(small) == (9 if mode == "span" else 7)
+    kept = decontaminate.decontaminate(d, bench, mode, broadcast_windows=1)
+    assert kept.columns == d.columns
+    if mode == "span":
+        assert {(r.text, r.n_chars) for r in kept.filter("doc_id = 1").collect()} == {("x  y !", 6), (clean, 5)}
+
+
 def test_bpe_equals_the_library(docs, none, texts):
     from tokenizers import Tokenizer
 

@@ -104,14 +104,40 @@ DECLARATIONS = {
     "ruby": [("function", r"^\s*def\s+(?:self\.)?(\w+[?!]?)"), ("class", r"^\s*(?:class|module)\s+(\w+)"), ("import", r"^\s*require(?:_relative)?\s+['\"]([^'\"]+)")],
     "php": [("function", r"^\s*(?:(?:public|private|protected|static)\s+)*function\s+(\w+)"), ("class", r"^\s*(?:abstract\s+|final\s+)?(?:class|interface|trait)\s+(\w+)"), ("import", r"^\s*use\s+([\w\\]+)")],
 }
-DECLARATIONS["typescript"] = DECLARATIONS["javascript"]
+_NOT_CALL = r"(?!(?:return|else|if|for|while|switch|catch|new|throw|delete|using|lock|case|goto|typedef|do|sizeof|await|yield|foreach|where|select|orderby|group|join|from|let|co_return|co_await|co_yield)\b)"
+_C_FUNCTION = ("function", r"^\s*" + _NOT_CALL + r"(?:[\w:<>,\[\]]+[\s*&]+)+(?:[\w<>]+::)*(?!(?:if|for|while|switch|catch)\b)(~?\w+)\s*\([^;]*(?:\{.*)?$")
+_C_BARE = ("function", r"^" + _NOT_CALL + r"(?:\w+::)*(~?[a-z_]\w*)\s*\([^;]*(?:\{.*)?$")  # the type stands on the line before
+_INCLUDE = ("import", r"^\s*#\s*include\s*[<\"]([^>\"]+)[>\"]")
+_CS_MODIFIERS = r"(?:(?:public|private|protected|internal|static|sealed|abstract|partial|virtual|override|async|extern|unsafe|readonly|ref|new|file|required)\s+)"
+_SWIFT_MODIFIERS = r"(?:(?:@\w+(?:\([^)]*\))?|public|private(?:\(set\))?|fileprivate|internal|open|static|class|final|override|mutating|nonmutating|required|convenience|indirect)\s+)*"
+_KT_MODIFIERS = r"(?:(?:@\w+(?:\([^)]*\))?|public|private|protected|internal|open|final|abstract|override|suspend|inline|infix|operator|tailrec|external|data|sealed|enum|annotation|value|inner|companion|expect|actual|fun(?=\s+interface))\s+)*"
+_SCALA_MODIFIERS = r"(?:(?:@\w+|private(?:\[\w+\])?|protected(?:\[\w+\])?|final|override|implicit|lazy|sealed|abstract|case|inline|opaque)\s+)*"
+DECLARATIONS |= {
+    "typescript": DECLARATIONS["javascript"],
+    "c": [_C_FUNCTION, _C_BARE, ("class", r"^\s*(?:typedef\s+)?struct\s+(\w+)\s*(?:\{|$)"), _INCLUDE],
+    "cpp": [("class", r"^\s*(?:template\s*<.*>\s*)?(?:typedef\s+)?(?:class|struct)\s+(?:\[\[.*?\]\]\s*)?(\w+)\s*(?:final\s*)?(?:[:{]|$)"), _C_FUNCTION, _C_BARE, ("function", r"^(?:\w+::)+(~?\w+)\s*\([^;]*(?:\{.*)?$"), _INCLUDE],
+    "c_sharp": [("class", r"^\s*" + _CS_MODIFIERS + r"*(?:class|struct|interface|record(?:\s+(?:class|struct))?)\s+(\w+)"), ("import", r"^\s*(?:global\s+)?using\s+(?:static\s+)?(?:\w+\s*=\s*)?([\w.]+)\s*;"), ("function", r"^\s*" + _CS_MODIFIERS + r"*" + _NOT_CALL + r"(?:(?:\([^()]*,[^()]*\)|[\w.]+(?:<[^()]*>)?(?:\[[,\s]*\])*)\??\s+)+(\w+)\s*(?:<[^()]*>)?\s*\("), ("function", r"^\s*(?:(?:public|private|protected|internal|static|unsafe|extern)\s+)+(\w+)\s*\(")],
+    "swift": [("function", r"^\s*" + _SWIFT_MODIFIERS + r"func\s+(\w+)"), ("class", r"^\s*" + _SWIFT_MODIFIERS.replace("|class|", "|") + r"(?:class|struct|protocol|enum|actor|extension)\s+(?!func\b|var\b|let\b)(\w+)"), ("import", r"^\s*(?:@\w+\s+)?import\s+(?:(?:class|struct|enum|protocol|func|var|let|typealias)\s+)?([\w.]+)")],
+    "kotlin": [("class", r"^\s*" + _KT_MODIFIERS + r"(?:class|interface|object)\s+(\w+)"), ("function", r"^\s*" + _KT_MODIFIERS + r"fun\s+(?:<[^>]*>\s*)?(?:[\w<>?, ]+\.)?`?(\w+)`?\s*\("), ("import", r"^\s*import\s+([\w.]+)")],
+    "scala": [("class", r"^\s*" + _SCALA_MODIFIERS + r"(?:class|object|trait|enum)\s+(\w+)"), ("function", r"^\s*" + _SCALA_MODIFIERS + r"(?:def|val)\s+(\w+)"), ("import", r"^\s*import\s+(\w+(?:\.\w+)*)")],
+    "lua": [("function", r"^\s*(?:local\s+)?function\s+([\w.:]+)"), ("function", r"^\s*(?:local\s+)?([\w.]+)\s*=\s*function\b")],
+    "sql": [("function", r"(?i)^\s*create\s+(?:or\s+replace\s+)?(?:temp(?:orary)?\s+)?function\s+(?:if\s+not\s+exists\s+)?([\w.\"`]+)")],
+    "julia": [("function", r"^\s*(?:@\w+\s+)*function\s+([\w.!]+)"), ("function", r"^\s*(?:@\w+\s+)*([\w.]+!?)\([^=]*\)\s*(?:::\s*[\w{}.]+\s*)?(?:where\s+[\w{}<:, ]+)?=(?!=)"), ("class", r"^\s*(?:abstract\s+type|mutable\s+struct|struct)\s+(\w+)"), ("import", r"^\s*(?:using|import)\s+([\w.]+)")],
+    "shell": [("function", r"^\s*function\s+([\w:.-]+)"), ("function", r"^\s*([\w:.-]+)\s*\(\s*\)")],
+    "matlab": [("function", r"^\s*function\s+(?:(?:\[[^\]]*\]|\w+)\s*=\s*)?([\w.]+)")],
+    "solidity": [("function", r"^\s*(?:function|modifier)\s+(\w+)"), ("class", r"^\s*(?:abstract\s+)?(?:contract|interface|library)\s+(\w+)"), ("import", r"^\s*import\b.*?['\"]([^'\"]+)['\"]")],
+    "verilog": [("class", r"^\s*(?:virtual\s+)?(?:module|class|interface|package)\s+(?:(?:automatic|static)\s+)?(?!class\b)(\w+)"), ("function", r"^\s*(?!endfunction|endtask)(?:(?:virtual|static|local|protected|pure|extern)\s+)*(?:function|task)\s+(?:[\w:]+\s+|\[[^\]]*\]\s*)*?(\w+)\s*(?:[(;]|$)")],
+    "zig": [("function", r"^\s*(?:(?:pub|export|inline|noinline|extern(?:\s+\"[^\"]*\")?)\s+)*fn\s+(\w+)")],
+    "objective_c": [("class", r"^\s*@(?:interface|implementation)\s+(\w+)"), ("function", r"^\s*[-+]\s*\([^)]*\)\s*(\w+)"), ("import", r"^\s*#\s*(?:import|include)\s*[<\"]([^>\"]+)[>\"]"), ("import", r"^\s*@import\s+([\w.]+)"), _C_FUNCTION],
+}
 
 
 def extract_declarations(files: DataFrame) -> DataFrame:
     """``repo, path, kind, name, line_start, line_end`` of files with ``language``, by patterns; an approximation.
 
     A declaration ends before the next line of code that is indented no deeper and does not begin with a closing mark,
-    or with that mark's line.
+    or with that mark's line. An opening brace on a line of its own belongs to the declaration before it; in languages of
+    the C family directives, labels and access sections end nothing.
     """
     lines = files.select("repo", "path", "language", F.posexplode(F.split("content", "\n")).alias("i", "text"))
     found = F.when(F.lit(False), F.array(F.struct(F.lit("").alias("kind"), F.lit("").alias("name"))))
@@ -120,7 +146,9 @@ def extract_declarations(files: DataFrame) -> DataFrame:
         found = found.when(F.col("language") == lang, F.slice(F.array_compact(F.array(*hits)), 1, 1))
     filled = lines.withColumns({"d": F.try_element_at(found, F.lit(1)), "indent": F.length(F.regexp_extract("text", r"^(\s*)", 1))}).filter(F.trim("text") != "")
     decl = filled.filter("d is not null").select("repo", "path", "d.kind", "d.name", F.col("i").alias("a"), F.col("indent").alias("w"))
-    after = filled.select("repo", "path", "i", "indent", F.regexp_like("text", F.lit(r"^\s*[})\]]|^\s*end\b")).alias("closing"))
+    passed = F.regexp_like("text", F.lit(r"^\s*\{")) | (F.col("language").isin("c", "cpp", "c_sharp", "objective_c") & F.regexp_like("text", F.lit(r"^\s*(?:#|\w+\s*:\s*$)")) & F.col("d").isNull())
+    closing = F.regexp_like("text", F.lit(r"^\s*[})\]]|^\s*end\b|^\s*end(?:function|task|module|class|package|interface)\b|^\s*@end\b"))
+    after = filled.filter(~passed).select("repo", "path", "i", "indent", closing.alias("closing"))
     last = filled.groupBy("repo", "path").agg(F.max("i").alias("last"))
     stop = decl.join(after, ["repo", "path"]).filter("i > a and indent <= w").groupBy("repo", "path", "kind", "name", "a").agg(F.min(F.struct("i", "closing")).alias("s"))
     out = decl.join(stop, ["repo", "path", "kind", "name", "a"], "left").join(last, ["repo", "path"])

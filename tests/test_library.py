@@ -172,6 +172,34 @@ def test_symbols(spark):
     assert {(r.kind, r.name, r.line_start, r.line_end) for r in symbols.extract_declarations(py).collect()} == {("import", "os", 1, 1), ("class", "A", 2, 5), ("function", "f", 3, 5), ("function", "g", 6, 7)}
 
 
+SOURCES = {
+    "c": ("#include <stdio.h>\nstruct point {\n  int x;\n};\nstatic int *add(int a, int b) {\n  return sum(a);\n}\nint later(int a);\nvoid\nlong_one(int a,\n  int b)\n{\n  long_one(a, b);\n}", {("import", "stdio.h"), ("class", "point"), ("function", "add"), ("function", "long_one")}),
+    "cpp": ("#include \"a.h\"\nclass Box : public Base {\n  int size() const { return 1; }\n};\nvoid Box::grow(int n)\n{\n  if (n) { go(n); }\n  return go(n);\n}\nBox::~Box() {\n}", {("import", "a.h"), ("class", "Box"), ("function", "size"), ("function", "grow"), ("function", "~Box")}),
+    "c_sharp": ("using System.Text;\npublic record Point(int X);\npublic class A {\n    public A(int x) {\n    }\n    public async Task<int> Run(int n) {\n        return Go(n);\n    }\n    int Twice(int n) => 2 * n;\n    void Go(\n        int n);\n    new A(3);\n}", {("import", "System.Text"), ("class", "Point"), ("class", "A"), ("function", "A"), ("function", "Run"), ("function", "Twice"), ("function", "Go")}),
+    "swift": ("import Foundation\npublic final class A {\n    static func go(_ n: Int) {\n    }\n    class func make() {\n    }\n}\nprotocol P {\n}", {("import", "Foundation"), ("class", "A"), ("class", "P"), ("function", "go"), ("function", "make")}),
+    "kotlin": ("import a.b.C\ndata class P(val x: Int)\nobject O {\n    private suspend fun <T> go(x: T) {\n    }\n}\nfun String.twice() = this + this", {("import", "a.b.C"), ("class", "P"), ("class", "O"), ("function", "go"), ("function", "twice")}),
+    "scala": ("import a.b.C\ncase class P(x: Int)\ntrait T {\n  override def go(x: Int) = x\n  val y = 1\n}\nobject O", {("import", "a.b.C"), ("class", "P"), ("class", "T"), ("class", "O"), ("function", "go"), ("function", "y")}),
+    "lua": ("local function f(x)\nend\nfunction M.g(x)\nend\nM.h = function(x)\nend", {("function", "f"), ("function", "M.g"), ("function", "M.h")}),
+    "sql": ("CREATE OR REPLACE FUNCTION add_one(x int)\nRETURNS int AS 'x';", {("function", "add_one")}),
+    "julia": ("using Base.Math\nabstract type Shape end\nmutable struct P\n  x\nend\nfunction go!(x)\nend\nf(x) = x + 1", {("import", "Base.Math"), ("class", "Shape"), ("class", "P"), ("function", "go!"), ("function", "f")}),
+    "shell": ("go() {\n  echo x\n}\nfunction stop {\n  echo y\n}", {("function", "go"), ("function", "stop")}),
+    "matlab": ("function [a, b] = f(x)\nend\nfunction g(x)\nend", {("function", "f"), ("function", "g")}),
+    "solidity": ("import {A} from \"./A.sol\";\nabstract contract C is A {\n  modifier own() {\n  }\n  function go() public {\n  }\n}\nlibrary L {\n}", {("import", "./A.sol"), ("class", "C"), ("class", "L"), ("function", "own"), ("function", "go")}),
+    "verilog": ("module m(input a);\n  function automatic [7:0] f(input x);\n  endfunction\n  task t;\n  endtask\nendmodule\npackage p;\nendpackage", {("class", "m"), ("class", "p"), ("function", "f"), ("function", "t")}),
+    "zig": ("pub fn main() !void {\n}\nfn add(a: i32) i32 {\n}", {("function", "main"), ("function", "add")}),
+    "objective_c": ("#import <UIKit/UIKit.h>\n@import Foundation;\n@interface A : NSObject\n- (void)go:(int)x;\n@end\nstatic int add(int a) {\n  return a;\n}", {("import", "UIKit/UIKit.h"), ("import", "Foundation"), ("class", "A"), ("function", "go"), ("function", "add")}),
+}
+
+
+def test_declarations_of_every_language(spark):
+    rows = [("r", f"f.{lang}", lang, text) for lang, (text, _) in SOURCES.items()]
+    got = symbols.extract_declarations(spark.createDataFrame(rows, "repo string, path string, language string, content string")).collect()
+    assert {lang: {(r.kind, r.name) for r in got if r.path == f"f.{lang}"} for lang in SOURCES} == {lang: want for lang, (_, want) in SOURCES.items()}
+    spans = {(r.path, r.name): (r.line_start, r.line_end) for r in got}
+    assert spans["f.cpp", "grow"] == (5, 9) and spans["f.c", "long_one"] == (10, 14) and spans["f.c", "add"] == (5, 7)
+    assert spans["f.verilog", "m"] == (1, 6) and spans["f.c_sharp", "A"][0] in (3, 4) and spans["f.lua", "M.g"] == (3, 4)
+
+
 REPORTS = {
     "oxlint": ({"diagnostics": [{"message": "m", "code": "eslint(no-eval)", "severity": "warning", "filename": "/r/a.js", "labels": [{"span": {"line": 4, "column": 1}}]}]}, ("a.js", 4, "critical", "security")),
     "bandit": ({"results": [{"filename": "/r/a.py", "line_number": 2, "line_range": [2, 3], "test_id": "B101", "test_name": "t", "issue_severity": "HIGH", "issue_confidence": "LOW", "issue_text": "x", "code": "c"}]}, ("a.py", 2, "error", "convention")),

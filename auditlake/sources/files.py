@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -27,10 +28,18 @@ def read_repo(spark: SparkSession, path: str, repo: str | None = None, ignored:
     return without_ignored(files, ignored).select("repo", "path", suffix("path").alias("ext"), "content", "size", "mtime")
 
 
+def guideline_documents(raw: DataFrame, path: str) -> DataFrame:
+    """``source, content`` of whole files read as text below ``path``: guideline documents, hidden paths passed over.
+
+    source is the path below the folder, or below the part of ``path`` before its first wildcard.
+    """
+    docs = raw.select(_relative(re.split(r"/[^/]*[*?\[{]", path)[0]).alias("source"), F.col("value").alias("content"))
+    return docs.filter(suffix("source").isin(GUIDELINES) & ~F.regexp_like("source", F.lit(r"(?:^|/)\.")))
+
+
 def read_guidelines(spark: SparkSession, path: str, max_files: int = 500) -> DataFrame:
     """``source, content`` of guideline documents, hidden paths passed over, the first ``max_files`` by path."""
-    docs = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(_relative(path).alias("source"), F.col("value").alias("content"))
-    docs = docs.filter(suffix("source").isin(GUIDELINES) & ~F.regexp_like("source", F.lit(r"(?:^|/)\.")))
+    docs = guideline_documents(spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True), path)
     return docs.orderBy("source").limit(max_files)
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import guidelines, history
+from ..sources.files import guideline_documents
 
 
 def usage_per_window(events: DataFrame, length: str = "1 minute", slide: str | None = None, late: str = "10 minutes") -> DataFrame:
@@ -48,14 +50,25 @@ def stream_history(findings: DataFrame, root: str, checkpoint: str, lines: DataF
 
 
 def stream_guidelines(spark: SparkSession, folder: str, index: str, checkpoint: str, embedder=None):
-    """New or changed guideline files into the index: chunks of a source replace its former ones."""
-    raw = spark.readStream.text(folder, wholetext=True).select(F.substring_index(F.col("_metadata.file_path"), "/", -1).alias("source"), F.col("value").alias("content"))
+    """New guideline files at any depth into the index: chunks of a source replace its former ones.
+
+    Sources are named and chosen as by ``read_guidelines``, without a limit on their number.
+    """
+    docs = guideline_documents(spark.readStream.option("recursiveFileLookup", "true").text(folder, wholetext=True), folder)
+
+    def held() -> bool:
+        try:
+            return bool(spark.read.parquet(index).columns)
+        except AnalysisException as e:
+            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
+            return False  # batches so far held no guideline files
 
     def put(batch: DataFrame, n: int) -> None:
         chunks = guidelines.embed_chunks(guidelines.chunk_documents(batch), embedder)
-        if n == 0:
+        if n == 0 or not held():
             guidelines.write_index(chunks, index)
         else:
             guidelines.replace_sources(chunks, index)
 
-    return raw.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return docs.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -272,6 +272,32 @@ def test_streams(spark, tmp_path, sf):
     assert held.agg(F.sum("run_count")).first()[0] == raw.count()
 
 
+def test_guideline_stream_over_subfolders(spark, tmp_path):
+    from auditlake.streaming import events as ev
+
+    def put(name, text):
+        (tmp_path / "g" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "g" / name).write_text(text)
+
+    def run(folder, index):
+        ev.stream_guidelines(spark, folder, str(tmp_path / index), str(tmp_path / f"{index}-c")).awaitTermination(120)
+        try:
+            return {(r.source, r.section_title, r.text) for r in spark.read.parquet(str(tmp_path / index)).collect()}
+        except Exception:
+            return set()
+
+    folder, a, b = str(tmp_path / "g"), ("a/README.md", "A", "one\ntwo"), ("b/README.md", "B", "three\nfour")
+    put("c.bin", "x")
+    put(".hidden/README.md", "# H\nx")
+    assert run(folder, "i") == set()
+    put("a/README.md", "# A\none\ntwo")
+    assert run(folder, "i") == {a}
+    put("b/README.md", "# B\nthree\nfour")
+    assert run(folder, "i") == {a, b}
+    assert run(f"{folder}/*", "j") == {a, b}
+    assert {r.source for r in src.read_guidelines(spark, folder).collect()} == {"a/README.md", "b/README.md"}
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 

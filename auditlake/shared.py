@@ -1,8 +1,8 @@
 """Places that the driver and all executors share, and tables written there to cut lineage.
 
 Scratch tables go under the folder named by ``spark.checkpoint.dir``. Only where that setting is absent
-(local tests) a local folder is made and set. Scratch tables stay until the folder is cleared, because a
-lazy result may still read them.
+(local tests) a local folder is made and set; a master that is not local must name a shared one. Scratch tables that
+a lazy result may still read stay until the folder is cleared; :func:`discard` removes the others early.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The shared scratch folder as a URI or path; set once for the session where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="auditlake-")
         spark.sparkContext.setCheckpointDir(found)
         spark.conf.set("spark.checkpoint.dir", found)
@@ -36,6 +38,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete scratch tables of :func:`materialize` that no later result reads."""
+    for df in tables:
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            if "/auditlake/" in folder:
+                path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def ship(spark: SparkSession) -> SparkSession:
     """Let Python workers import this package from where the driver has it (on a cluster: install it or use --py-files)."""
     import os

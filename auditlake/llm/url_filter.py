@@ -1,7 +1,7 @@
 """URL filter: rules first; then host words by unigram Viterbi segmentation and multinomial naive Bayes.
 
-The word counts come from the visible words of all pages. Host names are taken apart at dots, hyphens and digits;
-each distinct piece is segmented into words by the most likely split, for which a join brings the counts of exactly
+The word counts come from the visible words of all pages. Host names are taken apart at whatever is no letter; each
+distinct piece is segmented into words by the most likely split, for which a join brings the counts of exactly
 those of its substrings that are words (no vocabulary is broadcast). Naive Bayes learns, from all pages that a rule
 decides, how often the tokens of segmented hosts and of paths occur with either verdict, in 2**16 hashed buckets
 (a bound on what reaches the driver), and decides the pages that no rule fits.
@@ -29,7 +29,8 @@ from ..shared import materialize
 
 #: The rules, as (verdict, host and path).
 RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
-LOG_BUCKETS, LONGEST = 16, 24
+LOG_BUCKETS = 16
+_GAP = r"[^\p{L}]+"
 
 
 def parts_of(url: Column) -> tuple[Column, Column]:
@@ -51,23 +52,36 @@ def match_rules(host: Column, path: Column, rules: list[tuple[str, str]]) -> tup
 
 
 def word_counts(pages: DataFrame, text_col: str = "html") -> DataFrame:
-    """``word, n`` of all runs of a-z in the visible text, A-Z lower-cased, up to LONGEST letters."""
-    visible = F.regexp_replace(F.col(text_col), r"<[^>]*>", " ")
+    """``word, n`` of all runs of letters in the visible text, A-Z lower-cased."""
+    visible = F.regexp_replace(F.col(f"`{text_col}`"), r"<[^>]*>", " ")
     low = F.translate(visible, string.ascii_uppercase, string.ascii_lowercase)
-    words = pages.select(F.explode(F.split(low, r"[^a-z]+")).alias("word")).filter(F.length("word").between(1, LONGEST))
+    words = pages.select(F.explode(F.split(low, _GAP)).alias("word")).filter("word <> ''")
     return words.groupBy("word").agg(F.count("*").alias("n"))
 
 
 def viterbi(piece: str, spans: list[tuple[int, int, int]], total: int) -> list[str]:
-    """The most likely split of a piece; (start, end, count) of its substrings that are words. Ties: the shorter last word."""
-    cost = lambda n, length: math.log(total + 1) - math.log(n) if n else math.log(total + 1) + 2.5 * length
-    best, back = [0.0] + [math.inf] * len(piece), [0] * (len(piece) + 1)
-    count = {(a, b): n for a, b, n in spans}
+    """The most likely split of a piece; (start, end, count) of its substrings that are words. Ties: the shorter last word.
+
+    A stretch of letters that is no word costs more the longer it is, so only its start has to be kept, and the work
+    grows with the piece and its words.
+    """
+    fresh = math.log(total + 1)
+    ends: dict[int, list[tuple[int, int]]] = {}
+    for a, b, n in spans:
+        ends.setdefault(b, []).append((a, n))
+    best, back, cost, start = [0.0], [0], math.inf, 0
     for b in range(1, len(piece) + 1):
-        for a in range(b - 1, max(-1, b - LONGEST - 1), -1):
-            c = best[a] + cost(count.get((a, b), 0), b - a)
-            if c < best[b] - 1e-12:
-                best[b], back[b] = c, a
+        if best[-1] + fresh + 2.5 <= cost + 2.5 + 1e-12:
+            cost, start = best[-1] + fresh + 2.5, b - 1
+        else:
+            cost += 2.5
+        ways = sorted([(b - a, best[a] + fresh - math.log(n)) for a, n in ends.get(b, ())] + [(b - start, cost)])
+        length, least = ways[0]
+        for way, c in ways[1:]:
+            if c < least - 1e-12:
+                length, least = way, c
+        best.append(least)
+        back.append(b - length)
     out, b = [], len(piece)
     while b:
         out.append(piece[back[b] : b])
@@ -76,14 +90,19 @@ def viterbi(piece: str, spans: list[tuple[int, int, int]], total: int) -> list[s
 
 
 def segment_hosts(hosts: DataFrame, words: DataFrame) -> DataFrame:
-    """``host, words``: the words of each distinct host, piece by piece."""
+    """``host, words``: the words of each distinct host, piece by piece.
+
+    A piece is looked up by its substrings of all lengths that some word has.
+    """
     total = words.agg(F.sum("n")).first()[0] or 0
-    piece = F.filter(F.split("host", r"[^a-z]+"), lambda p: p != "")
+    piece = F.filter(F.split("host", _GAP), lambda p: p != "")
     taken = hosts.select("host").distinct().select("host", F.posexplode(piece).alias("place", "piece"))
     pieces = taken.select("piece").distinct()
-    starts = pieces.select("piece", F.explode(F.sequence(F.lit(0), F.length("piece") - 1)).alias("a"))
-    spans = starts.select("piece", "a", F.explode(F.sequence(F.col("a") + 1, F.least(F.length("piece"), F.col("a") + LONGEST))).alias("b"))
-    spans = spans.withColumn("word", F.expr("substring(piece, a + 1, b - a)"))
+    most = pieces.agg(F.max(F.length("piece"))).first()[0] or 0
+    lengths = [r[0] for r in words.select(F.length("word").alias("m")).filter(F.col("m") <= most).distinct().collect()]  # no more than a piece has letters
+    starts = pieces.select("piece", F.explode(F.lit(sorted(lengths)).cast("array<int>")).alias("m")).filter(F.length("piece") >= F.col("m"))
+    spans = starts.select("piece", "m", F.explode(F.sequence(F.lit(0), F.length("piece") - F.col("m"))).alias("a"))
+    spans = spans.select("piece", "a", (F.col("a") + F.col("m")).alias("b"), F.substring("piece", F.col("a") + 1, F.col("m")).alias("word"))
     known = spans.join(words, "word").groupBy("piece").agg(F.collect_list(F.struct("a", "b", "n")).alias("spans"))  # bounded by the piece's length
     ready = pieces.join(known, "piece", "left")
 
@@ -98,18 +117,18 @@ def segment_hosts(hosts: DataFrame, words: DataFrame) -> DataFrame:
 
 
 def _buckets(words: list[str] | None, path: str) -> list[int]:
-    tokens = ["h:" + w for w in words or ()] + ["p:" + re.sub(r"[0-9]+", "0", t) for t in re.split(r"[^0-9a-z]+", path.lower()) if t]
+    tokens = ["h:" + w for w in words or ()] + ["p:" + re.sub(r"[0-9]+", "0", t) for t in re.split(r"[\W_]+", path.lower()) if t]
     return [zlib.crc32(t.encode()) & ((1 << LOG_BUCKETS) - 1) for t in tokens]
 
 
 def filter_urls(pages: DataFrame, rules: list[tuple[str, str]] | None = None, id_col: str = "page_id", url_col: str = "url", text_col: str = "html") -> DataFrame:
     """``page_id, host, path, rule, verdict, score`` (score: the method's likelihood of block, also where a rule decides)."""
-    host, path = parts_of(F.col(url_col))
-    rows = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
+    host, path = parts_of(F.col(f"`{url_col}`"))
+    rows = pages.select(F.col(f"`{id_col}`").alias("page_id"), host.alias("host"), path.alias("path"))
     rule, verdict = match_rules(F.col("host"), F.col("path"), RULES if rules is None else rules)
     rows = rows.withColumns({"rule": rule, "ruled": verdict})
     words = materialize(word_counts(pages, text_col), "url-words")
-    split = segment_hosts(rows, words)
+    split = materialize(segment_hosts(rows, words), "url-hosts")  # a table of its own, so that the join can split a hot host
     tokens = materialize(rows.join(split, "host", "left"), "url-tokens")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,7 +1,8 @@
 """WARC archives compressed with Zstandard: a dictionary in a leading skippable frame, then one frame per record.
 
 Writing: each task writes archives of at most ``archive_bytes`` of records to a folder that all executors share,
-through pyarrow's file systems (file, hdfs, s3, ...). A dictionary is trained on the first records of each archive.
+through pyarrow's file systems (file, hdfs, s3, ...). A dictionary is trained on the first records of each archive;
+where they are too few for that, it is made of their first bytes as they stand, so every archive has one.
 Names are unique to the attempt; the manifest, itself written as a table, names only files of attempts that
 succeeded, so lost executors and retries leave strays but no doubles.
 
@@ -68,6 +69,16 @@ def _record(ident, url, payload: bytes, digest: str, size: int, top) -> bytes:
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
+def _dictionary(records: list[bytes]):
+    """Trained on the records; where they are too few or too small for that, their own first bytes are the dictionary."""
+    import zstandard
+
+    try:
+        return zstandard.train_dictionary(DICTIONARY_BYTES, records, k=256, d=8)
+    except zstandard.ZstdError:
+        return zstandard.ZstdCompressionDict(b"".join(records)[:DICTIONARY_BYTES], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+
+
 def write_archives(records: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Write ``plan_records`` rows; the manifest ``path, records, raw_bytes`` as a stored table."""
 
@@ -79,14 +90,10 @@ def write_archives(records: DataFrame, folder: str, archive_bytes: int = ARCHIVE
 
         def start() -> None:
             state["path"] = f"{folder}/{uuid.uuid4().hex}.warc.zst"
-            state["file"], dictionary = _open(state["path"], True), None
-            try:
-                dictionary = zstandard.train_dictionary(DICTIONARY_BYTES, waiting, k=256, d=8)
-            except zstandard.ZstdError:  # too few or too small records for a dictionary
-                pass
-            if dictionary is not None:
-                raw = dictionary.as_bytes()
-                state["file"].write(struct.pack("<II", DICTIONARY_MAGIC, len(raw)) + raw)
+            state["file"] = _open(state["path"], True)
+            dictionary = _dictionary(waiting)
+            raw = dictionary.as_bytes()
+            state["file"].write(struct.pack("<II", DICTIONARY_MAGIC, len(raw)) + raw)
             state["zip"] = zstandard.ZstdCompressor(level=3, dict_data=dictionary, write_checksum=True)
             for r in waiting:
                 put(r)

@@ -23,7 +23,7 @@ from . import _text as T
 from ._features import Features, idf, tfidf
 from .quality import held_out
 
-PER_LANGUAGE, CLUSTERS, MAX_LANGUAGES = 800, 4, 1000
+PER_LANGUAGE, CLUSTERS, MAX_LANGUAGES, SHARES = 800, 4, 1000, 64
 _LETTERS = np.zeros(256, bool)
 _LETTERS[65:91] = _LETTERS[97:123] = True
 
@@ -76,7 +76,10 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     features = Features(12, (1, 2, 3), letters=True)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).filter(~held_out("id"))
-    ranked = rows.select("id", "lang", F.xxhash64("id", "text").alias("h")).withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))).filter(F.col("rank") <= per_language)
+    # The least hashes of each language: first within shares of it, so that no language is one task.
+    hashed = rows.select("id", "lang", F.xxhash64("id", "text").alias("h")).withColumn("share", F.pmod("h", F.lit(SHARES)))
+    rank = lambda *key: F.row_number().over(Window.partitionBy(*key).orderBy("h", "id"))
+    ranked = hashed.withColumn("rank", rank("lang", "share")).filter(F.col("rank") <= per_language).withColumn("rank", rank("lang")).filter(F.col("rank") <= per_language)
     some = ranked.select("lang", "h").distinct()  # bounded: per_language rows for each of MAX_LANGUAGES languages
     n_languages = some.select("lang").distinct().limit(MAX_LANGUAGES + 1).count()
     if n_languages > MAX_LANGUAGES:

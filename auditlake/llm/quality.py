@@ -8,7 +8,8 @@ similarity to the power 8 as weight.
 
 Labels are learnt only from rows whose crc32(doc_id as text) mod 4 is not 2; lang, source and doc_id are no features.
 Defined cases: null and empty texts get the share of label 1 among the sample (1.0 if there are no labels, so that
-nothing is rejected unseen); labels that are null or neither 0 nor 1 are passed over; a null id is not held out and
+nothing is rejected unseen); labels that are null or neither 0 nor 1 are passed over, and so
+are ids that have both labels; a null id is not held out and
 gives no label; repeated rows each get a score; other columns are not read.
 """
 
@@ -61,7 +62,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     features = Features(12, (1, 2, 3), fold=False, style=True)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     known = labels.select(F.col(label_id_col).alias("id"), F.col(label_col).cast("int").alias("label")).filter(F.col("label").isin(0, 1) & F.col("id").isNotNull()).filter(~held_out("id"))
-    some = known.orderBy(F.xxhash64("id"), "id", "label").limit(max_labelled).dropDuplicates(["id"])
+    clear = known.groupBy("id").agg(F.min("label").alias("label"), F.max("label").alias("other")).filter("label = other").select("id", "label")
+    some = clear.orderBy(F.xxhash64("id"), "id").limit(max_labelled)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in T.slices(batches, most=1 << 20):

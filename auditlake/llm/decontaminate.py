@@ -8,8 +8,9 @@ Defined cases: a null or empty text has no words and no hits; a null ``item_id``
 named among the items; repeated items count once; repeated document rows each get their own result; empty
 tables give no hits or no rows; other columns of the inputs are not read and may have any name.
 
-The windows are broadcast while they number at most ``broadcast_windows`` (their size is counted first). Beyond
-that they stay a table: a bounded bit set thins the documents' windows and a shuffle join verifies them.
+A broadcast holds ``broadcast_windows`` windows or so at most. Where the benchmark has more, they are dealt by
+fingerprint into as many sets, each is broadcast in turn and scanned for in the same way, and the hits of all scans are
+joined to the documents by id and text, so that neither results nor the method depend on the benchmark's size.
 """
 
 from __future__ import annotations
@@ -20,12 +21,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ..shared import materialize
 from . import _text as T
-from ._bits import bit_set, in_bits
 
 N = 13
 BROADCAST_WINDOWS = 500_000
-_HITS = "n_words long, n_hit long, n_items long, items array<string>, spans array<struct<first:long,last:long>>"
+_SPANS = "array<struct<first:bigint,last:bigint>>"
+_HITS = f"n_words long, n_hit long, n_items long, items array<string>, spans {_SPANS}"
+_NAMES = ["doc_id", "print", "n_words", "n_hit", "n_items", "items", "spans"]
 
 
 def _lower(raw: bytes) -> bytes:
@@ -114,69 +117,63 @@ def _result(batch: pa.RecordBatch, n_words: np.ndarray, n_hit: np.ndarray, hits:
     return [pa.array(x, t) for x, t in zip((n_words, n_hit, [len(x) for x in items], items, spans), kinds, strict=True)]
 
 
+def _indexes(wins: DataFrame, most: int) -> tuple[int, Iterator[_Index]]:
+    """How many sets of about ``most`` windows there are, and each of them when it is asked for."""
+    sets = max(1, -(-wins.count() // most))
+    share = F.pmod(F.xxhash64("print"), F.lit(sets))
+    return sets, (_Index([tuple(r) for r in wins.filter(share == i).collect()]) for i in range(sets))
+
+
+def _hits(texts: DataFrame, indexes: Iterator[_Index]) -> DataFrame:
+    """``doc_id, print, n_words, n_hit, n_items, items, spans`` of each distinct id and text with hits in any set; texts: ``doc_id, text, print``."""
+    spark = texts.sparkSession
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    found = None
+    for index in indexes:
+        shared = spark.sparkContext.broadcast(index)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in T.slices(batches):
+                n_words, n_hit, hits, _ = _scan(batch.column(1), shared.value)
+                out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *_result(batch, n_words, n_hit, hits)], names=_NAMES)
+                yield out.filter(pa.array(n_hit > 0))
+
+        own = materialize(texts.mapInArrow(run, f"doc_id {kind}, print long, {_HITS}"), "decontaminate-hits")
+        shared.unpersist()
+        found = own if found is None else found.unionByName(own)
+    lists = found.groupBy("doc_id", "print").agg(F.first("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
+    # Spans of different sets may meet or overlap.
+    none = F.array().cast(_SPANS)
+    last = lambda a: F.element_at(a, -1)
+    longer = lambda a, x: F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.struct(last(a)["first"].alias("first"), F.greatest(last(a)["last"], x["last"]).alias("last"))))
+    spans = F.aggregate("spans", none, lambda a, x: F.when((F.size(a) > 0) & (F.get(a, F.size(a) - 1)["last"] + 1 >= x["first"]), longer(a, x)).otherwise(F.concat(a, F.array(x))))
+    lists = lists.withColumn("spans", spans)
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["last"] - x["first"] + 1)
+    return lists.select("doc_id", "print", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items", "spans")
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = N, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
     """Per document row: ``doc_id, n_words, n_hit, n_items, items`` (sorted as strings) and hit ``spans`` in words."""
     spark = docs.sparkSession
     wins = item_windows(benchmark, n, item_col, item_text_col)
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    texts = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     kind = texts.schema["doc_id"].dataType.simpleString()
-    if wins.limit(broadcast_windows + 1).count() > broadcast_windows:
-        return _by_join(texts, wins, kind)
-    index = spark.sparkContext.broadcast(_Index([tuple(r) for r in wins.collect()]))
+    sets, indexes = _indexes(wins, broadcast_windows)
+    index = spark.sparkContext.broadcast(next(indexes) if sets == 1 else _Index([]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in T.slices(batches):
             n_words, n_hit, hits, _ = _scan(batch.column(1), index.value)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *_result(batch, n_words, n_hit, hits)], names=["doc_id", "n_words", "n_hit", "n_items", "items", "spans"])
-
-    return texts.mapInArrow(run, f"doc_id {kind}, {_HITS}")
-
+            yield pa.RecordBatch.from_arrays([batch.column(0), *_result(batch, n_words, n_hit, hits), *batch.columns[2:]], names=[*(x for x in _NAMES if x != "print"), *batch.schema.names[2:]])
 
-def _joined(texts: DataFrame, wins: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:
-    """(rows, hits) by a shuffle join: windows that pass the bit set, one row per document row, joined on their words.
-
-    rows: ``doc_id, text_print, n_words, times``; hits, for each id and text with some: ``doc_id, text_print, n_words,
-    items, covered, spans``.
-    """
-    lengths = sorted(r[0] for r in wins.select("k").distinct().collect())  # at most n of them
-    bits = texts.sparkSession.sparkContext.broadcast(bit_set(wins, "print", 27))
-    keyed = "doc_id {0}, text_print long, n_words long, k int, at long, print long, words string"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [x.split()[0] for x in keyed.split(", ")]
-        for batch in T.slices(batches):
-            data, offsets = T.utf8(batch.column(1))
-            s, e, h, first = T.words(data, offsets, T.ALNUM)
-            raw, ids = data.tobytes(), batch.column(0).to_pylist()
-            text = [int(x) if x is not None else 0 for x in batch.column(2).to_pylist()]
-            rows = [(ids[i], text[i], int(first[i + 1] - first[i]), None, None, None, None) for i in range(len(batch))]
-            for k in lengths:
-                w = T.windows(h, k)
-                for j in np.flatnonzero(in_bits(w.view(np.int64), bits.value)).tolist():
-                    i = int(np.searchsorted(first, j, "right")) - 1
-                    if j + k <= first[i + 1]:
-                        rows.append((ids[i], text[i], int(first[i + 1] - first[i]), k, int(j - first[i]), int(w[j : j + 1].view(np.int64)[0]), b" ".join(_lower(raw[s[x] : e[x]]) for x in range(j, j + k)).decode()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate((batch.schema.field(0).type, pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string()))], names=names)
-
-    # Rows that are alike in id and text have the same result, so they are told apart by how often each occurs.
-    one = texts.withColumn("p", F.xxhash64("text"))
-    scanned = one.mapInArrow(run, keyed.format(kind))
-    rows = scanned.filter("k is null").groupBy("doc_id", "text_print", "n_words").agg(F.count("*").alias("times"))
-    hits = scanned.filter("k is not null").distinct().join(wins.select("item", "k", "print", "words").distinct(), ["k", "print", "words"])
-    hits = hits.groupBy("doc_id", "text_print", "n_words").agg(F.array_sort(F.collect_set("item")).alias("items"), F.collect_set(F.struct("at", "k")).alias("found"))
-    covered = F.array_sort(F.array_distinct(F.flatten(F.transform("found", lambda f: F.sequence(f["at"], f["at"] + f["k"] - 1)))))
-    step = lambda a, x: F.when((F.size(a) > 0) & (F.element_at(a, -1)["last"] + 1 == x), F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.named_struct(F.lit("first"), F.element_at(a, -1)["first"], F.lit("last"), x)))).otherwise(F.concat(a, F.array(F.named_struct(F.lit("first"), x, F.lit("last"), x))))
-    hits = hits.withColumn("covered", covered)
-    spans = F.aggregate(F.col("covered"), F.array().cast("array<struct<first:bigint,last:bigint>>"), step)
-    return rows, hits.select("doc_id", "text_print", "n_words", "items", "covered", spans.alias("spans"))
-
-
-def _by_join(texts: DataFrame, wins: DataFrame, kind: str) -> DataFrame:
-    """find_contamination by :func:`_joined`."""
-    rows, hits = _joined(texts, wins, kind)
-    joined = rows.alias("r").join(hits.alias("h"), (F.col("r.doc_id").eqNullSafe(F.col("h.doc_id"))) & (F.col("r.text_print") == F.col("h.text_print")), "left")
-    out = joined.select("r.doc_id", "r.n_words", F.coalesce(F.size("covered").cast("long"), F.lit(0)).alias("n_hit"), F.coalesce(F.size("items").cast("long"), F.lit(0)).alias("n_items"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.coalesce("spans", F.array().cast("array<struct<first:bigint,last:bigint>>")).alias("spans"), F.explode(F.sequence(F.lit(1), F.col("times"))).alias("x"))
-    return out.withColumn("n_hit", F.greatest("n_hit", F.lit(0))).withColumn("n_items", F.greatest("n_items", F.lit(0))).drop("x")
+    if sets == 1:
+        return texts.mapInArrow(run, f"doc_id {kind}, {_HITS}")
+    texts = texts.withColumn("print", F.xxhash64("text"))
+    words = texts.mapInArrow(run, f"doc_id {kind}, {_HITS}, print long").select("doc_id", "n_words", "print")
+    d, h = words.alias("d"), _hits(texts, indexes).alias("h")
+    joined = d.join(h, F.col("d.doc_id").eqNullSafe(F.col("h.doc_id")) & (F.col("d.print") == F.col("h.print")), "left")
+    none = {"n_hit": F.lit(0), "n_items": F.lit(0), "items": F.array().cast("array<string>"), "spans": F.array().cast(_SPANS)}
+    return joined.select("d.doc_id", "d.n_words", *[F.coalesce(F.col(f"h.{c}"), x).alias(c) for c, x in none.items()])
 
 
 def contaminated(n_hit: str = "n_hit", n_words: str = "n_words", share: int = 20):
@@ -202,12 +199,12 @@ def _cut(batch: pa.RecordBatch, found: dict[int, list], place: int, chars: int |
     return pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
 
-def _decontaminate_by_join(docs: DataFrame, wins: DataFrame, mode: str, share: int, text_col: str) -> DataFrame:
+def _decontaminate_by_sets(docs: DataFrame, indexes: Iterator[_Index], mode: str, share: int, text_col: str) -> DataFrame:
     own = F.col("doc_id") if "doc_id" in docs.columns else F.lit(None).cast("long")
-    texts = docs.select(own.alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    _, hits = _joined(texts, wins, texts.schema["doc_id"].dataType.simpleString())
-    found = hits.select(F.col("doc_id").alias("__id"), F.col("text_print").alias("__print"), "n_words", F.size("covered").alias("n_hit"), F.col("spans").alias("__spans"))
-    same = own.eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(f"`{text_col}`")) == F.col("__print"))
+    print_ = F.xxhash64(F.col(f"`{text_col}`"))
+    hits = _hits(docs.select(own.alias("doc_id"), F.col(f"`{text_col}`").alias("text"), print_.alias("print")), indexes)
+    found = hits.select(F.col("doc_id").alias("__id"), F.col("print").alias("__print"), "n_words", "n_hit", F.col("spans").alias("__spans"))
+    same = own.eqNullSafe(F.col("__id")) & (print_ == F.col("__print"))
     if mode == "document":
         return docs.join(found.filter(contaminated(share=share)).select("__id", "__print"), same, "left_anti")
     place, width = docs.columns.index(text_col), len(docs.columns)
@@ -231,15 +228,16 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "document",
     """The documents, all columns as they were, without contaminated ones (``document``) or without hit words (``span``).
 
     In mode ``span`` what stands between the first and last hit word of each span goes, and an ``n_chars`` column
-    is counted again. Above ``broadcast_windows`` the same rows are judged or cut by a join on ``doc_id`` (where there is
-    one) and the text's fingerprint.
+    is counted again. Where the windows need several broadcasts, rows are judged or cut by the hits of all scans,
+    joined on ``doc_id`` (where there is one) and the text's fingerprint.
     """
     if mode not in ("document", "span"):
         raise ValueError(f"mode must be document or span, not {mode}")
     wins = item_windows(benchmark, n, item_col, item_text_col)
-    if wins.limit(broadcast_windows + 1).count() > broadcast_windows:
-        return _decontaminate_by_join(docs, wins, mode, share, text_col)
-    index = docs.sparkSession.sparkContext.broadcast(_Index([tuple(r) for r in wins.collect()]))
+    sets, indexes = _indexes(wins, broadcast_windows)
+    if sets > 1:
+        return _decontaminate_by_sets(docs, indexes, mode, share, text_col)
+    index = docs.sparkSession.sparkContext.broadcast(next(indexes))
     place = docs.columns.index(text_col)
     chars = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 

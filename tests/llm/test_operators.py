@@ -145,7 +145,7 @@ def brute_hits(texts, items, n=13):
     return out
 
 
-@pytest.mark.parametrize("broadcast", [10_000, 1])
+@pytest.mark.parametrize("broadcast", [10_000, 40])
 def test_contamination_equals_brute_force(spark, docs, none, texts, broadcast):
     items = [(1, " ".join(words(texts[0])[2:30])), (10, "ONE"), (2, "Two words"), (3, None), (4, ""), (None, texts[6]), (1, "Two words")]
     bench = spark.createDataFrame(items, "item_id long, text string")

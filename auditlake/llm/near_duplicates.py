@@ -3,22 +3,26 @@
 A document's set holds its distinct ``k``-word shingles; two documents link when their Jaccard similarity is at
 least ``num / den``. The join works on distinct sets (exact copies share one), in these steps:
 
-1. one scan gives each document's set fingerprint and size and a few minhashes;
+1. one scan gives each document's set fingerprint and size, a few minhashes, and its shingles as a row of bits (four or
+   more bits a shingle; a bit that one set has and another has not is a shingle that they do not share);
 2. sets that share a minhash are compared with one leading set of that bucket (that of most copies); verified links
    join them to components early, so that a large group of copies costs one comparison per member;
-3. two linked sets of sizes x and y differ in at most ``d = (x + y)(den - num)/(den + num)`` shingles. Shingles are
-   dealt by hash into somewhat more than d parts, as many for all sets of a size class, so that linked sets agree
-   in some whole part. Sets that share a part, directly or by others, form a *family*; links stay within families.
-   (A passage that many documents share makes no family: its shingles are dealt among all the others.)
-4. each family is partitioned into *groups* of similar members and bounded size. The token-group matrix is the union
-   of each group's shingles: a query set whose overlap with a group's union is under ``n num / den`` cannot link to
-   any member, and the group stays shut to it;
-5. only qualifying queries open a group: their overlaps with its members are counted exactly, as a product of
-   incidence matrices over the shingles that both sides hold. Pairs of groups that step 2 has put into one
-   component as a whole, or whose sizes cannot fit, are left out.
-
-Links are reported as long as they connect what was apart in a pair of groups; their components are those of all
-links. Bit sets, families and groups bear on cost alone.
+3. *groups* of similar sets: each early component, cut to bounded size; every other set is a group of its own. The
+   token-group matrix holds the union of each group's shingles, as bits;
+4. shingles are ordered globally, those that many sets hold last (their counts are gathered in bounded summaries; any
+   fixed order is exact). A set of n shingles can only link to a group that holds one of its first
+   ``n - ceil(n num / den) + 1`` shingles among those of a member, so only such queries meet the group's row of the
+   matrix, and only groups of another early component, whose sizes fit;
+5. a query whose overlap with a group's union is bounded under ``n num / den`` cannot link to any member: the group
+   stays shut to it;
+6. qualifying queries open the group: their shingles meet those of its members, and overlaps are counted exactly.
+
+Links are reported as long as they connect: one for each query and group. Their components are those of all links.
+Minhashes, groups and the order of shingles bear on cost alone. Work grows with the square of a number of sets only
+where that many are similar without being linked early.
+
+A key that very many rows share is split: queries of a group are dealt by salts, members of a bucket too; rows of one
+shingle that many sets have in common are joined by component, not by set, and skewed joins are left to AQE.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased; with fewer than k words the whole sequence is one shingle.
 Defined cases: null or empty texts, and texts without words, have an empty set and link with nothing; a null id
@@ -35,12 +39,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..operators.graph import connected_components
-from ..shared import materialize
+from ..shared import discard, materialize
 from . import _text as T
 from ._bits import bit_set, in_bits
 
 HASHES = 4
-GROUP_SHINGLES, LEAST_WEIGHT = 1_200_000, 600  # a group's shingles, and what a small set counts for at least
+GROUP_SHINGLES, LEAST_WEIGHT = 300_000, 600  # a group's shingles, and what a small set counts for at least
+HEAVY, HEAVY_A_TASK = 1 << 20, 1 << 17  # shingles that come last in the global order, and how many of them a task may name
+QUERIES_A_SALT = 2000
 _SEEDS = np.random.Generator(np.random.PCG64(11)).integers(0, 2**63, HASHES, dtype=np.uint64)
 _SEED2 = np.uint64(0x5851F42D4C957F2D)
 
@@ -65,32 +71,41 @@ def _minima(tokens: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
+def _bit_rows(tokens: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+    """Each row's shingles as bits; their number is a power of two, four times that of the shingles or more."""
+    size = np.diff(offsets)
+    width = np.left_shift(1, np.maximum(np.ceil(np.log2(np.maximum(size, 1) * 4)), 6).astype(np.int64))
+    row = np.repeat(np.arange(len(size)), size)
+    begin = np.cumsum(width // 8) - width // 8
+    bit = (tokens >> np.uint64(13)).astype(np.int64) & (width - 1)[row]
+    flat = np.zeros(int((width // 8).sum()), np.uint8)
+    np.bitwise_or.at(flat, begin[row] + (bit >> 3), np.left_shift(1, bit & 7).astype(np.uint8))
+    raw = flat.tobytes()
+    return [raw[a : a + w] for a, w in zip(begin.tolist(), (width // 8).tolist(), strict=True)]
+
+
+def _fold(bits: np.ndarray, width: int) -> np.ndarray:
+    """The same set's row at a smaller power of two."""
+    return np.bitwise_or.reduce(bits.reshape(-1, width), axis=0)
+
+
+def _most_common(x: np.ndarray, n: int, y: np.ndarray) -> int:
+    """How many of the n shingles behind bits x those behind bits y can hold at most."""
+    width = min(len(x), len(y))
+    return n - int(np.bitwise_count(_fold(x, width) & ~_fold(y, width)).sum())
+
+
 def _base(texts: DataFrame, k: int, id_type: str) -> DataFrame:
-    """``id, n, node, minima``: size, set fingerprint and minhashes of every row."""
+    """``id, n, node, minima, bits``: size, set fingerprint, minhashes and bits of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in T.slices(batches):
             tokens, offsets, node = _sets(batch, k)
             low = T.signed(_minima(tokens, offsets))
             minima = pa.ListArray.from_arrays(pa.array(np.arange(0, len(batch) * HASHES + 1, HASHES, dtype=np.int32)), pa.array(low.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets)), pa.array(T.signed(node)), minima], names=["id", "n", "node", "minima"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets)), pa.array(T.signed(node)), minima, pa.array(_bit_rows(tokens, offsets), pa.binary())], names=["id", "n", "node", "minima", "bits"])
 
-    return texts.mapInArrow(run, f"id {id_type}, n long, node long, minima array<long>")
-
-
-def size_classes(num: int, den: int, most: int = 1 << 40) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Least size of each class, its number of parts, and how many of them exceed the greatest difference.
-
-    The larger of two linked sets is in the class of the smaller or in the next, so every set is dealt twice.
-    """
-    least, parts, spare = [1], [], []
-    while least[-1] <= most:
-        top = least[-1] * den // num
-        differ = (top + top * den // num) * (den - num) // (den + num)
-        spare.append(4 + top // 100)
-        parts.append(differ + spare[-1])
-        least.append(top + 1)
-    return np.array(least[:-1]), np.array(parts), np.array(spare)
+    return texts.mapInArrow(run, f"id {id_type}, n long, node long, minima array<long>, bits binary")
 
 
 def _tokens_of(texts: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
@@ -110,20 +125,22 @@ def _tokens_of(texts: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     return found.groupBy("node").agg(F.first("tokens").alias("tokens"))
 
 
+def _salt(node: str, salts) -> F.Column:
+    return F.pmod(F.xxhash64(node), salts).cast("int")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Those (a, b) whose sets reach the similarity; both sets are looked up in ``sets``."""
+    """Those (a, b) whose sets reach the similarity; a leading set b is looked up once for each of its salts."""
     with_a = pairs.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("ta")), "a")
-    with_both = with_a.join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("tb")), "b").select("a", "b", "ta", "tb")
+    leading = pairs.select("b", "salt").distinct().join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("tb")), "b")
+    with_both = with_a.join(leading, ["b", "salt"]).select("a", "b", "ta", "tb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = np.concatenate([x, y])
-                both.sort()
-                same = int((both[1:] == both[:-1]).sum())
-                if den * same >= num * (len(x) + len(y) - same):
+                if _similar(_common(x, y), len(x), len(y), num, den):
                     keep.append(i)
             keep = pa.array(keep, pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep)], names=["a", "b"])
@@ -131,167 +148,229 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     return with_both.mapInArrow(run, "a long, b long")
 
 
-def _parts(tokens: np.ndarray, offsets: np.ndarray, node: np.ndarray, least: np.ndarray, parts: np.ndarray, spare: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Fingerprints of the parts that can join sets to families, and the node of each.
-
-    Linked sets agree in ``spare`` parts at least. Empty parts are alike in all sets and parts of one shingle alike in
-    many, so they count only in sets that have ``spare`` such parts or more: in all others, some part of several
-    shingles is among those that agree. Sets with as many empty parts (hardly any) share one more part.
-    """
-    size = np.diff(offsets)
-    rows = np.flatnonzero(size)
-    held = np.repeat(rows, size[rows])
-    mixed = T.mix(tokens * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
-    low, high = (mixed & np.uint64(0xFFFFFFFF)).astype(np.float64), (mixed >> np.uint64(32)).astype(np.float64)
-    own = np.searchsorted(least, size, "right") - 1
-    keys, nodes = [], []
-    for cls in (own, own - 1):
-        live = (size > 0) & (cls >= 0)
-        m = np.where(live, parts[np.maximum(cls, 0)], 0)
-        base = np.cumsum(m) - m
-        use = live[held]
-        cell = base[held[use]] + (tokens[use] % m[held[use]].astype(np.uint64)).astype(np.int64)
-        total = int(m.sum())
-        a, b = (np.bincount(cell, w[use], total).astype(np.uint64) for w in (low, high))
-        count = np.bincount(cell, minlength=total)
-        row, place = T.ragged(m)
-        label = (cls[row].astype(np.uint64) << np.uint64(40)) + place.astype(np.uint64)
-        key = T.mix(T.mix((a + (b << np.uint64(32))) ^ T.mix(label + np.uint64(7))) + count.astype(np.uint64))
-        enough = spare[np.maximum(cls, 0)]
-        thin = np.bincount(row[count < 2], minlength=len(m)) >= enough
-        odd = np.flatnonzero(live & (np.bincount(row[count == 0], minlength=len(m)) >= enough))
-        keep = (count > 1) | ((count == 1) & thin[row])
-        keys += [key[keep], T.mix(cls[odd].astype(np.uint64) ^ np.uint64(0xABCDEF123))]
-        nodes += [node[row[keep]], node[odd]]
-    return np.concatenate(keys), np.concatenate(nodes)
-
-
-def _family_links(texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """``a, b``: sets that share a part, each with one other of that part, so that components are families.
-
-    Each batch joins its own sets first and sends a part once, so a part that very many sets share reaches its task
-    as one row a batch.
-    """
-    classes = size_classes(num, den)
+def _common(x: np.ndarray, y: np.ndarray) -> int:
+    """How many values two ascending sets share."""
+    both = np.concatenate([x, y])
+    both.sort(kind="stable")
+    return int((both[1:] == both[:-1]).sum())
 
-    def rows(part: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(T.signed(x)) for x in (part, a, b)], names=["part", "a", "b"])
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in T.slices(batches):
-            part, node = _parts(*_sets(batch, k), *classes)
-            order = np.argsort(part, kind="stable")
-            part, node = part[order], node[order]
-            fresh = np.ones(len(part), bool)
-            fresh[1:] = part[1:] != part[:-1]
-            head = node[np.flatnonzero(fresh)[np.cumsum(fresh) - 1]]
-            yield rows(part[fresh], node[fresh], node[fresh])
-            own = np.unique(np.stack([node, head], 1)[node != head], axis=0)
-            yield rows(T.mix(own[:, 0] ^ T.mix(own[:, 1])), own[:, 0], own[:, 1])
-
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, first = None, 0  # the part at hand and its first set
-        for batch in batches:
-            part, a, b = (c.to_numpy() for c in batch.columns)
-            linked = a != b
-            la, lb = a[linked], b[linked]
-            part, a = part[~linked], a[~linked]
-            if len(part):
-                fresh = np.ones(len(part), bool)
-                fresh[1:] = part[1:] != part[:-1]
-                fresh[0] = last is None or part[0] != last
-                at = np.cumsum(fresh) - 1
-                heads = np.append(a[fresh], first)  # index -1: the part that the batch before began
-                head = heads[at]
-                last, first = part[-1], head[-1]
-                la, lb = np.concatenate([la, a[a != head]]), np.concatenate([lb, head[a != head]])
-            pairs = np.unique(np.stack([la, lb], 1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
-
-    dealt = texts.mapInArrow(deal, "part long, a long, b long").repartition("part").sortWithinPartitions("part")
-    return dealt.mapInArrow(join, "a long, b long")
-
-
-def _overlaps(left: list[np.ndarray], right: list[np.ndarray], vocabulary: np.ndarray) -> np.ndarray:
-    """How many tokens each set on the left has in common with each on the right; all common ones are in the vocabulary."""
-
-    def incidence(sets: list[np.ndarray], words: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(sets), len(words)), np.float32)
-        for i, x in enumerate(sets):
-            at = np.minimum(np.searchsorted(words, x), len(words) - 1)
-            out[i, at[words[at] == x]] = 1
-        return out
-
-    total = np.zeros((len(left), len(right)))
-    for at in range(0, len(vocabulary), 4096):
-        words = vocabulary[at : at + 4096]
-        total += incidence(left, words) @ incidence(right, words).T
-    return total.astype(np.int64)
-
-
-def _open_groups(num: int, den: int):
-    """For one pair of groups: the queries that the matrix lets through, then their exact links, as far as they connect."""
-
-    def run(table: pa.Table) -> pa.Table:
-        side, node = table.column("side").to_numpy(), table.column("node").to_numpy()
-        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("tokens")]
-        a, b = np.flatnonzero(side != 1), np.flatnonzero(side != 0)  # side 2: the group meets itself
-        union = lambda rows: np.unique(np.concatenate([sets[i] for i in rows]))
-        same = len(a) == len(b) == len(side)
-        of_a = union(a)
-        of_b = of_a if same else union(b)
-
-        def qualify(rows: np.ndarray, matrix: np.ndarray) -> np.ndarray:
-            ok = []
-            for i in rows:
-                at = np.minimum(np.searchsorted(matrix, sets[i]), len(matrix) - 1)
-                ok.append(den * int((matrix[at] == sets[i]).sum()) >= num * len(sets[i]))
-            return rows[np.array(ok, bool)]
-
-        qa, qb = (a, b) if same else (qualify(a, of_b), qualify(b, of_a))
-        out: list[tuple[int, int]] = []
-        if len(qa) and len(qb):
-            left, right = [sets[i] for i in qa], [sets[i] for i in qb]
-            if same:
-                words, count = np.unique(np.concatenate(left), return_counts=True)
-                words = words[count > 1]
-            else:
-                words = np.intersect1d(np.concatenate(left), np.concatenate(right))
-            over = _overlaps(left, right, words)
-            na, nb = np.array([len(x) for x in left]), np.array([len(x) for x in right])
-            linked = den * over >= num * (na[:, None] + nb[None] - over)
-            top = {int(i): int(i) for i in (*qa, *qb)}
-
-            def find(x: int) -> int:
-                while top[x] != x:
-                    top[x] = x = top[top[x]]
-                return x
-
-            for i, j in zip(*np.nonzero(linked), strict=True):
-                x, y = find(int(qa[i])), find(int(qb[j]))
-                if x != y:
-                    top[max(x, y)] = min(x, y)
-                    out.append((int(node[qa[i]]), int(node[qb[j]])))
-        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+def _similar(same, x, y, num: int, den: int):
+    return den * same >= num * (x + y - same)
 
-    return run
 
+def _heavy(texts: DataFrame, k: int) -> np.ndarray:
+    """Shingles that many sets hold, rarest first: at most HEAVY of them, from bounded summaries of all tasks."""
 
-def _grouped(members: DataFrame) -> DataFrame:
-    """Adds ``grp``: each family cut by running weight, in the order of early component and size.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        token, count = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        for batch in T.slices(batches):
+            tokens, offsets, node = _sets(batch, k)
+            _, once = np.unique(node, return_index=True)
+            use = np.zeros(len(node), bool)
+            use[once] = True
+            fresh, times = np.unique(tokens[np.repeat(use, np.diff(offsets))], return_counts=True)
+            fresh, times = fresh[times > 1], times[times > 1]
+            token, inverse = np.unique(np.concatenate([token, fresh]), return_inverse=True)
+            count = np.bincount(inverse, np.concatenate([count, times]), len(token)).astype(np.int64)
+            if len(token) > HEAVY_A_TASK:
+                top = np.sort(np.argpartition(-count, HEAVY_A_TASK)[:HEAVY_A_TASK])
+                token, count = token[top], count[top]
+        yield pa.RecordBatch.from_arrays([pa.array(T.signed(token)), pa.array(count)], names=["token", "times"])
+
+    found = texts.mapInArrow(run, "token long, times long").groupBy("token").agg(F.sum("times").alias("times"))
+    top = found.orderBy(F.desc("times"), "token").limit(HEAVY).toArrow().column(0).to_numpy()
+    return np.ascontiguousarray(top[::-1]).view(np.uint64)
+
+
+class _Order:
+    """The global order of shingles: by value, but for heavy ones, which come last, rarest first."""
+
+    def __init__(self, heavy: np.ndarray) -> None:
+        self.rank = np.argsort(heavy, kind="stable")
+        self.heavy = heavy[self.rank]
+
+    def prefixes(self, tokens: np.ndarray, offsets: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+        """(rows, shingles): each row's first ``n - ceil(n num / den) + 1`` in this order."""
+        size = np.diff(offsets)
+        row = np.repeat(np.arange(len(size)), size)
+        wanted = np.where(size > 0, size + (-num * size // den) + 1, 0)
+        if len(self.heavy) and len(tokens):
+            at = np.minimum(np.searchsorted(self.heavy, tokens), len(self.heavy) - 1)
+            last = self.heavy[at] == tokens
+        else:
+            at, last = np.zeros(len(tokens), np.int64), np.zeros(len(tokens), bool)
+        light = np.zeros(len(tokens) + 1, np.int64)
+        np.cumsum(~last, out=light[1:])
+        place = light[:-1] - light[offsets[:-1]][row]
+        first = ~last & (place < wanted[row])
+        short = wanted - (light[offsets[1:]] - light[offsets[:-1]])
+        rest = np.flatnonzero(last & (short[row] > 0))
+        rest = rest[np.lexsort((self.rank[at[rest]], row[rest]))]
+        _, begin, many = np.unique(row[rest], return_index=True, return_counts=True)
+        rest = rest[(np.arange(len(rest)) - np.repeat(begin, many)) < short[row[rest]]]
+        keep = np.concatenate([np.flatnonzero(first), rest])
+        return row[keep], tokens[keep]
+
+
+def _postings(texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """``token, node``: the leading shingles of all sets, less those that one set alone leads with.
+
+    Heavy shingles are known to have several sets, so they are not gathered by shingle at all.
+    """
+    heavy = _heavy(texts, k)
+    order = texts.sparkSession.sparkContext.broadcast(_Order(heavy))
 
-    The order is dealt by ranges, so a family of any size runs over many tasks; a window over a whole family sees
-    one row per range.
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in T.slices(batches):
+            tokens, offsets, node = _sets(batch, k)
+            row, token = order.value.prefixes(tokens, offsets, num, den)
+            _, once = np.unique(node, return_index=True)
+            use = np.isin(row, once)
+            row, token = row[use], token[use]
+            names = order.value.heavy
+            at = np.minimum(np.searchsorted(names, token), max(len(names) - 1, 0))
+            split = np.where(names[at] == token, node[row] % np.uint64(1 << 16), 0) if len(names) else np.zeros(len(token))
+            yield pa.RecordBatch.from_arrays([pa.array(T.signed(token)), pa.array(split.astype(np.int32)), pa.array(T.signed(node[row])), pa.array(names[at] == token if len(names) else np.zeros(len(token), bool))], names=["token", "split", "node", "heavy"])
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None  # the row before: its shingle, its set, and whether it has been passed on
+        for batch in batches:
+            if not len(batch):
+                continue
+            token, node = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            heavy = batch.column(3).to_numpy(zero_copy_only=False)
+            if last is not None:
+                token, node, heavy = np.append(last[0], token), np.append(last[1], node), np.append(last[3], heavy)
+            again = np.zeros(len(token), bool)
+            again[1:] = (token[1:] == token[:-1]) & (node[1:] == node[:-1])
+            run = np.zeros(len(token), bool)
+            run[1:] = token[1:] == token[:-1]
+            several = np.zeros(len(token), bool)  # another set with this shingle stands beside it
+            several[1:] |= run[1:] & ~again[1:]
+            several[:-1] |= run[1:] & ~again[1:]
+            start = np.flatnonzero(~run)
+            several = np.logical_or.reduceat(several, start)[np.cumsum(~run) - 1] | heavy
+            done = last is not None and last[2]
+            if done:  # its run has several sets
+                several[: start[1] if len(start) > 1 else len(several)] = True
+            out = several & ~again
+            if done:
+                out[0] = False
+            # The last row waits for the next batch unless its run is known to have several sets.
+            last = (token[-1:], node[-1:], bool(several[-1]), heavy[-1:])
+            if not last[2]:
+                out[-1] = False
+            yield pa.RecordBatch.from_arrays([pa.array(token[out]), pa.array(node[out])], names=["token", "node"])
+
+    dealt = texts.mapInArrow(deal, "token long, split int, node long, heavy boolean")
+    return dealt.repartition("token", "split").sortWithinPartitions("token", "node").mapInArrow(shared, "token long, node long")
+
+
+def _grouped(sets: DataFrame, early: DataFrame) -> DataFrame:
+    """``node, n, family, grp``: early components cut to groups by running weight, all other sets groups of one.
+
+    The order is dealt by ranges, so a component of any size runs over many tasks; a window over a whole component
+    sees one row per range.
     """
-    order = ["part_of", "n", "node"]
-    ranged = members.withColumn("weight", F.greatest("n", F.lit(LEAST_WEIGHT))).repartitionByRange("family", *order)
+    members = early.select("node", F.col("component").alias("family")).join(sets.select("node", "n"), "node")
+    order = ["family", "n", "node"]
+    ranged = members.withColumn("weight", F.greatest("n", F.lit(LEAST_WEIGHT))).repartitionByRange(*order)
     ranged = materialize(ranged.withColumn("range", F.spark_partition_id()), "near-ranges")
     before = Window.rowsBetween(Window.unboundedPreceding, -1)
     sums = ranged.groupBy("family", "range").agg(F.sum("weight").alias("sum"))
     sums = sums.select("family", "range", F.coalesce(F.sum("sum").over(before.partitionBy("family").orderBy("range")), F.lit(0)).alias("start"))
-    running = F.coalesce(F.sum("weight").over(before.partitionBy("family", "range").orderBy(*order)), F.lit(0))
+    running = F.coalesce(F.sum("weight").over(before.partitionBy("family", "range").orderBy("n", "node")), F.lit(0))
     cut = ranged.withColumn("running", running).join(sums, ["family", "range"])
-    return materialize(cut.withColumn("grp", F.floor((F.col("start") + F.col("running")) / GROUP_SHINGLES)).drop("weight", "range", "running", "start"), "near-members")
+    cut = cut.select("node", "n", "family", F.floor((F.col("start") + F.col("running")) / GROUP_SHINGLES).alias("grp"))
+    single = sets.join(early.select("node"), "node", "left_anti").select("node", "n", F.col("node").alias("family"), F.lit(0).cast("long").alias("grp"))
+    out = materialize(cut.unionByName(single), "near-groups")
+    discard(ranged)
+    return out
+
+
+def _candidates(postings: DataFrame, groups: DataFrame, num: int, den: int) -> DataFrame:
+    """``q, n, family, grp``: queries and groups of other components that lead with a common shingle and fit in size.
+
+    Components that meet in a shingle are paired first, the smaller one asking, so that a component's own members never
+    meet each other.
+    """
+    every = materialize(postings.join(groups, "node"), "near-held")
+    size = groups.groupBy("family").agg(F.count("*").alias("size")).filter("size > 1")
+    met = every.groupBy("token").agg(F.min("family").alias("x"), F.max("family").alias("y")).filter("x < y").select("token")
+    held = materialize(every.join(met, "token", "left_semi").join(size, "family", "left").withColumn("size", F.coalesce("size", F.lit(1))), "near-met")
+    # What each group's row of the matrix leads with, and the sizes of the members that do.
+    rows = held.groupBy("token", "family", "size", "grp").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    of = rows.groupBy("token", "family", "size").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    ask, give = (of.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("family", "size", "low", "high")]) for s in ("q", "g"))
+    fit = lambda a, b, c, d: (F.col(b) * den >= F.col(c) * num) & (F.col(d) * den >= F.col(a) * num)
+    pairs = ask.join(give, "token").filter(F.struct("size_q", "family_q") < F.struct("size_g", "family_g")).filter(fit("low_q", "high_q", "low_g", "high_g")).select("token", "family_q", "family_g")
+    asked = held.select("token", F.col("family").alias("family_q"), F.col("node").alias("q"), F.col("n").alias("nq")).join(pairs, ["token", "family_q"])
+    given = rows.select("token", F.col("family").alias("family_g"), "grp", "low", "high")
+    out = asked.join(given, ["token", "family_g"]).filter(fit("nq", "nq", "low", "high"))
+    out = materialize(out.select("q", F.col("family_g").alias("family"), "grp").distinct(), "near-candidates")
+    discard(every, held)
+    return out
+
+
+def _dealt(asked: DataFrame, rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Rows of groups (``family, grp, node, tokens``) followed by the queries that meet each, dealt by salts and sorted."""
+    key = ["family", "grp"]
+    salts = asked.groupBy(*key).agg(F.ceil(F.count("*") / QUERIES_A_SALT).cast("int").alias("salts"))
+    head = rows.join(salts, key).select(*key, F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("side"), "node", "tokens")
+    tail = asked.join(salts, key).join(sets.select(F.col("node").alias("q"), "tokens"), "q").select(*key, _salt("q", F.col("salts")).alias("salt"), F.lit(1).alias("side"), F.col("q").alias("node"), "tokens")
+    return head.unionByName(tail).repartition(*key, "salt").sortWithinPartitions(*key, "salt", "side")
+
+
+def _bounded(pairs: DataFrame, num: int, den: int) -> DataFrame:
+    """The rows of ``pairs`` whose bits allow a link: those of a query (``n, bits``) against a set or group (``m, of``).
+
+    ``m`` is the size of a set, or null for a group of several.
+    """
+    places = [pairs.columns.index(c) for c in ("n", "bits", "m", "of")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for i, (n, x, m, y) in enumerate(zip(*(batch.column(c) for c in places), strict=True)):
+                n, m, x, y = n.as_py(), m.as_py(), np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8)
+                same = _most_common(x, n, y)
+                if den * same >= num * n and (m is None or _similar(min(same, _most_common(y, m, x)), n, m, num, den)):
+                    keep.append(i)
+            yield batch.take(pa.array(keep, pa.int32()))
+
+    return pairs.mapInArrow(run, pairs.schema).drop("n", "bits", "m", "of")
+
+
+def _opened(num: int, den: int):
+    """Streams a group's members, then its qualifying queries: gives one link for each query that has some."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nodes, sets, index = [], [], None
+        for batch in batches:
+            a, b = [], []
+            for side, own, tokens in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), batch.column(5), strict=True):
+                x = np.frombuffer(tokens.as_buffer(), np.uint64)
+                if side == 0:
+                    if index is not None:
+                        nodes, sets, index = [], [], None
+                    nodes.append(own)
+                    sets.append(x.copy())
+                    continue
+                if index is None:
+                    every, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+                    order = np.argsort(every, kind="stable")
+                    index, sizes = (every[order], owner[order]), np.array([len(s) for s in sets])
+                begin, end = np.searchsorted(index[0], x, "left"), np.searchsorted(index[0], x, "right")
+                row, step = T.ragged(end - begin)
+                same = np.bincount(index[1][begin[row] + step], minlength=len(sets))
+                linked = np.flatnonzero(_similar(same, len(x), sizes, num, den))
+                if len(linked):
+                    a.append(own)
+                    b.append(nodes[linked[0]])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return run
 
 
 def links(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -299,48 +378,64 @@ def links(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, id_col: str =
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     rows = materialize(_base(texts, k, texts.schema["id"].dataType.simpleString()), "near-base")
     live = texts.filter("id is not null")
-    sets = rows.filter("n > 0 and id is not null").groupBy("node").agg(F.first("n").alias("n"), F.count("*").alias("copies"), F.first("minima").alias("minima"))
+    sets = rows.filter("n > 0 and id is not null").groupBy("node").agg(F.first("n").alias("n"), F.count("*").alias("copies"), F.first("minima").alias("minima"), F.first("bits").alias("bits"))
     sets = materialize(sets, "near-sets")
 
     # Early components: sets that share a minhash, verified against that bucket's leading set.
     buckets = sets.select("node", "n", "copies", F.posexplode("minima").alias("j", "m"))
-    tops = buckets.groupBy("j", "m").agg(F.max(F.struct("copies", "node", "n")).alias("top"), F.min("node").alias("x"), F.max("node").alias("y")).filter("x < y")
-    stars = buckets.join(tops.select("j", "m", F.col("top.node").alias("b"), F.col("top.n").alias("nb")), ["j", "m"]).filter("node <> b")
+    tops = buckets.groupBy("j", "m").agg(F.max(F.struct("copies", "node", "n")).alias("top"), F.count("*").alias("size")).filter("size > 1")
+    stars = buckets.join(tops.select("j", "m", F.col("top.node").alias("b"), F.col("top.n").alias("nb"), F.ceil(F.col("size") / QUERIES_A_SALT).alias("salts")), ["j", "m"]).filter("node <> b")
     stars = stars.filter(F.col("n") * den >= F.col("nb") * num).filter(F.col("nb") * den >= F.col("n") * num)
-    stars = materialize(stars.select(F.col("node").alias("a"), "b").distinct(), "near-stars")
+    stars = stars.groupBy(F.col("node").alias("a"), "b").agg(F.max(_salt("node", F.col("salts"))).alias("salt"))
+    own, other = sets.select(F.col("node").alias("a"), "n", "bits"), sets.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("bits").alias("of"))
+    stars = materialize(_bounded(stars.join(own, "a").join(other, "b"), num, den), "near-stars")
     wanted = stars.select(F.col("a").alias("node")).unionByName(stars.select(F.col("b").alias("node"))).distinct()
     near = materialize(_verified(stars, _tokens_of(live, wanted, k), num, den), "near-verified")
     early = connected_components(near)
 
-    # Families: sets that share parts.
-    family = connected_components(_family_links(live, k, num, den))
-
-    # Groups: members in the order of early component and size, cut by weight.
-    members = family.withColumnRenamed("component", "family").join(sets.select("node", "n"), "node").join(early, "node", "left").select("node", "n", "family", F.coalesce("component", "node").alias("part_of"))
-    members = _grouped(members)
-    groups = members.groupBy("family", "grp").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("part_of").alias("x"), F.max("part_of").alias("y"))
-    left, right = (groups.select("family", *[F.col(c).alias(c + s) for c in ("grp", "low", "high", "x", "y")]) for s in ("1", "2"))
-    pairs = left.join(right, "family").filter("grp1 <= grp2").filter(F.col("high1") * den >= F.col("low2") * num).filter(F.col("high2") * den >= F.col("low1") * num)
-    pairs = materialize(pairs.filter("not (x1 = y1 and x2 = y2 and x1 = x2)").select("family", "grp1", "grp2"), "near-pairs")
-
-    # Open the groups that qualify.
-    with_sets = members.join(_tokens_of(live, members.select("node"), k), "node").select("family", "grp", "node", "tokens")
-    with_sets = materialize(with_sets, "near-tokens")
-    one = pairs.join(with_sets.withColumnRenamed("grp", "grp1"), ["family", "grp1"]).select("family", "grp1", "grp2", F.when(F.col("grp1") == F.col("grp2"), 2).otherwise(0).alias("side"), "node", "tokens")
-    two = pairs.filter("grp1 < grp2").join(with_sets.withColumnRenamed("grp", "grp2"), ["family", "grp2"]).select("family", "grp1", "grp2", F.lit(1).alias("side"), "node", "tokens")
-    found = one.unionByName(two).groupBy("family", "grp1", "grp2").applyInArrow(_open_groups(num, den), "a long, b long")
+    # Queries and the groups that they may link to, by leading shingles.
+    groups = _grouped(sets, early)
+    asked = _candidates(_postings(live, k, num, den), groups, num, den)
+
+    # The matrix: the union of each group's shingles.
+    given = groups.join(asked.select("family", "grp").distinct(), ["family", "grp"], "left_semi").join(sets.select("node", "bits"), "node")
+
+    def union(table: pa.Table) -> pa.Table:
+        rows = [np.frombuffer(x.as_buffer(), np.uint8) for x in table.column("bits")]
+        width = min(len(x) for x in rows)
+        every = np.bitwise_or.reduce([_fold(x, width) for x in rows])
+        size = table.column("n")[0].as_py() if len(rows) == 1 else None
+        return pa.table({"family": table.column("family")[:1], "grp": table.column("grp")[:1], "m": pa.array([size], pa.int64()), "of": pa.array([every.tobytes()], pa.binary())})
+
+    several = given.filter("node <> family or grp <> 0").select("family", "grp").distinct()
+    single = given.join(several, ["family", "grp"], "left_anti").select("family", "grp", F.col("n").alias("m"), F.col("bits").alias("of"))
+    unions = given.join(several, ["family", "grp"], "left_semi").select("family", "grp", "n", "bits").groupBy("family", "grp").applyInArrow(union, "family long, grp long, m long, of binary")
+    matrix = materialize(single.unionByName(unions), "near-matrix")
+
+    # Bound each query's overlap with the groups' unions, then open the groups that qualify.
+    queries = sets.select(F.col("node").alias("q"), "n", "bits")
+    bounded = materialize(_bounded(asked.join(queries, "q").join(matrix, ["family", "grp"]), num, den).select("q", "family", "grp"), "near-bounded")
+    members = groups.join(bounded.select("family", "grp").distinct(), ["family", "grp"], "left_semi").select("family", "grp", "node")
+    wanted = members.select("node").unionByName(bounded.select(F.col("q").alias("node"))).distinct()
+    tokens = materialize(_tokens_of(live, wanted, k), "near-tokens")
+    found = _dealt(bounded, members.join(tokens, "node"), tokens).mapInArrow(_opened(num, den), "a long, b long")
     documents = rows.select("id", "n", F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("node")).alias("node"))
-    return documents, materialize(near.unionByName(found), "near-links")
+    out = materialize(near.unionByName(found), "near-links")
+    discard(sets, stars, near, groups, asked, matrix, bounded, tokens)
+    return documents, out
 
 
 def near_duplicate_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id`` per document row: the least id reachable by links, itself included."""
     documents, found = links(docs, k, num, den, id_col, text_col)
-    parts = connected_components(found)
-    documents = documents.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node"))
+    return _with_components(documents, found).select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"))
+
+
+def _with_components(documents: DataFrame, found: DataFrame) -> DataFrame:
+    """Adds ``part``, the component of a row's set, and ``least``, the least id in it."""
+    documents = documents.join(connected_components(found), "node", "left").withColumn("part", F.coalesce("component", "node"))
     least = documents.filter("part is not null").groupBy("part").agg(F.min("id").alias("least"))
-    out = documents.join(least, "part", "left")
-    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"))
+    return documents.join(least, "part", "left")
 
 
 def one_of_each(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

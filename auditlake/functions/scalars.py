@@ -95,13 +95,23 @@ def strip_markup(text: Column | str) -> Column:
 
 
 def path_variants(path: Column | str) -> Column:
-    """The path, without leading ``./`` characters, with ``./``, and for absolute paths every trailing part."""
+    """The path first; without leading ``.`` and ``/``, without or with ``./``, and for absolute paths every trailing part."""
     path = col(path)
-    bare = F.regexp_replace(path, r"^[./]+", "")
-    parts = F.filter(F.split(path, "/"), lambda x: x != "")
+    bare, dotted = F.regexp_replace(path, r"^[./]+", ""), F.startswith(path, F.lit("./"))
+    other = F.when(dotted, F.substring(path, 3, 1 << 30)).otherwise(F.concat(F.lit("./"), path))
+    parts = F.split(F.regexp_replace(path, "^/+", ""), "/")
     n = F.size(parts)
-    tails = F.when(F.startswith(path, F.lit("/")) & (n > 0), F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(parts, i, n), "/"))).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.concat(F.array(path, bare, F.concat(F.lit("./"), bare)), tails))
+    tails = F.when(F.startswith(path, F.lit("/")), F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(parts, i, n), "/"))).otherwise(F.array().cast("array<string>"))
+    return F.filter(F.array_distinct(F.concat(F.array(path, bare, other), tails)), lambda x: x != "")
+
+
+#: What ends a line.
+LINE_END = r"\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029"
+
+
+def split_lines(text: Column | str) -> Column:
+    """The lines of a text, each with its line end; a last line may have none, an empty text has no lines."""
+    return F.regexp_extract_all(col(text), F.lit(rf"([^{LINE_END}]*(?:\r\n|[{LINE_END}])|[^{LINE_END}]+)"), F.lit(1))
 
 
 def glob_to_regex(glob: str) -> str:
@@ -169,6 +179,8 @@ def has_code_snippet(text: Column | str) -> Column:
 CONFIG_WORDS = "api key|apikey|api-key|密钥|钥匙|endpoint|api url|base url|接口|端点|budget|预算|额度|cost|成本|花费|费用|花了多少|多少钱"
 CONFIG_NOUNS = r"url|model|模型|\bmode\b|模式|profile|配置文件|config|settings|配置|设置"
 CONFIG_VERBS = "set|change|switch|update|use|configure|make it|show|open|改|换|设置|设成|调|切换|更新|配置成|用|显示|查看|打开"
+#: Words that ask for a list of models, for which no verb is needed.
+MODEL_WORDS, LIST_WORDS = "model|模型", "list|available|有哪些|列出|支持哪些"
 #: Request labels in order, the first match wins.
 REQUEST_LABELS = [
     ("dedup", "dedup|redundan|duplicate|duplication|dead code|重复|冗余|去重|死代码"),
@@ -184,7 +196,7 @@ def request_label(text: Column | str) -> Column:
     out = F.when(request_path(text).isNotNull(), "review").otherwise("capability")
     for label, pattern in reversed(REQUEST_LABELS):
         out = F.when(has(pattern), label).otherwise(out)
-    return F.when(has(CONFIG_WORDS) | (has(CONFIG_NOUNS) & has(CONFIG_VERBS)), "config").otherwise(out)
+    return F.when(has(CONFIG_WORDS) | (has(MODEL_WORDS) & has(LIST_WORDS)) | (has(CONFIG_NOUNS) & has(CONFIG_VERBS)), "config").otherwise(out)
 
 
 #: Shapes of paths (quoted file, Windows, network, absolute file, relative).

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.scalars import qualified_name
+from ..functions.scalars import qualified_name, split_lines
+from ..shared import materialize
 from .graph import connected_components
 
 #: The token pattern, alternatives in order (so === is read as == and =).
@@ -51,11 +52,16 @@ def fingerprint_functions(functions: DataFrame, min_tokens: int = MIN_TOKENS, k:
 
 
 def duplicate_groups(fps: DataFrame, min_size: int = 2) -> DataFrame:
-    """``structural_hash, n_members, representative, members``, largest first."""
-    groups = fps.groupBy("structural_hash").agg(F.count("*").alias("n_members"), F.min("id").alias("representative"), F.array_sort(F.collect_list("id")).alias("members")).filter(F.col("n_members") >= min_size)
+    """``structural_hash, n_members, representative``, largest first; the members are a table of their own."""
+    groups = fps.groupBy("structural_hash").agg(F.count("*").alias("n_members"), F.min("id").alias("representative")).filter(F.col("n_members") >= min_size)
     return groups.orderBy(F.desc("n_members"), "representative")
 
 
+def group_members(fps: DataFrame, groups: DataFrame) -> DataFrame:
+    """``structural_hash, representative, id``: a row per member, so that a group of any size is no single row."""
+    return fps.select("structural_hash", "id").join(groups.select("structural_hash", "representative"), "structural_hash").select("structural_hash", "representative", "id")
+
+
 def clone_stats(fps: DataFrame) -> DataFrame:
     sizes = fps.groupBy("structural_hash").agg(F.count("*").alias("n"))
     return sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("indexed"), F.count("*").alias("unique_structures"), F.count_if(F.col("n") > 1).alias("groups"), F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias("members"))
@@ -64,11 +70,13 @@ def clone_stats(fps: DataFrame) -> DataFrame:
 def near_duplicate_pairs(fps: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``left, right, similarity`` of all pairs of different structures with Jaccard at or above the threshold, exactly.
 
-    One representative per structure is joined (members follow by structural_hash). Prefix filter: shingles are
-    ordered rare first by how many structures hold them, and a pair shares one of the first n - ceil(tn) + 1 of each.
+    One representative per structure is joined (members follow by structural_hash), on 64-bit fingerprints of its
+    shingles, stored once. Prefix filter: shingles are ordered rare first by how many structures hold them, and a pair
+    shares one of the first n - ceil(tn) + 1 of each.
     """
-    one = fps.groupBy("structural_hash").agg(F.min("id").alias("id"), F.first("shingles").alias("shingles")).withColumn("n", F.size("shingles"))
-    flat = one.select("id", "n", F.explode("shingles").alias("s")).select("id", "n", F.xxhash64("s").alias("s"))
+    prints = F.transform("shingles", lambda s: F.xxhash64(s))
+    one = materialize(fps.select("structural_hash", "id", prints.alias("shingles")).groupBy("structural_hash").agg(F.min("id").alias("id"), F.first("shingles").alias("shingles")).withColumn("n", F.size("shingles")), "clone-sets")
+    flat = one.select("id", "n", F.explode("shingles").alias("s"))
     df = flat.groupBy("s").agg(F.count("*").alias("df")).filter("df > 1")
     ranked = flat.join(df, "s", "left").select("id", "n", "s", F.coalesce("df", F.lit(1)).alias("df")).withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("df", "s")))
     prefix = ranked.filter((F.col("r") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1) & (F.col("df") > 1))
@@ -99,7 +107,9 @@ def function_at(fps: DataFrame, points: DataFrame) -> DataFrame:
     return hit.groupBy("path", "line").agg(F.min_by("id", F.struct((F.col("b") - F.col("a")), "a", "id")).alias("id"))
 
 
-def dedup_patches(fps: DataFrame, groups: DataFrame) -> DataFrame:
-    """Patch ops that delete every member of a group but its representative."""
-    gone = fps.join(groups.select("structural_hash", "representative"), "structural_hash").filter("id <> representative")
-    return gone.select(F.concat(F.lit("dedup-"), F.substring("structural_hash", 1, 12)).alias("patchset_id"), (F.row_number().over(Window.partitionBy("structural_hash").orderBy("id")) - 1).alias("op_idx"), F.lit("delete_lines").alias("op_type"), F.col("path").alias("file_path"), "line_start", "line_end", F.concat(F.lit("duplicate of "), "representative").alias("reason"), F.lit(1.0).alias("confidence"))
+def dedup_patches(fps: DataFrame, groups: DataFrame, files: DataFrame) -> DataFrame:
+    """Patch sets of one op that delete every member of a group but its representative; files(path, content) give the old lines."""
+    gone = fps.join(groups.select("structural_hash", "representative"), "structural_hash").filter("id <> representative").join(files.select("path", "content"), "path", "left")
+    old = F.array_join(F.slice(split_lines("content"), F.greatest("line_start", F.lit(1)), F.greatest(F.col("line_end") - F.col("line_start") + 1, F.lit(0))), "")
+    none = F.lit(None).cast("string")
+    return gone.select(F.concat(F.lit("dedup-"), F.substring("structural_hash", 1, 12), F.lit("-"), F.substring(F.sha1(F.col("id").cast("string")), 1, 12)).alias("patchset_id"), F.lit(0).alias("op_idx"), F.lit("delete_lines").alias("op_type"), F.col("path").alias("file_path"), "line_start", "line_end", old.alias("old_content"), none.alias("new_content"), none.alias("new_path"), F.concat(F.lit("duplicate of "), "representative").alias("reason"), F.lit(1.0).alias("confidence"))

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.scalars import looks_like_error, max_line, path_variants
 
-PATH_ARGS = ["path", "file_path", "file"]
+#: The tool that reads files, and the arguments that may name one, in order.
+READER, PATH_ARGS = "read_file", ["relative_path", "path"]
 
 
 def pair_calls(calls: DataFrame, results: DataFrame) -> DataFrame:
@@ -18,22 +19,23 @@ def pair_calls(calls: DataFrame, results: DataFrame) -> DataFrame:
 
 
 def tool_facts(calls: DataFrame, results: DataFrame) -> DataFrame:
-    """``session, path, read, failed, max_line``: which files were read and up to which line."""
-    path = F.coalesce(*[F.try_element_at("args", F.lit(a)) for a in PATH_ARGS])
-    paired = pair_calls(calls, results).withColumn("path", path).filter("path is not null").withColumn("bad", looks_like_error("content"))
+    """``session, path, read, failed, max_line``: which files the reading tool was asked for, and up to which line it gave them."""
+    path = F.coalesce(*[F.nullif(F.try_element_at("args", F.lit(a)), F.lit("")) for a in PATH_ARGS])
+    paired = pair_calls(calls.filter(F.col("name") == READER), results).withColumn("path", path).filter("path is not null").withColumn("bad", looks_like_error("content"))
     return paired.groupBy("session", "path").agg(F.bool_or(~F.col("bad")).alias("read"), F.bool_and("bad").alias("failed"), F.max(F.when(~F.col("bad"), max_line("content"))).alias("max_line"))
 
 
 def ground(findings: DataFrame, facts: DataFrame, drop: bool = True, apply_to_static: bool = True) -> DataFrame:
     """Adds ``verdict`` (keep, downgrade, drop) and ``reason``; downgraded findings are lowered already.
 
-    A file never read, by any variant of its path: drop. A line beyond the last one read: downgrade. No evidence:
+    A file never read, by its path or a variant of it (the longest one decides): drop. A line beyond the last one read: downgrade. No evidence:
     drop. With ``drop`` false, what would be dropped is downgraded.
     """
     ids = findings.withColumn("_f", F.xxhash64("session", "file_path"))
     wanted = ids.select("_f", "session", "file_path").distinct()
-    known = facts.filter("read").select("session", F.explode(path_variants("path")).alias("v"), "max_line").groupBy("session", "v").agg(F.max("max_line").alias("max_line"))
-    matched = wanted.withColumn("v", F.explode(path_variants("file_path"))).join(known, ["session", "v"]).groupBy("_f", "session", "file_path").agg(F.max("max_line").alias("seen_to"), F.lit(True).alias("was_read"))
+    known = facts.filter("read").select("session", F.col("path").alias("v"), "max_line")
+    first = F.when(F.col("max_line") > 0, F.struct((F.col("v") == F.col("file_path")).alias("same"), F.length("v").alias("n"), "v"))
+    matched = wanted.withColumn("v", F.explode(path_variants("file_path"))).join(known, ["session", "v"]).groupBy("_f", "session", "file_path").agg(F.max_by("max_line", first).alias("seen_to"), F.lit(True).alias("was_read"))
     out = ids.join(matched, ["_f", "session", "file_path"], "left").drop("_f")
     missing = F.lit("drop" if drop else "downgrade")
     exempt = F.lit(False) if apply_to_static else F.coalesce(F.col("detected_by") == "static", F.lit(False))

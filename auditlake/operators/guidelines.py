@@ -6,9 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-CHUNK, TOP, MOST, DIM = 1000, 5, 20, 256
+from ..shared import materialize
+from .clones import let
+
+CHUNK, TOP, MOST, DIM, QUERY_BLOCK = 1000, 5, 20, 256, 4096
 
 
 def split_sections(docs: DataFrame) -> DataFrame:
@@ -84,13 +87,22 @@ def cosine(a: Column | str, b: Column | str) -> Column:
 
 
 def search(chunks: DataFrame, queries: DataFrame, k: int = TOP, id_col: str = "chunk_id", query_id: str = "query_id") -> DataFrame:
-    """The k (1 to 20) most similar chunks of each query (query_id, embedding); queries are a small stated set, broadcast.
+    """The k (1 to 20) most similar chunks of each query (query_id, embedding).
 
-    Each task keeps its own k best per query before the shuffle (the rank filter is pushed below it).
+    Queries are a stated set, broadcast in blocks of QUERY_BLOCK at most. Vectors are brought to unit length once; each
+    task keeps its own k best per query before the shuffle (the rank filter is pushed below it).
     """
     k = max(1, min(MOST, k))
-    q = queries.select(query_id, F.col("embedding").alias("_q"))
-    scored = chunks.select(id_col, "embedding").join(F.broadcast(q)).select(query_id, id_col, cosine("embedding", "_q").alias("score")).filter("score is not null")
+    unit = lambda c: let(F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))), lambda n: F.when(n > 0, F.transform(c, lambda x: x.cast("double") / n)))
+    asked = queries.select(query_id, unit("embedding").alias("_q")).filter("_q is not null")
+    given = chunks.select(id_col, unit("embedding").alias("_v")).filter("_v is not null")
+    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    score = F.aggregate(F.zip_with("_v", "_q", lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
+    scored = None
+    for i in range(blocks):
+        own = asked.filter(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == i)
+        part = given.join(F.broadcast(own)).select(query_id, id_col, score.alias("score")).filter("score is not null")
+        scored = part if scored is None else scored.unionByName(part)
     rank = F.row_number().over(Window.partitionBy(query_id).orderBy(F.desc("score"), id_col))
     return scored.withColumn("rank", rank).filter(F.col("rank") <= k)
 
@@ -102,8 +114,6 @@ def write_index(chunks: DataFrame, path: str) -> None:
 
 def replace_sources(chunks: DataFrame, path: str) -> None:
     """Delete-by-source and append: only the touched hash partitions are written again."""
-    from ..shared import materialize
-
     spark = chunks.sparkSession
     fresh = chunks.withColumn("source_hash", F.pmod(F.xxhash64("source"), F.lit(64)))
     touched = [r[0] for r in fresh.select("source_hash").distinct().collect()]  # 64 at most
@@ -112,5 +122,16 @@ def replace_sources(chunks: DataFrame, path: str) -> None:
     out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source_hash").parquet(path)
 
 
+def delete_source(spark: SparkSession, path: str, source: str) -> None:
+    """Take a source's chunks out of the index; only its hash partition is written again."""
+    held = spark.read.parquet(path).filter(F.col("source_hash") == F.pmod(F.xxhash64(F.lit(source)), F.lit(64)))
+    out = materialize(held.filter(F.col("source") != source), "index")
+    if out.isEmpty():  # an overwrite without rows would leave the partition as it is
+        out = materialize(spark.read.parquet(path).filter(F.col("source") != source), "index")
+        out.write.mode("overwrite").partitionBy("source_hash").parquet(path)
+    else:
+        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source_hash").parquet(path)
+
+
 def list_sources(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("source").agg(F.count("*").alias("n_chunks"))

@@ -6,6 +6,7 @@ version directory; ``current`` names the latest complete one.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.scalars import finding_fingerprint, line_hash
@@ -73,15 +74,25 @@ def lookup(history: DataFrame, fingerprint: str) -> DataFrame:
     return history.filter(F.col("fingerprint") == fingerprint)
 
 
-def current(spark: SparkSession, root: str) -> DataFrame:
-    """The latest complete version under a root, or an empty history."""
+def latest_version(spark: SparkSession, root: str) -> int:
+    """The latest complete version under a root; 0 before the first write."""
     try:
-        versions = spark.read.text(f"{root}/_versions").agg(F.max(F.col("value").cast("long"))).first()[0]
-    except Exception as e:  # the pointer does not exist before the first write
-        if "PATH_NOT_FOUND" not in str(e):
+        return spark.read.text(f"{root}/_versions").agg(F.max(F.col("value").cast("long"))).first()[0] or 0
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        versions = None
-    return spark.createDataFrame([], HISTORY) if versions is None else spark.read.schema(HISTORY).parquet(f"{root}/v={versions}")
+        return 0
+
+
+def current(spark: SparkSession, root: str) -> DataFrame:
+    """The latest complete version under a root, or an empty history."""
+    version = latest_version(spark, root)
+    return spark.read.schema(HISTORY).parquet(f"{root}/v={version}") if version else spark.createDataFrame([], HISTORY)
+
+
+def clear(spark: SparkSession, root: str) -> None:
+    """Go on from an empty history, as a version of its own."""
+    publish(spark.createDataFrame([], HISTORY), root, latest_version(spark, root) + 1)
 
 
 def publish(history: DataFrame, root: str, version: int) -> None:

@@ -1,16 +1,18 @@
 """Patch sets over versioned file tables: check, apply, snapshot, undo.
 
 ``files(path, content)``; ``patch_ops(patchset_id, op_idx, op_type, file_path, line_start, line_end, old_content,
-new_content, new_path, reason)`` with op_type edit, delete_lines, create, delete or rename.
+new_content, new_path, reason)`` with an op_type of OP_TYPES. A set applies as a whole or not at all.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.scalars import lenient
+from ..functions.scalars import lenient, split_lines
 from .history import retain_newest
 
+#: What an op can do.
+OP_TYPES = ["edit", "delete_lines", "delete_file", "create_file", "rename"]
 MAX_SNAPSHOT = 1 << 20
 
 
@@ -18,25 +20,61 @@ def escapes(path):
     return F.startswith(path, F.lit("/")) | F.regexp_like(path, F.lit(r"(?:^|/)\.\.(?:/|$)"))
 
 
-def can_apply(ops: DataFrame, files: DataFrame) -> DataFrame:
-    """``patchset_id, ok, reason``: the first failing op's reason; a set is good if no op fails."""
+def _reasons(ops: DataFrame, files: DataFrame) -> DataFrame:
+    """The ops with ``why``: what hinders each by itself, against the files as they are."""
     source = files.select(F.col("path").alias("file_path"), F.col("content").alias("_c"))
     target = files.select(F.col("path").alias("new_path"), F.lit(True).alias("_taken"))
     rows = ops.join(source, "file_path", "left").join(target, "new_path", "left")
-    lines = F.split("_c", "\n")
-    region = F.array_join(F.slice(lines, F.greatest("line_start", F.lit(1)), F.greatest(F.col("line_end") - F.col("line_start") + 1, F.lit(0))), "\n")
-    edits, there = F.col("op_type").isin("edit", "delete_lines"), F.col("_c").isNotNull()
-    reason = (
-        F.when(escapes(F.col("file_path")) | F.coalesce(escapes(F.col("new_path")), F.lit(False)), "path escapes the root")
-        .when((F.col("op_type") == "create") & there, "file exists already")
-        .when((F.col("op_type") != "create") & ~there, "file does not exist")
-        .when((F.col("op_type") == "rename") & F.col("new_path").isNull(), "rename without new_path")
-        .when((F.col("op_type") == "rename") & F.col("_taken"), "target exists already")
-        .when(edits & (F.col("line_start").isNull() | F.col("line_end").isNull() | (F.col("line_start") < 1) | (F.col("line_end") < F.col("line_start"))), "bad line_start or line_end")
+    lines = split_lines("_c")
+    region = F.array_join(F.slice(lines, F.greatest("line_start", F.lit(1)), F.greatest(F.col("line_end") - F.col("line_start") + 1, F.lit(0))), "")
+    kind, there = F.col("op_type"), F.col("_c").isNotNull()
+    edits = kind.isin("edit", "delete_lines")
+    why = (
+        F.when(escapes(F.col("file_path")), "path escapes the root")
+        .when((kind == "create_file") & there, "file exists already")
+        .when((kind == "create_file") & F.col("new_content").isNull(), "create_file needs new_content")
+        .when(kind.isin("delete_file", "rename", "edit", "delete_lines") & ~there, "file does not exist")
+        .when((kind == "rename") & F.col("new_path").isNull(), "rename needs new_path")
+        .when((kind == "rename") & escapes(F.col("new_path")), "new_path escapes the root")
+        .when((kind == "rename") & F.col("_taken"), "target exists already")
+        .when(edits & (F.col("line_start").isNull() | F.col("line_end").isNull()), "needs line_start and line_end")
+        .when(edits & ((F.col("line_start") < 1) | (F.col("line_end") < F.col("line_start"))), "invalid line range")
+        .when(edits & F.col("old_content").isNull(), "needs old_content")
         .when(edits & (F.col("line_end") > F.size(lines)), "line_end beyond the file")
-        .when(edits & F.col("old_content").isNotNull() & (lenient(region) != lenient("old_content")), "old_content does not match")
+        .when(edits & (lenient(region) != lenient("old_content")), "old_content does not match")
+        .when((kind == "edit") & F.col("new_content").isNull(), "edit needs new_content")
+        .when(~F.coalesce(kind.isin(OP_TYPES), F.lit(False)), "unknown op_type")
     )
-    return rows.groupBy("patchset_id").agg(F.min(F.when(reason.isNotNull(), F.struct("op_idx", reason.alias("reason")))).alias("f")).select("patchset_id", F.col("f").isNull().alias("ok"), F.col("f.reason").alias("reason"))
+    return rows.withColumn("why", why)
+
+
+def _clashes(ops: DataFrame) -> DataFrame:
+    """``patchset_id, op_idx``: edits that overlap an earlier one of their set, and ops on what a set of smaller id works on.
+
+    Edits work on their lines, all other ops on whole files.
+    """
+    edits = F.col("op_type").isin("edit", "delete_lines")
+    low, high = F.when(edits, F.col("line_start")).otherwise(0), F.when(edits, F.col("line_end")).otherwise(F.lit(2**31 - 1))
+    claims = ops.select("patchset_id", "op_idx", edits.alias("edits"), low.alias("low"), high.alias("high"), F.explode(F.array_distinct(F.array_compact(F.array("file_path", F.when(F.col("op_type") == "rename", F.col("new_path")))))).alias("path"))
+    a, b = claims.alias("a"), claims.alias("b")
+    meet = (F.col("a.path") == F.col("b.path")) & (F.col("a.low") <= F.col("b.high")) & (F.col("b.low") <= F.col("a.high"))
+    same = (F.col("a.patchset_id") == F.col("b.patchset_id")) & F.col("a.edits") & F.col("b.edits") & (F.col("a.op_idx") < F.col("b.op_idx"))
+    return b.join(a, meet & (same | (F.col("a.patchset_id") < F.col("b.patchset_id"))), "left_semi").select("patchset_id", "op_idx").distinct()
+
+
+def can_apply(ops: DataFrame, files: DataFrame) -> DataFrame:
+    """``patchset_id, ok, reason``: the first failing op's reason; a set is good if no op fails.
+
+    Of the sets that are good by themselves, one that works on the same lines or files as one of smaller id is refused,
+    whether or not that one is refused for the same reason: the outcome does not hang on chains of sets.
+    """
+    rows = _reasons(ops, files)
+    first = F.min(F.when(F.col("why").isNotNull(), F.struct("op_idx", "why")))
+    own = rows.groupBy("patchset_id").agg(first.alias("f"))
+    fine = ops.join(own.filter("f is null"), "patchset_id", "left_semi")
+    late = _clashes(fine).groupBy("patchset_id").agg(F.lit("overlaps an earlier op").alias("late"))
+    out = own.join(late, "patchset_id", "left").withColumn("reason", F.coalesce("f.why", "late"))
+    return out.select("patchset_id", F.col("reason").isNull().alias("ok"), "reason")
 
 
 def applicable(ops: DataFrame, files: DataFrame) -> DataFrame:
@@ -47,14 +85,20 @@ def applicable(ops: DataFrame, files: DataFrame) -> DataFrame:
 def apply_patches(files: DataFrame, ops: DataFrame, sequential: bool = False) -> DataFrame:
     """The files after all sets that can apply: edits from the last line up (or in op order), creates, deletes, renames."""
     good = applicable(ops, files)
-    key = F.struct((F.lit(1) if sequential else -F.col("line_start")).alias("k"), "patchset_id", "op_idx", "line_start", "line_end", F.when(F.col("op_type") == "edit", F.coalesce("new_content", F.lit(""))).alias("new"))
+    key = F.struct((F.lit(1) if sequential else -F.col("line_start")).alias("k"), "patchset_id", "op_idx", "line_start", "line_end", F.when(F.col("op_type") == "edit", F.col("new_content")).otherwise("").alias("new"))
     edits = good.filter(F.col("op_type").isin("edit", "delete_lines")).groupBy(F.col("file_path").alias("path")).agg(F.array_sort(F.collect_list(key)).alias("_ops"))
-    step = lambda a, o: F.concat(F.slice(a, F.lit(1), F.greatest(o["line_start"] - 1, F.lit(0))), F.when(o["new"].isNull(), F.array().cast("array<string>")).otherwise(F.split(o["new"], "\n")), F.slice(a, o["line_end"] + 1, F.size(a)))
-    edited = files.join(edits, "path", "left").withColumn("content", F.when(F.col("_ops").isNull(), F.col("content")).otherwise(F.array_join(F.aggregate("_ops", F.split("content", "\n"), step), "\n"))).drop("_ops")
-    gone = good.filter("op_type = 'delete'").select(F.col("file_path").alias("path")).distinct()
+
+    def step(a, o):
+        after = F.slice(a, o["line_end"] + 1, F.greatest(F.size(a), F.lit(1)))
+        # What is put in ends with a line end if lines follow it.
+        open_end = (o["new"] != "") & (F.size(after) > 0) & ~F.regexp_like(o["new"], F.lit("\n$"))
+        return F.concat(F.slice(a, F.lit(1), F.greatest(o["line_start"] - 1, F.lit(0))), split_lines(F.concat(o["new"], F.when(open_end, "\n").otherwise(""))), after)
+
+    edited = files.join(edits, "path", "left").withColumn("content", F.when(F.col("_ops").isNull(), F.col("content")).otherwise(F.array_join(F.aggregate("_ops", split_lines("content"), step), ""))).drop("_ops")
+    gone = good.filter("op_type = 'delete_file'").select(F.col("file_path").alias("path")).distinct()
     moved = good.filter("op_type = 'rename'").groupBy(F.col("file_path").alias("path")).agg(F.min_by("new_path", F.struct("patchset_id", "op_idx")).alias("_to"))
     out = edited.join(gone, "path", "left_anti").join(moved, "path", "left").withColumn("path", F.coalesce("_to", "path")).select(files.columns)
-    made = good.filter("op_type = 'create'").groupBy(F.col("file_path").alias("path")).agg(F.min_by(F.coalesce("new_content", F.lit("")), F.struct("patchset_id", "op_idx")).alias("content"))
+    made = good.filter("op_type = 'create_file'").groupBy(F.col("file_path").alias("path")).agg(F.min_by("new_content", F.struct("patchset_id", "op_idx")).alias("content"))
     return out.unionByName(made, allowMissingColumns=True)
 
 

@@ -164,9 +164,9 @@ def endless_loops(statements: DataFrame, edges: DataFrame) -> DataFrame:
     return joined.groupBy("path", "header").agg(F.coalesce(F.bool_or("exit"), F.lit(False)).alias("x"), F.coalesce(F.bool_or(F.col("repeat") & (F.col("node") == F.col("header"))), F.lit(False)).alias("r")).filter("not x and not r").select("path", "header")
 
 
-# Hardware: hw_config(path, cpu struct<model,article,firmware,protection_level,watchdog_ms,memory_kb,web_port,is_safety,
-# safety_password,encrypted>, io_modules array<struct<name,is_safety,redundant>>, networks array<struct<name,type,port_security>>,
-# programs array<string>).
+# Hardware: hw_config(path, cpu struct<model,article,firmware,protection_level,watchdog_ms,memory_kb,web_enabled,web_port,
+# is_safety>, io_modules array<struct<name,is_safety,redundant>>, networks array<struct<protocol,name,port_security,
+# encrypted>>, safety struct<enabled,programs,password>). A null cpu has defaults: nothing set, all protection off.
 
 #: Firmware prefixes known to be vulnerable, by model.
 VULNERABLE = {"S7-1200": "4.0 4.1 4.2 4.4", "S7-1500": "2.0 2.5 2.6 2.8 2.8.3"}
@@ -178,26 +178,35 @@ ARTICLES = {
 }
 
 
+#: Protocols without encryption of their own.
+PLAIN_PROTOCOLS = ["S7COMM", "S7", "ISO-TCP"]
+
+
 def audit_hardware(config: DataFrame) -> DataFrame:
-    """``path, rule_id, severity, description`` of every hardware rule that a configuration breaks."""
-    weak = misfit = F.lit(False)
-    version = F.regexp_replace("cpu.firmware", "^[Vv]", "")
-    for model, prefixes in VULNERABLE.items():
-        weak = weak | (F.contains("cpu.model", F.lit(model)) & reduce(Column.__or__, [F.startswith(version, F.lit(p)) for p in prefixes.split()]))
-    article = F.upper(F.replace("cpu.article", F.lit(" "), F.lit("")))
-    for model, numbers in ARTICLES.items():
-        misfit = misfit | (reduce(Column.__or__, [F.contains(article, F.lit("6ES7" + n)) for n in numbers.split()]) & ~F.contains(F.upper("cpu.model"), F.lit(model)))
-    unsafe = lambda x: F.coalesce(x["is_safety"], F.lit(False)) & ~F.coalesce(x["redundant"], F.lit(False))
-    open_net = lambda x: (F.upper(x["type"]) == "PROFINET") & ~F.coalesce(x["port_security"], F.lit(False))
-    safety = F.coalesce(F.col("cpu.is_safety"), F.lit(False))
-    none = F.size(F.coalesce("programs", F.array().cast("array<string>"))) == 0
+    """``path, rule_id, severity, description``: a row for each hardware rule, and network of the network rules, that a configuration breaks."""
+    cpu = lambda name, default: F.coalesce(F.col(f"cpu.{name}"), F.lit(default))
+    model, version = F.upper(cpu("model", "")), cpu("firmware", "")
+    weak = [F.contains(model, F.lit(m)) & reduce(Column.__or__, [F.startswith(version, F.lit(p)) for p in prefixes.split()]) for m, prefixes in VULNERABLE.items()]
+    article, misfit = F.upper(F.replace(cpu("article", ""), F.lit(" "), F.lit(""))), F.lit(False)
+    for known, numbers in ARTICLES.items():
+        misfit = misfit | (reduce(Column.__or__, [F.contains(article, F.lit("6ES7" + n)) for n in numbers.split()]) & (model != "") & ~F.contains(model, F.lit(known)))
+    flag = lambda x: F.coalesce(x, F.lit(False))
+    unsafe = F.filter("io_modules", lambda x: flag(x["is_safety"]) & ~flag(x["redundant"]))
+    nets = lambda test: F.size(F.filter("networks", test))
+    enabled, dog = flag(F.col("safety.enabled")), cpu("watchdog_ms", 0)
     rules = [
-        ("HW-001", "critical", weak, "firmware with known vulnerabilities"), ("HW-002", "error", F.col("cpu.protection_level") == 0, "no access protection"),
-        ("HW-003", "warning", (F.col("cpu.watchdog_ms") == 0) | (F.col("cpu.watchdog_ms") > 500), "watchdog off or over 500 ms"), ("HW-004", "warning", F.exists(F.coalesce("io_modules", F.array().cast("array<struct<name:string,is_safety:boolean,redundant:boolean>>")), unsafe), "safety module not redundant"),
-        ("HW-005", "error", none, "no programs"), ("HW-006", "warning", F.exists(F.coalesce("networks", F.array().cast("array<struct<name:string,type:string,port_security:boolean>>")), open_net), "PROFINET without port security"),
-        ("HW-007", "critical", safety & F.col("cpu.safety_password").isNull(), "safety without password"), ("HW-008", "warning", F.col("cpu.web_port").isin(80, 8080), "web server on an open port"),
-        ("HW-009", "warning", F.contains("cpu.model", F.lit("S7")) & ~F.coalesce(F.col("cpu.encrypted"), F.lit(False)), "unencrypted communication"), ("HW-011", "info", F.col("cpu.memory_kb") < 100, "under 100 KB of memory"),
-        ("HW-012", "info", misfit, "article number and model do not fit"),
+        ("HW-001", "critical", reduce(Column.__add__, [w.cast("int") for w in weak]), "firmware with known weaknesses"),
+        ("HW-002", "error", cpu("protection_level", 0) == 0, "access is not protected"),
+        ("HW-003", "warning", (dog == 0) | (dog > 500), "cycle watchdog off or slower than 500 ms"),
+        ("HW-004", "warning", F.size(unsafe) > 0, "safety module on one channel"),
+        ("HW-005", "error", flag(F.col("cpu.is_safety")) & ~enabled, "safety controller without a safety configuration"),
+        ("HW-005", "error", enabled & (F.size("safety.programs") <= 0), "safety configuration without programs"),
+        ("HW-006", "warning", nets(lambda x: F.contains(F.upper(x["protocol"]), F.lit("PROFINET")) & ~flag(x["port_security"])), "PROFINET ports not secured"),
+        ("HW-009", "warning", nets(lambda x: F.upper(x["protocol"]).isin(PLAIN_PROTOCOLS) & ~flag(x["encrypted"])), "network traffic not encrypted"),
+        ("HW-008", "warning", flag(F.col("cpu.web_enabled")) & cpu("web_port", 80).isin(80, 8080), "web server without HTTPS"),
+        ("HW-007", "critical", enabled & (F.coalesce("safety.password", F.lit("")) == ""), "safety without a password"),
+        ("HW-011", "info", (cpu("memory_kb", 0) > 0) & (cpu("memory_kb", 0) < 100), "less than 100 KB of memory"),
+        ("HW-012", "info", misfit, "article number of another model"),
     ]
-    hits = F.array(*[F.when(F.coalesce(test, F.lit(False)), F.struct(F.lit(i).alias("rule_id"), F.lit(s).alias("severity"), F.lit(d).alias("description"))) for i, s, test, d in rules])
-    return config.select("path", F.explode(F.array_compact(hits)).alias("v")).select("path", "v.*")
+    hits = F.flatten(F.array(*[F.array_repeat(F.struct(F.lit(i).alias("rule_id"), F.lit(s).alias("severity"), F.lit(d).alias("description")), F.greatest(F.coalesce(n.cast("int"), F.lit(0)), F.lit(0))) for i, s, n, d in rules]))
+    return config.select("path", F.explode(hits).alias("v")).select("path", "v.*")

@@ -21,7 +21,8 @@ def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
     """``repo, path, line, source, resolved, is_external``: candidates in order, the first that is a file."""
     source = F.col("source")
     external = ~F.regexp_like("source", F.lit(r"^[./]"))
-    base = normal_path(F.concat_ws("/", parent("path"), "source"))
+    top = F.startswith(source, F.lit("/"))  # from the repository's root
+    base = normal_path(F.when(top, source).otherwise(F.concat_ws("/", parent("path"), "source")))
     bare = F.regexp_replace(base, r"(?<=[^/])\.[^./]*$", "")  # a suffix is replaced, not added to
     ranked = [F.when(suffix(base).isin(EXTENSIONS), base), *[F.concat(bare, F.lit(e)) for e in EXTENSIONS], *[F.concat(base, F.lit("/index" + e)) for e in EXTENSIONS], base]
     tried = imports.select("repo", "path", "line", "source", F.posexplode(F.array(*ranked)).alias("rank", "candidate")).filter(~external & F.col("candidate").isNotNull())

@@ -45,9 +45,10 @@ def usage_by_session(costed: DataFrame) -> DataFrame:
     return out.withColumn("tokens_per_s", F.when(F.col("duration_s") > 0.01, F.col("output_tokens") / F.col("duration_s")))
 
 
-def running_usage(costed: DataFrame, tie: str = "ts") -> DataFrame:
-    """Totals within a session after each call."""
-    w = Window.partitionBy("session").orderBy("ts", tie).rowsBetween(Window.unboundedPreceding, 0)
+def running_usage(costed: DataFrame, tie: str | None = None) -> DataFrame:
+    """Totals within a session after each call; calls of one time count together unless the column ``tie`` orders them."""
+    w = Window.partitionBy("session")
+    w = w.orderBy("ts").rangeBetween(Window.unboundedPreceding, 0) if tie is None else w.orderBy("ts", tie).rowsBetween(Window.unboundedPreceding, 0)
     return costed.withColumns({"total_input": F.sum("input_tokens").over(w), "total_output": F.sum("output_tokens").over(w), "total_cost": F.sum("cost_usd").over(w)})
 
 

@@ -91,9 +91,9 @@ def _by_part(text: Column, table: list[tuple[str, str]], default: str) -> Column
     return out
 
 
-def _findings(df: DataFrame, root: str | None, tool: str, rule: Column, message: Column, path: Column, line: Column, end: Column | None, severity: Column, category: Column, confidence: Column | float, summary: Column, extra: list[Column] = (), suggestion: Column | None = None) -> DataFrame:
+def _findings(df: DataFrame, root: str | None, tool: str, rule: Column, message: Column, path: Column, line: Column, end: Column | None, severity: Column, category: Column, confidence: Column | float, summary: Column, extra: list[Column] = (), suggestion: Column | None = None, source: Column | None = None) -> DataFrame:
     none = F.lit(None)
-    first = evidence("static_rule", summary, None, F.concat(F.lit(f"{tool}:"), rule))
+    first = evidence("static_rule", summary, None, F.concat(F.lit(f"{tool}:"), rule) if source is None else source)
     listed = F.array_compact(F.array(first, *extra)).cast(EVIDENCE)
     return df.select(relative_to(path, root).alias("file_path"), line.cast("int").alias("line_start"), (none if end is None else end).cast("int").alias("line_end"), severity.alias("severity"), category.alias("category"), title_cut(message).alias("title"), F.concat(F.lit(f"{tool} rule '"), rule, F.lit("' triggered: "), message).alias("hypothesis"), listed.alias("evidence"), none.cast("string").alias("counter_considered"), (confidence if isinstance(confidence, Column) else F.lit(confidence)).alias("confidence"), F.lit(True).alias("verified"), (none if suggestion is None else suggestion).cast("string").alias("suggestion"), F.lit("static").alias("detected_by"))
 
@@ -116,11 +116,14 @@ def _bandit(d: DataFrame, root):
 
 
 def _clippy(d: DataFrame, root):
-    name = F.coalesce(F.substring_index("code.code", "::", -1), F.lit("clippy"))
+    code = F.coalesce("code.code", F.lit(""))
+    name = F.when(F.contains(code, F.lit("::")), F.regexp_replace(code, r"(?s)^.*?::", "")).otherwise(code)
     d = d.withColumns({"lint": name, "span": F.coalesce(F.try_element_at(F.filter("spans", lambda s: s["is_primary"]), F.lit(1)), F.element_at("spans", 1))})
     base = _map(F.col("level"), {"error": "error", "warning": "warning", "info": "note help"}, "warning")
+    at = F.concat(relative_to("span.file_name", root), F.lit(":"), F.col("span.line_start").cast("string"))
+    shown = F.when(F.col("rendered") != "", evidence("code_excerpt", F.substring(F.substring_index("rendered", "\n", 1), 1, 200), F.col("rendered"), at))
     severity = F.when(F.col("lint").isin("correctness", "perf") & (base == "warning"), "error").otherwise(base)
-    return _findings(d, root, "clippy", F.col("lint"), F.col("message"), F.col("span.file_name"), F.col("span.line_start"), F.col("span.line_end"), severity, _by_part(F.lower("lint"), CLIPPY_CATEGORY, "code_style"), 0.95, F.concat(F.lit("clippy "), "lint", F.lit(": "), "message"))
+    return _findings(d, root, "clippy", F.col("lint"), F.col("message"), F.col("span.file_name"), F.col("span.line_start"), F.nullif("span.line_end", "span.line_start"), severity, _by_part(F.lower("lint"), CLIPPY_CATEGORY, "code_style"), 0.95, F.concat(F.lit("clippy "), "lint", F.lit(": "), "message"), [shown], F.concat(F.lit("See `cargo clippy --help` or https://rust-lang.github.io/rust-clippy/master/#"), "lint"), F.concat(F.lit("clippy::"), "lint")).withColumn("hypothesis", F.replace("hypothesis", F.lit("clippy rule '"), F.lit("clippy lint '")))
 
 
 def _cppcheck(d: DataFrame, root):

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions.scalars import suffix
 from ..operators.corpus import without_ignored
+from ..shared import materialize
 
 GUIDELINES = [".md", ".markdown", ".txt", ".rst", ".adoc"]
 
@@ -79,13 +81,56 @@ def extract_st(xml: DataFrame) -> DataFrame:
     return xml.withColumn("st", F.array_join(F.xpath("content", F.lit('//*[local-name()="ST"]//text()')), "\n"))
 
 
+def xml_elements(xml: DataFrame) -> DataFrame:
+    """``path, n, parent, tag, attrs, text`` of all elements of ``content`` in document order, without name spaces; broken XML gives none."""
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for path, content in zip(batch["path"], batch["content"], strict=True):
+                try:
+                    waiting = [(ElementTree.fromstring(content or ""), -1)]
+                except ElementTree.ParseError:
+                    continue
+                n = 0
+                while waiting:
+                    e, parent = waiting.pop()
+                    rows.append((path, n, parent, e.tag.rpartition("}")[2], dict(e.attrib), (e.text or "").strip()))
+                    waiting += [(child, n) for child in reversed(e) if isinstance(child.tag, str)]
+                    n += 1
+            yield pd.DataFrame(rows, columns=["path", "n", "parent", "tag", "attrs", "text"])
+
+    return xml.select("path", "content").mapInPandas(run, "path string, n int, parent int, tag string, attrs map<string,string>, text string")
+
+
+#: Elements that describe a controller, modules, networks and safety.
+HW_TAGS = {"cpu": ["CPU", "Controller", "PlcDevice", "Device"], "module": ["Module", "IOModule", "DI", "DO", "AI", "AO"], "network": ["NetworkInterface", "PROFINET", "Ethernet", "Interface"], "safety": ["SafetyConfiguration", "FConfiguration"]}
+#: Parts of article numbers and of model names that mark safety controllers.
+F_ARTICLES, F_MODELS = ["511-1F", "513-1F", "515-2F", "516-3F", "517-3F", "518-4F"], ["F-CPU", "F ", "/F"]
+
+
 def read_hw_config(xml: DataFrame) -> DataFrame:
-    """``path, cpu, io_modules, networks, programs`` from ``content``: attributes of CPU, Module, Network and Program elements."""
-    at = lambda tag, name: F.nullif(F.xpath_string("content", F.lit(f'//*[local-name()="{tag}"]/@*[local-name()="{name}"]')), F.lit(""))
-    alt = lambda tag, *names: F.coalesce(*[at(tag, n) for n in names])
-    yes = lambda c: F.lower(c).isin("true", "1", "yes")
-    each = lambda tag, name: F.xpath("content", F.lit(f'//*[local-name()="{tag}"]/@{name}'))
-    cpu = F.struct(alt("CPU", "Model", "Type", "Name").alias("model"), alt("CPU", "OrderNumber", "Article").alias("article"), alt("CPU", "Firmware", "FirmwareVersion").alias("firmware"), alt("CPU", "ProtectionLevel", "Protection").cast("int").alias("protection_level"), alt("CPU", "Watchdog", "CycleTimeLimit").cast("int").alias("watchdog_ms"), at("CPU", "MemoryKB").cast("int").alias("memory_kb"), at("CPU", "WebServerPort").cast("int").alias("web_port"), F.coalesce(yes(at("CPU", "Safety")), F.lit(False)).alias("is_safety"), at("CPU", "SafetyPassword").alias("safety_password"), F.coalesce(yes(at("CPU", "Encrypted")), F.lit(False)).alias("encrypted"))
-    modules = F.zip_with(each("Module", "Name"), F.zip_with(each("Module", "Safety"), each("Module", "Redundant"), lambda s, r: F.struct(s.alias("s"), r.alias("r"))), lambda n, x: F.struct(n.alias("name"), yes(x["s"]).alias("is_safety"), yes(x["r"]).alias("redundant")))
-    nets = F.zip_with(each("Network", "Name"), F.zip_with(each("Network", "Type"), each("Network", "PortSecurity"), lambda t, p: F.struct(t.alias("t"), p.alias("p"))), lambda n, x: F.struct(n.alias("name"), x["t"].alias("type"), yes(x["p"]).alias("port_security")))
-    return xml.select("path", cpu.alias("cpu"), modules.alias("io_modules"), nets.alias("networks"), each("Program", "Name").alias("programs"))
+    """``path, cpu, io_modules, networks, safety`` from ``content``, for documents that are XML; see HW_TAGS.
+
+    Of several controllers or safety elements the last one counts.
+    """
+    e = materialize(xml_elements(xml), "hw-elements")
+    last = e.groupBy("path", "parent", "tag").agg(F.max_by(F.struct("text", "attrs"), "n").alias("x"))
+    kids = last.groupBy("path", F.col("parent").alias("n")).agg(F.map_from_entries(F.collect_list(F.struct("tag", "x"))).alias("kids"))
+    full = e.join(kids, ["path", "n"], "left").withColumn("kids", F.coalesce("kids", F.create_map().cast("map<string,struct<text:string,attrs:map<string,string>>>")))
+    attr = lambda *names: F.coalesce(*[F.try_element_at("attrs", F.lit(x)) for x in names], F.lit(""))
+    kid = lambda *names: F.coalesce(*[F.try_element_at("kids", F.lit(x))["text"] for x in names], F.lit(""))
+    yes = lambda c: F.lower(c).isin("true", "1", "enabled")
+    number = lambda c, default: F.coalesce(c.try_cast("int"), F.lit(default))
+    has = lambda c, parts: F.exists(F.array(*map(F.lit, parts)), lambda p: F.contains(F.upper(c), p))
+    model, article = attr("Model", "TypeName", "Name"), attr("ArticleNumber", "OrderNumber")
+    cpu = F.struct(model.alias("model"), article.alias("article"), attr("FirmwareVersion", "FWVersion").alias("firmware"), number(kid("ProtectionLevel"), 0).alias("protection_level"), number(kid("Watchdog", "CycleWatchdog", "OB1Watchdog"), 0).alias("watchdog_ms"), F.lit(0).alias("memory_kb"), yes(kid("WebServer")).alias("web_enabled"), number(F.try_element_at("kids", F.lit("WebServer"))["attrs"]["Port"], 80).alias("web_port"), (has(model, F_MODELS) | has(article, F_ARTICLES)).alias("is_safety"))
+    name = attr("Name", "TypeName")
+    module = F.struct("n", name.alias("name"), has(name, ["F-", "FAILSAFE", "SAFETY"]).alias("is_safety"), has(name, ["RED"]).alias("redundant"))
+    network = F.struct("n", attr("Protocol", "Type").alias("protocol"), attr("Name").alias("name"), yes(kid("PortSecurity")).alias("port_security"), yes(kid("TLS", "Encryption")).alias("encrypted"))
+    of = lambda kind, c: F.when(F.col("tag").isin(HW_TAGS[kind]), c)
+    programs = e.filter(F.col("tag").isin("SafetyProgram", "FProgram", "Program") & (F.col("text") != "")).join(e.filter(F.col("tag").isin(HW_TAGS["safety"])).select("path", F.col("n").alias("parent")), ["path", "parent"]).groupBy("path").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "text"))), lambda x: x["text"]).alias("programs"))
+    plain = lambda c: F.transform(F.array_sort(c), lambda x: x.dropFields("n"))
+    got = full.groupBy("path").agg(F.max_by(of("cpu", cpu), of("cpu", F.col("n"))).alias("cpu"), plain(F.collect_list(of("module", module))).alias("io_modules"), plain(F.collect_list(of("network", network))).alias("networks"), F.coalesce(F.bool_or(F.col("tag").isin(HW_TAGS["safety"])), F.lit(False)).alias("enabled"), F.max_by(of("safety", kid("PasswordLevel1", "Password")), of("safety", F.col("n"))).alias("password"))
+    safety = F.struct("enabled", F.coalesce("programs", F.array().cast("array<string>")).alias("programs"), F.coalesce("password", F.lit("")).alias("password"))
+    return got.join(programs, "path", "left").select("path", "cpu", "io_modules", "networks", safety.alias("safety"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 from ..operators import guidelines, history
 from ..sources.files import guideline_documents
@@ -30,21 +31,49 @@ def without_repeats(events: DataFrame, key: str = "event_id", late: str = "10 mi
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
 
 
-def late_rows(query) -> int:
-    """Rows that a stream's watermark has dropped so far."""
-    return sum(int(op.get("numRowsDroppedByWatermark", 0)) for p in query.recentProgress for op in (p["stateOperators"] if isinstance(p, dict) else [o.__dict__ for o in p.stateOperators]))
+class LateRows(StreamingQueryListener):
+    """Adds up the rows that watermarks drop, by query name: ``spark.streams.addListener(late := LateRows())``, then ``late.dropped``.
+
+    A listener sees every batch; a query's recent progress holds the last hundred only.
+    """
+
+    def __init__(self) -> None:
+        self.dropped: dict[str | None, int] = {}
+
+    def onQueryStarted(self, event) -> None:
+        self.dropped.setdefault(event.name, 0)
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        self.dropped[p.name] = self.dropped.get(p.name, 0) + sum(op.numRowsDroppedByWatermark for op in p.stateOperators)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
 
 
 def stream_history(findings: DataFrame, root: str, checkpoint: str, lines: DataFrame | None = None):
-    """Findings with ``seen_at`` into the history, micro-batch by micro-batch; version n+1 is batch n, so a retried batch
-    is written again from the same version before it and counts once."""
+    """Findings with ``seen_at`` into the history at ``root``, micro-batch by micro-batch.
+
+    A stream goes on from the version that it finds when it starts; batch n of a checkpoint makes the version n + 1 after
+    that one (kept beside the checkpoint), so a retried batch is written again from the same version and counts once.
+    """
 
     def upsert(batch: DataFrame, n: int) -> None:
         spark: SparkSession = batch.sparkSession
-        before = spark.createDataFrame([], history.HISTORY) if n == 0 else spark.read.schema(history.HISTORY).parquet(f"{root}/v={n}")
+        mark = f"{checkpoint}/history-start"
+        try:
+            start = spark.read.parquet(mark).first()[0]
+        except AnalysisException:
+            start = history.latest_version(spark, root)
+            spark.range(1).select(F.lit(start).alias("start")).write.mode("overwrite").parquet(mark)
+        at = start + n
+        before = spark.createDataFrame([], history.HISTORY) if at == 0 else spark.read.schema(history.HISTORY).parquet(f"{root}/v={at}")
         keyed = history.with_fingerprint(batch, lines)
         now = F.lit(batch.agg(F.max("seen_at")).first()[0]).cast("timestamp")
-        history.publish(history.record_run(before, keyed, now), root, n + 1)
+        history.publish(history.record_run(before, keyed, now), root, at + 1)
 
     return findings.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -66,7 +95,7 @@ def stream_guidelines(spark: SparkSession, folder: str, index: str, checkpoint:
 
     def put(batch: DataFrame, n: int) -> None:
         chunks = guidelines.embed_chunks(guidelines.chunk_documents(batch), embedder)
-        if n == 0 or not held():
+        if not held():
             guidelines.write_index(chunks, index)
         else:
             guidelines.replace_sources(chunks, index)

@@ -24,8 +24,10 @@ def test_clone_tokens_and_groups(spark):
     assert len(groups) == 1 and groups[0].n_members == 2
     toks = spark.range(1).select(clones.tokens(F.lit("if (a === 1.5) /* x */ b('s'); // c"))).first()[0]
     assert toks == ["if", "(", "p1", "==", "=", "NUM_", ")", "p2", "(", "STR_", ")", ";"]
-    ops = clones.dedup_patches(fps, clones.duplicate_groups(fps)).collect()
-    assert len(ops) == 1 and ops[0].op_type == "delete_lines"
+    files = spark.createDataFrame([("u.js", "\n" * 9 + UTIL)], "path string, content string")
+    ops = clones.dedup_patches(fps, clones.duplicate_groups(fps), files)
+    assert [(r.op_type, r.file_path, r.old_content is None) for r in ops.collect()] == [("delete_lines", "u.js", False)]
+    assert clones.group_members(fps, clones.duplicate_groups(fps)).count() == 2
 
 
 def test_near_duplicates_are_symmetric_and_exact(spark):
@@ -122,7 +124,7 @@ def test_grounding(spark):
 def test_patches(spark):
     files = spark.createDataFrame([("a.py", "\n".join(f"l{i}" for i in range(1, 11))), ("b.py", "x")], "path string, content string")
     schema = "patchset_id string, op_idx int, op_type string, file_path string, line_start int, line_end int, old_content string, new_content string, new_path string, reason string"
-    ops = spark.createDataFrame([("ok", 0, "delete_lines", "a.py", 5, 7, "l5 \nl6\nl7", None, None, ""), ("ok", 1, "edit", "a.py", 1, 1, None, "n1\nn2", None, ""), ("ok", 2, "create", "new/c.py", None, None, None, "c", None, ""), ("ok", 3, "rename", "b.py", None, None, None, None, "d.py", ""), ("far", 0, "edit", "a.py", 9, 99, None, "x", None, ""), ("mis", 0, "edit", "a.py", 1, 1, "zz", "x", None, ""), ("esc", 0, "create", "../e", None, None, None, "x", None, "")], schema)
+    ops = spark.createDataFrame([("ok", 0, "delete_lines", "a.py", 5, 7, "l5 \nl6\nl7", None, None, ""), ("ok", 1, "edit", "a.py", 1, 1, "l1", "n1\nn2", None, ""), ("ok", 2, "create_file", "new/c.py", None, None, None, "c", None, ""), ("ok", 3, "rename", "b.py", None, None, None, None, "d.py", ""), ("far", 0, "edit", "a.py", 9, 99, "l9", "x", None, ""), ("mis", 0, "edit", "a.py", 1, 1, "zz", "x", None, ""), ("esc", 0, "create_file", "../e", None, None, None, "x", None, "")], schema)
     why = {r.patchset_id: r.reason for r in patches.can_apply(ops, files).collect()}
     assert why["ok"] is None and "line_end" in why["far"] and "match" in why["mis"] and "escape" in why["esc"]
     after = {r.path: r.content for r in patches.apply_patches(files, ops).collect()}
@@ -132,6 +134,45 @@ def test_patches(spark):
     assert {r.path: r.content for r in back.collect()} == {r.path: r.content for r in files.collect()} and warn.count() == 0
 
 
+def test_patch_checks(spark):
+    files = spark.createDataFrame([("a.py", "l1\nl2\nl3\n"), ("b.py", "x"), ("c.py", "r1\r\nr2")], "path string, content string")
+    rows = {
+        "bare": ("edit", "a.py", 1, 1, None, "x", None, "needs old_content"),
+        "nothing": ("edit", "a.py", 1, 1, "l1", None, None, "edit needs new_content"),
+        "made_up": ("replace", "a.py", 1, 1, "l1", "x", None, "unknown op_type"),
+        "four": ("edit", "a.py", 4, 4, "", "x", None, "line_end beyond the file"),
+        "turned": ("edit", "a.py", 2, 1, "l1", "x", None, "invalid line range"),
+        "gone": ("delete_file", "zz", None, None, None, None, None, "file does not exist"),
+        "there": ("create_file", "b.py", None, None, None, "x", None, "file exists already"),
+        "empty": ("create_file", "n.py", None, None, None, None, None, "create_file needs new_content"),
+        "nowhere": ("rename", "b.py", None, None, None, None, None, "rename needs new_path"),
+        "out": ("rename", "b.py", None, None, None, None, "../x", "new_path escapes the root"),
+        "taken": ("rename", "b.py", None, None, None, None, "a.py", "target exists already"),
+        "p1": ("edit", "a.py", 1, 2, "l1\nl2", "A", None, None),
+        "p2": ("edit", "a.py", 2, 3, "l2\nl3", "B", None, "overlaps an earlier op"),
+        "p3": ("delete_lines", "a.py", 3, 3, "l3 ", None, None, "overlaps an earlier op"),
+        "q1": ("delete_file", "b.py", None, None, None, None, None, None),
+        "q2": ("edit", "b.py", 1, 1, "x", "y", None, "overlaps an earlier op"),
+        "r": ("edit", "c.py", 2, 2, "r2", "s2\ns3", None, None),
+        "s": ("create_file", "d/e.py", None, None, None, "new", None, None),
+    }
+    schema = "patchset_id string, op_idx int, op_type string, file_path string, line_start int, line_end int, old_content string, new_content string, new_path string, reason string"
+    ops = spark.createDataFrame([(k, 0, *v[:-1], "") for k, v in rows.items()], schema)
+    assert {r.patchset_id: r.reason for r in patches.can_apply(ops, files).collect()} == {k: v[-1] for k, v in rows.items()}
+    after = {r.path: r.content for r in patches.apply_patches(files, ops).collect()}
+    assert after == {"a.py": "A\nl3\n", "c.py": "r1\r\ns2\ns3", "d/e.py": "new"}
+    twice = spark.createDataFrame([("t", i, "edit", "a.py", a, b, c, "x", None, "") for i, (a, b, c) in enumerate([(1, 2, "l1\nl2"), (2, 3, "l2\nl3")])], schema)
+    assert patches.can_apply(twice, files).first().reason == "overlaps an earlier op"
+
+
+def test_grounding_counts_reads_only(spark):
+    calls = spark.createDataFrame([("s", "1", "read_file", {"relative_path": "src/a.js", "path": "other"}), ("s", "2", "search", {"path": "src/b.js"}), ("s", "3", "read_file", {"path": "/a/b/utils.js"}), ("s", "4", "read_file", {"relative_path": "", "path": "./src/c.js"}), ("s", "5", "read_file", {"path": "x/d.js"}), ("s", "6", "read_file", {"path": "d.js"})], "session string, id string, name string, args map<string,string>")
+    results = spark.createDataFrame([("s", str(i), "  1  a\n  2  b\n" if i < 6 else "  9  z\n") for i in range(1, 7)], "session string, id string, content string")
+    paths = {"src/a.js": "keep", "src/b.js": "drop", "/c/d/utils.js": "drop", "/a/b/utils.js": "keep", "src/c.js": "keep", "/r/x/d.js": "downgrade", "other": "drop"}
+    f = spark.createDataFrame([(p, 5 if "d.js" in p else 1) for p in paths], "file_path string, line_start int").select(F.lit("s").alias("session"), "*", F.lit("critical").alias("severity"), F.lit(0.9).alias("confidence"), F.lit(True).alias("verified"), F.array(fnd.evidence("x", F.lit("e"))).alias("evidence"), F.lit("agent").alias("detected_by"))
+    assert {r.file_path: r.verdict for r in grounding.ground(f, grounding.tool_facts(calls, results)).collect()} == paths
+
+
 def test_usage_and_formats(spark):
     u = spark.createDataFrame([("s", 1, "x/Claude-Opus-4-7", 1_000_000, 0, 1.0), ("s", 2, "nope", 5, 5, 1.0)], "session string, ts int, model string, input_tokens long, output_tokens long, duration_s double")
     for pricing in (None, usage.pricing_table(spark)):
@@ -227,6 +268,66 @@ def test_reports(spark, tmp_path, tool):
     assert got[0].verified and got[0].evidence[0].kind == "static_rule"
 
 
+def test_clippy_details(spark, tmp_path):
+    span = {"file_name": "/r/a.rs", "line_start": 8, "line_end": 8, "is_primary": True}
+    lines = [{"reason": "compiler-message", "message": {"message": "m", "level": "warning", "code": {"code": c}, "spans": [span], "rendered": r}} for c, r in (("clippy::perf", "warning: m\n  --> a"), ("unused_variables", None), ("clippy::a::b", ""))]
+    (tmp_path / "report").write_text("\n".join(map(json.dumps, lines)))
+    got = {r.title + str(i): r for i, r in enumerate(analyzers.normalize(analyzers.read_report(spark, "clippy", str(tmp_path / "report")), "clippy", "/r").collect())}
+    a, b, c = got["m0"], got["m1"], got["m2"]
+    assert (a.line_end, a.severity, a.hypothesis) == (None, "error", "clippy lint 'perf' triggered: m")
+    assert [(e.kind, e.summary, e.source) for e in a.evidence] == [("static_rule", "clippy perf: m", "clippy::perf"), ("code_excerpt", "warning: m", "a.rs:8")]
+    assert a.suggestion.endswith("rust-clippy/master/#perf") and len(b.evidence) == len(c.evidence) == 1
+    assert b.category == "redundancy" and c.hypothesis.startswith("clippy lint 'a::b'")
+
+
+def test_requests_and_absolute_imports(spark):
+    texts = {"what models are available?": "config", "支持哪些模型": "config", "model trains": "capability", "switch the model": "config", "audit it": "audit"}
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select("text", S.request_label("text").alias("label")).collect()
+    assert {r.text: r.label for r in rows} == texts
+    files = spark.createDataFrame([("r", "lib/x.ts"), ("r", "src/lib/x.ts")], "repo string, path string")
+    imports = spark.createDataFrame([("r", "src/a.ts", 1, "/lib/x", [], None), ("r", "src/a.ts", 2, "./lib/x", [], None)], "repo string, path string, line int, source string, imported_names array<string>, default_name string")
+    assert {r.source: r.resolved for r in symbols.resolve_imports(imports, files).collect()} == {"/lib/x": "lib/x.ts", "./lib/x": "src/lib/x.ts"}
+
+
+def test_history_streams_go_on(spark, tmp_path):
+    from auditlake.streaming import events as ev
+
+    schema = "file_path string, line_start int, line_end int, title string, severity string, category string, confidence double, seen_at timestamp"
+
+    def put(folder, path):
+        spark.createDataFrame([(path, 1, None, "t", "info", "security", 0.5)], schema.rpartition(",")[0]).withColumn("seen_at", F.timestamp_seconds(F.lit(1))).write.mode("append").parquet(str(tmp_path / folder))
+
+    def run(folder, mark):
+        ev.stream_history(spark.readStream.schema(schema).parquet(str(tmp_path / folder)), str(tmp_path / "h"), str(tmp_path / mark)).awaitTermination(120)
+        return {r.file_path: r.run_count for r in history.current(spark, str(tmp_path / "h")).collect()}
+
+    put("one", "a.py")
+    assert run("one", "c1") == {"a.py": 1}
+    put("two", "b.py")
+    assert run("two", "c2") == {"a.py": 1, "b.py": 1}  # a new checkpoint keeps what is there
+    put("two", "b.py")
+    assert run("two", "c2") == {"a.py": 1, "b.py": 2}
+    history.clear(spark, str(tmp_path / "h"))
+    assert history.current(spark, str(tmp_path / "h")).count() == 0
+
+
+def test_index_sources(spark, tmp_path):
+    at = str(tmp_path / "i")
+    chunks = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "z")], "source string, text string")
+    guidelines.write_index(chunks, at)
+    read = lambda: {(r.source, r.text) for r in spark.read.parquet(at).collect()}
+    guidelines.replace_sources(spark.createDataFrame([("a", "new")], "source string, text string"), at)
+    assert read() == {("a", "new"), ("b", "z")}
+    guidelines.delete_source(spark, at, "a")
+    assert read() == {("b", "z")}
+
+
+def test_running_usage_with_equal_times(spark):
+    u = spark.createDataFrame([("s", 1, i, 1, 0.5) for i in range(3)] + [("s", 2, 9, 1, 0.5)], "session string, ts int, input_tokens long, output_tokens long, cost_usd double")
+    assert sorted(r.total_input for r in usage.running_usage(u).collect()) == [3, 3, 3, 12]
+    assert sorted(r.total_input for r in usage.running_usage(u, "input_tokens").collect()) == [0, 1, 3, 12]
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "g").mkdir()
     (tmp_path / "g" / "a.md").write_text("# T\nx")
@@ -238,10 +339,30 @@ def test_sources(spark, tmp_path):
     assert [(r.name, r.extensions, r.body) for r in p] == [("mine", [".py", ".pyi"], "body")]
     repo = src.read_repo(spark, str(tmp_path / "g"), "r").collect()
     assert sorted((r.path, r.ext) for r in repo) == [("a.md", ".md"), ("b.bin", ".bin")]
-    xml = spark.createDataFrame([("h", '<P><CPU Model="S7-1200" FirmwareVersion="V4.0" ProtectionLevel="0" WebServerPort="80"/><Network Name="n" Type="PROFINET" PortSecurity="false"/><ST>x := 1;</ST></P>')], "path string, content string")
-    ids = {r.rule_id for r in plc_pack.audit_hardware(src.read_hw_config(xml)).collect()}
-    assert {"HW-001", "HW-002", "HW-005", "HW-006", "HW-008", "HW-009"} <= ids
-    assert src.extract_st(xml).first().st == "x := 1;"
+    assert src.extract_st(spark.createDataFrame([("h", "<P xmlns='u'><ST>x := 1;</ST></P>")], "path string, content string")).first().st == "x := 1;"
+
+
+def test_hardware(spark):
+    dog = "<Watchdog>150</Watchdog><ProtectionLevel>2</ProtectionLevel>"
+    safe = "<SafetyConfiguration><PasswordLevel1>x</PasswordLevel1><Program>F1</Program></SafetyConfiguration>"
+    cases = {
+        "plain": (f'<P><CPU Model="S7-1200" FirmwareVersion="4.5">{dog}</CPU><Ethernet Protocol="ETHERNET" Name="n"/></P>', []),
+        "bare": ('<P xmlns="urn:x"><CPU Model="CPU s7-1200" FirmwareVersion="4.0.1"/></P>', ["HW-001", "HW-002", "HW-003"]),
+        "both": (f'<P><PlcDevice Name="S7-1500" FWVersion="2.8.3">{dog}</PlcDevice></P>', ["HW-001"]),
+        "net": (f'<P><CPU Model="S7-1500">{dog}</CPU><Interface Type="PROFINET IO" Name="a"/><PROFINET Type="PROFINET"><PortSecurity>enabled</PortSecurity></PROFINET><Interface Protocol="s7comm"/><Interface Protocol="S7"><TLS>true</TLS></Interface></P>', ["HW-006", "HW-009"]),
+        "web": (f'<P><CPU Model="x">{dog}<WebServer Port="8080">true</WebServer></CPU></P>', ["HW-008"]),
+        "https": (f'<P><CPU Model="x">{dog}<WebServer Port="443">true</WebServer></CPU></P>', []),
+        "off": (f'<P><CPU Model="x">{dog}<WebServer Port="80">false</WebServer></CPU></P>', []),
+        "unsafe": (f'<P><CPU Model="1516F /F">{dog}</CPU></P>', ["HW-005"]),
+        "safe": (f'<P><CPU Model="S7-1500F" ArticleNumber="6ES7 516-3FN02-0AB0">{dog}</CPU>{safe}<Module Name="F-DI red"/></P>', []),
+        "half": (f'<P><CPU Model="x">{dog}</CPU><FConfiguration/><DI Name="F-DI 8"/></P>', ["HW-004", "HW-005", "HW-007"]),
+        "other": (f'<P><CPU Model="S7-1500" OrderNumber="6ES7 214-1AG40-0XB0">{dog}</CPU></P>', ["HW-012"]),
+        "slow": ('<P><CPU Model="x"><OB1Watchdog>501</OB1Watchdog><ProtectionLevel>1</ProtectionLevel></CPU></P>', ["HW-003"]),
+        "broken": ("<P", []),
+    }
+    xml = spark.createDataFrame([*[(k, v[0]) for k, v in cases.items()], ("null", None)], "path string, content string")
+    found = plc_pack.audit_hardware(src.read_hw_config(xml)).collect()
+    assert {k: sorted(r.rule_id for r in found if r.path == k) for k in cases} == {k: v[1] for k, v in cases.items()}
 
 
 def test_findings(spark):

@@ -15,9 +15,10 @@ from ..functions import scalars as S
 from ..operators import clones, corpus, findings as fnd, grounding, guidelines, history, packs, patches, plc_pack, rules, symbols, usage
 from ..shared import ship
 from ..streaming import events as ev
+from . import code, reports
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = reports.QUERIES | code.QUERIES
+ORACLE_SQL: dict[str, str] = reports.ORACLE_SQL | code.ORACLE_SQL
 
 #: Rules for prose, without look-around so that other engines read them too.
 TEXT_RULES = [
@@ -101,10 +102,15 @@ def _doc_prints(spark, sf_dir):
     return docs.select(F.col("doc_id").alias("id"), F.sha2("text", 256).alias("structural_hash"), clones.shingles(words).alias("shingles"))
 
 
-@query("SELECT sha256(text) AS structural_hash, count(*) AS n_members, min(doc_id) AS representative, array_to_string(list_sort(list(doc_id)), ',') AS members FROM documents GROUP BY 1 HAVING count(*) > 1")
+@query("SELECT sha256(text) AS structural_hash, count(*) AS n_members, min(doc_id) AS representative FROM documents GROUP BY 1 HAVING count(*) > 1")
 def duplicate_groups(spark, sf_dir):
-    groups = clones.duplicate_groups(_doc_prints(spark, sf_dir).select("id", "structural_hash"))
-    return groups.withColumn("members", F.array_join(F.col("members").cast("array<string>"), ","))
+    return clones.duplicate_groups(_doc_prints(spark, sf_dir).select("id", "structural_hash"))
+
+
+@query("WITH g AS (SELECT sha256(text) AS structural_hash, doc_id AS id FROM documents), r AS (SELECT structural_hash, min(id) AS representative FROM g GROUP BY 1 HAVING count(*) > 1) SELECT structural_hash, representative, id FROM g JOIN r USING (structural_hash)")
+def duplicate_members(spark, sf_dir):
+    fps = _doc_prints(spark, sf_dir).select("id", "structural_hash")
+    return clones.group_members(fps, clones.duplicate_groups(fps))
 
 
 @query("WITH g AS (SELECT count(*) AS n FROM documents GROUP BY sha256(text)) SELECT sum(n)::BIGINT AS indexed, count(*) AS unique_structures, count(*) FILTER (n > 1) AS groups, coalesce(sum(n) FILTER (n > 1), 0)::BIGINT AS members FROM g")
@@ -336,7 +342,7 @@ def lenient_json(spark, sf_dir):
     return e.select("event_id", F.get_json_object("j", "$.k").cast("int").alias("k"))
 
 
-_LABEL = f"CASE WHEN regexp_matches(lower(text), '{S.CONFIG_WORDS}') OR (regexp_matches(lower(text), '{S.CONFIG_NOUNS}') AND regexp_matches(lower(text), '{S.CONFIG_VERBS}')) THEN 'config' " + " ".join(f"WHEN regexp_matches(lower(text), '{p}') THEN '{k}'" for k, p in S.REQUEST_LABELS) + " WHEN regexp_matches(text, '" + S.REQUEST_PATH.replace("'", "''") + "') THEN 'review' ELSE 'capability' END"
+_LABEL = f"CASE WHEN regexp_matches(lower(text), '{S.CONFIG_WORDS}') OR (regexp_matches(lower(text), '{S.MODEL_WORDS}') AND regexp_matches(lower(text), '{S.LIST_WORDS}')) OR (regexp_matches(lower(text), '{S.CONFIG_NOUNS}') AND regexp_matches(lower(text), '{S.CONFIG_VERBS}')) THEN 'config' " + " ".join(f"WHEN regexp_matches(lower(text), '{p}') THEN '{k}'" for k, p in S.REQUEST_LABELS) + " WHEN regexp_matches(text, '" + S.REQUEST_PATH.replace("'", "''") + "') THEN 'review' ELSE 'capability' END"
 
 
 @query(f"SELECT {_LABEL} AS label, count(*) AS n FROM conversations GROUP BY 1")

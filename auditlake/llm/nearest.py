@@ -3,16 +3,17 @@
 Equal vectors form one node. Random-projection trees, fitted on at most ``SAMPLE`` nodes, deal all nodes into leaves;
 nodes of a leaf are compared in blocks of at most ``BLOCK``, which gives each node its first ``degree`` neighbours.
 Each NN-descent round joins neighbours of neighbours: at every node its forward neighbours and nearest backward ones
-meet, and each pair that improves a list replaces an entry. Rounds stop when few entries change. The graph is fitted
-and searched on 16-bit components; distances that are returned are those of the original vectors in double precision.
+meet, and each pair that improves a list replaces an entry. Rounds go on until few entries change. Vectors are worked
+on as they are given (4 bytes a component, 8 for doubles) and compared in double precision, so neither their scale nor
+an offset matters.
 
 Search: every query starts at its entry node (its own node if it is indexed), and in each round all nodes of its
-beam not yet expanded bring their neighbours, both ways; it stops when no query has any left.
+beam not yet expanded bring their neighbours and nearest backward ones; it stops when no query has any left. The
+graph's degree and the beam are what makes the search approximate; its recall is measured against ``brute_force``.
 
 Rows take no part whose vector is null, empty, all zero, holds a null or non-finite component, or has another length
 than most. Defined cases: repeated vectors share a node and rank by id; a null id takes no part; of rows with one
-id and different vectors all count; an empty table gives no rows; other columns are not read; overflowing 16-bit
-components are clipped in the graph only.
+id and different vectors all count; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -24,83 +25,103 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..shared import materialize
+from ..shared import discard, materialize
 
-DEGREE, TREES, SAMPLE, BLOCK, ROUNDS, BEAM = 16, 3, 4096, 1024, 4, 32
+DEGREE, TREES, SAMPLE, BLOCK, BEAM = 16, 3, 4096, 1024, 32
+MOST_ROUNDS = 100  # of descent or search; both settle in a few, and raise rather than stop unsettled
 
 
-def _matrix(column: pa.Array, kind=np.float16) -> np.ndarray:
-    """Rows of equal-length binaries as a matrix."""
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Rows of packed vectors as a matrix; a first byte tells how wide components are."""
     if not len(column):
-        return np.zeros((0, 1), np.float32)
-    return np.vstack([np.frombuffer(x.as_buffer(), kind) for x in column]).astype(np.float32)
+        return np.zeros((0, 1))
+    raw = [x.as_buffer() for x in column]
+    return np.vstack([np.frombuffer(x, np.float64 if memoryview(x)[0] == 8 else np.float32, offset=1) for x in raw]).astype(np.float64)
 
 
 def valid_vectors(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """``id, v`` (array<double>) of the rows that take part."""
+    """``id, v`` (array<double>), ``node`` (its fingerprint) of the rows that take part."""
     v = F.col("v")
-    ok = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).filter(F.col("id").isNotNull() & v.isNotNull())
+    ok = rows.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vector_col}`").cast("array<double>").alias("v")).filter(F.col("id").isNotNull() & v.isNotNull())
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     ok = ok.filter(~bad & F.exists(v, lambda x: x != 0))
     common = ok.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return ok.filter(F.size("v") == (common[0] if common else 0))
+    return ok.filter(F.size("v") == (common[0] if common else 0)).withColumn("node", F.xxhash64("v"))
 
 
-def _with_packed(rows: DataFrame) -> DataFrame:
-    """Adds ``p``: the vector as 16-bit floats."""
+def _with_packed(rows: DataFrame, double: bool) -> DataFrame:
+    """``node, p``: the vector's components as bytes."""
+    kind = np.float64 if double else np.float32
+    mark = bytes([np.dtype(kind).itemsize])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(1)
             n = len(batch)
-            flat = lists.flatten().to_numpy(zero_copy_only=False)
-            x = np.clip(flat, -60000, 60000).astype(np.float16).reshape(n, -1) if n else np.zeros((0, 1), np.float16)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in x], pa.binary())], names=["node", "p"])
+            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False)
+            x = flat.astype(kind).reshape(n, -1) if n else np.zeros((0, 1), kind)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([mark + r.tobytes() for r in x], pa.binary())], names=["node", "p"])
 
     return rows.select("node", "v").mapInArrow(run, "node long, p binary")
 
 
 class _Trees:
-    """Random-projection trees with median cuts, fitted on a bounded sample."""
+    """Random-projection trees, fitted on a bounded sample.
 
-    def __init__(self, sample: np.ndarray, depth: int, trees: int) -> None:
+    The first ``fitted`` levels cut each node at its sample's median. Deeper ones, which a sample cannot fit, share one
+    direction and cut a level.
+    """
+
+    def __init__(self, sample: np.ndarray, depth: int, trees: int, most: int = 12) -> None:
         rng = np.random.Generator(np.random.PCG64(17))
-        self.depth, dim = depth, sample.shape[1]
-        self.normal = np.zeros((trees, 1 << depth, dim), np.float32)
-        self.cut = np.zeros((trees, 1 << depth), np.float32)
+        self.depth, self.fitted, dim = depth, min(depth, most), sample.shape[1]
+        self.normal = np.zeros((trees, 1 << self.fitted, dim))
+        self.cut = np.zeros((trees, 1 << self.fitted))
+        self.deep = np.zeros((trees, depth - self.fitted, dim))
+        self.deep_cut = np.zeros((trees, depth - self.fitted))
         for t in range(trees):
             at = np.ones(len(sample), np.int64)
-            for node in range(1, 1 << depth):
-                own = sample[at == node]
-                if len(own) > 1:
-                    a, b = own[rng.choice(len(own), 2, replace=False)]
-                    w = a - b if (a != b).any() else rng.standard_normal(dim).astype(np.float32)
-                else:
-                    w = rng.standard_normal(dim).astype(np.float32)
+            for node in range(1, 1 << self.fitted):
+                mine = np.flatnonzero(at == node)
+                own = sample[mine]
+                w = np.subtract(*own[rng.choice(len(own), 2, replace=False)]) if len(own) > 1 else np.zeros(dim)
+                if not w.any():
+                    w = rng.standard_normal(dim)
                 self.normal[t, node] = w
                 self.cut[t, node] = np.median(own @ w) if len(own) else 0
-                mine = at == node
-                at[mine] = 2 * node + (sample[mine] @ w > self.cut[t, node])
+                at[mine] = 2 * node + (own @ w > self.cut[t, node])
+            for level in range(depth - self.fitted):
+                w = np.subtract(*sample[rng.choice(len(sample), 2)])
+                self.deep[t, level] = w
+                self.deep_cut[t, level] = np.median(sample @ w)
 
     def leaves(self, x: np.ndarray) -> np.ndarray:
         out = np.ones((len(self.normal), len(x)), np.int64)
         for t in range(len(out)):
-            for _ in range(self.depth):
+            for _ in range(self.fitted):
                 w, c = self.normal[t][out[t]], self.cut[t][out[t]]
                 out[t] = 2 * out[t] + (np.einsum("ij,ij->i", x, w) > c)
+            for w, c in zip(self.deep[t], self.deep_cut[t], strict=True):
+                out[t] = 2 * out[t] + (x @ w > c)
         return out
 
 
+def _squares(x: np.ndarray) -> np.ndarray:
+    """Squared distances between all rows; taken from their mean, which keeps digits where vectors have an offset."""
+    x = x - x.mean(axis=0)
+    square = (x * x).sum(axis=1)
+    far = np.maximum(square[:, None] + square[None] - 2 * (x @ x.T), 0)
+    np.fill_diagonal(far, np.inf)
+    return far
+
+
 def _block_edges(ids: np.ndarray, x: np.ndarray, degree: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Each row's nearest others within a block."""
     n, k = len(ids), min(degree, len(ids) - 1)
     if k <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    square = (x * x).sum(axis=1)
-    far = np.maximum(square[:, None] + square[None] - 2 * (x @ x.T), 0)
-    np.fill_diagonal(far, np.inf)
+    far = _squares(x)
     near = np.argpartition(far, k - 1, axis=1)[:, :k]
-    return np.repeat(ids, k), ids[near].ravel(), np.take_along_axis(far, near, 1).ravel().astype(np.float64)
+    return np.repeat(ids, k), ids[near].ravel(), np.take_along_axis(far, near, 1).ravel()
 
 
 def _edges(u, v, d) -> pa.RecordBatch:
@@ -116,14 +137,14 @@ def _best(edges: DataFrame, degree: int, by: str = "u") -> DataFrame:
 
 def _first_graph(packed: DataFrame, n: int, degree: int) -> DataFrame:
     sample = _matrix(packed.orderBy(F.xxhash64("node"), "node").limit(SAMPLE).select("p").toArrow().column(0).combine_chunks())
-    depth = min(12, max(0, math.ceil(math.log2(max(n, 1) / (BLOCK * 0.75)))))
+    depth = max(0, math.ceil(math.log2(max(n, 1) / (BLOCK * 0.75))))
     trees = packed.sparkSession.sparkContext.broadcast(_Trees(sample, depth, TREES if depth else 1))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             leaves = trees.value.leaves(_matrix(batch.column(1)))
             for t, leaf in enumerate(leaves):
-                yield pa.RecordBatch.from_arrays([pa.array(leaf + (t << 32)), batch.column(0), batch.column(1)], names=["leaf", "node", "p"])
+                yield pa.RecordBatch.from_arrays([pa.array(leaf + (t << 56)), batch.column(0), batch.column(1)], names=["leaf", "node", "p"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, int, object]] = []
@@ -161,10 +182,7 @@ def _descend(graph: DataFrame, packed: DataFrame, degree: int) -> DataFrame:
             nodes, x, worst = flat.field(0).to_numpy(), _matrix(flat.field(1)), flat.field(2).to_numpy()
             us, vs, ds, at = [], [], [], 0
             for m in sizes.tolist():
-                y = x[at : at + m]
-                square = (y * y).sum(axis=1)
-                far = np.maximum(square[:, None] + square[None] - 2 * (y @ y.T), 0).astype(np.float64)
-                np.fill_diagonal(far, np.inf)
+                far = _squares(x[at : at + m])
                 i, j = np.nonzero(far < worst[at : at + m, None])
                 us.append(nodes[at + i])
                 vs.append(nodes[at + j])
@@ -175,18 +193,19 @@ def _descend(graph: DataFrame, packed: DataFrame, degree: int) -> DataFrame:
     return lists.select("x").mapInArrow(run, "u long, v long, d double").groupBy("u", "v").agg(F.min("d").alias("d"))
 
 
-def build_graph(packed: DataFrame, degree: int = DEGREE, rounds: int = ROUNDS, settle: float = 0.01) -> DataFrame:
-    """``u, v, d``: each node's nearest neighbours found, d the squared distance on 16-bit components."""
+def build_graph(packed: DataFrame, degree: int = DEGREE, settle: float = 0.01) -> DataFrame:
+    """``u, v, d``: each node's nearest neighbours found, d the squared distance; rounds end when under ``settle`` of all entries change."""
     n = packed.count()
     graph = materialize(_first_graph(packed, n, degree), "nn-graph")
-    for _ in range(rounds if n > BLOCK else 0):
+    for _ in range(MOST_ROUNDS):
         better = _best(graph.unionByName(_descend(graph, packed, degree)), degree)
         after = materialize(better, "nn-graph")
         changed = after.join(graph, ["u", "v"], "left_anti").count()
+        discard(graph)
         graph = after
-        if changed < settle * n * degree:
-            break
-    return graph
+        if changed <= settle * n * degree:
+            return graph
+    raise RuntimeError(f"the graph did not settle in {MOST_ROUNDS} rounds")
 
 
 def _measured(pairs: DataFrame, queries: DataFrame, packed: DataFrame) -> DataFrame:
@@ -195,49 +214,47 @@ def _measured(pairs: DataFrame, queries: DataFrame, packed: DataFrame) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = _matrix(batch.column(2)), _matrix(batch.column(3))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(((a - b) ** 2).sum(axis=1).astype(np.float64))], names=["q", "node", "d"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(((a - b) ** 2).sum(axis=1))], names=["q", "node", "d"])
 
     return pairs.join(packed, "node").join(queries, "q").select("q", "node", "p", "qp").mapInArrow(run, "q long, node long, d double")
 
 
-def greedy_search(graph: DataFrame, packed: DataFrame, queries: DataFrame, entries: DataFrame, beam: int = BEAM, rounds: int = 30) -> DataFrame:
+def greedy_search(graph: DataFrame, packed: DataFrame, queries: DataFrame, entries: DataFrame, beam: int = BEAM, degree: int = DEGREE) -> DataFrame:
     """``q, node, d``: the beam of each query (q, qp) when the search from ``entries`` (q, node) has settled."""
-    both = materialize(graph.select("u", "v").unionByName(graph.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "nn-both")
+    back = _best(graph, 2 * degree, "v")  # the nearest of those that list a node, so that no hub brings very many
+    both = materialize(graph.select("u", "v").unionByName(back.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "nn-both")
     rank = F.row_number().over(Window.partitionBy("q").orderBy("d", "node"))
     state = materialize(_measured(entries.distinct(), queries, packed).withColumn("done", F.lit(False)), "nn-beam")
-    for _ in range(rounds):
+    for _ in range(MOST_ROUNDS):
         fresh = state.filter("not done").join(both, F.col("node") == F.col("u")).select("q", F.col("v").alias("node")).distinct()
         fresh = fresh.join(state.select("q", "node"), ["q", "node"], "left_anti")
         found = _measured(fresh, queries, packed).withColumn("done", F.lit(False))
-        state = materialize(state.select("q", "node", "d", F.lit(True).alias("done")).unionByName(found).withColumn("r", rank).filter(F.col("r") <= beam).drop("r"), "nn-beam")
+        after = materialize(state.select("q", "node", "d", F.lit(True).alias("done")).unionByName(found).withColumn("r", rank).filter(F.col("r") <= beam).drop("r"), "nn-beam")
+        discard(state)
+        state = after
         if state.filter("not done").isEmpty():
-            break
-    return state.select("q", "node", "d")
+            discard(both)
+            return state.select("q", "node", "d")
+    raise RuntimeError(f"the search did not settle in {MOST_ROUNDS} rounds")
 
 
 def nearest(rows: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 100, degree: int = DEGREE, beam: int = BEAM) -> DataFrame:
     """``query_id, rank, vec_id, score``: for ids divisible by ``every`` their k nearest other rows found, by Euclidean distance."""
     live = materialize(valid_vectors(rows, id_col, vector_col), "nn-rows")
-    nodes = live.groupBy("v").agg(F.min("id").alias("node"))
-    # A node needs a number of its own even where one id has several vectors.
-    nodes = nodes.select(F.when(F.count("*").over(Window.partitionBy("node")) > 1, F.xxhash64("v")).otherwise(F.col("node")).alias("node"), "v")
-    nodes = materialize(nodes, "nn-nodes")
-    members = live.join(nodes, "v").select("id", "node")
-    packed = materialize(_with_packed(nodes), "nn-packed")
+    double = rows.schema[vector_col].dataType.simpleString() != "array<float>"
+    packed = materialize(_with_packed(live.groupBy("node").agg(F.first("v").alias("v")), double), "nn-packed")
     graph = build_graph(packed, degree)
-    members = materialize(members, "nn-members")
-    asked = members.filter(F.col("id") % every == 0).select("node").distinct()  # queries with equal vectors share a search
-    queries = materialize(asked.join(packed, "node").select(F.col("node").alias("q"), F.col("p").alias("qp")), "nn-queries")
-    beams = greedy_search(graph, packed, queries, queries.select("q", F.col("q").alias("node")), max(beam, k + 1))
-    few = members.withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy("id"))).filter(F.col("r") <= k + 1).select("id", "node")
-    # Exact distances of the beam's nodes, then the members of the nearest.
-    vq, vn = nodes.select(F.col("node").alias("q"), F.col("v").alias("vq")), nodes.select("node", F.col("v").alias("vn"))
-    apart = F.sqrt(F.aggregate(F.zip_with("vq", "vn", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, x: a + x))
-    exact = beams.join(vq, "q").join(vn, "node").select("q", "node", apart.alias("score"))
-    ids = members.filter(F.col("id") % every == 0).select(F.col("id").alias("query_id"), F.col("node").alias("q"))
-    pairs = exact.join(few, "node").join(ids, "q").filter("query_id <> id")
+    asked = live.filter(F.col("id") % every == 0)
+    queries = materialize(asked.select("node").distinct().join(packed, "node").select(F.col("node").alias("q"), F.col("p").alias("qp")), "nn-queries")  # equal vectors share a search
+    beams = greedy_search(graph, packed, queries, queries.select("q", F.col("q").alias("node")), max(beam, k + 1), degree)
+    few = live.select("id", "node").withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy("id"))).filter(F.col("r") <= k + 1).select("id", "node")
+    # The members of the beam's nodes, measured on the original vectors.
+    ids = asked.select(F.col("id").alias("query_id"), F.col("node").alias("q"), F.col("v").alias("vq"))
+    pairs = beams.select("q", "node").join(few, "node").join(live, ["id", "node"]).join(ids, "q").filter("query_id <> id")
+    apart = F.sqrt(F.aggregate(F.zip_with("vq", "v", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, x: a + x))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "id"))
-    return pairs.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), "score")
+    found = pairs.select("query_id", "id", apart.alias("score")).withColumn("rank", rank).filter(F.col("rank") <= k)
+    return found.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), "score")
 
 
 def brute_force(rows: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 100) -> DataFrame:

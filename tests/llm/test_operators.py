@@ -101,6 +101,17 @@ def test_one_of_each_and_empty(docs, none, texts):
     assert near_duplicates.near_duplicate_components(none).count() == 0
 
 
+def test_one_of_each_tells_rows_apart_by_text(spark):
+    rng = random.Random(9)
+    a, b, c = (" ".join(f"{x}{rng.randint(0, 999)}" for _ in range(60)) for x in "abc")
+    rows = [(1, a, 0), (2, a, 1), (3, a + " more", 2), (3, b, 3), (3, b, 4), (4, c, 5), (4, c + " x", 6), (5, "", 7), (6, "", 8), (7, None, 9), (None, a, 10), (None, a, 11)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, n int")
+    kept = sorted((r.doc_id or 0, r.text or "") for r in near_duplicates.one_of_each(d).collect())
+    assert [k for k in kept if k[0] != 4] == sorted([(1, a), (3, b), (5, ""), (6, ""), (7, ""), (0, a), (0, a)])
+    assert [k[0] for k in kept].count(4) == 1  # both texts of id 4 are one component
+    assert near_duplicates.one_of_each(d.limit(0)).columns == d.columns
+
+
 def brute_repeats(texts, m=50):
     seen, out = set(), {}
     for i, t in enumerate(texts):
@@ -265,11 +276,11 @@ def test_warc_dictionary_and_faults(spark, tmp_path):
     manifest = warc.write_archives(warc.plan_records(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)), f"file://{tmp_path}/w", 1 << 20)
     paths = [r.path for r in manifest.collect()]
     assert len(paths) > 1
-    large = [r.path.removeprefix("file://") for r in manifest.collect() if r.records >= 100]  # a handful of records make no dictionary
-    assert large
-    for path in large:
+    few = warc.write_archives(warc.plan_records(spark.createDataFrame(rows[:3], "page_id long, url string, html string").coalesce(1)), f"file://{tmp_path}/few", 1 << 20)
+    for path in [r.path.removeprefix("file://") for r in [*manifest.collect(), *few.collect()]]:
         with open(path, "rb") as f:
             assert f.read(4) == (0x184D2A5D).to_bytes(4, "little")
+    assert {int(r.record_id): r.payload.decode() for r in warc.read_archives(few).collect()} == {i: h for i, _, h in rows[:3]}
     back = {int(r.record_id): r.payload.decode() for r in warc.read_archives(manifest).collect()}
     assert back == {i: h for i, _, h in rows}
     good = warc._record(1, "u", b"abc", hashlib.sha1(b"abc").hexdigest(), 3, None)
@@ -310,6 +321,149 @@ def test_nearest(spark):
     assert nearest.nearest(v.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("scale", "offset", "n"), [(1e6, 0, 1500), (1e-9, 0, 1500), (1, 3000, 1500), (1, 0, 200), (1, 0, 1000)])
+def test_nearest_at_any_scale_and_size(spark, scale, offset, n):
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((n, 16)) * scale + offset
+    v = spark.createDataFrame([(i, [float(y) for y in r], "x", 0.5, i) for i, r in enumerate(x)], "vec_id long, embedding array<double>, node string, score double, rank int")
+    got = nearest.nearest(v, every=20).toPandas()
+    square = ((x[::20, None] - x[None]) ** 2).sum(axis=2)
+    square[np.arange(len(square)), np.arange(len(square)) * 20] = np.inf
+    want = {(20 * i, int(j)) for i, row in enumerate(square) for j in np.argsort(row, kind="stable")[:10]}
+    assert len(got) == len(want)
+    assert len(want & set(zip(got["query_id"], got["vec_id"], strict=True))) / len(want) >= 0.9
+
+
+def test_quality_votes_equal_brute_force(spark, sf, docs):
+    d, labels = (spark.read.parquet(f"{sf.replace('0.001', '0.01')}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.fit(d, labels)
+    rows = d.select("doc_id", "text").orderBy("doc_id").limit(150).unionByName(docs.select((F.col("doc_id") + 10**6).alias("doc_id"), "text"))
+    texts = {r.doc_id: r.text for r in rows.collect()}
+    import pyarrow as pa
+
+    got = {r.doc_id: r.score for r in quality.score(rows, model).collect() if r.doc_id is not None}
+    for i, t in texts.items():
+        if i is None:
+            continue
+        z = model.latent(pa.array([t], pa.string()))[0].astype(float)
+        like = [sum(a * b for a, b in zip(z.tolist(), y, strict=True)) for y in model.vectors.astype(float).tolist()] if i % 10 == 0 else (model.vectors.astype(float) @ z).tolist()
+        near = sorted(range(len(like)), key=lambda j: -like[j])[: model.neighbours]
+        weight = [max(like[j], 0) ** 8 for j in near]
+        want = (sum(w * model.labels[j] for w, j in zip(weight, near, strict=True)) + 1e-6 * model.prior) / (sum(weight) + 1e-6)
+        assert abs(got[i] - min(1, max(0, want))) < 1e-3
+
+
+def test_quality_passes_over_contradictory_labels(spark):
+    rows = [(i, f"text number {i} " * 5) for i in range(40)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    once = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, quality int")
+    twice = once.unionByName(spark.createDataFrame([(i, q) for i in range(20, 40) for q in (0, 1)], "doc_id long, quality int")).unionByName(once)
+    a, b = quality.fit(d, once), quality.fit(d, twice)
+    assert len(a.labels) == len(b.labels) and a.prior == b.prior
+
+
+def test_language_equals_brute_force(spark, sf):
+    import pyarrow as pa
+
+    from auditlake.llm._features import tfidf
+
+    d = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet").select("doc_id", "text", "lang")
+    model = language.fit(d)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language.predict(d, model).collect()}
+    for r in d.orderBy("doc_id").limit(200).collect():
+        if not any(c.isalpha() for c in r.text or ""):
+            assert got[r.doc_id] == ("und", 0.0)
+            continue
+        x = tfidf(model.features.counts(pa.array([r.text])), model.weights)[0].astype(float)
+        best = {}
+        for j, c in enumerate(model.centroids.astype(float)):
+            best[int(model.owner[j])] = max(best.get(int(model.owner[j]), -1), float(x @ c))
+        top = max(best, key=best.get)
+        assert got[r.doc_id][0] == model.languages[top] or max(best.values()) - best[model.languages.index(got[r.doc_id][0])] < 1e-5
+        assert abs(got[r.doc_id][1] - 1 / sum(np.exp((v - best[top]) / 0.02) for v in best.values())) < 1e-2
+
+
+def test_segmentation_equals_all_splits():
+    import math
+
+    rng = random.Random(6)
+    for _ in range(150):
+        piece = "".join(rng.choice("abc") for _ in range(rng.randint(1, 9)))
+        counts = {"".join(rng.choice("abc") for _ in range(rng.randint(1, 4))): rng.randint(1, 50) for _ in range(12)}
+        total = sum(counts.values())
+        spans = [(a, b, counts[piece[a:b]]) for a in range(len(piece)) for b in range(a + 1, len(piece) + 1) if piece[a:b] in counts]
+
+        def cost(parts):
+            return sum(math.log(total + 1) - math.log(counts[p]) if p in counts else math.log(total + 1) + 2.5 * len(p) for p in parts)
+
+        splits = []
+        for mask in range(1 << (len(piece) - 1)):
+            cut = [0, *(i + 1 for i in range(len(piece) - 1) if mask >> i & 1), len(piece)]
+            splits.append([piece[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)])
+        got = url_filter.viterbi(piece, spans, total)
+        assert "".join(got) == piece and abs(cost(got) - min(map(cost, splits))) < 1e-9
+    assert url_filter.viterbi("x" * 5000 + "casino", [(5000, 5006, 3)], 100) == ["x" * 5000, "casino"]
+
+
+def test_url_verdicts_equal_counting(spark):
+    import math
+    import zlib
+    from collections import Counter as Count
+
+    word = "internationalisierungsbestrebungen"  # longer than any limit that was
+    rows = [(i, f"http://{h}/{p}", f"<p>{word} free casino win news paper") for i, (h, p) in enumerate([("freecasino.com", "a/b"), ("newspaper.com", "c"), (f"{word}win.net", "es/d"), ("casinowin.net", "fr/e"), ("paperwin.org", "d"), (f"{word}.org", "x/y"), ("über-casino.org", "e"), ("", ""), ("freewin.net", "es/")] * 3)]
+    pages = spark.createDataFrame([(*r, "x", "y") for r in rows], "page_id long, url string, html string, host string, verdict string")
+    got = {r.page_id: r for r in url_filter.filter_urls(pages).collect()}
+    words = Count(w for _, _, h in rows for w in re.findall(r"[a-z]+", h.replace("<p>", "")))
+    total = sum(words.values())
+
+    def tokens(host, path):
+        out = []
+        for piece in re.findall(r"[^\W\d_]+", host):
+            spans = [(a, b, words[piece[a:b]]) for a in range(len(piece)) for b in range(a + 1, len(piece) + 1) if piece[a:b] in words]
+            out += ["h:" + w for w in url_filter.viterbi(piece, spans, total)]
+        return out + ["p:" + t for t in re.split(r"[\W_]+", path) if t]
+
+    seen, pagesof = {"allow": Count(), "block": Count()}, Count()
+    bucket = lambda t: zlib.crc32(t.encode()) & 0xFFFF
+    for r in got.values():
+        if r.rule:
+            seen[r.verdict].update(map(bucket, tokens(r.host, r.path)))
+            pagesof[r.verdict] += 1
+    size = {k: sum(c.values()) + (1 << 16) for k, c in seen.items()}
+    for r in got.values():
+        odds = math.log((pagesof["block"] + 1) / (pagesof["allow"] + 1))
+        for t in map(bucket, tokens(r.host, r.path)):
+            odds += math.log((seen["block"][t] + 1) / size["block"]) - math.log((seen["allow"][t] + 1) / size["allow"])
+        assert abs(r.score - 1 / (1 + math.exp(-odds))) < 1e-9
+        if not r.rule:
+            assert r.verdict == ("block" if odds > 0 else "allow")
+
+
+def test_pipeline_stages_on_odd_rows(spark, sf, docs, none, texts):
+    import corpus_pipeline
+
+    rows = docs.unionByName(docs.filter("doc_id in (0, 7)"))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, rows, sf)
+        assert stage(spark, none, sf).count() == 0, name
+        if name != "tokens":
+            assert out.columns == docs.columns, name
+        ids = [r.doc_id for r in out.select("doc_id").collect()]
+        if name == "near_duplicates":
+            top = components({i: shingles(t, 5) for i, t in enumerate(texts)}, 4, 5)
+            assert sorted(i for i in ids if i is not None) == sorted({top[i] for i in top})
+        if name == "decontamination":
+            items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+            clean = [i for i, (n, h, _, _) in brute_hits(texts, items).items() if not (h and 20 * h >= n)]
+            assert sorted(i for i in ids if i is not None) == sorted([*clean, *(i for i in (0, 7) if i in clean)])
+        if name == "tokens":
+            assert len(ids) == rows.count()
+        if name == "repeated_passages":
+            gone = {i for i, (n, m) in brute_repeats(texts).items() if n and n == m}
+            assert set(ids) - {None} == set(range(len(texts))) - gone
+
+
 def test_pipeline_runs_and_filters(spark, sf):
     import corpus_pipeline
 

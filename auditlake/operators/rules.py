@@ -72,6 +72,18 @@ def close_rewrites(assignments: DataFrame, gap: int = 3) -> DataFrame:
     return assignments.withColumn("next_line", F.lead("line_no").over(w)).filter(F.col("next_line") - F.col("line_no") < gap)
 
 
+def changed_blocks(ranges: DataFrame, blocks: DataFrame) -> DataFrame:
+    """ranges(path, start_line, end_line) with ``name, block_type, line_start, line_end`` of the block that a range starts in.
+
+    Blocks are those of :func:`st_blocks`, lines count as there; of several the first; a range outside any has nulls.
+    """
+    b = blocks.select(F.col("path").alias("_p"), F.struct("line_start", "line_end", "name", "block_type").alias("_b"))
+    hit = ranges.join(b, (F.col("path") == F.col("_p")) & F.col("start_line").between(F.col("_b.line_start"), F.col("_b.line_end")), "left")
+    first = hit.groupBy("path", "start_line", "end_line").agg(F.min("_b").alias("_b"))
+    return first.select("path", "start_line", "end_line", "_b.name", "_b.block_type", "_b.line_start", "_b.line_end")
+
+
+#: How a block starts.
 BLOCK_START = r"(?i)^\s*(FUNCTION_BLOCK|FUNCTION|PROGRAM)\s+(\w+)(?:\s*:\s*(\w+))?"
 
 

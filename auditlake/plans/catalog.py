@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import scalars as S
 from ..operators import clones, corpus, findings as fnd, grounding, guidelines, history, packs, patches, plc_pack, rules, symbols, usage
-from ..shared import ship
+from ..shared import materialize, ship
 from ..streaming import events as ev
 from . import code, reports
 
@@ -63,9 +63,9 @@ _COUNTS = ", ".join(f"count(*) FILTER (severity = '{s}') AS n_{s}" for s in fnd.
 @query(f"WITH {_HITS} SELECT source, {_COUNTS}, count(*) AS n_total, CASE WHEN bool_or(severity = 'critical') THEN 2 ELSE 0 END AS exit_code, count(DISTINCT substr(sha1(concat_ws('|', file_path, line_start::VARCHAR, lower(title))), 1, 16)) AS n_fingerprints FROM hit GROUP BY source")
 def audit_rollup(spark, sf_dir):
     """The flagship: scan, fingerprint, roll up by severity, gate."""
-    found = history.with_fingerprint(doc_findings(spark, sf_dir))
-    exit_code = F.when(F.bool_or(F.col("severity") == "critical"), 2).otherwise(0)
-    return found.groupBy("source").agg(*[F.count_if(F.col("severity") == s).alias(f"n_{s}") for s in fnd.SEVERITIES], F.count("*").alias("n_total"), exit_code.alias("exit_code"), F.countDistinct("fingerprint").alias("n_fingerprints"))
+    found = materialize(history.with_fingerprint(doc_findings(spark, sf_dir)).select("source", "severity", "fingerprint"), "audit")
+    prints = found.groupBy("source").agg(F.countDistinct("fingerprint").alias("n_fingerprints"))
+    return fnd.severity_counts(found, "source").join(fnd.gate(found, "source"), "source").join(prints, "source")
 
 
 @query(f"WITH {_HITS} SELECT file_path, line_start, rule_id, severity, substr(sha1(concat_ws('|', file_path, line_start::VARCHAR, lower(title))), 1, 16) AS fingerprint, substr(sha1(regexp_replace(text, '^\\s+|\\s+$', '', 'g')), 1, 12) AS line_content_hash FROM hit")
@@ -96,6 +96,19 @@ def primary_language(spark, sf_dir):
     return counted.groupBy("source").agg(F.sum("n").alias("total_files"), F.min_by("lang", F.struct(-F.col("n"), "lang")).alias("primary_language"), F.round(F.lit(100.0) * F.max("n") / F.sum("n"), 1).alias("top_share"))
 
 
+_EXTENSIONS = {"en": (".py", "python"), "de": (".rs", "rust"), "fr": (".go", "go"), "es": (".java", "java")}
+_LANGUAGE = "CASE lang " + " ".join(f"WHEN '{k}' THEN '{name}'" for k, (_, name) in _EXTENSIONS.items()) + " END"
+
+
+@query(f"WITH c AS (SELECT source AS repo, {_LANGUAGE} AS l, count(*) AS n FROM documents GROUP BY ALL) SELECT repo, sum(n)::BIGINT AS total_files, arg_min(l, struct_pack(a := -n, b := l)) FILTER (l IS NOT NULL) AS primary_language, arg_min(l, struct_pack(a := -n, b := l)) FILTER (l IS NOT NULL) AS suggested_profile, array_to_string(list(l ORDER BY n DESC, l) FILTER (l IS NOT NULL), ',') AS languages FROM c GROUP BY repo")
+def repo_fingerprints(spark, sf_dir):
+    """Sources as repositories, documents as their files, with an extension for each language."""
+    ext = F.create_map(*[F.lit(x) for k, (e, _) in _EXTENSIONS.items() for x in (k, e)])
+    docs = table(spark, sf_dir, "documents").withColumn("ext", F.coalesce(F.try_element_at(ext, F.col("lang")), F.lit(".zzz")))
+    files = docs.select(F.col("source").alias("repo"), F.concat(F.col("doc_id").cast("string"), "ext").alias("path"), "ext", F.col("text").alias("content"))
+    return corpus.fingerprint(files).select("repo", "total_files", "primary_language", "suggested_profile", F.array_join("languages", ",").alias("languages"))
+
+
 def _doc_prints(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     words = F.filter(F.split(F.lower("text"), r"[ \t\n\r]+"), lambda w: w != "")

@@ -80,6 +80,8 @@ def test_plc_rules(spark):
     lines = f.select("path", F.posexplode(F.split("content", "\n")).alias("i", "text")).select("path", (F.col("i") + 1).alias("line_no"), "text")
     b = rules.st_blocks(lines).collect()
     assert [(x.name, x.block_type, x.line_start, x.line_end) for x in b] == [("Main", "PROGRAM", 0, 18)]
+    ranges = spark.createDataFrame([("m.st", 3, 4), ("m.st", 40, 41), ("none", 1, 1)], "path string, start_line int, end_line int")
+    assert {(r.path, r.start_line): r.name for r in rules.changed_blocks(ranges, rules.st_blocks(lines)).collect()} == {("m.st", 3): "Main", ("m.st", 40): None, ("none", 1): None}
     assert plc_pack.violations_to_findings(plc_pack.scan_plc(f)).filter("severity = 'error'").count() > 0
 
 

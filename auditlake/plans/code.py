@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..functions.scalars import request_label
 from ..operators import clones, guidelines, plc_pack, symbols
 from ..shared import ship
 
@@ -37,6 +38,11 @@ TOKEN_CASES = [
     ("while (p{0}) { p{0} = next{0}(p{0}, 'a{0}'); }", "while ( p1 ) { p1 = p2 ( p1 , STR_ ) ; }"),
 ]
 
+#: Requests and their labels.
+REQUEST_CASES = [
+    ("what models are available?", "config"), ("show the budget", "config"), ("切换模型", "config"), ("set url", "config"), ("a fine model", "capability"), ("remove duplicate code", "dedup"), ("有没有冗余", "dedup"), ("scan the repo", "audit"), ("帮我审计一下", "audit"), ("look at my last commit", "review"), ("please read ./src/a.py", "review"), ("good morning", "capability"),
+]
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
@@ -155,5 +161,62 @@ def guideline_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SECTIONS_SQL = "SELECT conv_id::VARCHAR AS source, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INT AS section_index, role || ' ' || turn AS section_title, sha256(trim(translate(text, '#' || chr(10) || chr(13) || chr(9), '    '))) AS sha256 FROM conversations"
 
-QUERIES = {f.__name__: f for f in (plc_line_rules, plc_file_rules, plc_findings, code_tokens, resolve_imports, resolve_calls, call_stats, guideline_sections)}
-ORACLE_SQL = {"plc_line_rules": PLC_LINE_SQL, "plc_file_rules": PLC_FILE_SQL, "plc_findings": PLC_FINDINGS_SQL, "code_tokens": CODE_TOKENS_SQL, "resolve_imports": IMPORTS_SQL, "resolve_calls": CALLS_SQL, "call_stats": CALL_STATS_SQL, "guideline_sections": SECTIONS_SQL}
+def _order_calls(spark, sf_dir) -> DataFrame:
+    """Orders as functions, their items as calls: some have none, some one."""
+    functions = _table(spark, sf_dir, "orders").select(F.lit("r").alias("repo"), F.col("o_custkey").alias("path"), F.concat(F.lit("f"), F.col("o_orderkey").cast("string")).alias("name"), F.lit(1).alias("line_start"), (F.col("o_orderkey") % 2 == 0).alias("is_exported"), "o_orderkey")
+    calls = _table(spark, sf_dir, "lineitem").join(functions, F.col("l_orderkey") == F.col("o_orderkey")).select("repo", F.concat(F.col("path").cast("string"), F.lit("::"), "name", F.lit("@1")).alias("target"))
+    return symbols.call_counts(functions, calls)
+
+
+def uncalled_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return symbols.uncalled(_order_calls(spark, sf_dir)).select("o_orderkey", "is_exported")
+
+
+def single_call_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return symbols.single_call(_order_calls(spark, sf_dir)).select("o_orderkey")
+
+
+UNCALLED_SQL = "SELECT o_orderkey, false AS is_exported FROM orders WHERE o_orderkey % 2 <> 0 AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)"
+SINGLE_SQL = "SELECT o_orderkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey HAVING count(*) = 1"
+
+
+def request_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests in two languages, one per event, by label."""
+    events = _table(spark, sf_dir, "events")
+    text = F.concat(_pick([c[0] for c in REQUEST_CASES], F.col("event_id") % len(REQUEST_CASES)), F.lit(" "), F.col("event_id").cast("string"))
+    return events.select("event_id", request_label(text).alias("label"))
+
+
+REQUEST_SQL = f"SELECT event_id, {_quoted(c[1] for c in REQUEST_CASES)}[event_id % {len(REQUEST_CASES)} + 1] AS label FROM events"
+
+
+def _flow(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Each order is a program of three statements; even ones loop from the last to the second."""
+    texts = F.array(F.lit("a := 1;"), F.lit("b := a;"), F.lit("c := 2;"))
+    orders = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("path"))
+    statements = orders.select("path", F.posexplode(texts).alias("stmt_id", "text")).select("path", "stmt_id", F.col("stmt_id").alias("block_id"), (F.col("stmt_id") + 1).alias("line_no"), "text")
+    edge = lambda a, b: F.struct(F.lit(a).alias("src"), F.lit(b).alias("dst"))
+    edges = orders.select("path", F.inline(F.when(F.col("path") % 2 == 0, F.array(edge(0, 1), edge(1, 2), edge(2, 1))).otherwise(F.array(edge(0, 1), edge(1, 2))))).withColumn("edge_type", F.lit("x"))
+    return plc_pack.with_def_use(statements), edges
+
+
+def def_use_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plc_pack.def_use_pairs(*_flow(spark, sf_dir)).select("path", "var", "def_id")
+
+
+def dead_stores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plc_pack.dead_stores(*_flow(spark, sf_dir)).select("path", "var")
+
+
+def endless_loops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plc_pack.endless_loops(*_flow(spark, sf_dir)).select("path", "header")
+
+
+FLOW_SQL = {
+    "def_use_pairs": "SELECT o_orderkey AS path, 'a' AS var, 0 AS def_id FROM orders",
+    "dead_stores": "SELECT o_orderkey AS path, var FROM orders, (VALUES ('b'), ('c')) v(var)",
+    "endless_loops": "SELECT o_orderkey AS path, 1 AS header FROM orders WHERE o_orderkey % 2 = 0",
+}
+
+QUERIES = {f.__name__: f for f in (plc_line_rules, plc_file_rules, plc_findings, code_tokens, resolve_imports, resolve_calls, call_stats, guideline_sections, uncalled_functions, single_call_functions, request_cases, def_use_pairs, dead_stores, endless_loops)}
+ORACLE_SQL = {"plc_line_rules": PLC_LINE_SQL, "plc_file_rules": PLC_FILE_SQL, "plc_findings": PLC_FINDINGS_SQL, "code_tokens": CODE_TOKENS_SQL, "resolve_imports": IMPORTS_SQL, "resolve_calls": CALLS_SQL, "call_stats": CALL_STATS_SQL, "guideline_sections": SECTIONS_SQL, "uncalled_functions": UNCALLED_SQL, "single_call_functions": SINGLE_SQL, "request_cases": REQUEST_SQL} | FLOW_SQL

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
-from ..shared import materialize
+from ..shared import discard, materialize
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -30,14 +30,19 @@ def connected_components(edges: DataFrame, left: str = "a", right: str = "b", ma
     """
     x, y = F.col(left), F.col(right)
     now = edges.filter(x.isNotNull() & y.isNotNull() & (x != y))
-    now = materialize(now.select(F.greatest(x, y).alias("a"), F.least(x, y).alias("b")).distinct(), "edges")
-    mark = lambda d: tuple(d.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-    before = mark(now)
+
+    def keep(table: DataFrame) -> tuple[DataFrame, tuple]:
+        seen = Observation()
+        out = materialize(table.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum")), "edges")
+        return out, (seen.get["n"], seen.get["sum"])
+
+    now, before = keep(now.select(F.greatest(x, y).alias("a"), F.least(x, y).alias("b")).distinct())
     for _ in range(max_rounds):
         if not before[0]:
             break
-        now = materialize(_star(_star(now, True), False), "edges")
-        after = mark(now)
+        former = now
+        now, after = keep(_star(_star(now, True), False))
+        discard(former)
         if after == before:
             break
         before = after

@@ -15,6 +15,7 @@ gives no label; repeated rows each get a score; other columns are not read.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -67,8 +68,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in T.slices(batches, most=1 << 20):
-            x = features.counts(batch.column(0)).astype(np.float16)
-            yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary()), batch.column(1), batch.column(2)], names=["x", "label", "h"])
+            x = np.minimum(features.counts(batch.column(0)), 65504).astype(np.float16)
+            yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(r.tobytes(), 1) for r in x], pa.binary()), batch.column(1), batch.column(2)], names=["x", "label", "h"])
 
     joined = texts.join(F.broadcast(some), "id").select("text", "label", F.xxhash64("id", "text").alias("h")).orderBy("h", "label").limit(max_labelled)
     rows = joined.mapInArrow(run, "x binary, label int, h long").orderBy("h", "label").toArrow()
@@ -76,8 +77,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     y = rows.column("label").to_numpy().astype(np.float64)
     if not len(y):
         return Model(features, weights, np.zeros((features.dim, 1), np.float32), np.zeros((0, 1), np.float32), y, neighbours)
-    a = np.vstack([np.frombuffer(x.as_py(), np.float16) for x in rows.column("x")]).astype(np.float32)
-    a = tfidf(np.where(np.isfinite(a), a, np.float32(65504)), weights)
+    a = np.empty((len(y), features.dim), np.float32)
+    for i, x in enumerate(rows.column("x")):
+        a[i] = np.frombuffer(zlib.decompress(x.as_py()), np.float16)
+    a = tfidf(a, weights)
     # Truncated SVD by subspace iteration.
     basis = np.random.Generator(np.random.PCG64(3)).standard_normal((a.shape[1], rank + 16)).astype(np.float32)
     for _ in range(5):

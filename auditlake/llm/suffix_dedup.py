@@ -35,7 +35,7 @@ from pyspark.sql.types import StructType
 from ..shared import discard, materialize
 from . import _text as T
 
-MIN_WORDS, K, WINDOW = 50, 8, 32
+MIN_WORDS, K, WINDOW = 50, 8, 43
 PIECE = 1 << 16  # suffixes that are compared at once
 _PLACE = 28  # bits of a word's place within a batch
 _SPANS = "array<struct<first:long,last:long>>"
@@ -201,7 +201,8 @@ def _windows(texts: DataFrame, asked: DataFrame, min_words: int, id_type: str) -
             doc = pa.array(own[row])
             yield pa.RecordBatch.from_arrays([pa.array(T.signed(prints[first[own[row]] + at])), batch.column(0).take(doc), batch.column(1).take(doc), pa.array(at)], names=["print", "id", "node", "first"])
 
-    return texts.join(asked, ["id", "node"]).select("id", "node", "text", "ranges").mapInArrow(run, f"print long, id {id_type}, node long, first long").distinct()
+    # By sorting at every size, like the other joins here: both sides grow with the corpus.
+    return texts.join(asked.hint("merge"), ["id", "node"]).select("id", "node", "text", "ranges").mapInArrow(run, f"print long, id {id_type}, node long, first long").distinct()
 
 
 def _merge(ranges: list, min_words: int) -> list[dict]:
@@ -228,7 +229,7 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "d
     windows = materialize(_windows(texts, asked, min_words, id_type), "suffix-windows")
     place = F.struct("id", "node", "first")
     tops = materialize(windows.groupBy("print").agg(F.min(place).alias("top"), F.count("*").alias("times")).filter("times > 1").select("print", "top"), "suffix-tops")
-    more = windows.join(tops, "print").filter(place != F.col("top")).select("id", "node", "first", (F.col("first") + min_words - 1).alias("last"))
+    more = windows.join(tops.hint("merge"), "print").filter(place != F.col("top")).select("id", "node", "first", (F.col("first") + min_words - 1).alias("last"))
     sure = matches.filter("sure").select("id", "node", "first", (F.col("last") + min_words - 1).alias("last"))
     ranges = sure.unionByName(more).groupBy("id", "node").agg(F.collect_set(F.struct("first", "last")).alias("ranges"))
 
@@ -255,7 +256,7 @@ def find_repeats(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc
 
     rows = texts.mapInArrow(run, f"id {id_type}, node long, n_words long")
     spans = F.coalesce("spans", F.array().cast(_SPANS))
-    out = rows.join(repeated_spans(docs, min_words, id_col, text_col), ["id", "node"], "left").select(F.col("id").alias("doc_id"), "n_words", spans.alias("spans"))
+    out = rows.join(repeated_spans(docs, min_words, id_col, text_col).hint("merge"), ["id", "node"], "left").select(F.col("id").alias("doc_id"), "n_words", spans.alias("spans"))
     return out.select("doc_id", "n_words", F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["last"] - s["first"] + 1).alias("n_repeated"), "spans")
 
 
@@ -296,5 +297,5 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "d
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     same = F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(f"`{text_col}`")) == F.col("__node"))
-    joined = docs.join(spans, same, "left").select(*[F.col(f"`{c}`") for c in docs.columns], "__spans")
+    joined = docs.join(spans.hint("merge"), same, "left").select(*[F.col(f"`{c}`") for c in docs.columns], "__spans")
     return joined.mapInArrow(cut, StructType(schema.fields))

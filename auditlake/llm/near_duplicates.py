@@ -45,7 +45,7 @@ from ._bits import bit_set, in_bits
 
 HASHES = 4
 GROUP_SHINGLES, LEAST_WEIGHT = 300_000, 600  # a group's shingles, and what a small set counts for at least
-HEAVY, HEAVY_A_TASK = 1 << 20, 1 << 17  # shingles that come last in the global order, and how many of them a task may name
+HEAVY, HEAVY_A_TASK = 1 << 19, 1 << 17  # shingles that come last in the global order, and how many of them a task may name
 QUERIES_A_SALT = 2000
 _SEEDS = np.random.Generator(np.random.PCG64(11)).integers(0, 2**63, HASHES, dtype=np.uint64)
 _SEED2 = np.uint64(0x5851F42D4C957F2D)
@@ -96,16 +96,16 @@ def _most_common(x: np.ndarray, n: int, y: np.ndarray) -> int:
 
 
 def _base(texts: DataFrame, k: int, id_type: str) -> DataFrame:
-    """``id, n, node, minima, bits``: size, set fingerprint, minhashes and bits of every row."""
+    """``id, print, n, node, minima, bits``: the text's fingerprint, and its set's size, fingerprint, minhashes and bits, of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in T.slices(batches):
             tokens, offsets, node = _sets(batch, k)
             low = T.signed(_minima(tokens, offsets))
             minima = pa.ListArray.from_arrays(pa.array(np.arange(0, len(batch) * HASHES + 1, HASHES, dtype=np.int32)), pa.array(low.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets)), pa.array(T.signed(node)), minima, pa.array(_bit_rows(tokens, offsets), pa.binary())], names=["id", "n", "node", "minima", "bits"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.diff(offsets)), pa.array(T.signed(node)), minima, pa.array(_bit_rows(tokens, offsets), pa.binary())], names=["id", "print", "n", "node", "minima", "bits"])
 
-    return texts.mapInArrow(run, f"id {id_type}, n long, node long, minima array<long>, bits binary")
+    return texts.withColumn("print", F.xxhash64("text")).mapInArrow(run, f"id {id_type}, print long, n long, node long, minima array<long>, bits binary")
 
 
 def _tokens_of(texts: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
@@ -268,12 +268,13 @@ def _postings(texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
 
 
 def _grouped(sets: DataFrame, early: DataFrame) -> DataFrame:
-    """``node, n, family, grp``: early components cut to groups by running weight, all other sets groups of one.
+    """``node, n, family, grp, size``: early components cut to groups by running weight, all other sets groups of one; size is the component's.
 
     The order is dealt by ranges, so a component of any size runs over many tasks; a window over a whole component
     sees one row per range.
     """
     members = early.select("node", F.col("component").alias("family")).join(sets.select("node", "n"), "node")
+    sizes = early.groupBy(F.col("component").alias("family")).agg(F.count("*").alias("size"))
     order = ["family", "n", "node"]
     ranged = members.withColumn("weight", F.greatest("n", F.lit(LEAST_WEIGHT))).repartitionByRange(*order)
     ranged = materialize(ranged.withColumn("range", F.spark_partition_id()), "near-ranges")
@@ -283,7 +284,8 @@ def _grouped(sets: DataFrame, early: DataFrame) -> DataFrame:
     running = F.coalesce(F.sum("weight").over(before.partitionBy("family", "range").orderBy("n", "node")), F.lit(0))
     cut = ranged.withColumn("running", running).join(sums, ["family", "range"])
     cut = cut.select("node", "n", "family", F.floor((F.col("start") + F.col("running")) / GROUP_SHINGLES).alias("grp"))
-    single = sets.join(early.select("node"), "node", "left_anti").select("node", "n", F.col("node").alias("family"), F.lit(0).cast("long").alias("grp"))
+    cut = materialize(cut, "near-cut").join(materialize(sizes, "near-sizes"), "family").select("node", "n", "family", "grp", "size")
+    single = sets.join(early.select("node"), "node", "left_anti").select("node", "n", F.col("node").alias("family"), F.lit(0).cast("long").alias("grp"), F.lit(1).cast("long").alias("size"))
     out = materialize(cut.unionByName(single), "near-groups")
     discard(ranged)
     return out
@@ -295,19 +297,19 @@ def _candidates(postings: DataFrame, groups: DataFrame, num: int, den: int) -> D
     Components that meet in a shingle are paired first, the smaller one asking, so that a component's own members never
     meet each other.
     """
-    every = materialize(postings.join(groups, "node"), "near-held")
-    size = groups.groupBy("family").agg(F.count("*").alias("size")).filter("size > 1")
+    # All sides of these joins grow with the corpus, so they are sorted at every size.
+    every = materialize(postings.join(groups.hint("merge"), "node"), "near-held")
     met = every.groupBy("token").agg(F.min("family").alias("x"), F.max("family").alias("y")).filter("x < y").select("token")
-    held = materialize(every.join(met, "token", "left_semi").join(size, "family", "left").withColumn("size", F.coalesce("size", F.lit(1))), "near-met")
+    held = materialize(every.join(met.hint("merge"), "token", "left_semi"), "near-met")
     # What each group's row of the matrix leads with, and the sizes of the members that do.
     rows = held.groupBy("token", "family", "size", "grp").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     of = rows.groupBy("token", "family", "size").agg(F.min("low").alias("low"), F.max("high").alias("high"))
     ask, give = (of.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("family", "size", "low", "high")]) for s in ("q", "g"))
     fit = lambda a, b, c, d: (F.col(b) * den >= F.col(c) * num) & (F.col(d) * den >= F.col(a) * num)
-    pairs = ask.join(give, "token").filter(F.struct("size_q", "family_q") < F.struct("size_g", "family_g")).filter(fit("low_q", "high_q", "low_g", "high_g")).select("token", "family_q", "family_g")
-    asked = held.select("token", F.col("family").alias("family_q"), F.col("node").alias("q"), F.col("n").alias("nq")).join(pairs, ["token", "family_q"])
+    pairs = ask.join(give.hint("merge"), "token").filter(F.struct("size_q", "family_q") < F.struct("size_g", "family_g")).filter(fit("low_q", "high_q", "low_g", "high_g")).select("token", "family_q", "family_g")
+    asked = held.select("token", F.col("family").alias("family_q"), F.col("node").alias("q"), F.col("n").alias("nq")).join(pairs.hint("merge"), ["token", "family_q"])
     given = rows.select("token", F.col("family").alias("family_g"), "grp", "low", "high")
-    out = asked.join(given, ["token", "family_g"]).filter(fit("nq", "nq", "low", "high"))
+    out = asked.join(given.hint("merge"), ["token", "family_g"]).filter(fit("nq", "nq", "low", "high"))
     out = materialize(out.select("q", F.col("family_g").alias("family"), "grp").distinct(), "near-candidates")
     discard(every, held)
     return out
@@ -322,6 +324,11 @@ def _dealt(asked: DataFrame, rows: DataFrame, sets: DataFrame) -> DataFrame:
     return head.unionByName(tail).repartition(*key, "salt").sortWithinPartitions(*key, "salt", "side")
 
 
+def _bits_of(sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``node, n, bits`` of the sets named; few of all, so that joins need not move the others."""
+    return sets.select("node", "n", "bits").join(nodes.distinct(), "node", "left_semi")
+
+
 def _bounded(pairs: DataFrame, num: int, den: int) -> DataFrame:
     """The rows of ``pairs`` whose bits allow a link: those of a query (``n, bits``) against a set or group (``m, of``).
 
@@ -374,8 +381,8 @@ def _opened(num: int, den: int):
 
 
 def links(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(documents, links): ``id, n, node`` for every row, and links ``a, b`` between distinct sets (nodes)."""
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    """(documents, links): ``id, print, n, node`` for every row, and links ``a, b`` between distinct sets (nodes)."""
+    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     rows = materialize(_base(texts, k, texts.schema["id"].dataType.simpleString()), "near-base")
     live = texts.filter("id is not null")
     sets = rows.filter("n > 0 and id is not null").groupBy("node").agg(F.first("n").alias("n"), F.count("*").alias("copies"), F.first("minima").alias("minima"), F.first("bits").alias("bits"))
@@ -387,8 +394,10 @@ def links(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, id_col: str =
     stars = buckets.join(tops.select("j", "m", F.col("top.node").alias("b"), F.col("top.n").alias("nb"), F.ceil(F.col("size") / QUERIES_A_SALT).alias("salts")), ["j", "m"]).filter("node <> b")
     stars = stars.filter(F.col("n") * den >= F.col("nb") * num).filter(F.col("nb") * den >= F.col("n") * num)
     stars = stars.groupBy(F.col("node").alias("a"), "b").agg(F.max(_salt("node", F.col("salts"))).alias("salt"))
-    own, other = sets.select(F.col("node").alias("a"), "n", "bits"), sets.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("bits").alias("of"))
-    stars = materialize(_bounded(stars.join(own, "a").join(other, "b"), num, den), "near-stars")
+    pairs = materialize(stars, "near-pairs")
+    own = _bits_of(sets, pairs.select(F.col("a").alias("node"))).withColumnRenamed("node", "a")
+    other = _bits_of(sets, pairs.select(F.col("b").alias("node"))).select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("bits").alias("of"))
+    stars = materialize(_bounded(pairs.join(own, "a").join(other, "b"), num, den), "near-stars")
     wanted = stars.select(F.col("a").alias("node")).unionByName(stars.select(F.col("b").alias("node"))).distinct()
     near = materialize(_verified(stars, _tokens_of(live, wanted, k), num, den), "near-verified")
     early = connected_components(near)
@@ -398,7 +407,8 @@ def links(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, id_col: str =
     asked = _candidates(_postings(live, k, num, den), groups, num, den)
 
     # The matrix: the union of each group's shingles.
-    given = groups.join(asked.select("family", "grp").distinct(), ["family", "grp"], "left_semi").join(sets.select("node", "bits"), "node")
+    given = groups.join(asked.select("family", "grp").distinct(), ["family", "grp"], "left_semi").select("node", "family", "grp")
+    given = given.join(_bits_of(sets, given.select("node")), "node")
 
     def union(table: pa.Table) -> pa.Table:
         rows = [np.frombuffer(x.as_buffer(), np.uint8) for x in table.column("bits")]
@@ -413,15 +423,15 @@ def links(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, id_col: str =
     matrix = materialize(single.unionByName(unions), "near-matrix")
 
     # Bound each query's overlap with the groups' unions, then open the groups that qualify.
-    queries = sets.select(F.col("node").alias("q"), "n", "bits")
+    queries = _bits_of(sets, asked.select(F.col("q").alias("node"))).withColumnRenamed("node", "q")
     bounded = materialize(_bounded(asked.join(queries, "q").join(matrix, ["family", "grp"]), num, den).select("q", "family", "grp"), "near-bounded")
     members = groups.join(bounded.select("family", "grp").distinct(), ["family", "grp"], "left_semi").select("family", "grp", "node")
     wanted = members.select("node").unionByName(bounded.select(F.col("q").alias("node"))).distinct()
     tokens = materialize(_tokens_of(live, wanted, k), "near-tokens")
     found = _dealt(bounded, members.join(tokens, "node"), tokens).mapInArrow(_opened(num, den), "a long, b long")
-    documents = rows.select("id", "n", F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("node")).alias("node"))
+    documents = rows.select("id", "print", "n", F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("node")).alias("node"))
     out = materialize(near.unionByName(found), "near-links")
-    discard(sets, stars, near, groups, asked, matrix, bounded, tokens)
+    discard(sets, pairs, stars, near, groups, asked, matrix, bounded, tokens)
     return documents, out
 
 
@@ -439,10 +449,17 @@ def _with_components(documents: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents, all columns, less those that are not the least id of their component; rows with a null id stay.
+    """The documents, all columns, one of each component: that of the least id (and of least text fingerprint under it).
 
-    Of repeated rows with one id and one text, one stays.
+    Rows are told apart by id and text. Of rows alike in both one stays; rows with a null id, and all documents without
+    words, stay.
     """
-    parts = near_duplicate_components(docs, k, num, den, id_col, text_col)
-    gone = parts.filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti").dropDuplicates([id_col, text_col])
+    documents, found = links(docs, k, num, den, id_col, text_col)
+    parts = _with_components(documents, found).filter("part is not null")
+    first = parts.groupBy("part").agg(F.min(F.struct("id", "print")).alias("kept"))
+    gone = parts.join(first, "part").filter(F.struct("id", "print") != F.col("kept")).select(F.col("id").alias(id_col), F.col("print").alias("__print")).distinct()
+    gone = materialize(gone, "near-gone")
+    # Rows are dealt by id and text once, at every size, which also brings rows alike in both together.
+    dealt = docs.withColumn("__print", F.xxhash64(F.col(f"`{text_col}`"))).join(gone.hint("merge"), [id_col, "__print"], "left_anti")
+    alike = F.row_number().over(Window.partitionBy(id_col, "__print").orderBy(F.lit(1)))
+    return dealt.withColumn("__alike", alike).filter(F.col(f"`{id_col}`").isNull() | (F.col("__alike") == 1)).select(docs.columns)

@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Observation, Window, functions as F
 
 from ..shared import discard, materialize
 
@@ -172,7 +172,7 @@ def _descend(graph: DataFrame, packed: DataFrame, degree: int) -> DataFrame:
     worst = graph.groupBy("u").agg(F.when(F.count("*") >= degree, F.max("d")).otherwise(F.lit(float("inf"))).alias("worst"))
     info = packed.join(worst, F.col("node") == F.col("u"), "left").select("node", "p", F.coalesce("worst", F.lit(float("inf"))).alias("worst"))
     back = _best(graph, degree, "v").select(F.col("v").alias("c"), F.col("u").alias("node"))
-    meet = graph.select(F.col("u").alias("c"), F.col("v").alias("node")).unionByName(back).distinct()
+    meet = graph.select(F.col("u").alias("c"), F.col("v").alias("node")).unionByName(back)
     lists = meet.join(info, "node").groupBy("c").agg(F.collect_list(F.struct("node", "p", "worst")).alias("x"))  # 2 * degree at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,27 +183,34 @@ def _descend(graph: DataFrame, packed: DataFrame, degree: int) -> DataFrame:
             us, vs, ds, at = [], [], [], 0
             for m in sizes.tolist():
                 far = _squares(x[at : at + m])
-                i, j = np.nonzero(far < worst[at : at + m, None])
+                own = nodes[at : at + m]  # one that is a neighbour both ways stands twice
+                _, once = np.unique(own, return_index=True)
+                use = np.zeros(m, bool)
+                use[once] = True
+                i, j = np.nonzero((far < worst[at : at + m, None]) & use[:, None] & use[None])
                 us.append(nodes[at + i])
                 vs.append(nodes[at + j])
                 ds.append(far[i, j])
                 at += m
             yield _edges(*(np.concatenate(z) if z else [] for z in (us, vs, ds)))
 
-    return lists.select("x").mapInArrow(run, "u long, v long, d double").groupBy("u", "v").agg(F.min("d").alias("d"))
+    return lists.select("x").mapInArrow(run, "u long, v long, d double")
 
 
 def build_graph(packed: DataFrame, degree: int = DEGREE, settle: float = 0.01) -> DataFrame:
     """``u, v, d``: each node's nearest neighbours found, d the squared distance; rounds end when under ``settle`` of all entries change."""
     n = packed.count()
     graph = materialize(_first_graph(packed, n, degree), "nn-graph")
+    rank = F.row_number().over(Window.partitionBy("u").orderBy("d", "v"))
     for _ in range(MOST_ROUNDS):
-        better = _best(graph.unionByName(_descend(graph, packed, degree)), degree)
-        after = materialize(better, "nn-graph")
-        changed = after.join(graph, ["u", "v"], "left_anti").count()
+        proposed = graph.withColumn("fresh", F.lit(False)).unionByName(_descend(graph, packed, degree).withColumn("fresh", F.lit(True)))
+        merged = proposed.groupBy("u", "v").agg(F.min("d").alias("d"), F.min("fresh").alias("fresh"))
+        seen = Observation()
+        better = merged.withColumn("r", rank).filter(F.col("r") <= degree).drop("r").observe(seen, F.count_if("fresh").alias("changed"))
+        after = materialize(better.drop("fresh"), "nn-graph")
         discard(graph)
         graph = after
-        if changed <= settle * n * degree:
+        if seen.get["changed"] <= settle * n * degree:
             return graph
     raise RuntimeError(f"the graph did not settle in {MOST_ROUNDS} rounds")
 
@@ -229,10 +236,12 @@ def greedy_search(graph: DataFrame, packed: DataFrame, queries: DataFrame, entri
         fresh = state.filter("not done").join(both, F.col("node") == F.col("u")).select("q", F.col("v").alias("node")).distinct()
         fresh = fresh.join(state.select("q", "node"), ["q", "node"], "left_anti")
         found = _measured(fresh, queries, packed).withColumn("done", F.lit(False))
-        after = materialize(state.select("q", "node", "d", F.lit(True).alias("done")).unionByName(found).withColumn("r", rank).filter(F.col("r") <= beam).drop("r"), "nn-beam")
+        seen = Observation()
+        kept = state.select("q", "node", "d", F.lit(True).alias("done")).unionByName(found).withColumn("r", rank).filter(F.col("r") <= beam).drop("r")
+        after = materialize(kept.observe(seen, F.count_if(~F.col("done")).alias("left")), "nn-beam")
         discard(state)
         state = after
-        if state.filter("not done").isEmpty():
+        if not seen.get["left"]:
             discard(both)
             return state.select("q", "node", "d")
     raise RuntimeError(f"the search did not settle in {MOST_ROUNDS} rounds")

@@ -6,6 +6,9 @@ Keys below that level are rarer than all that are sent, so none of them is hot;
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..shared import scratch_path
@@ -32,3 +35,23 @@ def split(counts: DataFrame, n: str, most: int) -> tuple[DataFrame, DataFrame]:
             break
         least = step
     return counts.filter(level(n) >= least), counts.filter(level(n) < least)
+
+
+def added(batches: Iterable[np.ndarray], most: int = 1 << 21) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Distinct keys and how often each comes, added up as long as no more than ``most`` keys are held."""
+    keys, n, waiting, size = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
+
+    def add() -> tuple[np.ndarray, np.ndarray]:
+        own, turn = np.unique(np.concatenate([keys, *waiting]), return_inverse=True)
+        return own, np.bincount(turn, weights=np.concatenate([n, np.ones(size)]), minlength=len(own)).astype(np.int64)
+
+    for batch in batches:
+        waiting.append(batch)
+        size += len(batch)
+        if size >= most:
+            keys, n = add()
+            waiting, size = [], 0
+            if len(keys) >= most:
+                yield keys, n
+                keys, n = keys[:0], n[:0]
+    yield add()

@@ -320,22 +320,8 @@ def pair_counts(linked: DataFrame, most: int = 1 << 21) -> DataFrame:
     """``pair, n``: in how many rows of ``linked`` each id pair stands (pair: A id times 2**22, and B id)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, waiting, size = (np.zeros(0, np.int64), np.zeros(0, np.int64)), [], 0
-
-        def add() -> tuple[np.ndarray, np.ndarray]:
-            keys, turn = np.unique(np.concatenate([held[0], *waiting]), return_inverse=True)
-            weights = np.concatenate([held[1], np.ones(size, np.int64)])
-            return keys, np.bincount(turn, weights=weights, minlength=len(keys)).astype(np.int64)
-
-        for batch in batches:
-            waiting.append(_pairs(batch)[0])
-            size += len(waiting[-1])
-            if size >= most:
-                held, waiting, size = add(), [], 0
-                if len(held[0]) >= most:
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in held], names=["pair", "n"])
-                    held = (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in add()], names=["pair", "n"])
+        for keys, n in _counts.added((_pairs(batch)[0] for batch in batches), most):
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], names=["pair", "n"])
 
     return linked.select("a", "b").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
 

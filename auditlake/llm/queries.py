@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..shared import ship
-from . import align, bpe, decontaminate, language, licenses, near_duplicates, nearest, quality, suffix_dedup, url_filter, warc
+from . import align, bpe, decontaminate, language, language_model, licenses, near_duplicates, nearest, quality, suffix_dedup, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,6 +74,12 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.alignment(_table(spark, sf_dir, "documents"))
 
 
+def op12_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probability of every document, and its exact add-one unigram score."""
+    docs = _table(spark, sf_dir, "documents")
+    return language_model.score(docs, language_model.fit(docs.filter(~language_model.held_out())))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_decontaminate": op2_decontaminate,
@@ -86,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_language": op10_language,
     "op11_alignment": op11_alignment,
+    "op12_language_model": op12_language_model,
 }
 
 _WORDS = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"

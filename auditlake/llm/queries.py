@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..shared import ship
-from . import align, bpe, decontaminate, language, language_model, licenses, near_duplicates, nearest, quality, suffix_dedup, url_filter, warc
+from . import align, bpe, decontaminate, language, language_model, licenses, near_duplicates, nearest, quality, spelling, suffix_dedup, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,6 +80,11 @@ def op12_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score(docs, language_model.fit(docs.filter(~language_model.held_out())))
 
 
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of the documents with its near words, its form and its root."""
+    return spelling.variants(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_decontaminate": op2_decontaminate,
@@ -93,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language": op10_language,
     "op11_alignment": op11_alignment,
     "op12_language_model": op12_language_model,
+    "op13_spelling": op13_spelling,
 }
 
 _WORDS = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"

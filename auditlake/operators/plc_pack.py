@@ -1,12 +1,11 @@
-"""The built-in rule pack for industrial-controller code, its flow-graph checks and the hardware audit."""
+"""The built-in rule pack for industrial-controller code and the hardware audit."""
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from ..shared import materialize
 from . import rules as R
 from .findings import evidence
 
@@ -95,75 +94,6 @@ def violations_to_findings(violations: DataFrame, confidence: float = 0.9) -> Da
     return violations.select(F.col("path").alias("file_path"), F.coalesce("line_no", F.lit(1)).alias("line_start"), F.lit(None).cast("int").alias("line_end"), "severity", category.alias("category"), F.substring("name", 1, 80).alias("title"), F.col("description").alias("hypothesis"), F.array(evidence("static_rule", F.concat("rule_id", F.lit(": "), "description"), None, F.concat(F.lit("plc:"), "rule_id"))).alias("evidence"), F.lit(None).cast("string").alias("counter_considered"), F.lit(confidence).alias("confidence"), F.lit(True).alias("verified"), F.lit(None).cast("string").alias("suggestion"), F.lit("static").alias("detected_by"))
 
 
-# Flow graphs: statements(path, stmt_id, block_id, line_no, text, defines, uses), cfg_edges(path, src, dst, edge_type).
-
-#: Words that are no variables.
-ST_WORDS = "IF THEN ELSE ELSIF END_IF FOR TO BY DO END_FOR WHILE END_WHILE REPEAT UNTIL END_REPEAT CASE OF END_CASE RETURN EXIT AND OR NOT XOR MOD TRUE FALSE VAR END_VAR PROGRAM END_PROGRAM FUNCTION END_FUNCTION FUNCTION_BLOCK END_FUNCTION_BLOCK GOTO".split()
-
-
-def with_def_use(statements: DataFrame) -> DataFrame:
-    """Adds ``defines`` (the assigned name) and ``uses`` (other names on the line) to statements with a ``text``."""
-    target = F.regexp_extract("text", r"^\s*(\w+)(?:\[[^\]]*\])?\s*:=", 1)
-    defines = F.when(target != "", F.array(target)).otherwise(F.array().cast("array<string>"))
-    names = F.filter(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\b([A-Za-z_]\w*)\b"), F.lit(1))), lambda x: ~F.upper(x).isin(ST_WORDS))
-    return statements.withColumn("defines", defines).withColumn("uses", F.array_except(names, F.col("defines")))
-
-
-def reach(edges: DataFrame, roots: DataFrame, max_rounds: int = 10_000) -> DataFrame:
-    """``path, node`` reachable from roots(path, node), roots included: frontier joins, each round stored."""
-    seen = front = materialize(roots.select("path", "node").distinct(), "reach")
-    for _ in range(max_rounds):
-        step = front.join(edges, (front["path"] == edges["path"]) & (front["node"] == edges["src"])).select(edges["path"], edges["dst"].alias("node")).distinct()
-        front = materialize(step.join(seen, ["path", "node"], "left_anti"), "reach")
-        if front.isEmpty():
-            return seen
-        seen = materialize(seen.unionByName(front), "reach")
-    raise RuntimeError(f"not settled in {max_rounds} rounds")
-
-
-def unreachable(nodes: DataFrame, edges: DataFrame, entry: int = 0) -> DataFrame:
-    """Blocks (path, node) that no path from the entry block reaches."""
-    return nodes.join(reach(edges, nodes.filter(F.col("node") == entry)), ["path", "node"], "left_anti")
-
-
-def complexity(nodes: DataFrame, edges: DataFrame, limit: int = 15) -> DataFrame:
-    """``path, n_nodes, n_edges, complexity, too_complex`` with E - N + 2."""
-    n, e = nodes.groupBy("path").agg(F.count("*").alias("n_nodes")), edges.groupBy("path").agg(F.count("*").alias("n_edges"))
-    out = n.join(e, "path", "left").withColumn("n_edges", F.coalesce("n_edges", F.lit(0)))
-    return out.withColumn("complexity", F.col("n_edges") - F.col("n_nodes") + 2).withColumn("too_complex", F.col("complexity") > limit)
-
-
-def def_use_pairs(statements: DataFrame, edges: DataFrame) -> DataFrame:
-    """``path, var, use_id, def_id``: the last definition in the same block, else the last in an immediate predecessor."""
-    defs = statements.select("path", "block_id", "stmt_id", F.explode("defines").alias("var")).groupBy("path", "block_id", "var").agg(F.max("stmt_id").alias("def_id"))
-    uses = statements.select("path", "block_id", F.col("stmt_id").alias("use_id"), F.explode("uses").alias("var"))
-    own = uses.join(defs, ["path", "block_id", "var"], "left").withColumnRenamed("def_id", "own_id")
-    before = edges.select("path", F.col("dst").alias("block_id"), F.col("src").alias("b")).join(defs.withColumnRenamed("block_id", "b"), ["path", "b"]).groupBy("path", "block_id", "var").agg(F.max_by("def_id", "b").alias("before_id"))
-    out = own.join(before, ["path", "block_id", "var"], "left")
-    return out.select("path", "var", "use_id", F.coalesce("own_id", "before_id").alias("def_id")).filter("def_id is not null")
-
-
-def dead_stores(statements: DataFrame, edges: DataFrame) -> DataFrame:
-    """Definitions of variables that no use chain reads."""
-    defs = statements.select("path", "stmt_id", "line_no", F.explode("defines").alias("var"))
-    return defs.join(def_use_pairs(statements, edges).select("path", "var").distinct(), ["path", "var"], "left_anti")
-
-
-def endless_loops(statements: DataFrame, edges: DataFrame) -> DataFrame:
-    """``path, header``: backward edges whose natural loop holds no EXIT and whose header is no REPEAT."""
-    back = edges.filter("dst <= src").select("path", F.col("dst").alias("header"), F.col("src").alias("tail"))
-    keyed = edges.select(F.col("path"), "src", "dst")
-    bodies = back.select(F.concat_ws("#", "path", F.col("header").cast("string")).alias("key"), "path", "header", "tail")
-    reverse = bodies.select("key", "path", "header").distinct().join(keyed, "path").filter("dst <> header").select(F.col("key").alias("path"), F.col("dst").alias("src"), F.col("src").alias("dst"))
-    inside = reach(reverse, bodies.select(F.col("key").alias("path"), F.col("tail").alias("node")))
-    exits = statements.withColumn("exit", F.regexp_like("text", F.lit(r"(?i)\bEXIT\b|\bRETURN\b"))).withColumn("repeat", F.regexp_like("text", F.lit(r"(?i)^\s*REPEAT\b")))
-    marks = exits.groupBy("path", "block_id").agg(F.bool_or("exit").alias("exit"), F.bool_or("repeat").alias("repeat"))
-    heads = bodies.select("key", "path", "header").distinct()
-    loop = heads.join(inside.withColumnRenamed("path", "key"), "key").select("key", "path", "header", "node").unionByName(heads.select("key", "path", "header", F.col("header").alias("node"))).distinct()
-    joined = loop.join(marks.withColumnRenamed("block_id", "node"), ["path", "node"], "left")
-    return joined.groupBy("path", "header").agg(F.coalesce(F.bool_or("exit"), F.lit(False)).alias("x"), F.coalesce(F.bool_or(F.col("repeat") & (F.col("node") == F.col("header"))), F.lit(False)).alias("r")).filter("not x and not r").select("path", "header")
-
-
 # Hardware: hw_config(path, cpu struct<model,article,firmware,protection_level,watchdog_ms,memory_kb,web_enabled,web_port,
 # is_safety>, io_modules array<struct<name,is_safety,redundant>>, networks array<struct<protocol,name,port_security,
 # encrypted>>, safety struct<enabled,programs,password>). A null cpu has defaults: nothing set, all protection off.

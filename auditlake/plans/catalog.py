@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import scalars as S
-from ..operators import clones, corpus, findings as fnd, grounding, guidelines, history, packs, patches, plc_pack, rules, symbols, usage
+from ..operators import clones, corpus, findings as fnd, flow, grounding, guidelines, history, packs, patches, plc_pack, rules, symbols, usage
 from ..shared import materialize, ship
 from ..streaming import events as ev
 from . import code, reports
@@ -421,12 +421,12 @@ def _turn_graph(spark, sf_dir):
 @query("SELECT conv_id AS path, turn AS node FROM conversations c WHERE turn > 0 AND EXISTS (SELECT 1 FROM conversations s WHERE s.conv_id = c.conv_id AND s.role = 'system' AND s.turn < c.turn)")
 def unreachable_blocks(spark, sf_dir):
     """Turns as blocks, each with an edge to the next unless it is a system turn."""
-    return plc_pack.unreachable(*_turn_graph(spark, sf_dir))
+    return flow.unreachable(*_turn_graph(spark, sf_dir))
 
 
 @query("WITH n AS (SELECT conv_id AS path, count(*) AS n, count(*) FILTER (role <> 'system' AND turn < m) AS e FROM (SELECT *, max(turn) OVER (PARTITION BY conv_id) AS m FROM conversations) t GROUP BY conv_id) SELECT path, n AS n_nodes, e AS n_edges, e - n + 2 AS complexity, e - n + 2 > 15 AS too_complex FROM n")
 def cyclomatic_complexity(spark, sf_dir):
-    return plc_pack.complexity(*_turn_graph(spark, sf_dir))
+    return flow.complexity(*_turn_graph(spark, sf_dir))
 
 
 @query(f"WITH {_HITS} SELECT file_path, line_start, rule_id, 'still' AS origin FROM hit SEMI JOIN (SELECT source || '/' || doc_id AS file_path FROM documents JOIN labels USING (doc_id) WHERE quality = 1) s USING (file_path)")

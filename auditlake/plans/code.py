@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.scalars import request_label
-from ..operators import clones, guidelines, plc_pack, symbols
-from ..shared import ship
+from ..operators import clones, flow, guidelines, plc_pack, symbols
+from ..shared import materialize, ship
 
 #: Lines of controller code, each with the rule that it breaks by itself.
 LINE_CASES = [
@@ -190,33 +190,78 @@ def request_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 REQUEST_SQL = f"SELECT event_id, {_quoted(c[1] for c in REQUEST_CASES)}[event_id % {len(REQUEST_CASES)} + 1] AS label FROM events"
 
 
+def _programs(spark, sf_dir) -> DataFrame:
+    """A program for each document, of 2 to 12 sections: a label, an assignment, and GOTO, RETURN, EXIT or nothing."""
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), F.col("n_chars").alias("n"), (F.lit(2) + (F.col("doc_id") + F.col("n_chars")) % 11).alias("cnt"))
+    own = docs.withColumn("i", F.explode(F.sequence(F.lit(1), F.col("cnt").cast("int")))).withColumn("x", F.expr("(path * 31 + i * i * 17 + n * 7) % 1009"))
+    text = lambda c: F.expr(f"cast({c} as string)")
+    jump = F.concat(F.lit("GOTO L"), text("x div 5 % cnt + 1"), F.lit(";\n"))
+    part = F.concat(F.lit("L"), text("i"), F.lit(": ;\nv"), text("x % 7"), F.lit(" := v"), text("x div 7 % 7"), F.lit(" + 1;\n"), F.when(F.col("x") % 5 == 0, jump).when(F.col("x") % 5 == 1, "RETURN;\n").when(F.col("x") % 5 == 2, "EXIT;\n").otherwise(""))
+    whole = own.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("i", part.alias("part")))).alias("parts"))  # a dozen parts
+    return whole.select("path", F.array_join(F.transform("parts", lambda p: p["part"]), "").alias("content"))
+
+
 def _flow(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """Each order is a program of three statements; even ones loop from the last to the second."""
-    texts = F.array(F.lit("a := 1;"), F.lit("b := a;"), F.lit("c := 2;"))
-    orders = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("path"))
-    statements = orders.select("path", F.posexplode(texts).alias("stmt_id", "text")).select("path", "stmt_id", F.col("stmt_id").alias("block_id"), (F.col("stmt_id") + 1).alias("line_no"), "text")
-    edge = lambda a, b: F.struct(F.lit(a).alias("src"), F.lit(b).alias("dst"))
-    edges = orders.select("path", F.inline(F.when(F.col("path") % 2 == 0, F.array(edge(0, 1), edge(1, 2), edge(2, 1))).otherwise(F.array(edge(0, 1), edge(1, 2))))).withColumn("edge_type", F.lit("x"))
-    return plc_pack.with_def_use(statements), edges
+    stmts = materialize(flow.statements(_programs(spark, sf_dir)), "statements")
+    return stmts, materialize(flow.cfg_edges(stmts), "edges")
+
+
+def flow_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statements of each document's program, with their blocks."""
+    return flow.statements(_programs(spark, sf_dir)).select("path", "stmt_id", "block_id", "line_no", "text")
+
+
+def flow_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flow(spark, sf_dir)[1].select("path", "src", "dst", "edge_type")
+
+
+def flow_unreachable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stmts, edges = _flow(spark, sf_dir)
+    return flow.unreachable(flow.blocks_of(stmts), edges)
 
 
 def def_use_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plc_pack.def_use_pairs(*_flow(spark, sf_dir)).select("path", "var", "def_id")
+    return flow.def_use_pairs(*_flow(spark, sf_dir)).select("path", "var", "use_id", "def_id")
 
 
 def dead_stores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plc_pack.dead_stores(*_flow(spark, sf_dir)).select("path", "var")
+    return flow.dead_stores(*_flow(spark, sf_dir)).select("path", "stmt_id", "line_no", "var")
 
 
 def endless_loops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plc_pack.endless_loops(*_flow(spark, sf_dir)).select("path", "header")
-
-
+    return flow.endless_loops(*_flow(spark, sf_dir)).select("path", "header", "tail")
+
+
+# Sections with a jump, return or exit (k < 3) make two blocks, others go on in the one they are in; a block leads to one other at most.
+_PROGRAM = """d AS (SELECT doc_id AS path, n_chars AS n, 2 + (doc_id + n_chars) % 11 AS cnt FROM documents),
+    x AS (SELECT path, cnt, i, (path * 31 + i * i * 17 + n * 7) % 1009 AS x FROM d, unnest(range(1, cnt + 1)) AS r(i)),
+    s AS (SELECT path, cnt, i, x % 5 AS k, x // 5 % cnt + 1 AS m, x % 7 AS a, x // 7 % 7 AS b, coalesce(count(*) FILTER (x % 5 < 3) OVER w, 0) AS c, count(*) FILTER (x % 5 < 3) OVER (PARTITION BY path) AS total FROM x WINDOW w AS (PARTITION BY path ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    st AS (SELECT path, 2 * (i - 1) + c AS stmt_id, 2 * c AS block_id, 'L' || i || ': ;' AS text, NULL AS def, NULL AS use FROM s
+      UNION ALL SELECT path, 2 * i - 1 + c, 2 * c, 'v' || a || ' := v' || b || ' + 1;', 'v' || a, CASE WHEN a <> b THEN 'v' || b END FROM s
+      UNION ALL SELECT path, 2 * i + c, 2 * c + 1, CASE k WHEN 0 THEN 'GOTO L' || m || ';' WHEN 1 THEN 'RETURN;' ELSE 'EXIT;' END, NULL, NULL FROM s WHERE k < 3),
+    nb AS (SELECT path, max(block_id) + 1 AS blocks FROM st GROUP BY path),
+    e AS (SELECT path, src, dst, edge_type FROM (
+      SELECT DISTINCT path, 2 * c AS src, 2 * c + 1 AS dst, 'fall_through' AS edge_type FROM s
+      UNION ALL SELECT path, 2 * c + 1, 2 * c + 2, 'fall_through' FROM s WHERE k = 2
+      UNION ALL SELECT f.path, 2 * f.c + 1, 2 * t.c, 'unconditional' FROM s f JOIN s t ON t.path = f.path AND t.i = f.m WHERE f.k = 0) JOIN nb USING (path) WHERE dst < blocks)"""
+_REACHED = "reached AS (SELECT path, 0 AS node, 0 AS step FROM nb UNION ALL SELECT r.path, e.dst, r.step + 1 FROM reached r JOIN e ON e.path = r.path AND e.src = r.node WHERE r.step < 40), seen AS (SELECT path, node, min(step) AS step FROM reached GROUP BY ALL)"
+_PAIRS = """df AS (SELECT path, block_id, def AS var, max(stmt_id) AS def_id FROM st WHERE def IS NOT NULL GROUP BY ALL),
+    pr AS (SELECT e.path, e.dst AS block_id, var, arg_min(def_id, src) AS def_id FROM e JOIN df ON df.path = e.path AND df.block_id = e.src GROUP BY ALL),
+    du AS (SELECT st.path, st.use AS var, st.stmt_id AS use_id, coalesce(df.def_id, pr.def_id) AS def_id FROM st LEFT JOIN df ON df.path = st.path AND df.block_id = st.block_id AND df.var = st.use
+      LEFT JOIN pr ON pr.path = st.path AND pr.block_id = st.block_id AND pr.var = st.use WHERE st.use IS NOT NULL AND coalesce(df.def_id, pr.def_id) IS NOT NULL)"""
 FLOW_SQL = {
-    "def_use_pairs": "SELECT o_orderkey AS path, 'a' AS var, 0 AS def_id FROM orders",
-    "dead_stores": "SELECT o_orderkey AS path, var FROM orders, (VALUES ('b'), ('c')) v(var)",
-    "endless_loops": "SELECT o_orderkey AS path, 1 AS header FROM orders WHERE o_orderkey % 2 = 0",
+    "flow_statements": f"WITH {_PROGRAM} SELECT path, stmt_id::INT AS stmt_id, block_id::INT AS block_id, (stmt_id + 1)::INT AS line_no, text FROM st",
+    "flow_edges": f"WITH {_PROGRAM} SELECT path, src::INT AS src, dst::INT AS dst, edge_type FROM e",
+    "flow_unreachable": f"WITH RECURSIVE {_PROGRAM}, {_REACHED} SELECT path, block_id::INT AS node FROM (SELECT DISTINCT path, block_id FROM st) b ANTI JOIN seen ON seen.path = b.path AND seen.node = b.block_id",
+    "def_use_pairs": f"WITH {_PROGRAM}, {_PAIRS} SELECT path, var, use_id::INT AS use_id, def_id::INT AS def_id FROM du",
+    "dead_stores": f"WITH {_PROGRAM}, {_PAIRS} SELECT path, stmt_id::INT AS stmt_id, (stmt_id + 1)::INT AS line_no, def AS var FROM st ANTI JOIN du ON du.path = st.path AND du.var = st.def WHERE def IS NOT NULL",
+    # the way from the first block ends in at most one loop; its body is what comes to the tail without the header
+    "endless_loops": f"""WITH RECURSIVE {_PROGRAM}, {_REACHED}, tail AS (SELECT path, arg_max(node, step) AS tail FROM seen GROUP BY path),
+    loop AS (SELECT e.path, e.dst AS header, tail FROM tail JOIN e ON e.path = tail.path AND e.src = tail),
+    body AS (SELECT path, header, tail, tail AS node FROM loop UNION SELECT b.path, b.header, b.tail, e.src FROM body b JOIN e ON e.path = b.path AND e.dst = b.node WHERE b.node <> b.header)
+    SELECT path, header::INT AS header, tail::INT AS tail FROM loop WHERE NOT EXISTS (SELECT 1 FROM body b JOIN st ON st.path = b.path AND st.block_id = b.node WHERE b.path = loop.path AND st.text = 'EXIT;')
+      AND NOT EXISTS (SELECT 1 FROM st WHERE st.path = loop.path AND st.block_id = loop.header AND st.text = 'EXIT;')""",
 }
 
-QUERIES = {f.__name__: f for f in (plc_line_rules, plc_file_rules, plc_findings, code_tokens, resolve_imports, resolve_calls, call_stats, guideline_sections, uncalled_functions, single_call_functions, request_cases, def_use_pairs, dead_stores, endless_loops)}
+QUERIES = {f.__name__: f for f in (plc_line_rules, plc_file_rules, plc_findings, code_tokens, resolve_imports, resolve_calls, call_stats, guideline_sections, uncalled_functions, single_call_functions, request_cases, flow_statements, flow_edges, flow_unreachable, def_use_pairs, dead_stores, endless_loops)}
 ORACLE_SQL = {"plc_line_rules": PLC_LINE_SQL, "plc_file_rules": PLC_FILE_SQL, "plc_findings": PLC_FINDINGS_SQL, "code_tokens": CODE_TOKENS_SQL, "resolve_imports": IMPORTS_SQL, "resolve_calls": CALLS_SQL, "call_stats": CALL_STATS_SQL, "guideline_sections": SECTIONS_SQL, "uncalled_functions": UNCALLED_SQL, "single_call_functions": SINGLE_SQL, "request_cases": REQUEST_SQL} | FLOW_SQL

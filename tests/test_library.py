@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from auditlake.functions import scalars as S
-from auditlake.operators import clones, corpus, findings as fnd, grounding, guidelines, history, packs, patches, plc_pack, rules, symbols, usage
+from auditlake.operators import clones, corpus, findings as fnd, flow, grounding, guidelines, history, packs, patches, plc_pack, rules, symbols, usage
 from auditlake.sources import analyzers, files as src
 
 UTIL = """function formatUserName(user) {
@@ -93,12 +93,12 @@ def test_line_division_in_strings(spark):
 def test_flow_graph(spark):
     nodes = spark.createDataFrame([("f", i) for i in range(5)], "path string, node int")
     edges = spark.createDataFrame([("f", 0, 1, "x"), ("f", 1, 2, "x"), ("f", 2, 1, "x"), ("f", 3, 4, "x")], "path string, src int, dst int, edge_type string")
-    assert sorted(r.node for r in plc_pack.unreachable(nodes, edges).collect()) == [3, 4]
-    assert plc_pack.complexity(nodes, edges).first().complexity == 1
-    st = plc_pack.with_def_use(spark.createDataFrame([("f", 0, 0, 1, "a := 1;"), ("f", 1, 1, 2, "b := a;"), ("f", 2, 2, 3, "c := 2;")], "path string, stmt_id int, block_id int, line_no int, text string"))
-    assert [(r["var"], r.def_id) for r in plc_pack.def_use_pairs(st, edges).collect()] == [("a", 0)]
-    assert sorted(r["var"] for r in plc_pack.dead_stores(st, edges).collect()) == ["b", "c"]
-    assert [r.header for r in plc_pack.endless_loops(st, edges).collect()] == [1]
+    assert sorted(r.node for r in flow.unreachable(nodes, edges).collect()) == [3, 4]
+    assert flow.complexity(nodes, edges).first().complexity == 1
+    st = flow.with_def_use(spark.createDataFrame([("f", 0, 0, 1, "a := 1;"), ("f", 1, 1, 2, "b := a;"), ("f", 2, 2, 3, "c := 2;")], "path string, stmt_id int, block_id int, line_no int, text string"))
+    assert [(r["var"], r.def_id) for r in flow.def_use_pairs(st, edges).collect()] == [("a", 0)]
+    assert sorted(r["var"] for r in flow.dead_stores(st, edges).collect()) == ["b", "c"]
+    assert [r.header for r in flow.endless_loops(st, edges).collect()] == [1]
 
 
 def test_history(spark):

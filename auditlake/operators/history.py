@@ -1,7 +1,8 @@
 """Findings history: fingerprints across runs, upsert, comparison and retention.
 
-A history is a table keyed by fingerprint. Without a table format an upsert is a full outer join written as a new
-version directory; ``current`` names the latest complete one.
+A history is a table keyed by fingerprint and dealt into ``BUCKETS`` by its hash. A version is a manifest that names a
+folder for each bucket; an upsert reads and writes the buckets only that its findings fall into, and names the former
+folders for all others. ``_versions`` names the complete versions, ``prune`` deletes what no kept version names.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from ..functions.scalars import finding_fingerprint, line_hash
 
 HISTORY = "fingerprint string, file_path string, line_start int, line_end int, title string, severity string, category string, confidence double, line_content_hash string, first_seen timestamp, last_seen timestamp, run_count int, finding_json string"
+BUCKETS = 64
 _FIRST = ["file_path", "line_start", "line_end", "title", "severity", "category", "confidence"]
 
 
@@ -84,10 +86,22 @@ def latest_version(spark: SparkSession, root: str) -> int:
         return 0
 
 
+def _manifest(spark: SparkSession, root: str, version: int) -> dict[int, str]:
+    """The folder of each bucket of a version, ``BUCKETS`` at most."""
+    if not version:
+        return {}
+    return dict(spark.read.schema("bucket int, folder string").json(f"{root}/_manifest/v={version}").collect())
+
+
+def at_version(spark: SparkSession, root: str, version: int, buckets: set[int] | None = None) -> DataFrame:
+    """A version, or those of its buckets only; version 0 is empty."""
+    folders = [f"{root}/{f}" for b, f in _manifest(spark, root, version).items() if buckets is None or b in buckets]
+    return spark.read.schema(HISTORY).parquet(*folders) if folders else spark.createDataFrame([], HISTORY)
+
+
 def current(spark: SparkSession, root: str) -> DataFrame:
     """The latest complete version under a root, or an empty history."""
-    version = latest_version(spark, root)
-    return spark.read.schema(HISTORY).parquet(f"{root}/v={version}") if version else spark.createDataFrame([], HISTORY)
+    return at_version(spark, root, latest_version(spark, root))
 
 
 def clear(spark: SparkSession, root: str) -> None:
@@ -95,8 +109,43 @@ def clear(spark: SparkSession, root: str) -> None:
     publish(spark.createDataFrame([], HISTORY), root, latest_version(spark, root) + 1)
 
 
-def publish(history: DataFrame, root: str, version: int) -> None:
-    """Write a version, then its pointer; writing the same version again replaces it."""
-    spark = history.sparkSession
-    history.write.mode("overwrite").parquet(f"{root}/v={version}")
+def publish(history: DataFrame, root: str, version: int, kept: dict[int, str] | None = None) -> None:
+    """Write a version from whole buckets and the folders of ``kept`` ones, then name it; the same version again replaces it."""
+    spark, folder = history.sparkSession, f"data/v={version}"
+    history.withColumn("bucket", _bucket()).repartition("bucket").write.partitionBy("bucket").mode("overwrite").parquet(f"{root}/{folder}")
+    held = spark.read.schema(f"{HISTORY}, bucket int").parquet(f"{root}/{folder}").select("bucket").distinct().collect()
+    named = (kept or {}) | {b: f"{folder}/bucket={b}" for (b,) in held}
+    spark.createDataFrame(list(named.items()), "bucket int, folder string").coalesce(1).write.mode("overwrite").json(f"{root}/_manifest/v={version}")
     spark.range(1).select(F.lit(str(version)).alias("value")).coalesce(1).write.mode("append").text(f"{root}/_versions")
+
+
+def _bucket() -> Column:
+    return F.pmod(F.xxhash64("fingerprint"), F.lit(BUCKETS)).cast("int")
+
+
+def upsert(findings: DataFrame, root: str, now: Column, version: int | None = None) -> int:
+    """A run's findings, with fingerprints, into the buckets that they fall into; the new version's number.
+
+    ``version`` is the one to go on from (the latest if null): a retried run that names it is written again.
+    """
+    spark = findings.sparkSession
+    version = latest_version(spark, root) if version is None else version
+    touched = {b for (b,) in findings.select(_bucket().alias("b")).distinct().collect()}
+    kept = {b: f for b, f in _manifest(spark, root, version).items() if b not in touched}
+    publish(record_run(at_version(spark, root, version, touched), findings, now), root, version + 1, kept)
+    return version + 1
+
+
+def prune(spark: SparkSession, root: str, keep: int = 2) -> None:
+    """Delete manifests before the last ``keep`` versions, and folders that no later one names."""
+    last = latest_version(spark, root)
+    named = {f for v in range(max(1, last - keep + 1), last + 1) for f in _manifest(spark, root, v).values()}
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    files = path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    for held in files.globStatus(path(f"{root}/data/v=*/bucket=*")):
+        name = held.getPath()
+        if f"data/{name.getParent().getName()}/{name.getName()}" not in named and int(name.getParent().getName()[2:]) <= last:
+            files.delete(name, True)
+    for held in files.globStatus(path(f"{root}/_manifest/v=*")):
+        if int(held.getPath().getName()[2:]) <= last - keep:
+            files.delete(held.getPath(), True)

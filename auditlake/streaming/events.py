@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import StreamingQueryListener
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery, StreamingQueryListener
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import guidelines, history
 from ..sources.files import guideline_documents
@@ -26,6 +30,42 @@ def running_totals(events: DataFrame) -> DataFrame:
     return events.groupBy("session").agg(F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"), F.count("*").alias("calls"), F.max("ts").alias("last_ts"))
 
 
+#: What a session keeps between batches: events that the watermark has not passed, and the last one that it has.
+_WAITING = "ts array<long>, ends array<boolean>, tokens array<long>, last_ts long, last_ended boolean"
+
+
+def live_call_durations(events: DataFrame, late: str = "10 minutes") -> DataFrame:
+    """``session, ts, duration_s, tokens_per_s`` of each end event from the start just before it, as a stream.
+
+    events(session, ts, kind 'start' or 'end', output_tokens). Events wait until the watermark has passed them, and are
+    then taken in the order of :func:`..operators.usage.call_durations`, so arrival order and batches make no difference;
+    events that come after the watermark are left out. State is what a session has within the watermark.
+    """
+
+    def pair(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = state.getOption if state.exists else ([], [], [], None, None)
+        waiting, last, ended = list(zip(*held[:3], strict=True)), held[3], held[4]
+        for batch in () if state.hasTimedOut else batches:
+            micros = batch["ts"].astype("datetime64[us]").astype("int64")
+            waiting += zip(micros.tolist(), (batch["kind"] == "end").tolist(), batch["output_tokens"].fillna(0).astype("int64").tolist(), strict=True)
+        passed, out = state.getCurrentWatermarkMs() * 1000, []
+        waiting.sort()
+        while waiting and waiting[0][0] < passed:
+            ts, end, tokens = waiting.pop(0)
+            if end and ended is False:
+                seconds = (ts - last) / 1e6
+                out.append((key[0], pd.Timestamp(ts, unit="us"), seconds, tokens / seconds if seconds > 0.01 and tokens > 0 else None))
+            last, ended = ts, end
+        state.update((*(list(x) for x in zip(*waiting, strict=True)), last, ended) if waiting else ([], [], [], last, ended))
+        if waiting:
+            state.setTimeoutTimestamp(waiting[0][0] // 1000 + 1)
+        yield pd.DataFrame(out, columns=["session", "ts", "duration_s", "tokens_per_s"])
+
+    kind = events.schema["session"].dataType.simpleString()
+    rows = events.select("session", "ts", "kind", F.col("output_tokens").cast("long").alias("output_tokens")).withWatermark("ts", late)
+    return rows.groupBy("session").applyInPandasWithState(pair, f"session {kind}, ts timestamp, duration_s double, tokens_per_s double", _WAITING, "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def without_repeats(events: DataFrame, key: str = "event_id", late: str = "10 minutes") -> DataFrame:
     """Each event once within the watermark."""
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
@@ -54,11 +94,36 @@ class LateRows(StreamingQueryListener):
         pass
 
 
+def dropped(query: StreamingQuery) -> int:
+    """Rows that watermarks dropped in a query that has ended after a hundred batches at most."""
+    return sum(op.numRowsDroppedByWatermark for p in query.recentProgress for op in p.stateOperators)
+
+
+def arrivals(parts: list[DataFrame], inbox: str, start: Callable[[DataFrame], DataStreamWriter]) -> list[StreamingQuery]:
+    """Put each part into the folder ``inbox`` and run the stream over it until all is read; each run goes on from the one before."""
+    runs = []
+    for part in parts:
+        part.write.mode("append").parquet(inbox)
+        runs.append(start(part.sparkSession.readStream.schema(part.schema).parquet(inbox)).trigger(availableNow=True).start())
+        runs[-1].awaitTermination()
+    return runs
+
+
+def latest_rows(stream: DataFrame, folder: str, checkpoint: str) -> DataStreamWriter:
+    """An update-mode stream into a folder for each batch; of several rows of a key that of the last ``batch`` holds."""
+
+    def put(batch: DataFrame, n: int) -> None:
+        batch.withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{folder}/n={n}")
+
+    return stream.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", checkpoint)
+
+
 def stream_history(findings: DataFrame, root: str, checkpoint: str, lines: DataFrame | None = None):
     """Findings with ``seen_at`` into the history at ``root``, micro-batch by micro-batch.
 
     A stream goes on from the version that it finds when it starts; batch n of a checkpoint makes the version n + 1 after
-    that one (kept beside the checkpoint), so a retried batch is written again from the same version and counts once.
+    that one (kept beside the checkpoint), so a retried batch is written again from the same version and counts once. A
+    batch rewrites the buckets only that its findings fall into; versions before the last two go.
     """
 
     def upsert(batch: DataFrame, n: int) -> None:
@@ -66,14 +131,15 @@ def stream_history(findings: DataFrame, root: str, checkpoint: str, lines: DataF
         mark = f"{checkpoint}/history-start"
         try:
             start = spark.read.parquet(mark).first()[0]
-        except AnalysisException:
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
             start = history.latest_version(spark, root)
             spark.range(1).select(F.lit(start).alias("start")).write.mode("overwrite").parquet(mark)
-        at = start + n
-        before = spark.createDataFrame([], history.HISTORY) if at == 0 else spark.read.schema(history.HISTORY).parquet(f"{root}/v={at}")
         keyed = history.with_fingerprint(batch, lines)
         now = F.lit(batch.agg(F.max("seen_at")).first()[0]).cast("timestamp")
-        history.publish(history.record_run(before, keyed, now), root, at + 1)
+        history.upsert(keyed, root, now, start + n)
+        history.prune(spark, root)
 
     return findings.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -34,6 +34,17 @@ def normal_path(path: Column | str) -> Column:
     return F.array_join(F.aggregate(F.split(col(path), "/"), F.array().cast("array<string>"), step), "/")
 
 
+def escapes(path: Column | str) -> Column:
+    """Whether a path is absolute or climbs above its start on the way; null for null."""
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("least"))
+
+    def step(a: Column, s: Column) -> Column:
+        depth = a["depth"] + F.when((s == "") | (s == "."), 0).when(s == "..", -1).otherwise(1)
+        return F.struct(depth.alias("depth"), F.least(a["least"], depth).alias("least"))
+
+    return F.startswith(col(path), F.lit("/")) | (F.aggregate(F.split(col(path), "/"), start, step, lambda a: a["least"]) < 0)
+
+
 def relative_to(path: Column | str, root: str | None) -> Column:
     return F.regexp_replace(col(path), "^" + re.escape(root.rstrip("/") + "/"), "") if root else col(path)
 

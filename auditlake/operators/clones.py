@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.scalars import qualified_name, split_lines
 from ..shared import materialize
 from .graph import connected_components
+from .intervals import around
 
 #: The token pattern, alternatives in order (so === is read as == and =).
 TOKEN = r"(?U)//[^\n]*|/\*[\s\S]*?\*/|`(?:\\.|[^`\\])*`|\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'|[A-Za-z_$][\w$]*|\d+(?:\.\d+)?|=>|\.\.\.|\*\*=?|\+\+|--|\|\||&&|==|===|!=|!==|<=|>=|\+=|-=|\*=|/=|<<=?|>>=?|[{}\[\]().,;:?]|[+\-*/%=<>!&|^~]"
@@ -103,7 +104,7 @@ def clusters(pairs: DataFrame) -> DataFrame:
 
 def function_at(fps: DataFrame, points: DataFrame) -> DataFrame:
     """The innermost fingerprinted function around each point (path, line)."""
-    hit = points.join(fps.select("id", "path", F.col("line_start").alias("a"), F.col("line_end").alias("b")), "path").filter("line between a and b")
+    hit = around(points, fps.select("id", "path", F.col("line_start").alias("a"), F.col("line_end").alias("b")), ["path"], "line", "a", "b")
     return hit.groupBy("path", "line").agg(F.min_by("id", F.struct((F.col("b") - F.col("a")), "a", "id")).alias("id"))
 
 

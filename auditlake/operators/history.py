@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from ..functions.scalars import finding_fingerprint, line_hash
+from ..functions.scalars import escapes, finding_fingerprint, line_hash, normal_path
 
 HISTORY = "fingerprint string, file_path string, line_start int, line_end int, title string, severity string, category string, confidence double, line_content_hash string, first_seen timestamp, last_seen timestamp, run_count int, finding_json string"
 BUCKETS = 64
@@ -18,13 +18,13 @@ _FIRST = ["file_path", "line_start", "line_end", "title", "severity", "category"
 
 
 def with_fingerprint(findings: DataFrame, lines: DataFrame | None = None) -> DataFrame:
-    """Adds ``fingerprint`` and, from lines(path, line_no, text), ``line_content_hash`` (null for escaping or absent paths)."""
+    """Adds ``fingerprint`` and, from lines(path, line_no, text), ``line_content_hash`` by its folded path (null for escaping or absent ones)."""
     out = findings.withColumn("fingerprint", finding_fingerprint("file_path", "line_start", "title"))
     if lines is None:
         return out if "line_content_hash" in out.columns else out.withColumn("line_content_hash", F.lit(None).cast("string"))
-    hashed = lines.select(F.col("path").alias("file_path"), F.col("line_no").alias("line_start"), line_hash("text").alias("line_content_hash"))
-    hashed = hashed.filter(~F.startswith("file_path", F.lit("/")) & ~F.regexp_like("file_path", F.lit(r"(?:^|/)\.\.(?:/|$)"))).dropDuplicates(["file_path", "line_start"])
-    return out.drop("line_content_hash").join(hashed, ["file_path", "line_start"], "left")
+    hashed = lines.select(F.col("path").alias("_path"), F.col("line_no").alias("line_start"), line_hash("text").alias("line_content_hash")).dropDuplicates(["_path", "line_start"])
+    named = out.drop("line_content_hash").withColumn("_path", F.when(~escapes("file_path"), normal_path("file_path")))
+    return named.join(hashed, ["_path", "line_start"], "left").drop("_path")
 
 
 def record_run(history: DataFrame, findings: DataFrame, now: Column) -> DataFrame:

@@ -8,34 +8,38 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.scalars import lenient, split_lines
+from ..functions.scalars import escapes, lenient, normal_path, split_lines
+from ..shared import materialize
 from .history import retain_newest
+from .intervals import overlapping
 
 #: What an op can do.
 OP_TYPES = ["edit", "delete_lines", "delete_file", "create_file", "rename"]
 MAX_SNAPSHOT = 1 << 20
 
 
-def escapes(path):
-    return F.startswith(path, F.lit("/")) | F.regexp_like(path, F.lit(r"(?:^|/)\.\.(?:/|$)"))
+def resolved(ops: DataFrame) -> DataFrame:
+    """The ops with both paths folded (``./a`` and ``b/../a`` are ``a``); paths that escape the root stay as they are."""
+    fold = lambda c: F.when(escapes(c), F.col(c)).otherwise(normal_path(c))
+    return ops.withColumns({"file_path": fold("file_path"), "new_path": fold("new_path")})
 
 
 def _reasons(ops: DataFrame, files: DataFrame) -> DataFrame:
-    """The ops with ``why``: what hinders each by itself, against the files as they are."""
+    """The resolved ops with ``why``: what hinders each by itself, against the files as they are."""
     source = files.select(F.col("path").alias("file_path"), F.col("content").alias("_c"))
     target = files.select(F.col("path").alias("new_path"), F.lit(True).alias("_taken"))
-    rows = ops.join(source, "file_path", "left").join(target, "new_path", "left")
-    lines = split_lines("_c")
+    rows = resolved(ops).join(source, "file_path", "left").join(target, "new_path", "left").withColumn("_lines", split_lines("_c"))
+    lines = F.col("_lines")
     region = F.array_join(F.slice(lines, F.greatest("line_start", F.lit(1)), F.greatest(F.col("line_end") - F.col("line_start") + 1, F.lit(0))), "")
     kind, there = F.col("op_type"), F.col("_c").isNotNull()
     edits = kind.isin("edit", "delete_lines")
     why = (
-        F.when(escapes(F.col("file_path")), "path escapes the root")
+        F.when(escapes("file_path"), "path escapes the root")
         .when((kind == "create_file") & there, "file exists already")
         .when((kind == "create_file") & F.col("new_content").isNull(), "create_file needs new_content")
         .when(kind.isin("delete_file", "rename", "edit", "delete_lines") & ~there, "file does not exist")
         .when((kind == "rename") & F.col("new_path").isNull(), "rename needs new_path")
-        .when((kind == "rename") & escapes(F.col("new_path")), "new_path escapes the root")
+        .when((kind == "rename") & escapes("new_path"), "new_path escapes the root")
         .when((kind == "rename") & F.col("_taken"), "target exists already")
         .when(edits & (F.col("line_start").isNull() | F.col("line_end").isNull()), "needs line_start and line_end")
         .when(edits & ((F.col("line_start") < 1) | (F.col("line_end") < F.col("line_start"))), "invalid line range")
@@ -45,21 +49,35 @@ def _reasons(ops: DataFrame, files: DataFrame) -> DataFrame:
         .when((kind == "edit") & F.col("new_content").isNull(), "edit needs new_content")
         .when(~F.coalesce(kind.isin(OP_TYPES), F.lit(False)), "unknown op_type")
     )
-    return rows.withColumn("why", why)
+    return rows.withColumn("why", why).select(*ops.columns, "why")
 
 
 def _clashes(ops: DataFrame) -> DataFrame:
     """``patchset_id, op_idx``: edits that overlap an earlier one of their set, and ops on what a set of smaller id works on.
 
-    Edits work on their lines, all other ops on whole files.
+    Edits work on their lines, all other ops on whole files. Of the edits of one range only the first of the least set
+    can come before others, so that many sets on the same lines are no many pairs.
     """
     edits = F.col("op_type").isin("edit", "delete_lines")
-    low, high = F.when(edits, F.col("line_start")).otherwise(0), F.when(edits, F.col("line_end")).otherwise(F.lit(2**31 - 1))
-    claims = ops.select("patchset_id", "op_idx", edits.alias("edits"), low.alias("low"), high.alias("high"), F.explode(F.array_distinct(F.array_compact(F.array("file_path", F.when(F.col("op_type") == "rename", F.col("new_path")))))).alias("path"))
-    a, b = claims.alias("a"), claims.alias("b")
-    meet = (F.col("a.path") == F.col("b.path")) & (F.col("a.low") <= F.col("b.high")) & (F.col("b.low") <= F.col("a.high"))
-    same = (F.col("a.patchset_id") == F.col("b.patchset_id")) & F.col("a.edits") & F.col("b.edits") & (F.col("a.op_idx") < F.col("b.op_idx"))
-    return b.join(a, meet & (same | (F.col("a.patchset_id") < F.col("b.patchset_id"))), "left_semi").select("patchset_id", "op_idx").distinct()
+    claims = ops.select("patchset_id", "op_idx", edits.alias("edits"), F.col("line_start").alias("low"), F.col("line_end").alias("high"), F.explode(F.array_distinct(F.array_compact(F.array("file_path", F.when(F.col("op_type") == "rename", F.col("new_path")))))).alias("path"))
+    lines = claims.filter("edits")
+    first = lines.groupBy("path", F.col("low").alias("_low"), F.col("high").alias("_high")).agg(F.min(F.struct("patchset_id", "op_idx")).alias("_first"))
+    meet = overlapping(lines, first, ["path"])
+    earlier = (F.col("_first.patchset_id") < F.col("patchset_id")) | ((F.col("_first.patchset_id") == F.col("patchset_id")) & (F.col("_first.op_idx") < F.col("op_idx")))
+    wholes = claims.groupBy("path").agg(F.min("patchset_id").alias("_any"), F.min(F.when(~F.col("edits"), F.col("patchset_id"))).alias("_whole"))
+    beaten = claims.join(wholes, "path").filter(F.col("patchset_id") > F.when(F.col("edits"), F.col("_whole")).otherwise(F.col("_any")))
+    return meet.filter(earlier).select("patchset_id", "op_idx").unionByName(beaten.select("patchset_id", "op_idx")).distinct()
+
+
+def _checked(ops: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The resolved ops with their reasons, stored once, and :func:`can_apply`."""
+    rows = materialize(_reasons(ops, files), "patch-ops")
+    first = F.min(F.when(F.col("why").isNotNull(), F.struct("op_idx", "why")))
+    own = rows.groupBy("patchset_id").agg(first.alias("f"))
+    fine = rows.join(own.filter("f is null"), "patchset_id", "left_semi")
+    late = _clashes(fine).groupBy("patchset_id").agg(F.lit("overlaps an earlier op").alias("late"))
+    out = own.join(late, "patchset_id", "left").withColumn("reason", F.coalesce("f.why", "late"))
+    return rows, out.select("patchset_id", F.col("reason").isNull().alias("ok"), "reason")
 
 
 def can_apply(ops: DataFrame, files: DataFrame) -> DataFrame:
@@ -68,18 +86,13 @@ def can_apply(ops: DataFrame, files: DataFrame) -> DataFrame:
     Of the sets that are good by themselves, one that works on the same lines or files as one of smaller id is refused,
     whether or not that one is refused for the same reason: the outcome does not hang on chains of sets.
     """
-    rows = _reasons(ops, files)
-    first = F.min(F.when(F.col("why").isNotNull(), F.struct("op_idx", "why")))
-    own = rows.groupBy("patchset_id").agg(first.alias("f"))
-    fine = ops.join(own.filter("f is null"), "patchset_id", "left_semi")
-    late = _clashes(fine).groupBy("patchset_id").agg(F.lit("overlaps an earlier op").alias("late"))
-    out = own.join(late, "patchset_id", "left").withColumn("reason", F.coalesce("f.why", "late"))
-    return out.select("patchset_id", F.col("reason").isNull().alias("ok"), "reason")
+    return _checked(ops, files)[1]
 
 
 def applicable(ops: DataFrame, files: DataFrame) -> DataFrame:
-    """Ops of the sets that can apply as a whole."""
-    return ops.join(can_apply(ops, files).filter("ok"), "patchset_id", "left_semi")
+    """Ops of the sets that can apply as a whole, with their paths resolved."""
+    rows, verdict = _checked(ops, files)
+    return rows.drop("why").join(verdict.filter("ok"), "patchset_id", "left_semi")
 
 
 def apply_patches(files: DataFrame, ops: DataFrame, sequential: bool = False) -> DataFrame:
@@ -108,7 +121,7 @@ def affected_files(ops: DataFrame) -> DataFrame:
 
 def snapshot(files: DataFrame, ops: DataFrame, session_id: str, limit: int = MAX_SNAPSHOT, earlier: DataFrame | None = None) -> DataFrame:
     """``session_id, relpath, existed, oversized, content`` of the files that ops touch, before they do."""
-    paths = ops.select(F.explode(F.array_compact(F.array("file_path", "new_path"))).alias("relpath")).distinct()
+    paths = resolved(ops).select(F.explode(F.array_compact(F.array("file_path", "new_path"))).alias("relpath")).distinct()
     rows = paths.join(files.select(F.col("path").alias("relpath"), "content"), "relpath", "left")
     over = F.coalesce(F.octet_length("content") > limit, F.lit(False))
     out = rows.select(F.lit(session_id).alias("session_id"), "relpath", F.col("content").isNotNull().alias("existed"), over.alias("oversized"), F.when(~over, F.col("content")).alias("content"))
@@ -124,6 +137,19 @@ def undo(files: DataFrame, snapshots: DataFrame, session_id: str) -> tuple[DataF
     return kept.unionByName(back, allowMissingColumns=True), own.filter("oversized").select("relpath", F.lit("too large to have been stored").alias("warning"))
 
 
+def undo_session(files: DataFrame, snapshots: DataFrame, session_id: str, undo_id: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(files as before the session, snapshots with the undo as a session of its own, warnings).
+
+    The files are stored as they are under ``undo_id`` before they go back, so undoing the undo applies the session
+    again; a file that has grown too large since is marked so in the new session. Sessions may be undone in any order:
+    each goes back to what it found.
+    """
+    own = snapshots.filter(F.col("session_id") == session_id)
+    now = snapshot(files, own.select(F.col("relpath").alias("file_path"), F.lit(None).cast("string").alias("new_path")), undo_id)
+    after, warnings = undo(files, snapshots, session_id)
+    return after, snapshots.unionByName(now), warnings
+
+
 def record_session(applied: DataFrame, snapshots: DataFrame) -> DataFrame:
     """``session_id, titles, n_ops, files``; sessions with nothing applied are left out. applied(session_id, title, op_idx)."""
     a = applied.groupBy("session_id").agg(F.array_sort(F.collect_set("title")).alias("titles"), F.count("*").alias("n_ops"))

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .intervals import around
+
 KEYS = ["rule_id", "name", "severity", "description", "suggestion"]
 def _path():
     return Window.partitionBy("path").orderBy("line_no")
@@ -77,10 +79,10 @@ def changed_blocks(ranges: DataFrame, blocks: DataFrame) -> DataFrame:
 
     Blocks are those of :func:`st_blocks`, lines count as there; of several the first; a range outside any has nulls.
     """
-    b = blocks.select(F.col("path").alias("_p"), F.struct("line_start", "line_end", "name", "block_type").alias("_b"))
-    hit = ranges.join(b, (F.col("path") == F.col("_p")) & F.col("start_line").between(F.col("_b.line_start"), F.col("_b.line_end")), "left")
-    first = hit.groupBy("path", "start_line", "end_line").agg(F.min("_b").alias("_b"))
-    return first.select("path", "start_line", "end_line", "_b.name", "_b.block_type", "_b.line_start", "_b.line_end")
+    b = blocks.select("path", F.struct("line_start", "line_end", "name", "block_type").alias("_b"), F.col("line_start").alias("_from"), F.col("line_end").alias("_to"))
+    asked = ranges.select("path", "start_line", "end_line").distinct()
+    hit = around(asked, b, ["path"], "start_line", "_from", "_to").groupBy("path", "start_line", "end_line").agg(F.min("_b").alias("_b"))
+    return asked.join(hit, ["path", "start_line", "end_line"], "left").select("path", "start_line", "end_line", "_b.name", "_b.block_type", "_b.line_start", "_b.line_end")
 
 
 #: How a block starts.

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.scalars import normal_path, parent, stem, suffix
+from .intervals import around
 
 #: Suffixes that a specifier may leave out, in order.
 EXTENSIONS = [".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs"]
@@ -39,7 +40,7 @@ def importers(resolved: DataFrame) -> DataFrame:
 def enclosing_function(points: DataFrame, functions: DataFrame) -> DataFrame:
     """points(repo, path, line) with ``function``, ``function_line``: the smallest span around; ties to the earlier start."""
     f = functions.select("repo", "path", F.col("name").alias("_n"), F.col("line_start").alias("_a"), F.col("line_end").alias("_b"))
-    hit = points.select("repo", "path", "line").distinct().join(f, ["repo", "path"]).filter("line between _a and _b")
+    hit = around(points.select("repo", "path", "line").distinct(), f, ["repo", "path"], "line", "_a", "_b")
     best = hit.groupBy("repo", "path", "line").agg(F.min_by(F.struct("_n", "_a"), F.struct(F.col("_b") - F.col("_a"), "_a", "_n")).alias("f"))
     return points.join(best, ["repo", "path", "line"], "left").withColumns({"function": F.col("f._n"), "function_line": F.col("f._a")}).drop("f")
 

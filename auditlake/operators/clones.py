@@ -12,10 +12,14 @@ from .intervals import around
 #: The token pattern, alternatives in order (so === is read as == and =).
 TOKEN = r"(?U)//[^\n]*|/\*[\s\S]*?\*/|`(?:\\.|[^`\\])*`|\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'|[A-Za-z_$][\w$]*|\d+(?:\.\d+)?|=>|\.\.\.|\*\*=?|\+\+|--|\|\||&&|==|===|!=|!==|<=|>=|\+=|-=|\*=|/=|<<=?|>>=?|[{}\[\]().,;:?]|[+\-*/%=<>!&|^~]"
 #: Words that keep their name.
-KEYWORDS = (
-    "abstract any as async await boolean break case catch class const constructor continue debugger declare default delete do else enum export extends false finally for from function get if implements import in instanceof interface is keyof let module namespace never new null number of package private protected public readonly require return set static string super switch symbol this throw true try type typeof undefined unique unknown var void while with yield "
-    "console Math Object Array String Number Boolean Promise Map Set JSON Error Date Symbol"
-).split()
+KEYWORDS = [
+    "abstract", "any", "as", "async", "await", "boolean", "break", "case", "catch", "class", "const", "constructor", "continue", "debugger",
+    "declare", "default", "delete", "do", "else", "enum", "export", "extends", "false", "finally", "for", "from", "function", "get", "if",
+    "implements", "import", "in", "instanceof", "interface", "is", "keyof", "let", "module", "namespace", "never", "new", "null", "number", "of",
+    "package", "private", "protected", "public", "readonly", "require", "return", "set", "static", "string", "super", "switch", "symbol", "this",
+    "throw", "true", "try", "type", "typeof", "undefined", "unique", "unknown", "var", "void", "while", "with", "yield", "console", "Math", "Object",
+    "Array", "String", "Number", "Boolean", "Promise", "Map", "Set", "JSON", "Error", "Date", "Symbol",
+]
 MIN_TOKENS, SHINGLE, THRESHOLD = 8, 5, 0.85
 
 

@@ -11,27 +11,39 @@ from ..functions.scalars import basename
 
 #: Language of each extension.
 LANGUAGES = {
-    "javascript": ".js .jsx .mjs .cjs", "typescript": ".ts .tsx", "python": ".py .pyi", "java": ".java", "kotlin": ".kt .kts", "scala": ".scala .sc", "go": ".go", "rust": ".rs", "c": ".c .h", "cpp": ".cpp .cc .cxx .hpp .hxx", "c_sharp": ".cs", "ruby": ".rb", "php": ".php", "swift": ".swift", "lua": ".lua", "julia": ".jl", "dart": ".dart", "sql": ".sql", "shell": ".sh .bash .zsh", "matlab": ".m", "r": ".r", "sas": ".sas", "solidity": ".sol", "verilog": ".v .vh .sv .svh", "zig": ".zig", "objective_c": ".mm", "cobol": ".cob .cbl .cpy", "structured_text": ".st .iecst", "plc_rockwell": ".l5x", "plc_omron": ".smc2",
+    ".js": "javascript", ".jsx": "javascript", ".mjs": "javascript", ".cjs": "javascript", ".ts": "typescript", ".tsx": "typescript",
+    ".py": "python", ".pyi": "python", ".java": "java", ".kt": "kotlin", ".kts": "kotlin", ".scala": "scala", ".sc": "scala", ".go": "go",
+    ".rs": "rust", ".c": "c", ".h": "c", ".cpp": "cpp", ".cc": "cpp", ".cxx": "cpp", ".hpp": "cpp", ".hxx": "cpp", ".cs": "c_sharp", ".rb": "ruby",
+    ".php": "php", ".swift": "swift", ".lua": "lua", ".jl": "julia", ".dart": "dart", ".sql": "sql", ".sh": "shell", ".bash": "shell",
+    ".zsh": "shell", ".m": "matlab", ".r": "r", ".sas": "sas", ".sol": "solidity", ".v": "verilog", ".vh": "verilog", ".sv": "verilog",
+    ".svh": "verilog", ".zig": "zig", ".mm": "objective_c", ".cob": "cobol", ".cbl": "cobol", ".cpy": "cobol", ".st": "structured_text",
+    ".iecst": "structured_text", ".l5x": "plc_rockwell", ".smc2": "plc_omron",
 }
-#: Languages of each profile.
+#: Profile of each language.
 PROFILES = {
-    "js": "javascript typescript", "python": "python", "rust": "rust", "java": "java", "go": "go", "cpp": "c cpp", "kotlin": "kotlin", "ruby": "ruby", "php": "php", "lua": "lua", "sql": "sql", "shell": "shell", "generic": "scala c_sharp swift julia", "matlab": "matlab", "r": "r", "verilog": "verilog systemverilog", "sas": "sas", "cobol": "cobol", "solidity": "solidity", "zig": "zig", "objc": "objective_c", "dart": "dart", "plc": "structured_text plc_rockwell plc_omron plc_siemens plc_beckhoff plc_codesys",
+    "javascript": "js", "typescript": "js", "python": "python", "rust": "rust", "java": "java", "go": "go", "c": "cpp", "cpp": "cpp",
+    "kotlin": "kotlin", "ruby": "ruby", "php": "php", "lua": "lua", "sql": "sql", "shell": "shell", "scala": "generic", "c_sharp": "generic",
+    "swift": "generic", "julia": "generic", "matlab": "matlab", "r": "r", "verilog": "verilog", "systemverilog": "verilog", "sas": "sas",
+    "cobol": "cobol", "solidity": "solidity", "zig": "zig", "objective_c": "objc", "dart": "dart", "structured_text": "plc", "plc_rockwell": "plc",
+    "plc_omron": "plc", "plc_siemens": "plc", "plc_beckhoff": "plc", "plc_codesys": "plc",
 }
 #: Further extensions that a profile claims besides those of its languages.
-EXTRA_EXTENSIONS = {"objc": ".m .mm", "plc": ".xml"}
+EXTRA_EXTENSIONS = {"objc": [".m", ".mm"], "plc": [".xml"]}
 #: Dependency names and the frameworks they stand for.
 FRAMEWORKS = {"react": "react", "next": "nextjs", "vue": "vue", "nuxt": "nuxt", "@angular/core": "angular", "svelte": "svelte", "express": "express", "@nestjs/core": "nestjs", "fastify": "fastify", "@prisma/client": "prisma", "typeorm": "typeorm", "mongoose": "mongoose", "sequelize": "sequelize"}
 #: Vendor signatures in order.
 VENDORS = [("siemens", ["simaticml", "siemens.com/automation"]), ("beckhoff", ["tcpou", "twincat"]), ("codesys", ["project xmlns", "codesys"]), ("rockwell", ["rslogix", "rsl5kfile"]), ("abb", ["abb.com/automation"]), ("ge", ["ge-ip", "ge.com/automation"]), ("omron", ["omron"])]
 #: Folders that are no source.
-IGNORED = "node_modules __pycache__ .git venv .venv env dist build target .next .nuxt .pytest_cache .ruff_cache .mypy_cache coverage htmlcov .idea .vscode .gradle .terraform".split()
+IGNORED = [
+    "node_modules", "__pycache__", ".git", "venv", ".venv", "env", "dist", "build", "target", ".next", ".nuxt", ".pytest_cache", ".ruff_cache",
+    ".mypy_cache", "coverage", "htmlcov", ".idea", ".vscode", ".gradle", ".terraform",
+]
 MARKERS = ["package.json", "pyproject.toml", "tsconfig.json", "go.mod", "Cargo.toml"]
 
 
 def _lookup(value: Column, table: dict[str, str]) -> Column:
     """A literal map; absent keys give null."""
-    pairs = [F.lit(x) for k, names in table.items() for n in names.split() for x in (n, k)]
-    return F.try_element_at(F.create_map(*pairs), value)
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), value)
 
 
 def without_ignored(files: DataFrame, ignored: list[str] | None = None) -> DataFrame:
@@ -50,8 +62,8 @@ def with_profile(files: DataFrame) -> DataFrame:
 
 def profiles_for(files: DataFrame) -> DataFrame:
     """One row per file and profile that claims its extension; some extensions have two."""
-    claims = [(ext, p) for p, languages in PROFILES.items() for lang in languages.split() for ext in LANGUAGES.get(lang, "").split()]
-    claims += [(ext, p) for p, exts in EXTRA_EXTENSIONS.items() for ext in exts.split()]
+    claims = [(ext, PROFILES[language]) for ext, language in LANGUAGES.items() if language in PROFILES]
+    claims += [(ext, p) for p, extensions in EXTRA_EXTENSIONS.items() for ext in extensions]
     rows = F.array(*[F.struct(F.lit(e).alias("e"), F.lit(p).alias("p")) for e, p in sorted(set(claims))])
     own = F.array_sort(F.array_distinct(F.transform(F.filter(rows, lambda x: x["e"] == F.lower("ext")), lambda x: x["p"])))
     return files.withColumn("profile", F.explode(own))

@@ -23,7 +23,12 @@ LINE_RULES = [
 ]
 NUMERIC, SENSORS = ["REAL", "LREAL", "INT", "DINT", "SINT", "UINT", "UDINT"], ["REAL", "LREAL", "INT", "DINT"]
 #: Categories of rules; all others are convention.
-CATEGORY = {"security": "PLC-002 PLC-007 PLC-009 PLC-017 PLC-018 PLC-019 HW-001 HW-002 HW-005 HW-006 HW-007 HW-008 HW-009", "potential_bug": "PLC-006 PLC-008 PLC-012 CFG-001 CFG-002 CFG-003", "redundancy": "CFG-004", "readability": "CFG-005"}
+CATEGORY = {
+    "PLC-002": "security", "PLC-007": "security", "PLC-009": "security", "PLC-017": "security", "PLC-018": "security", "PLC-019": "security",
+    "HW-001": "security", "HW-002": "security", "HW-005": "security", "HW-006": "security", "HW-007": "security", "HW-008": "security",
+    "HW-009": "security", "PLC-006": "potential_bug", "PLC-008": "potential_bug", "PLC-012": "potential_bug", "CFG-001": "potential_bug",
+    "CFG-002": "potential_bug", "CFG-003": "potential_bug", "CFG-004": "redundancy", "CFG-005": "readability",
+}
 
 
 def _violation(df: DataFrame, rule: str, name: str, severity: str, text: Column | str, line: Column | None = None) -> DataFrame:
@@ -51,9 +56,9 @@ def scan_plc(files: DataFrame) -> DataFrame:
     arrays = arrays.filter(~F.regexp_like("x", F.lit(r"^\d+$")) & ~((F.upper("x") == F.col("x")) & F.regexp_like("x", F.lit("[A-Z]"))))
     bounds = F.regexp_like("context", F.concat(F.lit(r"(?i)(?:UPPER_BOUND|LOWER_BOUND|LEN|SIZEOF)\s*\(\s*"), "a", F.lit(r"\s*\)")))
     ranged = F.regexp_like("context", F.concat(F.lit("(?i)"), "x", F.lit(r"\s*(?:<=|<|>=|>)\s*\d+")))
-    out.append(_violation(arrays.filter(~bounds & ~ranged), "PLC-004", "Array access without bounds check", "warning", F.concat(F.lit("Array '"), "a", F.lit("["), "x", F.lit("]' accessed without bounds validation.")), line))
+    out.append(_violation(arrays.filter(~bounds & ~ranged), "PLC-004", "Array access without bounds check", "warning", F.concat(F.lit("Array '"), "a", F.lit("["), "x", F.lit("]' is read or written at a place that nothing checks.")), line))
     writes = R.guarded_hits(lines, F.regexp_like(F.trim("text"), F.lit(r"(?i)(?:o_|out_|O_)\w+\s*:=\s*TRUE|SET\s*\(")), r"(?i)\b(?:AND|IF)\b.*(?:NOT|EMERGENCY|ESTOP|E_STOP|SAFETY|FAULT|ALARM|LIMIT|OVERLOAD)|NOT\s+(?:o_|out_)?(?:Stop|Emergency|Fault)", 10)
-    out.append(_violation(writes, "PLC-007", "Output write without interlock", "warning", F.concat(F.lit("Output assignment on line "), line.cast("string"), F.lit(" lacks visible interlock logic."))))
+    out.append(_violation(writes, "PLC-007", "Output write without interlock", "warning", F.concat(F.lit("The output of line "), line.cast("string"), F.lit(" is set and no interlock stands near it."))))
     assigned = lines.filter(~R.is_comment()).withColumn("var", F.regexp_extract(F.trim("text"), r"^(\w+)\s*:=\s*.+?;", 1)).filter(F.regexp_like("var", F.lit(r"^(?:o_|out_|O_)")) | F.regexp_like("var", F.lit(r"^[^a-z]*[A-Z][^a-z]*$")))
     races = R.close_rewrites(assigned)
     out.append(_violation(races, "PLC-008", "Potential race condition in output assignment", "error", F.concat(F.lit("Output '"), "var", F.lit("' is written on lines "), line.cast("string"), F.lit(" and "), F.col("next_line").cast("string"), F.lit(".")), line))
@@ -63,9 +68,9 @@ def scan_plc(files: DataFrame) -> DataFrame:
     facts = lines.groupBy("path").agg(_like(r"(?i)\bPROGRAM\b").alias("program"), _like(r"(?i)\b(?:TON|TOF|TP|TON_X|TOF_X|TP_X)\s*\(").alias("timer"), _like(r"(?i)\b(?:CYCLE_TIME|WATCHDOG|OB_CYCLE|CycleTime)\b").alias("cycle"), _like(r"(?i)\b(?:Emergency|E_Stop|EStop|NOTRHALT|NotAus|SafeTorqueOff|STO|SafetyOff|SAFE_STATE)\b").alias("estop"), _like(r"(?i)\b(?:SEND|RECEIVE|MODBUS|PROFINET|ETHERNET|SOCKET|TCP|UDP|MB_CLIENT|MB_SERVER)\b").alias("comm"), _like(r"(?i)\b(?:TIMEOUT|T#\d|TIME#|HEARTBEAT|ALIVE|WatchDog)\b").alias("alive"), _like(r"(?i)(?:LIMIT|CLAMP|MIN|MAX)\s*\(").alias("limits"))
     has_blocks = blocks.select("path").distinct().withColumn("has_blocks", F.lit(True))
     cyclic = facts.join(has_blocks, "path", "left").filter("coalesce(has_blocks, false) or program").filter("not timer and not cycle")
-    out.append(_violation(cyclic, "PLC-002", "Missing watchdog timer", "warning", "No watchdog timer or cycle time monitoring detected."))
+    out.append(_violation(cyclic, "PLC-002", "Missing watchdog timer", "warning", "Nothing here watches how long a cycle takes."))
     actuators = variables.filter((F.col("scope") == "VAR_OUTPUT") & (F.upper("datatype") == "BOOL")).select("path").distinct()
-    out.append(_violation(facts.join(actuators, "path", "left_semi").filter("not estop"), "PLC-009", "Missing emergency stop handling", "error", "Physical BOOL outputs but no emergency stop logic detected."))
+    out.append(_violation(facts.join(actuators, "path", "left_semi").filter("not estop"), "PLC-009", "Missing emergency stop handling", "error", "BOOL outputs are driven and no emergency stop is read."))
     out.append(_violation(facts.filter("comm and not alive"), "PLC-018", "Communication without timeout handling", "error", "Communication without timeout or heartbeat monitoring."))
     # variables and blocks
     name, scope, kind = F.col("name"), F.col("scope"), F.upper("datatype")
@@ -88,9 +93,7 @@ def scan_plc(files: DataFrame) -> DataFrame:
 
 def violations_to_findings(violations: DataFrame, confidence: float = 0.9) -> DataFrame:
     """Violations in the findings' normal form."""
-    category = F.lit("convention")
-    for c, ids in CATEGORY.items():
-        category = F.when(F.col("rule_id").isin(ids.split()), c).otherwise(category)
+    category = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in CATEGORY.items() for x in pair]), F.col("rule_id")), F.lit("convention"))
     return violations.select(F.col("path").alias("file_path"), F.coalesce("line_no", F.lit(1)).alias("line_start"), F.lit(None).cast("int").alias("line_end"), "severity", category.alias("category"), F.substring("name", 1, 80).alias("title"), F.col("description").alias("hypothesis"), F.array(evidence("static_rule", F.concat("rule_id", F.lit(": "), "description"), None, F.concat(F.lit("plc:"), "rule_id"))).alias("evidence"), F.lit(None).cast("string").alias("counter_considered"), F.lit(confidence).alias("confidence"), F.lit(True).alias("verified"), F.lit(None).cast("string").alias("suggestion"), F.lit("static").alias("detected_by"))
 
 
@@ -99,12 +102,25 @@ def violations_to_findings(violations: DataFrame, confidence: float = 0.9) -> Da
 # encrypted>>, safety struct<enabled,programs,password>). A null cpu has defaults: nothing set, all protection off.
 
 #: Firmware prefixes known to be vulnerable, by model.
-VULNERABLE = {"S7-1200": "4.0 4.1 4.2 4.4", "S7-1500": "2.0 2.5 2.6 2.8 2.8.3"}
+VULNERABLE = {
+    "S7-1200": [
+        "4.0", "4.1", "4.2", "4.4",
+    ],
+    "S7-1500": [
+        "2.0", "2.5", "2.6", "2.8", "2.8.3",
+    ],
+}
 #: Article numbers by the model that they stand for.
 ARTICLES = {
-    "S7-1200": "211-1AE40 212-1AE40 214-1AG40 215-1AG40 217-1AG40",
-    "S7-1500": "511-1CK02 512-1DK02 513-1AL02 515-2AM02 516-3AN02 517-3AP00 518-4AP00",
-    "S7-1500F": "510-1SJ02 511-1FK02 513-1FL02 515-2FM02 516-3FN02 517-3FP00 518-4FP00",
+    "S7-1200": [
+        "211-1AE40", "212-1AE40", "214-1AG40", "215-1AG40", "217-1AG40",
+    ],
+    "S7-1500": [
+        "511-1CK02", "512-1DK02", "513-1AL02", "515-2AM02", "516-3AN02", "517-3AP00", "518-4AP00",
+    ],
+    "S7-1500F": [
+        "510-1SJ02", "511-1FK02", "513-1FL02", "515-2FM02", "516-3FN02", "517-3FP00", "518-4FP00",
+    ],
 }
 
 
@@ -116,10 +132,10 @@ def audit_hardware(config: DataFrame) -> DataFrame:
     """``path, rule_id, severity, description``: a row for each hardware rule, and network of the network rules, that a configuration breaks."""
     cpu = lambda name, default: F.coalesce(F.col(f"cpu.{name}"), F.lit(default))
     model, version = F.upper(cpu("model", "")), cpu("firmware", "")
-    weak = [F.contains(model, F.lit(m)) & reduce(Column.__or__, [F.startswith(version, F.lit(p)) for p in prefixes.split()]) for m, prefixes in VULNERABLE.items()]
+    weak = [F.contains(model, F.lit(m)) & reduce(Column.__or__, [F.startswith(version, F.lit(p)) for p in prefixes]) for m, prefixes in VULNERABLE.items()]
     article, misfit = F.upper(F.replace(cpu("article", ""), F.lit(" "), F.lit(""))), F.lit(False)
     for known, numbers in ARTICLES.items():
-        misfit = misfit | (reduce(Column.__or__, [F.contains(article, F.lit("6ES7" + n)) for n in numbers.split()]) & (model != "") & ~F.contains(model, F.lit(known)))
+        misfit = misfit | (reduce(Column.__or__, [F.contains(article, F.lit("6ES7" + n)) for n in numbers]) & (model != "") & ~F.contains(model, F.lit(known)))
     flag = lambda x: F.coalesce(x, F.lit(False))
     unsafe = F.filter("io_modules", lambda x: flag(x["is_safety"]) & ~flag(x["redundant"]))
     nets = lambda test: F.size(F.filter("networks", test))

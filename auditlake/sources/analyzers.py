@@ -28,22 +28,72 @@ VERILATOR = r"^%(Error|Warning|Info)(?:-([A-Z_]+))?:\s*([^:]+):(\d+):(\d+):\s*(.
 
 #: Severities of oxlint rules.
 OXLINT_SEVERITY = {
-    "critical": "no-eval no-implied-eval no-new-func react/no-danger-with-children no-const-assign",
-    "error": "no-script-url no-prototype-builtins no-extend-native no-proto no-iterator no-with react/no-danger react/jsx-no-target-blank no-self-compare no-unsafe-finally no-unsafe-negation no-unreachable no-unreachable-loop no-unmodified-loop-condition no-dupe-keys no-dupe-args no-dupe-class-members use-isnan valid-typeof for-direction getter-return no-async-promise-executor no-promise-executor-return",
-    "warning": "require-await",
+    "no-eval": "critical", "no-implied-eval": "critical", "no-new-func": "critical", "react/no-danger-with-children": "critical",
+    "no-const-assign": "critical", "no-script-url": "error", "no-prototype-builtins": "error", "no-extend-native": "error", "no-proto": "error",
+    "no-iterator": "error", "no-with": "error", "react/no-danger": "error", "react/jsx-no-target-blank": "error", "no-self-compare": "error",
+    "no-unsafe-finally": "error", "no-unsafe-negation": "error", "no-unreachable": "error", "no-unreachable-loop": "error",
+    "no-unmodified-loop-condition": "error", "no-dupe-keys": "error", "no-dupe-args": "error", "no-dupe-class-members": "error",
+    "use-isnan": "error", "valid-typeof": "error", "for-direction": "error", "getter-return": "error", "no-async-promise-executor": "error",
+    "no-promise-executor-return": "error", "require-await": "warning",
 }
 #: Parts of oxlint rule names and their categories, in order.
-OXLINT_CATEGORY = [("security", "no-eval no-implied-eval no-new-func no-script-url no-prototype-builtins no-extend-native no-proto no-iterator no-with no-danger no-target-blank no-unsanitized"), ("potential_bug", "no-self-compare no-unsafe no-unreachable no-dupe no-const-assign use-isnan valid-typeof for-direction getter-return no-promise-executor-return no-async-promise-executor no-unmodified-loop-condition"), ("redundancy", "unused"), ("performance", "perf")]
+OXLINT_CATEGORY = [
+    ("security", [
+        "no-eval", "no-implied-eval", "no-new-func", "no-script-url", "no-prototype-builtins", "no-extend-native", "no-proto", "no-iterator",
+        "no-with", "no-danger", "no-target-blank", "no-unsanitized",
+    ]),
+    ("potential_bug", [
+        "no-self-compare", "no-unsafe", "no-unreachable", "no-dupe", "no-const-assign", "use-isnan", "valid-typeof", "for-direction",
+        "getter-return", "no-promise-executor-return", "no-async-promise-executor", "no-unmodified-loop-condition",
+    ]),
+    ("redundancy", [
+        "unused",
+    ]),
+    ("performance", [
+        "perf",
+    ]),
+]
 #: Parts of clippy lint names and their categories, in order.
-CLIPPY_CATEGORY = [("security", "unsafe transmute raw_pointer ptr_eq expect_used unwrap_used indexing_slicing integer_arithmetic"), ("potential_bug", "needless match_same_arms panic unreachable while_immutable deref_addrof uninit_assumed_init self_assignment wrong_self_convention useless result_unit_err missing_panics unimplemented"), ("performance", "perf redundant_clone inefficient large_enum_variant slow_vector_initialization unnecessary_to_owned"), ("redundancy", "unused dead_code duplicate no_effect"), ("readability", "too_many_arguments cognitive_complexity too_many_lines")]
+CLIPPY_CATEGORY = [
+    ("security", [
+        "unsafe", "transmute", "raw_pointer", "ptr_eq", "expect_used", "unwrap_used", "indexing_slicing", "integer_arithmetic",
+    ]),
+    ("potential_bug", [
+        "needless", "match_same_arms", "panic", "unreachable", "while_immutable", "deref_addrof", "uninit_assumed_init", "self_assignment",
+        "wrong_self_convention", "useless", "result_unit_err", "missing_panics", "unimplemented",
+    ]),
+    ("performance", [
+        "perf", "redundant_clone", "inefficient", "large_enum_variant", "slow_vector_initialization", "unnecessary_to_owned",
+    ]),
+    ("redundancy", [
+        "unused", "dead_code", "duplicate", "no_effect",
+    ]),
+    ("readability", [
+        "too_many_arguments", "cognitive_complexity", "too_many_lines",
+    ]),
+]
 #: Cppcheck rules that count as critical, and CWE numbers that count as security.
-CPPCHECK_CRITICAL = "bufferAccessOutOfBounds bufferOverflow stringBufferOverflow nullPointer nullPointerDefaultArg useAfterFree doubleFree memleak uninitvar integerOverflow negativeIndex shiftTooManyBits wrongPrintfScanfArgNum writeReadOnlyFile deallocuse".split()
+CPPCHECK_CRITICAL = [
+    "bufferAccessOutOfBounds", "bufferOverflow", "stringBufferOverflow", "nullPointer", "nullPointerDefaultArg", "useAfterFree", "doubleFree",
+    "memleak", "uninitvar", "integerOverflow", "negativeIndex", "shiftTooManyBits", "wrongPrintfScanfArgNum", "writeReadOnlyFile", "deallocuse",
+]
 CPPCHECK_CWE = [119, 120, 121, 122, 125, 126, 127, 190, 416, 476, 787, 788]
 #: Categories of Go linters; others are style.
-GO_CATEGORY = {"security": "gosec noctx", "potential_bug": "govet staticcheck errcheck typecheck ineffassign errorlint nilerr rowserrcheck bodyclose sqlclosecheck contextcheck", "performance": "prealloc perfsprint", "redundancy": "unused unparam deadcode varcheck"}
+GO_CATEGORY = {
+    "gosec": "security", "noctx": "security", "govet": "potential_bug", "staticcheck": "potential_bug", "errcheck": "potential_bug",
+    "typecheck": "potential_bug", "ineffassign": "potential_bug", "errorlint": "potential_bug", "nilerr": "potential_bug",
+    "rowserrcheck": "potential_bug", "bodyclose": "potential_bug", "sqlclosecheck": "potential_bug", "contextcheck": "potential_bug",
+    "prealloc": "performance", "perfsprint": "performance", "unused": "redundancy", "unparam": "redundancy", "deadcode": "redundancy",
+    "varcheck": "redundancy",
+}
 #: Verilator rules that are bugs, and that are style.
-VERILATOR_BUGS = "WIDTH WIDTHCONCAT WIDTHTRUNC WIDTHEXPAND CASEINCOMPLETE CASEX CASEOVERLAP BLKSEQ BLKANDNBLK LATCH MULTIDRIVEN MULTIDRIVE ASYNCBR ASYNC UNDRIVEN PINMISSING PINNOTFOUND STMTDLY INFINITELOOP REALCVT".split()
-VERILATOR_STYLE = "UNUSED UNUSEDPARAM UNUSEDSIGNAL DECLFILENAME EOFNEWLINE VARHIDDEN".split()
+VERILATOR_BUGS = [
+    "WIDTH", "WIDTHCONCAT", "WIDTHTRUNC", "WIDTHEXPAND", "CASEINCOMPLETE", "CASEX", "CASEOVERLAP", "BLKSEQ", "BLKANDNBLK", "LATCH", "MULTIDRIVEN",
+    "MULTIDRIVE", "ASYNCBR", "ASYNC", "UNDRIVEN", "PINMISSING", "PINNOTFOUND", "STMTDLY", "INFINITELOOP", "REALCVT",
+]
+VERILATOR_STYLE = [
+    "UNUSED", "UNUSEDPARAM", "UNUSEDSIGNAL", "DECLFILENAME", "EOFNEWLINE", "VARHIDDEN",
+]
 
 TOOLS = ["oxlint", "bandit", "clippy", "cppcheck", "spotbugs", "golangci", "shellcheck", "luacheck", "sqlfluff", "rubocop", "phpstan", "detekt", "verilator"]
 
@@ -80,14 +130,14 @@ def read_report(spark: SparkSession, tool: str, path: str) -> DataFrame:
 
 
 def _map(value: Column, table: dict[str, str], default: str) -> Column:
-    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for k, names in table.items() for n in names.split() for x in (n, k)]), value), F.lit(default))
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), value), F.lit(default))
 
 
-def _by_part(text: Column, table: list[tuple[str, str]], default: str) -> Column:
+def _by_part(text: Column, table: list[tuple[str, list[str]]], default: str) -> Column:
     """The category of the first group of which some part stands in the text."""
     out = F.lit(default)
     for category, parts in reversed(table):
-        out = F.when(reduce(Column.__or__, [F.contains(text, F.lit(p)) for p in parts.split()]), category).otherwise(out)
+        out = F.when(reduce(Column.__or__, [F.contains(text, F.lit(p)) for p in parts]), category).otherwise(out)
     return out
 
 
@@ -119,7 +169,7 @@ def _clippy(d: DataFrame, root):
     code = F.coalesce("code.code", F.lit(""))
     name = F.when(F.contains(code, F.lit("::")), F.regexp_replace(code, r"(?s)^.*?::", "")).otherwise(code)
     d = d.withColumns({"lint": name, "span": F.coalesce(F.try_element_at(F.filter("spans", lambda s: s["is_primary"]), F.lit(1)), F.element_at("spans", 1))})
-    base = _map(F.col("level"), {"error": "error", "warning": "warning", "info": "note help"}, "warning")
+    base = _map(F.col("level"), {"error": "error", "warning": "warning", "note": "info", "help": "info"}, "warning")
     at = F.concat(relative_to("span.file_name", root), F.lit(":"), F.col("span.line_start").cast("string"))
     shown = F.when(F.col("rendered") != "", evidence("code_excerpt", F.substring(F.substring_index("rendered", "\n", 1), 1, 200), F.col("rendered"), at))
     severity = F.when(F.col("lint").isin("correctness", "perf") & (base == "warning"), "error").otherwise(base)
@@ -128,7 +178,7 @@ def _clippy(d: DataFrame, root):
 
 def _cppcheck(d: DataFrame, root):
     d = d.filter("size(location) > 0 and _id <> 'missingIncludeSystem'").withColumn("at", F.element_at("location", 1))
-    severity = F.when(F.col("_id").isin(CPPCHECK_CRITICAL), "critical").otherwise(_map(F.col("_severity"), {"error": "error", "warning": "warning", "info": "performance portability style information"}, "warning"))
+    severity = F.when(F.col("_id").isin(CPPCHECK_CRITICAL), "critical").otherwise(_map(F.col("_severity"), {"error": "error", "warning": "warning", "performance": "info", "portability": "info", "style": "info", "information": "info"}, "warning"))
     low = F.lower("_severity")
     category = F.when(low == "performance", "performance").when(low.isin("style", "portability"), "code_style").when(F.col("_cwe").isin(CPPCHECK_CWE), "security").when(low.isin("error", "warning"), "potential_bug").otherwise("code_style")
     cwe = F.when(F.col("_cwe").isNotNull(), evidence("cross_reference", F.concat(F.lit("CWE-"), F.col("_cwe").cast("string")), None, F.lit("cwe")))
@@ -138,7 +188,7 @@ def _cppcheck(d: DataFrame, root):
 def _spotbugs(d: DataFrame, root):
     p, r = F.coalesce("_priority", F.lit(5)), F.coalesce("_rank", F.lit(20))
     severity = F.when((p <= 1) | (r <= 4), "critical").when((p == 2) | (r <= 9), "error").when((p == 3) | (r <= 14), "warning").otherwise("info")
-    category = _map(F.upper("_category"), {"security": "SECURITY", "performance": "PERFORMANCE", "code_style": "BAD_PRACTICE STYLE"}, "potential_bug")
+    category = _map(F.upper("_category"), {"SECURITY": "security", "PERFORMANCE": "performance", "BAD_PRACTICE": "code_style", "STYLE": "code_style"}, "potential_bug")
     at = F.try_element_at("SourceLine", F.lit(1))
     return _findings(d, root, "spotbugs", F.col("_type"), F.coalesce("LongMessage", "ShortMessage", "_type"), F.coalesce(at["_sourcepath"], at["_sourcefile"]), at["_start"], at["_end"], severity, category, F.when(p <= 2, 0.85).otherwise(0.7), F.concat(F.lit("spotbugs "), "_type", F.lit(": "), F.coalesce("ShortMessage", F.lit(""))))
 
@@ -154,7 +204,7 @@ def _shellcheck(d: DataFrame, root):
     rule = F.concat(F.lit("SC"), F.col("code").cast("string"))
     category = F.when(F.col("code").isin(2086, 2046, 2153, 2154, 2155), "security").when(F.col("level") == "style", "code_style").otherwise("potential_bug")
     wiki = evidence("cross_reference", F.concat(F.lit("https://www.shellcheck.net/wiki/"), rule), None, F.lit("shellcheck-wiki"))
-    return _findings(d, root, "shellcheck", rule, F.col("message"), F.col("file"), F.col("line"), F.col("endLine"), _map(F.col("level"), {"error": "error", "warning": "warning", "info": "info style"}, "warning"), category, 0.9, F.concat(F.lit("shellcheck "), rule, F.lit(" ("), "level", F.lit("): "), "message"), [wiki])
+    return _findings(d, root, "shellcheck", rule, F.col("message"), F.col("file"), F.col("line"), F.col("endLine"), _map(F.col("level"), {"error": "error", "warning": "warning", "info": "info", "style": "info"}, "warning"), category, 0.9, F.concat(F.lit("shellcheck "), rule, F.lit(" ("), "level", F.lit("): "), "message"), [wiki])
 
 
 def _luacheck(d: DataFrame, root):
@@ -174,7 +224,7 @@ def _sqlfluff(d: DataFrame, root):
 def _rubocop(d: DataFrame, root):
     name, s = F.lower("cop_name"), F.col("severity")
     category = F.when(F.contains(name, F.lit("security")), "security").when(F.startswith(name, F.lit("perf")), "performance").when(F.startswith(name, F.lit("style/")) | (s == "convention"), "code_style").when(s.isin("error", "fatal", "warning"), "potential_bug").otherwise("convention")
-    return _findings(d, root, "rubocop", F.col("cop_name"), F.col("message"), F.col("path"), F.col("location.line"), F.col("location.last_line"), _map(s, {"critical": "fatal", "error": "error", "warning": "warning", "info": "refactor convention"}, "warning"), category, F.when(s.isin("error", "fatal"), 0.9).otherwise(0.75), F.concat(F.lit("rubocop "), "cop_name", F.lit(" ("), s, F.lit("): "), "message"), [], F.when(F.col("correctable"), "(rubocop can auto-fix this)"))
+    return _findings(d, root, "rubocop", F.col("cop_name"), F.col("message"), F.col("path"), F.col("location.line"), F.col("location.last_line"), _map(s, {"fatal": "critical", "error": "error", "warning": "warning", "refactor": "info", "convention": "info"}, "warning"), category, F.when(s.isin("error", "fatal"), 0.9).otherwise(0.75), F.concat(F.lit("rubocop "), "cop_name", F.lit(" ("), s, F.lit("): "), "message"), [], F.when(F.col("correctable"), "(rubocop can auto-fix this)"))
 
 
 def _phpstan(d: DataFrame, root):
@@ -186,7 +236,7 @@ def _phpstan(d: DataFrame, root):
 
 def _detekt(d: DataFrame, root):
     category = _by_part(F.lower("ruleId"), [("architecture", "complexity"), ("performance", "performance"), ("potential_bug", "potential-bugs exception"), ("code_style", "style formatting naming")], "convention")
-    return _findings(d, root, "detekt", F.col("ruleId"), F.col("message"), F.col("path"), F.col("location.startLine"), F.col("location.endLine"), _map(F.col("severity"), {"critical": "fatal", "error": "error", "warning": "warning", "info": "info"}, "warning"), category, 0.85, F.concat(F.lit("detekt "), "ruleId", F.lit(" ("), F.coalesce("severity", F.lit("")), F.lit("): "), "message"))
+    return _findings(d, root, "detekt", F.col("ruleId"), F.col("message"), F.col("path"), F.col("location.startLine"), F.col("location.endLine"), _map(F.col("severity"), {"fatal": "critical", "error": "error", "warning": "warning", "info": "info"}, "warning"), category, 0.85, F.concat(F.lit("detekt "), "ruleId", F.lit(" ("), F.coalesce("severity", F.lit("")), F.lit("): "), "message"))
 
 
 def _verilator(d: DataFrame, root):

@@ -12,7 +12,7 @@ least ``num / den``. The join works on distinct sets (exact copies share one), i
 4. shingles are ordered globally, those that many sets hold last (their counts are gathered in bounded summaries; any
    fixed order is exact). A set of n shingles can only link to a group that holds one of its first
    ``n - ceil(n num / den) + 1`` shingles among those of a member, so only such queries meet the group's row of the
-   matrix, and only groups of another early component, whose sizes fit;
+   matrix, and only groups of another early component, whose sizes fit, also for what is left from that shingle on;
 5. a query whose overlap with a group's union is bounded under ``n num / den`` cannot link to any member: the group
    stays shut to it;
 6. qualifying queries open the group: their shingles meet those of its members, and overlaps are counted exactly.
@@ -190,8 +190,12 @@ class _Order:
         self.rank = np.argsort(heavy, kind="stable")
         self.heavy = heavy[self.rank]
 
-    def prefixes(self, tokens: np.ndarray, offsets: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-        """(rows, shingles): each row's first ``n - ceil(n num / den) + 1`` in this order."""
+    def prefixes(self, tokens: np.ndarray, offsets: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(rows, shingles, caps): each row's first ``n - ceil(n num / den) + 1`` in this order, as far as they can count.
+
+        Where a shingle is the first that two sets share, both hold all that they share from there on. A set of n with r
+        shingles from there on thus links to sets of ``r (num + den) / num - n`` shingles at most: the cap.
+        """
         size = np.diff(offsets)
         row = np.repeat(np.arange(len(size)), size)
         wanted = np.where(size > 0, size + (-num * size // den) + 1, 0)
@@ -209,12 +213,19 @@ class _Order:
         rest = rest[np.lexsort((self.rank[at[rest]], row[rest]))]
         _, begin, many = np.unique(row[rest], return_index=True, return_counts=True)
         rest = rest[(np.arange(len(rest)) - np.repeat(begin, many)) < short[row[rest]]]
-        keep = np.concatenate([np.flatnonzero(first), rest])
-        return row[keep], tokens[keep]
+        begin = np.flatnonzero(np.diff(row[rest], prepend=-1))
+        behind = np.arange(len(rest)) - np.repeat(begin, np.diff(np.append(begin, len(rest))))
+        ahead = np.flatnonzero(first)
+        keep = np.concatenate([ahead, rest])
+        at = np.concatenate([place[ahead], (light[offsets[1:]] - light[offsets[:-1]])[row[rest]] + behind])
+        n = size[row[keep]]
+        cap = (n - at) * (num + den) // num - n
+        fits = cap * den >= n * num
+        return row[keep][fits], tokens[keep][fits], cap[fits]
 
 
 def _postings(texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """``token, node``: the leading shingles of all sets, less those that one set alone leads with.
+    """``token, node, cap``: the leading shingles of all sets, less those that one set alone leads with.
 
     Heavy shingles are known to have several sets, so they are not gathered by shingle at all.
     """
@@ -224,14 +235,14 @@ def _postings(texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in T.slices(batches):
             tokens, offsets, node = _sets(batch, k)
-            row, token = order.value.prefixes(tokens, offsets, num, den)
+            row, token, cap = order.value.prefixes(tokens, offsets, num, den)
             _, once = np.unique(node, return_index=True)
             use = np.isin(row, once)
-            row, token = row[use], token[use]
+            row, token, cap = row[use], token[use], cap[use]
             names = order.value.heavy
             at = np.minimum(np.searchsorted(names, token), max(len(names) - 1, 0))
             split = np.where(names[at] == token, node[row] % np.uint64(1 << 16), 0) if len(names) else np.zeros(len(token))
-            yield pa.RecordBatch.from_arrays([pa.array(T.signed(token)), pa.array(split.astype(np.int32)), pa.array(T.signed(node[row])), pa.array(names[at] == token if len(names) else np.zeros(len(token), bool))], names=["token", "split", "node", "heavy"])
+            yield pa.RecordBatch.from_arrays([pa.array(T.signed(token)), pa.array(split.astype(np.int32)), pa.array(T.signed(node[row])), pa.array(names[at] == token if len(names) else np.zeros(len(token), bool)), pa.array(cap)], names=["token", "split", "node", "heavy", "cap"])
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None  # the row before: its shingle, its set, and whether it has been passed on
@@ -239,9 +250,9 @@ def _postings(texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
             if not len(batch):
                 continue
             token, node = batch.column(0).to_numpy(), batch.column(2).to_numpy()
-            heavy = batch.column(3).to_numpy(zero_copy_only=False)
+            heavy, cap = batch.column(3).to_numpy(zero_copy_only=False), batch.column(4).to_numpy()
             if last is not None:
-                token, node, heavy = np.append(last[0], token), np.append(last[1], node), np.append(last[3], heavy)
+                token, node, heavy, cap = (np.append(x, y) for x, y in zip((last[0], last[1], *last[3:]), (token, node, heavy, cap), strict=True))
             again = np.zeros(len(token), bool)
             again[1:] = (token[1:] == token[:-1]) & (node[1:] == node[:-1])
             run = np.zeros(len(token), bool)
@@ -258,13 +269,13 @@ def _postings(texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
             if done:
                 out[0] = False
             # The last row waits for the next batch unless its run is known to have several sets.
-            last = (token[-1:], node[-1:], bool(several[-1]), heavy[-1:])
+            last = (token[-1:], node[-1:], bool(several[-1]), heavy[-1:], cap[-1:])
             if not last[2]:
                 out[-1] = False
-            yield pa.RecordBatch.from_arrays([pa.array(token[out]), pa.array(node[out])], names=["token", "node"])
+            yield pa.RecordBatch.from_arrays([pa.array(token[out]), pa.array(node[out]), pa.array(cap[out])], names=["token", "node", "cap"])
 
-    dealt = texts.mapInArrow(deal, "token long, split int, node long, heavy boolean")
-    return dealt.repartition("token", "split").sortWithinPartitions("token", "node").mapInArrow(shared, "token long, node long")
+    dealt = texts.mapInArrow(deal, "token long, split int, node long, heavy boolean, cap long")
+    return dealt.repartition("token", "split").sortWithinPartitions("token", "node").mapInArrow(shared, "token long, node long, cap long")
 
 
 def _grouped(sets: DataFrame, early: DataFrame) -> DataFrame:
@@ -302,14 +313,14 @@ def _candidates(postings: DataFrame, groups: DataFrame, num: int, den: int) -> D
     met = every.groupBy("token").agg(F.min("family").alias("x"), F.max("family").alias("y")).filter("x < y").select("token")
     held = materialize(every.join(met.hint("merge"), "token", "left_semi"), "near-met")
     # What each group's row of the matrix leads with, and the sizes of the members that do.
-    rows = held.groupBy("token", "family", "size", "grp").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    of = rows.groupBy("token", "family", "size").agg(F.min("low").alias("low"), F.max("high").alias("high"))
-    ask, give = (of.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("family", "size", "low", "high")]) for s in ("q", "g"))
+    rows = held.groupBy("token", "family", "size", "grp").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("cap").alias("most"))
+    of = rows.groupBy("token", "family", "size").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.max("most").alias("most"))
+    ask, give = (of.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("family", "size", "low", "high", "most")]) for s in ("q", "g"))
     fit = lambda a, b, c, d: (F.col(b) * den >= F.col(c) * num) & (F.col(d) * den >= F.col(a) * num)
-    pairs = ask.join(give.hint("merge"), "token").filter(F.struct("size_q", "family_q") < F.struct("size_g", "family_g")).filter(fit("low_q", "high_q", "low_g", "high_g")).select("token", "family_q", "family_g")
-    asked = held.select("token", F.col("family").alias("family_q"), F.col("node").alias("q"), F.col("n").alias("nq")).join(pairs.hint("merge"), ["token", "family_q"])
-    given = rows.select("token", F.col("family").alias("family_g"), "grp", "low", "high")
-    out = asked.join(given.hint("merge"), ["token", "family_g"]).filter(fit("nq", "nq", "low", "high"))
+    pairs = ask.join(give.hint("merge"), "token").filter(F.struct("size_q", "family_q") < F.struct("size_g", "family_g")).filter(fit("low_q", "high_q", "low_g", "high_g")).filter("low_q <= most_g and low_g <= most_q").select("token", "family_q", "family_g")
+    asked = held.select("token", F.col("family").alias("family_q"), F.col("node").alias("q"), F.col("n").alias("nq"), "cap").join(pairs.hint("merge"), ["token", "family_q"])
+    given = rows.select("token", F.col("family").alias("family_g"), "grp", "low", "high", "most")
+    out = asked.join(given.hint("merge"), ["token", "family_g"]).filter(fit("nq", "nq", "low", "high")).filter("nq <= most and low <= cap")
     out = materialize(out.select("q", F.col("family_g").alias("family"), "grp").distinct(), "near-candidates")
     discard(every, held)
     return out

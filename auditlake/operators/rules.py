@@ -8,12 +8,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from . import scans
 from .intervals import around
 
 KEYS = ["rule_id", "name", "severity", "description", "suggestion"]
-def _path():
-    return Window.partitionBy("path").orderBy("line_no")
-
 
 
 def is_comment(text: Column | str = "text") -> Column:
@@ -43,35 +41,33 @@ def dedup_violations(violations: DataFrame) -> DataFrame:
     return violations.dropDuplicates(["path", "rule_id", "line_no", "description"])
 
 
-def context(before: int, after: int = 0) -> Column:
-    """The lines around a line, joined by line ends."""
-    return F.array_join(F.collect_list("text").over(_path().rowsBetween(-before, after)), "\n")
+def with_context(lines: DataFrame, before: int, after: int = 0, piece: int = scans.PIECE) -> DataFrame:
+    """Adds ``context``: the lines around a line, joined by line ends."""
+    return scans.lines_around(lines, ["path"], "line_no", "text", before, after, "context", piece).withColumn("context", F.array_join("context", "\n"))
 
 
-def guarded_hits(lines: DataFrame, hit: Column, guard: Column | str, before: int, after: int = 0) -> DataFrame:
+def guarded_hits(lines: DataFrame, hit: Column, guard: Column | str, before: int, after: int = 0, piece: int = scans.PIECE) -> DataFrame:
     """Code lines where ``hit`` holds and no guard pattern stands in the lines around; ``guard`` may be a column."""
     guard = F.lit(guard) if isinstance(guard, str) else guard
-    return lines.withColumn("context", context(before, after)).filter(~is_comment() & hit).filter(~F.regexp_like("context", guard))
+    return with_context(lines, before, after, piece).filter(~is_comment() & hit).filter(~F.regexp_like("context", guard))
 
 
-def in_block(lines: DataFrame, start: str, end: str) -> DataFrame:
+def in_block(lines: DataFrame, start: str, end: str, piece: int = scans.PIECE) -> DataFrame:
     """Adds ``inside``: whether the last line so far that matched start or end matched start."""
     mark = F.when(F.regexp_like("text", F.lit(end)), 0).when(F.regexp_like("text", F.lit(start)), 1)
-    return lines.withColumn("inside", F.coalesce(F.last(mark, ignorenulls=True).over(_path().rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)) == 1)
+    return scans.last_mark(lines, ["path"], "line_no", mark, "inside", piece=piece).withColumn("inside", F.coalesce("inside", F.lit(0)) == 1)
 
 
-def nesting_depth(lines: DataFrame, opens: str, closes: str) -> DataFrame:
+def nesting_depth(lines: DataFrame, opens: str, closes: str, piece: int = scans.PIECE) -> DataFrame:
     """Adds ``depth`` after each line, held at 0 from below: the running sum less its least value so far, if under 0."""
     step = F.when(F.regexp_like("text", F.lit(opens)), 1).when(F.regexp_like("text", F.lit(closes)), -1).otherwise(0)
-    upto = _path().rowsBetween(Window.unboundedPreceding, 0)
-    summed = lines.withColumn("_s", F.sum(F.when(is_comment(), 0).otherwise(step)).over(upto))
-    return summed.withColumn("depth", F.col("_s") - F.least(F.lit(0), F.min("_s").over(upto))).drop("_s")
+    summed = scans.running(lines, ["path"], "line_no", F.when(is_comment(), 0).otherwise(step), "_s", "_low", piece)
+    return summed.withColumn("depth", F.col("_s") - F.least(F.lit(0), "_low")).drop("_s", "_low")
 
 
-def close_rewrites(assignments: DataFrame, gap: int = 3) -> DataFrame:
+def close_rewrites(assignments: DataFrame, gap: int = 3, piece: int = scans.PIECE) -> DataFrame:
     """Assignments (path, var, line_no) whose next to the same variable is under ``gap`` lines away."""
-    w = Window.partitionBy("path", "var").orderBy("line_no")
-    return assignments.withColumn("next_line", F.lead("line_no").over(w)).filter(F.col("next_line") - F.col("line_no") < gap)
+    return scans.next_within(assignments, ["path", "var"], "line_no", gap, "next_line", piece).filter(F.col("next_line") - F.col("line_no") < gap)
 
 
 def changed_blocks(ranges: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -94,8 +90,8 @@ def st_blocks(lines: DataFrame) -> DataFrame:
     kind = F.upper(F.regexp_extract("text", BLOCK_START, 1))
     close = F.upper(F.regexp_extract("text", r"(?i)^\s*END_(FUNCTION_BLOCK|FUNCTION|PROGRAM)", 1))
     marked = lines.select("path", (F.col("line_no") - 1).alias("i"), "text", F.nullif(kind, F.lit("")).alias("kind"), F.nullif(close, F.lit("")).alias("close"))
-    marked = marked.withColumn("final", F.max("i").over(Window.partitionBy("path")))
-    blocks = marked.filter("kind is not null or close is not null").withColumn("block", F.sum(F.when(F.col("kind").isNotNull(), 1).otherwise(0)).over(Window.partitionBy("path").orderBy("i")))
+    marked = marked.filter("kind is not null or close is not null").join(marked.groupBy("path").agg(F.max("i").alias("final")), "path")
+    blocks = marked.withColumn("block", F.sum(F.when(F.col("kind").isNotNull(), 1).otherwise(0)).over(Window.partitionBy("path").orderBy("i")))
     spans = _spans(blocks)
     nxt = F.lead("line_start").over(Window.partitionBy("path").orderBy("line_start"))
     return spans.withColumn("line_end", F.coalesce("closed", nxt - 1, "final")).select("path", F.regexp_extract("text", BLOCK_START, 2).alias("name"), F.col("kind").alias("block_type"), F.nullif(F.regexp_extract("text", BLOCK_START, 3), F.lit("")).alias("return_type"), "line_start", "line_end")

@@ -48,20 +48,24 @@ def _joined(rows: DataFrame, pieces: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(pieces, [*keys, "_piece"], "left")
 
 
+def _with_copies(df: DataFrame, order: str, before: int, after: int, piece: int) -> DataFrame:
+    """Rows by piece, with marked copies of those that pieces next to theirs look at."""
+    if max(before, after) > piece:
+        raise ValueError("a piece must be as long as what is looked at around a row")
+    cut = _cut(df, order, piece).withColumn("_copy", F.lit(False))
+    place, every = F.pmod(F.col(order), F.lit(piece)), cut
+    for near, move in ((place >= piece - before, 1), (place < after, -1)):
+        every = every.unionByName(cut.filter(near).withColumns({"_piece": F.col("_piece") + move, "_copy": F.lit(True)}))
+    return every
+
+
 def lines_around(df: DataFrame, keys: list[str], order: str, value: str, before: int, after: int, name: str, piece: int = PIECE) -> DataFrame:
-    """Adds ``name``, the values of up to ``before`` rows ahead, the row's own, and ``after`` rows behind, in order.
+    """Adds ``name``: in order, the values of the rows from ``before`` numbers ahead of each row's to ``after`` behind it."""
+    w = Window.partitionBy(*keys, "_piece").orderBy(order).rangeBetween(-before, after)
+    return _with_copies(df, order, before, after, piece).withColumn(name, F.collect_list(value).over(w)).filter("not _copy").drop("_piece", "_copy")
 
-    A piece gets copies of the rows next to it, so ``order`` must count rows one by one (as line numbers do).
-    """
-    cut = _cut(df, order, piece).withColumn("_copy", F.lit(False))
-    reach = max(before, after)
-    place = F.pmod(F.col(order), F.lit(piece))
-    ahead = cut.filter(place >= piece - before).withColumns({"_piece": F.col("_piece") + 1, "_copy": F.lit(True)}) if before else None
-    behind = cut.filter(place < after).withColumns({"_piece": F.col("_piece") - 1, "_copy": F.lit(True)}) if after else None
-    if reach > piece:
-        raise ValueError("a piece must be as long as what is looked at around a row")
-    every = cut
-    for more in (ahead, behind):
-        every = every.unionByName(more) if more is not None else every
-    w = Window.partitionBy(*keys, "_piece").orderBy(order).rowsBetween(-before, after)
-    return every.withColumn(name, F.collect_list(value).over(w)).filter("not _copy").drop("_piece", "_copy")
+
+def next_within(df: DataFrame, keys: list[str], order: str, reach: int, name: str, piece: int = PIECE) -> DataFrame:
+    """Adds ``name``: the order of a key's next row, where it comes within ``reach``; of later ones it may be null."""
+    w = Window.partitionBy(*keys, "_piece").orderBy(order)
+    return _with_copies(df, order, 0, reach, piece).withColumn(name, F.lead(order).over(w)).filter("not _copy").drop("_piece", "_copy")

@@ -119,3 +119,27 @@ def test_scans_over_pieces(spark, piece):
             assert last[p, n] == mark
             assert following[p, n] == next((r[3] for r in own[i + 1 :] if r[3]), None)
             assert near[p, n] == [r[1] for r in own[max(0, i - 3) : i + 3]]
+
+
+def test_rules_on_files_cut_into_pieces(spark):
+    rng = random.Random(9)
+    choices = ["IF a THEN", "END_IF;", "x := 1;", "x := 2;", "p^ := q;", "IF p <> NIL THEN", "PROGRAM m", "END_PROGRAM", "// IF a", "y := 3;"]
+    rows = [(p, i, rng.choice(choices)) for p in "ab" for i in range(1, 80)]
+    lines = spark.createDataFrame(rows, "path string, line_no int, text string")
+    assigned = lines.filter("text rlike '^[xy] :='").withColumn("var", F.substring("text", 1, 1))
+
+    def every(piece):
+        deep = rules.nesting_depth(lines, "^IF", "^END_IF", piece).select("path", "line_no", "depth")
+        inside = rules.in_block(lines, "^PROGRAM", "^END_PROGRAM", piece).select("path", "line_no", "inside")
+        open_ = rules.guarded_hits(lines, F.contains("text", F.lit("^")), "NIL", 5, 2, piece).select("path", "line_no", "context")
+        again = rules.close_rewrites(assigned, 3, piece).select("path", "line_no", "next_line")
+        return [sorted(map(tuple, x.collect())) for x in (deep, inside, open_, again)]
+
+    small, whole = every(6), every(scans.PIECE)
+    assert small == whole
+    assert all(whole)
+    depth, want = 0, []
+    for i, text in [(r[1], r[2]) for r in rows if r[0] == "a"]:
+        depth = max(0, depth + (text.startswith("IF")) - text.startswith("END_IF"))
+        want.append(("a", i, depth))
+    assert [r for r in whole[0] if r[0] == "a"] == want

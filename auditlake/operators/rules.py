@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from . import scans
+from . import literals, scans
 from .intervals import around
 
 KEYS = ["rule_id", "name", "severity", "description", "suggestion"]
@@ -25,7 +25,11 @@ def rule_table(spark, rules: list[tuple]) -> DataFrame:
 
 
 def scan_rules(lines: DataFrame, rules: DataFrame | list[tuple], code_only: bool = True) -> DataFrame:
-    """A violation per line and rule that matches it. A list of rules is compiled into one projection, without a join."""
+    """A violation per line and rule that matches it.
+
+    A list of rules is compiled into one projection. Of a table of rules, which may be thousands, a line is tried against
+    those only whose literals stand in it (:mod:`.literals`).
+    """
     live = lines.filter(~is_comment()) if code_only else lines
     if isinstance(rules, list):
         if not rules:
@@ -34,7 +38,8 @@ def scan_rules(lines: DataFrame, rules: DataFrame | list[tuple], code_only: bool
             none = F.lit(None).cast("string")
             hits = [F.when(F.regexp_like("text", F.lit(r[3])), F.struct(*[(none if v is None else F.lit(v)).alias(k) for k, v in zip(KEYS, (r[0], r[1], r[2], r[4], r[5]), strict=True)])) for r in rules]
             return live.select("path", "line_no", F.explode(F.array_compact(F.array(*hits))).alias("v"), "text").select("path", "line_no", "text", "v.*")
-    return live.join(F.broadcast(rules), F.regexp_like("text", F.col("pattern"))).select("path", "line_no", "text", *KEYS)
+    met = literals.candidates(live.select("path", "line_no", "text"), rules.select("pattern", *KEYS))
+    return met.filter(F.regexp_like("text", F.col("pattern"))).select("path", "line_no", "text", *KEYS)
 
 
 def dedup_violations(violations: DataFrame) -> DataFrame:

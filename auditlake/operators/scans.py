@@ -7,6 +7,10 @@ null key are kept, each piece of them by itself.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 PIECE = 1 << 14
@@ -69,3 +73,40 @@ def next_within(df: DataFrame, keys: list[str], order: str, reach: int, name: st
     """Adds ``name``: the order of a key's next row, where it comes within ``reach``; of later ones it may be null."""
     w = Window.partitionBy(*keys, "_piece").orderBy(order)
     return _with_copies(df, order, 0, reach, piece).withColumn(name, F.lead(order).over(w)).filter("not _copy").drop("_piece", "_copy")
+
+
+def next_not_above(df: DataFrame, keys: list[str], order: str, value: str, stops: Column, name: str, piece: int = PIECE) -> DataFrame:
+    """Adds ``name``: the order of the next row of the key where ``stops`` holds and ``value`` is no more than the row's own.
+
+    Within a piece a stack of rows that ascend in value is kept from the end on, so each row is looked at once. What is
+    left open at a piece's end, a row for each value at most, meets the first later piece with a value as low.
+    """
+    cut = _cut(df, order, piece).withColumn("_stops", F.coalesce(stops, F.lit(False)))
+    sorted_ = cut.repartition(*keys, "_piece").sortWithinPartitions(*keys, "_piece", F.desc(order))
+    places = [sorted_.columns.index(c) for c in (*keys, "_piece")]
+    at, low, stop = (sorted_.columns.index(c) for c in (order, value, "_stops"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, stack = None, []
+        for batch in batches:
+            out = []
+            for key, n, v, s in zip(zip(*(batch.column(i).to_pylist() for i in places), strict=True), batch.column(at).to_pylist(), batch.column(low).to_pylist(), batch.column(stop).to_pylist(), strict=True):
+                if key != now:
+                    now, stack = key, []
+                i = bisect_right(stack, (v, float("inf")))
+                out.append(stack[i - 1][1] if i else None)
+                if s:  # it hides all rows behind it that are no lower
+                    del stack[bisect_left(stack, (v, float("-inf"))) :]
+                    stack.append((v, n))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], names=[*batch.schema.names, "_own"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sorted_.schema.fields)
+    near = sorted_.mapInArrow(run, f"{schema}, _own long")
+    lows = cut.filter("_stops").groupBy(*keys, "_piece").agg(F.min(value).alias("_low"))
+    later = lows.withColumnRenamed("_piece", "_later")
+    left = near.filter("_own is null").select(*keys, "_piece", F.col(value).alias("_value")).distinct()
+    met = left.join(later, keys).filter("_later > _piece and _low <= _value").groupBy(*keys, "_piece", "_value").agg(F.min("_later").alias("_later"))
+    rows = cut.filter("_stops").select(*keys, F.col("_piece").alias("_later"), F.col(order).alias("_n"), F.col(value).alias("_v"))
+    far = met.join(rows, [*keys, "_later"]).filter("_v <= _value").groupBy(*keys, "_piece", "_value").agg(F.min("_n").alias("_far"))
+    joined = near.withColumn("_value", F.col(value)).join(far, [*keys, "_piece", "_value"], "left")
+    return joined.withColumn(name, F.coalesce("_own", "_far").cast("int")).drop("_piece", "_stops", "_own", "_value", "_far")

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.scalars import normal_path, parent, stem, suffix
+from . import scans
 from .intervals import around
 
 #: Suffixes that a specifier may leave out, in order.
@@ -134,12 +138,21 @@ DECLARATIONS |= {
 }
 
 
-def extract_declarations(files: DataFrame) -> DataFrame:
+#: What an extractor gives for each declaration.
+DECLARATION = "repo string, path string, kind string, name string, line_start int, line_end int"
+
+
+def extract_with(files: DataFrame, extract: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]) -> DataFrame:
+    """Declarations by a function of the user's own, such as a parser: it gets files ``repo, path, language, content`` in batches and gives rows of ``DECLARATION``."""
+    return files.select("repo", "path", "language", "content").mapInPandas(extract, DECLARATION)
+
+
+def extract_declarations(files: DataFrame, piece: int = scans.PIECE) -> DataFrame:
     """``repo, path, kind, name, line_start, line_end`` of files with ``language``, by patterns; an approximation.
 
     A declaration ends before the next line of code that is indented no deeper and does not begin with a closing mark,
     or with that mark's line. An opening brace on a line of its own belongs to the declaration before it; in languages of
-    the C family directives, labels and access sections end nothing.
+    the C family directives, labels and access sections end nothing. Ends are found in one pass over the lines.
     """
     lines = files.select("repo", "path", "language", F.posexplode(F.split("content", "\n")).alias("i", "text"))
     found = F.when(F.lit(False), F.array(F.struct(F.lit("").alias("kind"), F.lit("").alias("name"))))
@@ -147,12 +160,12 @@ def extract_declarations(files: DataFrame) -> DataFrame:
         hits = [F.when(F.regexp_like("text", F.lit(p)), F.struct(F.lit(k).alias("kind"), F.regexp_extract("text", p, 1).alias("name"))) for k, p in patterns]
         found = found.when(F.col("language") == lang, F.slice(F.array_compact(F.array(*hits)), 1, 1))
     filled = lines.withColumns({"d": F.try_element_at(found, F.lit(1)), "indent": F.length(F.regexp_extract("text", r"^(\s*)", 1))}).filter(F.trim("text") != "")
-    decl = filled.filter("d is not null").select("repo", "path", "d.kind", "d.name", F.col("i").alias("a"), F.col("indent").alias("w"))
     passed = F.regexp_like("text", F.lit(r"^\s*\{")) | (F.col("language").isin("c", "cpp", "c_sharp", "objective_c") & F.regexp_like("text", F.lit(r"^\s*(?:#|\w+\s*:\s*$)")) & F.col("d").isNull())
     closing = F.regexp_like("text", F.lit(r"^\s*[})\]]|^\s*end\b|^\s*end(?:function|task|module|class|package|interface)\b|^\s*@end\b"))
-    after = filled.filter(~passed).select("repo", "path", "i", "indent", closing.alias("closing"))
-    last = filled.groupBy("repo", "path").agg(F.max("i").alias("last"))
-    stop = decl.join(after, ["repo", "path"]).filter("i > a and indent <= w").groupBy("repo", "path", "kind", "name", "a").agg(F.min(F.struct("i", "closing")).alias("s"))
-    out = decl.join(stop, ["repo", "path", "kind", "name", "a"], "left").join(last, ["repo", "path"])
-    end = F.when(F.col("kind") == "import", F.col("a")).otherwise(F.coalesce(F.when(F.col("s.closing"), F.col("s.i")).otherwise(F.col("s.i") - 1), F.col("last")))
-    return out.select("repo", "path", "kind", "name", (F.col("a") + 1).alias("line_start"), (end + 1).alias("line_end"))
+    rows = filled.select("repo", "path", "i", "indent", "d.kind", "d.name", passed.alias("passed"), closing.alias("closing"))
+    last = rows.groupBy("repo", "path").agg(F.max("i").alias("last"))
+    ended = scans.next_not_above(rows, ["repo", "path"], "i", "indent", ~F.coalesce("passed", F.lit(False)), "stop", piece).filter("kind is not null")
+    closers = rows.filter("closing").select("repo", "path", F.col("i").alias("stop"), "closing")
+    out = ended.drop("closing").join(closers, ["repo", "path", "stop"], "left").join(last, ["repo", "path"])
+    end = F.when(F.col("kind") == "import", F.col("i")).otherwise(F.coalesce(F.when(F.col("closing"), F.col("stop")).otherwise(F.col("stop") - 1), F.col("last")))
+    return out.select("repo", "path", "kind", "name", (F.col("i") + 1).alias("line_start"), (end + 1).alias("line_end"))

@@ -65,7 +65,10 @@ def audit_rollup(spark, sf_dir):
     """The flagship: scan, fingerprint, roll up by severity, gate."""
     found = materialize(history.with_fingerprint(doc_findings(spark, sf_dir)).select("source", "severity", "fingerprint"), "audit")
     prints = found.groupBy("source").agg(F.countDistinct("fingerprint").alias("n_fingerprints"))
-    return fnd.severity_counts(found, "source").join(fnd.gate(found, "source"), "source").join(prints, "source")
+    out = fnd.severity_counts(found, "source")
+    for more in (fnd.gate(found, "source"), prints):  # sources without a name count as one
+        out = out.join(more.withColumnRenamed("source", "_source"), F.equal_null("source", "_source")).drop("_source")
+    return out
 
 
 @query(f"WITH {_HITS} SELECT file_path, line_start, rule_id, severity, substr(sha1(concat_ws('|', file_path, line_start::VARCHAR, lower(title))), 1, 16) AS fingerprint, substr(sha1(regexp_replace(text, '^\\s+|\\s+$', '', 'g')), 1, 12) AS line_content_hash FROM hit")
@@ -74,6 +77,17 @@ def rule_scan(spark, sf_dir):
     return found.select("file_path", "line_start", "rule_id", "severity", S.finding_fingerprint("file_path", "line_start", "title").alias("fingerprint"), S.line_hash("text").alias("line_content_hash"))
 
 
+@query("WITH " + _LINES.replace("source, ", "") + """, w AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z]{6,}')[:2]) AS word FROM benchmark)
+    SELECT word AS rule_id, count(*) AS n_lines, count(DISTINCT doc_id) AS n_files FROM w JOIN line ON contains(text, word) WHERE regexp_matches(text, '(^|[^A-Za-z])' || word || '([^A-Za-z]|$)') GROUP BY word""")
+def rule_table_scan(spark, sf_dir):
+    """A table of rules from the benchmark, a word of each item's first two long ones, over the lines of all documents."""
+    words = F.explode(F.slice(F.regexp_extract_all("text", F.lit("([A-Za-z]{6,})"), F.lit(1)), 1, 2))
+    made = table(spark, sf_dir, "benchmark").select(words.alias("rule_id")).distinct()
+    none = F.lit(None).cast("string")
+    ruled = made.select("rule_id", none.alias("name"), F.lit("info").alias("severity"), F.concat(F.lit("(^|[^A-Za-z])"), "rule_id", F.lit("([^A-Za-z]|$)")).alias("pattern"), none.alias("description"), none.alias("suggestion"))
+    return rules.scan_rules(doc_lines(spark, sf_dir), ruled, code_only=False).groupBy("rule_id").agg(F.count("*").alias("n_lines"), F.countDistinct("path").alias("n_files"))
+
+
 @query(f"WITH {_HITS} SELECT source, rule_id, severity, grouping(source, rule_id, severity)::BIGINT AS level, count(*) AS n FROM hit GROUP BY CUBE (source, rule_id, severity)")
 def findings_cube(spark, sf_dir):
     return fnd.rollup_findings(doc_findings(spark, sf_dir), ["source", "rule_id", "severity"]).select("source", "rule_id", "severity", F.col("level").cast("long").alias("level"), "n")

@@ -232,6 +232,22 @@ def endless_loops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flow.endless_loops(*_flow(spark, sf_dir)).select("path", "header", "tail")
 
 
+def declarations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A source file for each document, of 2 to 12 functions of 1 to 4 lines: their names and spans."""
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), F.col("n_chars").alias("n"), (F.lit(2) + (F.col("doc_id") + F.col("n_chars")) % 11).alias("cnt"))
+    own = docs.withColumn("i", F.explode(F.sequence(F.lit(1), F.col("cnt").cast("int")))).withColumn("k", F.expr("cast(1 + (path * 31 + i * i * 17 + n * 7) % 1009 % 4 as int)"))
+    part = F.concat(F.lit("def f"), F.col("i").cast("string"), F.lit("(x):\n"), F.repeat(F.lit("    a = 1\n"), F.col("k")), F.lit("\n"))
+    whole = own.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("i", part.alias("part")))).alias("parts"))  # a dozen parts
+    files = whole.select(F.lit("r").alias("repo"), F.col("path").cast("string").alias("path"), F.lit("python").alias("language"), F.array_join(F.transform("parts", lambda p: p["part"]), "").alias("content"))
+    return symbols.extract_declarations(files).select("path", "kind", "name", "line_start", "line_end")
+
+
+DECLARATIONS_SQL = """WITH d AS (SELECT doc_id AS path, n_chars AS n, 2 + (doc_id + n_chars) % 11 AS cnt FROM documents),
+    x AS (SELECT path, cnt, i, 1 + (path * 31 + i * i * 17 + n * 7) % 1009 % 4 AS k FROM d, unnest(range(1, cnt + 1)) AS r(i)),
+    s AS (SELECT *, 1 + coalesce(sum(k + 2) OVER (PARTITION BY path ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a FROM x)
+    SELECT path::VARCHAR AS path, 'function' AS kind, 'f' || i AS name, a::INT AS line_start, (a + k + CASE WHEN i < cnt THEN 1 ELSE 0 END)::INT AS line_end FROM s"""
+
+
 # Sections with a jump, return or exit (k < 3) make two blocks, others go on in the one they are in; a block leads to one other at most.
 _PROGRAM = """d AS (SELECT doc_id AS path, n_chars AS n, 2 + (doc_id + n_chars) % 11 AS cnt FROM documents),
     x AS (SELECT path, cnt, i, (path * 31 + i * i * 17 + n * 7) % 1009 AS x FROM d, unnest(range(1, cnt + 1)) AS r(i)),
@@ -263,5 +279,5 @@ FLOW_SQL = {
       AND NOT EXISTS (SELECT 1 FROM st WHERE st.path = loop.path AND st.block_id = loop.header AND st.text = 'EXIT;')""",
 }
 
-QUERIES = {f.__name__: f for f in (plc_line_rules, plc_file_rules, plc_findings, code_tokens, resolve_imports, resolve_calls, call_stats, guideline_sections, uncalled_functions, single_call_functions, request_cases, flow_statements, flow_edges, flow_unreachable, def_use_pairs, dead_stores, endless_loops)}
-ORACLE_SQL = {"plc_line_rules": PLC_LINE_SQL, "plc_file_rules": PLC_FILE_SQL, "plc_findings": PLC_FINDINGS_SQL, "code_tokens": CODE_TOKENS_SQL, "resolve_imports": IMPORTS_SQL, "resolve_calls": CALLS_SQL, "call_stats": CALL_STATS_SQL, "guideline_sections": SECTIONS_SQL, "uncalled_functions": UNCALLED_SQL, "single_call_functions": SINGLE_SQL, "request_cases": REQUEST_SQL} | FLOW_SQL
+QUERIES = {f.__name__: f for f in (plc_line_rules, plc_file_rules, plc_findings, code_tokens, resolve_imports, resolve_calls, call_stats, guideline_sections, uncalled_functions, single_call_functions, request_cases, declarations, flow_statements, flow_edges, flow_unreachable, def_use_pairs, dead_stores, endless_loops)}
+ORACLE_SQL = {"declarations": DECLARATIONS_SQL, "plc_line_rules": PLC_LINE_SQL, "plc_file_rules": PLC_FILE_SQL, "plc_findings": PLC_FINDINGS_SQL, "code_tokens": CODE_TOKENS_SQL, "resolve_imports": IMPORTS_SQL, "resolve_calls": CALLS_SQL, "call_stats": CALL_STATS_SQL, "guideline_sections": SECTIONS_SQL, "uncalled_functions": UNCALLED_SQL, "single_call_functions": SINGLE_SQL, "request_cases": REQUEST_SQL} | FLOW_SQL

@@ -143,3 +143,30 @@ def test_rules_on_files_cut_into_pieces(spark):
         depth = max(0, depth + (text.startswith("IF")) - text.startswith("END_IF"))
         want.append(("a", i, depth))
     assert [r for r in whole[0] if r[0] == "a"] == want
+
+
+@pytest.mark.parametrize("piece", [5, scans.PIECE])
+def test_next_row_that_is_no_higher(spark, piece):
+    rng = random.Random(4)
+    rows = [(p, i, rng.choice([0, 1, 1, 2, 2, 3, 4]), rng.random() < 0.7) for p in ("a", "b") for i in range(70)] + [("c", i, i, True) for i in range(30)]
+    df = spark.createDataFrame(rows, "path string, n int, v int, s boolean")
+    got = {(r.path, r.n): r.stop for r in scans.next_not_above(df, ["path"], "n", "v", F.col("s"), "stop", piece).collect()}
+    assert got == {(p, n): next((m for q, m, w, s in rows if q == p and m > n and s and w <= v), None) for p, n, v, _ in rows}
+
+
+def test_declarations_by_a_user_and_in_pieces(spark):
+    import pandas as pd
+
+    code = "\n".join(f"class A{i}:\n    def f{i}(self):\n        x = 1\n\n        return x\n\n    y = 2" for i in range(6))
+    files = spark.createDataFrame([("r", "a.py", "python", code), ("r", "n.py", "python", None)], "repo string, path string, language string, content string")
+    spans = {r.name: (r.line_start, r.line_end) for r in symbols.extract_declarations(files, 4).collect()}
+    assert spans == {r.name: (r.line_start, r.line_end) for r in symbols.extract_declarations(files).collect()}
+    assert spans["A0"] == (1, 7)
+    assert spans["f1"] == (9, 13)
+
+    def own(batches):
+        for batch in batches:
+            rows = [(r.repo, r.path, "line", t, i, i) for r in batch.itertuples() for i, t in enumerate((r.content or "").split("\n"), 1) if t.startswith("class")]
+            yield pd.DataFrame(rows, columns=["repo", "path", "kind", "name", "line_start", "line_end"])
+
+    assert symbols.extract_with(files, own).filter("name = 'class A5:' and line_start = 36").count() == 1

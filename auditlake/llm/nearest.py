@@ -9,7 +9,10 @@ an offset matters.
 
 Search: every query starts at its entry node (its own node if it is indexed), and in each round all nodes of its
 beam not yet expanded bring their neighbours and nearest backward ones; it stops when no query has any left. The
-graph's degree and the beam are what makes the search approximate; its recall is measured against ``brute_force``.
+graph's degree and the beam are what makes the search approximate, and how wide a beam must be depends on the vectors.
+So the exact neighbours of at most ``PROBES`` queries are found in one scan; while the search finds less than
+``TARGET`` of them, it goes on from what it has, with fixed other entries too, under a beam twice as wide. Beyond
+``MOST_BEAM`` all queries are compared with all vectors, in blocks.
 
 Rows take no part whose vector is null, empty, all zero, holds a null or non-finite component, or has another length
 than most. Defined cases: repeated vectors share a node and rank by id; a null id takes no part; of rows with one
@@ -28,6 +31,7 @@ from pyspark.sql import DataFrame, Observation, Window, functions as F
 from ..shared import discard, materialize
 
 DEGREE, TREES, SAMPLE, BLOCK, BEAM = 16, 3, 4096, 1024, 32
+PROBES, TARGET, MOST_BEAM, ENTRIES = 64, 0.95, 512, 8
 MOST_ROUNDS = 100  # of descent or search; both settle in a few, and raise rather than stop unsettled
 
 
@@ -247,7 +251,51 @@ def greedy_search(graph: DataFrame, packed: DataFrame, queries: DataFrame, entri
     raise RuntimeError(f"the search did not settle in {MOST_ROUNDS} rounds")
 
 
-def nearest(rows: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 100, degree: int = DEGREE, beam: int = BEAM) -> DataFrame:
+def exact_search(packed: DataFrame, queries: DataFrame, k: int, block: int = 1024) -> DataFrame:
+    """``q, node, d``: the k nearest other nodes of each query (q, qp), all compared in blocks of queries."""
+    count = -(-queries.count() // block)
+    dealt = queries.withColumn("part", F.pmod(F.xxhash64("q"), F.lit(max(count, 1)))) if count > 1 else queries.withColumn("part", F.lit(0))
+    rank, out = F.row_number().over(Window.partitionBy("q").orderBy("d", "node")), None
+    for part in range(max(count, 1)):
+        held = dealt.filter(F.col("part") == part).select("q", "qp").toArrow()  # about `block` queries
+        shared = packed.sparkSession.sparkContext.broadcast((held.column(0).to_numpy(), _matrix(held.column(1).combine_chunks())))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            ids, q = shared.value
+            for batch in batches:
+                nodes, x = batch.column(0).to_numpy(), _matrix(batch.column(1))
+                if not len(ids) or not len(nodes):
+                    continue
+                middle = x.mean(axis=0)
+                far = np.maximum(((q - middle) ** 2).sum(axis=1)[:, None] + ((x - middle) ** 2).sum(axis=1)[None] - 2 * (q - middle) @ (x - middle).T, 0)
+                far[ids[:, None] == nodes[None]] = np.inf
+                m = min(k, len(nodes))
+                near = np.argpartition(far, m - 1, axis=1)[:, :m]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, m)), pa.array(nodes[near].ravel()), pa.array(np.take_along_axis(far, near, 1).ravel())], names=["q", "node", "d"])
+
+        found = packed.select("node", "p").mapInArrow(run, "q long, node long, d double").filter("d < double('infinity')")
+        found = found.withColumn("r", rank).filter(F.col("r") <= k).drop("r")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def settled_search(graph: DataFrame, packed: DataFrame, queries: DataFrame, k: int, beam: int = BEAM, degree: int = DEGREE, target: float = TARGET) -> DataFrame:
+    """``q, node, d`` of :func:`greedy_search`, with as wide a beam as finds ``target`` of the exact neighbours of some queries."""
+    probes = materialize(queries.orderBy(F.xxhash64("q"), "q").limit(PROBES), "nn-probes")
+    exact = materialize(exact_search(packed, probes, k).select("q", "node"), "nn-exact")
+    wanted, beam, entries = exact.count(), max(beam, k + 1), queries.select("q", F.col("q").alias("node"))
+    while beam <= MOST_BEAM:
+        found = greedy_search(graph, packed, queries, entries, beam, degree)
+        if exact.join(F.broadcast(found.join(F.broadcast(probes.select("q")), "q", "left_semi").select("q", "node")), ["q", "node"], "left_semi").count() >= target * wanted:  # PROBES beams at most
+            return found
+        others = packed.orderBy(F.xxhash64("node"), "node").limit(ENTRIES).select("node")
+        entries = found.select("q", "node").unionByName(queries.select("q").crossJoin(F.broadcast(others)))
+        beam *= 2
+    own = queries.select("q", F.col("q").alias("node"), F.lit(0.0).alias("d"))  # other rows with the query's own vector
+    return materialize(exact_search(packed, queries, k).unionByName(own), "nn-beam")
+
+
+def nearest(rows: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 100, degree: int = DEGREE, beam: int = BEAM, target: float = TARGET) -> DataFrame:
     """``query_id, rank, vec_id, score``: for ids divisible by ``every`` their k nearest other rows found, by Euclidean distance."""
     live = materialize(valid_vectors(rows, id_col, vector_col), "nn-rows")
     double = rows.schema[vector_col].dataType.simpleString() != "array<float>"
@@ -255,7 +303,7 @@ def nearest(rows: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: st
     graph = build_graph(packed, degree)
     asked = live.filter(F.col("id") % every == 0)
     queries = materialize(asked.select("node").distinct().join(packed, "node").select(F.col("node").alias("q"), F.col("p").alias("qp")), "nn-queries")  # equal vectors share a search
-    beams = greedy_search(graph, packed, queries, queries.select("q", F.col("q").alias("node")), max(beam, k + 1), degree)
+    beams = settled_search(graph, packed, queries, k, beam, degree, target)
     few = live.select("id", "node").withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy("id"))).filter(F.col("r") <= k + 1).select("id", "node")
     # The members of the beam's nodes, measured on the original vectors.
     ids = asked.select(F.col("id").alias("query_id"), F.col("node").alias("q"), F.col("v").alias("vq"))

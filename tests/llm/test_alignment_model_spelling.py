@@ -14,7 +14,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from auditlake.llm import align, language_model, spelling
+from auditlake.llm import align, language_model, nearest, spelling
 
 #: Extra columns have the names that the operators use themselves.
 DOCS = "doc_id long, text string, row long, a array<int>, pair long, n long, word string, gram long, levels binary, slot int, score double, lang string"
@@ -193,3 +193,16 @@ def test_spelling_variants_equal_brute_force(spark, options):
     assert got == want
     assert want["aaaaaaaaa"][2] == "aaaaaaaab"
     assert want["aaaaaaaaa"][4] == "aaaaaaabb"
+
+
+@pytest.mark.parametrize("most", [nearest.MOST_BEAM, 4])
+def test_search_widens_until_probes_are_found(spark, monkeypatch, most):
+    monkeypatch.setattr(nearest, "MOST_BEAM", most)  # with 4 no beam is wide enough: all vectors are compared
+    x = np.random.default_rng(0).standard_normal((2500, 48))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(2500, x[0].tolist())], "vec_id long, embedding array<double>").repartition(4)
+    got = nearest.nearest(rows, degree=6, beam=11, every=50).collect()
+    want = {(r.query_id, r.vec_id) for r in nearest.brute_force(rows, every=50).collect()}
+    found = {(r.query_id, r.vec_id) for r in got}
+    assert len(found) == len(want)
+    assert len(found & want) >= (0.9 if most > 4 else 1) * len(want)
+    assert (0, 2500) in found

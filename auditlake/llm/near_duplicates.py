@@ -47,6 +47,7 @@ HASHES = 4
 GROUP_SHINGLES, LEAST_WEIGHT = 300_000, 600  # a group's shingles, and what a small set counts for at least
 HEAVY, HEAVY_A_TASK = 1 << 19, 1 << 17  # shingles that come last in the global order, and how many of them a task may name
 QUERIES_A_SALT = 2000
+SLICE = 1 << 22  # bytes of text that are worked on at once
 _SEEDS = np.random.Generator(np.random.PCG64(11)).integers(0, 2**63, HASHES, dtype=np.uint64)
 _SEED2 = np.uint64(0x5851F42D4C957F2D)
 
@@ -99,7 +100,7 @@ def _base(texts: DataFrame, k: int, id_type: str) -> DataFrame:
     """``id, print, n, node, minima, bits``: the text's fingerprint, and its set's size, fingerprint, minhashes and bits, of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in T.slices(batches):
+        for batch in T.slices(batches, most=SLICE):
             tokens, offsets, node = _sets(batch, k)
             low = T.signed(_minima(tokens, offsets))
             minima = pa.ListArray.from_arrays(pa.array(np.arange(0, len(batch) * HASHES + 1, HASHES, dtype=np.int32)), pa.array(low.ravel()))
@@ -114,7 +115,7 @@ def _tokens_of(texts: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set = set()  # of this task; copies in other tasks go below
-        for batch in T.slices(batches):
+        for batch in T.slices(batches, most=SLICE):
             tokens, offsets, node = _sets(batch, k)
             size = np.diff(offsets)
             wanted = np.flatnonzero(in_bits(T.signed(node), bits.value) & (size > 0))
@@ -233,7 +234,7 @@ def _postings(texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
     order = texts.sparkSession.sparkContext.broadcast(_Order(heavy))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in T.slices(batches):
+        for batch in T.slices(batches, most=SLICE):
             tokens, offsets, node = _sets(batch, k)
             row, token, cap = order.value.prefixes(tokens, offsets, num, den)
             _, once = np.unique(node, return_index=True)

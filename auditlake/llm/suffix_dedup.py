@@ -37,6 +37,7 @@ from . import _text as T
 
 MIN_WORDS, K, WINDOW = 50, 8, 43
 PIECE = 1 << 16  # suffixes that are compared at once
+SLICE = 1 << 21  # bytes of text that are worked on at once, with some ten times as much beside them
 _PLACE = 28  # bits of a word's place within a batch
 _SPANS = "array<struct<first:long,last:long>>"
 
@@ -74,7 +75,7 @@ def _suffixes(texts: DataFrame, min_words: int, window: int, id_type: str) -> Da
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in T.slices(batches):
+        for batch in T.slices(batches, most=SLICE):
             _, _, h, first = T.words(*T.utf8(batch.column(2)), T.ALNUM)
             starts, anchor = _anchors(h, first, min_words, window)
             head = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (starts[1:] != starts[:-1] + 1)]) if len(starts) else np.zeros(0, bool)
@@ -186,7 +187,7 @@ def _windows(texts: DataFrame, asked: DataFrame, min_words: int, id_type: str) -
     """``print, id, node, first``: the windows in the ranges asked for (``id, node, ranges``), from the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in T.slices(batches):
+        for batch in T.slices(batches, most=SLICE):
             _, _, h, first = T.words(*T.utf8(batch.column(2)), T.ALNUM)
             prints = T.windows(h, min_words)
             own, begin, end = [], [], []

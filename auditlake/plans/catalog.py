@@ -15,10 +15,10 @@ from ..functions import scalars as S
 from ..operators import clones, corpus, findings as fnd, flow, grounding, guidelines, history, packs, patches, plc_pack, rules, symbols, usage
 from ..shared import materialize, ship
 from ..streaming import events as ev
-from . import code, reports, streams
+from . import code, more, reports, streams
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = reports.QUERIES | code.QUERIES | streams.QUERIES
-ORACLE_SQL: dict[str, str] = reports.ORACLE_SQL | code.ORACLE_SQL | streams.ORACLE_SQL
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = reports.QUERIES | code.QUERIES | streams.QUERIES | more.QUERIES
+ORACLE_SQL: dict[str, str] = reports.ORACLE_SQL | code.ORACLE_SQL | streams.ORACLE_SQL | more.ORACLE_SQL
 
 #: Rules for prose, without look-around so that other engines read them too.
 TEXT_RULES = [

@@ -97,7 +97,7 @@ def applicable(ops: DataFrame, files: DataFrame) -> DataFrame:
 
 def apply_patches(files: DataFrame, ops: DataFrame, sequential: bool = False) -> DataFrame:
     """The files after all sets that can apply: edits from the last line up (or in op order), creates, deletes, renames."""
-    good = applicable(ops, files)
+    good = materialize(applicable(ops, files), "patches-good")  # read four times below
     key = F.struct((F.lit(1) if sequential else -F.col("line_start")).alias("k"), "patchset_id", "op_idx", "line_start", "line_end", F.when(F.col("op_type") == "edit", F.col("new_content")).otherwise("").alias("new"))
     edits = good.filter(F.col("op_type").isin("edit", "delete_lines")).groupBy(F.col("file_path").alias("path")).agg(F.array_sort(F.collect_list(key)).alias("_ops"))
 

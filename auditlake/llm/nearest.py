@@ -10,9 +10,9 @@ an offset matters.
 Search: every query starts at its entry node (its own node if it is indexed), and in each round all nodes of its
 beam not yet expanded bring their neighbours and nearest backward ones; it stops when no query has any left. The
 graph's degree and the beam are what makes the search approximate, and how wide a beam must be depends on the vectors.
-So the exact neighbours of at most ``PROBES`` queries are found in one scan; while the search finds less than
-``TARGET`` of them, it goes on from what it has, with fixed other entries too, under a beam twice as wide. Beyond
-``MOST_BEAM`` all queries are compared with all vectors, in blocks.
+So the exact neighbours of at most ``PROBES`` queries are found in one scan, and these queries are searched with a beam
+that is doubled until ``TARGET`` of them are found; all queries are then searched once with that beam, each from its own
+node and ``ENTRIES`` fixed ones. Beyond ``MOST_BEAM`` all queries are compared with all vectors, in blocks.
 
 Rows take no part whose vector is null, empty, all zero, holds a null or non-finite component, or has another length
 than most. Defined cases: repeated vectors share a node and rank by id; a null id takes no part; of rows with one
@@ -283,13 +283,13 @@ def settled_search(graph: DataFrame, packed: DataFrame, queries: DataFrame, k: i
     """``q, node, d`` of :func:`greedy_search`, with as wide a beam as finds ``target`` of the exact neighbours of some queries."""
     probes = materialize(queries.orderBy(F.xxhash64("q"), "q").limit(PROBES), "nn-probes")
     exact = materialize(exact_search(packed, probes, k).select("q", "node"), "nn-exact")
-    wanted, beam, entries = exact.count(), max(beam, k + 1), queries.select("q", F.col("q").alias("node"))
-    while beam <= MOST_BEAM:
-        found = greedy_search(graph, packed, queries, entries, beam, degree)
-        if exact.join(F.broadcast(found.join(F.broadcast(probes.select("q")), "q", "left_semi").select("q", "node")), ["q", "node"], "left_semi").count() >= target * wanted:  # PROBES beams at most
-            return found
-        others = packed.orderBy(F.xxhash64("node"), "node").limit(ENTRIES).select("node")
-        entries = found.select("q", "node").unionByName(queries.select("q").crossJoin(F.broadcast(others)))
+    wanted, beam = exact.count(), max(beam, k + 1)
+    others = packed.orderBy(F.xxhash64("node"), "node").limit(ENTRIES).select("node")
+    entries = lambda of: of.select("q", F.col("q").alias("node")).unionByName(of.select("q").crossJoin(F.broadcast(others)))
+    while beam <= MOST_BEAM:  # the probes alone are searched until the beam is wide enough, then all queries once
+        found = greedy_search(graph, packed, probes, entries(probes), beam, degree)
+        if exact.join(F.broadcast(found.select("q", "node")), ["q", "node"], "left_semi").count() >= target * wanted:  # PROBES beams at most
+            return greedy_search(graph, packed, queries, entries(queries), beam, degree)
         beam *= 2
     own = queries.select("q", F.col("q").alias("node"), F.lit(0.0).alias("d"))  # other rows with the query's own vector
     return materialize(exact_search(packed, queries, k).unionByName(own), "nn-beam")

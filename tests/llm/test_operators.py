@@ -5,7 +5,9 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -260,6 +262,29 @@ def test_wrapped_licenses(spark):
     assert set(r.labels for r in licenses.scan_licenses(d.filter("doc_id in (1, 2, 4)"), wrapped=False).collect()) == {""}
 
 
+def test_licenses_against_sql(spark):
+    rng = random.Random(5)
+    rows = [(1000, None), (1001, ""), (1002, " \n \n"), (1003, "\n\nAll \n rights\n\n reserved \n"), (1004, "cc by nc " * 500)]
+    for i in range(150):
+        words = []
+        for _ in range(rng.randint(1, 4)):
+            part = rng.choice(licenses.TEMPLATES + licenses.PHRASES)[0].split()
+            part = [rng.choice(["other", "the", w.upper()]) if rng.random() < 0.12 else w for w in part if rng.random() > 0.06]
+            words += [rng.choice(["lorem", "of", "software", "é"]) for _ in range(rng.randint(0, 5))] + part
+        text = "".join(w + rng.choice([" ", " ", " ", ", ", "\n", " \r\n * ", "\n\n"]) for w in words)
+        rows.append((i, text))
+    documents = pd.DataFrame(rows, columns=["doc_id", "text"])
+    con = duckdb.connect()
+    con.register("documents", documents)
+    want = con.sql(licenses.oracle_sql()).df().sort_values("doc_id").reset_index(drop=True)
+    got = licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).toPandas().sort_values("doc_id").reset_index(drop=True)
+    for name in want.columns:
+        same = (got[name] == want[name]) | (got[name].isna() & want[name].isna())
+        assert same.all(), (name, got[~same], want[~same])
+    lines = licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string"), wrapped=False).toPandas()
+    assert (lines["labels"] == "").sum() > (got["labels"] == "").sum()
+
+
 def test_warc(spark, tmp_path):
     big = "<p>" + "é" * 1200
     rows = [(1, "http://a/ü\r\nX: y", big), (2, None, big), (3, "u", big), (4, "u", "small"), (5, "u", "small"), (6, "u", None), (None, "u", ""), (7, "u", "x" * 70000), (7, "u", "x" * 70000), (8, "u", "x" * 70000)]

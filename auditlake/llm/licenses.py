@@ -52,7 +52,9 @@ NUM, DEN = 4, 5
 
 def normal(text: Column) -> Column:
     """The words of a text: a line end between those of two lines, a single blank between others."""
-    low = F.translate(F.coalesce(text, F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
+    text = F.coalesce(text, F.lit(""))
+    ascii_only = F.octet_length(text) == F.char_length(text)  # where lower() touches A-Z alone
+    low = F.when(ascii_only, F.lower(text)).otherwise(F.translate(text, string.ascii_uppercase, string.ascii_lowercase))
     blanks = F.regexp_replace(low, r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+", " ")
     return F.trim(F.regexp_replace(blanks, r" ?\n[ \n]*", "\n"), F.lit(" \n"))
 

@@ -235,7 +235,7 @@ def _phpstan(d: DataFrame, root):
 
 
 def _detekt(d: DataFrame, root):
-    category = _by_part(F.lower("ruleId"), [("architecture", "complexity"), ("performance", "performance"), ("potential_bug", "potential-bugs exception"), ("code_style", "style formatting naming")], "convention")
+    category = _by_part(F.lower("ruleId"), [("architecture", ["complexity"]), ("performance", ["performance"]), ("potential_bug", ["potential-bugs", "exception"]), ("code_style", ["style", "formatting", "naming"])], "convention")
     return _findings(d, root, "detekt", F.col("ruleId"), F.col("message"), F.col("path"), F.col("location.startLine"), F.col("location.endLine"), _map(F.col("severity"), {"fatal": "critical", "error": "error", "warning": "warning", "info": "info"}, "warning"), category, 0.85, F.concat(F.lit("detekt "), "ruleId", F.lit(" ("), F.coalesce("severity", F.lit("")), F.lit("): "), "message"))
 
 

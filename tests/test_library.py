@@ -270,6 +270,13 @@ def test_reports(spark, tmp_path, tool):
     assert got[0].verified and got[0].evidence[0].kind == "static_rule"
 
 
+@pytest.mark.parametrize("rule, category", [("style.X", "code_style"), ("naming.X", "code_style"), ("performance.X", "performance"), ("potential-bugs.X", "potential_bug"), ("exceptions.X", "potential_bug"), ("complexity.X", "architecture"), ("other", "convention")])
+def test_detekt_categories(spark, tmp_path, rule, category):
+    report = {"files": [{"path": "a.kt", "issues": [{"ruleId": rule, "message": "m", "severity": "error", "location": {"startLine": 1, "endLine": 2}}]}]}
+    (tmp_path / "r.json").write_text(json.dumps(report))
+    assert [r.category for r in analyzers.normalize(analyzers.read_report(spark, "detekt", str(tmp_path / "r.json")), "detekt").collect()] == [category]
+
+
 def test_clippy_details(spark, tmp_path):
     span = {"file_name": "/r/a.rs", "line_start": 8, "line_end": 8, "is_primary": True}
     lines = [{"reason": "compiler-message", "message": {"message": "m", "level": "warning", "code": {"code": c}, "spans": [span], "rendered": r}} for c, r in (("clippy::perf", "warning: m\n  --> a"), ("unused_variables", None), ("clippy::a::b", ""))]

@@ -6,12 +6,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..shared import materialize
 from .clones import let
 
 CHUNK, TOP, MOST, DIM, QUERY_BLOCK = 1000, 5, 20, 256, 4096
+#: Queries and vectors of one matrix product, and how much its scores may differ from sums in order.
+SIDE, STEP, CLOSE = 256, 512, 1e-9
 
 
 def split_sections(docs: DataFrame) -> DataFrame:
@@ -86,22 +90,83 @@ def cosine(a: Column | str, b: Column | str) -> Column:
     return F.when(size > 0, dot(a, b) / size)
 
 
+class _Best:
+    """The k best vectors of each query so far: by score, then by id.
+
+    A matrix product finds what comes near a query's k-th score; that alone is then scored by a sum from the first
+    component on, so that equal vectors have equal scores and the blocks make no difference.
+    """
+
+    def __init__(self, asked: np.ndarray, k: int) -> None:
+        self.asked, self.k, self.least = asked, k, np.full(len(asked), -np.inf)
+        self.q, self.at, self.score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+
+    def add(self, at: np.ndarray, x: np.ndarray) -> None:
+        """Vectors at the places ``at``, which ascend with their ids within equal vectors or are ranked again by id later."""
+        for low in range(0, len(self.asked), SIDE):
+            own = self.asked[low : low + SIDE]
+            near = own @ x.T
+            least = self.least[low : low + SIDE]
+            if len(x) >= self.k:
+                np.maximum(least, np.partition(near, len(x) - self.k, axis=1)[:, len(x) - self.k] - CLOSE, out=least)
+            q, v = np.nonzero(near >= least[:, None])
+            if len(q):
+                self._keep(q + low, at[v], np.cumsum(own[q] * x[v], axis=1)[:, -1])
+
+    def _keep(self, q: np.ndarray, at: np.ndarray, score: np.ndarray) -> None:
+        low, high = q[0], q[-1]
+        mine = (self.q >= low) & (self.q <= high)
+        q, at, score = (np.concatenate([a[mine], b]) for a, b in ((self.q, q), (self.at, at), (self.score, score)))
+        order = np.lexsort((at, -score, q))
+        q, at, score = q[order], at[order], score[order]
+        rank = np.arange(len(q)) - np.searchsorted(q, q)
+        last = rank == self.k - 1
+        self.least[q[last]] = np.maximum(self.least[q[last]], score[last] - CLOSE)
+        kept = rank < self.k
+        self.q, self.at, self.score = (np.concatenate([a[~mine], b[kept]]) for a, b in ((self.q, q), (self.at, at), (self.score, score)))
+
+
 def search(chunks: DataFrame, queries: DataFrame, k: int = TOP, id_col: str = "chunk_id", query_id: str = "query_id") -> DataFrame:
-    """The k (1 to 20) most similar chunks of each query (query_id, embedding).
+    """The k (1 to 20) most similar chunks of each query (query_id, embedding), exactly.
 
-    Queries are a stated set, broadcast in blocks of QUERY_BLOCK at most. Vectors are brought to unit length once; each
-    task keeps its own k best per query before the shuffle (the rank filter is pushed below it).
+    Queries are a stated set, broadcast in blocks of about QUERY_BLOCK. Vectors are brought to unit length once; a task
+    compares blocks of its chunks with all queries of a block by a matrix product and keeps its own k best per query
+    before the shuffle. Vectors with null or non-finite components take no part; those of other lengths are not compared.
     """
     k = max(1, min(MOST, k))
-    unit = lambda c: let(F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))), lambda n: F.when(n > 0, F.transform(c, lambda x: x.cast("double") / n)))
-    asked = queries.select(query_id, unit("embedding").alias("_q")).filter("_q is not null")
+    unit = lambda c: let(F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))), lambda n: F.when((n > 0) & (n < float("inf")), F.transform(c, lambda x: x.cast("double") / n)))
+    asked = materialize(queries.select(query_id, unit("embedding").alias("_q")).filter("_q is not null"), "search-queries")
     given = chunks.select(id_col, unit("embedding").alias("_v")).filter("_v is not null")
     blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    score = F.aggregate(F.zip_with("_v", "_q", lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
+    schema = ", ".join(f"`{n}` {d.schema[c].dataType.simpleString()}" for n, d, c in ((query_id, asked, query_id), (id_col, given, id_col))) + ", score double"
     scored = None
     for i in range(blocks):
-        own = asked.filter(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == i)
-        part = given.join(F.broadcast(own)).select(query_id, id_col, score.alias("score")).filter("score is not null")
+        held = asked.filter(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == i).toArrow()  # about QUERY_BLOCK queries
+        shared = chunks.sparkSession.sparkContext.broadcast(held)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            named, lists = shared.value.column(0), shared.value.column(1).combine_chunks()
+            sizes = np.diff(lists.offsets.to_numpy())
+            flat = lists.flatten().to_numpy(zero_copy_only=False)
+            starts = np.cumsum(sizes) - sizes
+            best = {int(n): (np.flatnonzero(sizes == n), _Best(flat[(starts[sizes == n][:, None] + np.arange(n)).ravel()].reshape(-1, n), k)) for n in np.unique(sizes)}
+            ids: dict = {n: [] for n in best}
+            for batch in batches:
+                own, wide = batch.column(0), np.diff(batch.column(1).offsets.to_numpy())
+                parts, begin = batch.column(1).flatten().to_numpy(zero_copy_only=False), np.cumsum(wide) - wide
+                order = np.array(pc.sort_indices(own))  # ties go to the smaller id
+                for n, (_, found) in best.items():
+                    rows = order[wide[order] == n]
+                    for low in range(0, len(rows), STEP):
+                        some = rows[low : low + STEP]
+                        first = sum(map(len, ids[n]))
+                        ids[n].append(own.take(pa.array(some)))
+                        found.add(np.arange(first, first + len(some)), parts[(begin[some][:, None] + np.arange(n)).ravel()].reshape(-1, n))
+            for n, (places, found) in best.items():
+                if len(found.q):
+                    yield pa.RecordBatch.from_arrays([named.take(pa.array(places[found.q])).combine_chunks(), pa.concat_arrays(ids[n]).take(pa.array(found.at)), pa.array(found.score)], names=[query_id, id_col, "score"])
+
+        part = given.mapInArrow(run, schema)
         scored = part if scored is None else scored.unionByName(part)
     rank = F.row_number().over(Window.partitionBy(query_id).orderBy(F.desc("score"), id_col))
     return scored.withColumn("rank", rank).filter(F.col("rank") <= k)

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.scalars import normal_path, parent, stem, suffix
+from ..shared import materialize
 from . import scans
 from .intervals import around
 
@@ -23,18 +24,28 @@ def definitions(exports: DataFrame, name: str | None = None) -> DataFrame:
 
 
 def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
-    """``repo, path, line, source, resolved, is_external``: candidates in order, the first that is a file."""
+    """``repo, path, line, source, resolved, is_external``: candidates in order, the first that is a file.
+
+    What a specifier leads to hangs on its file's folder, and its candidates on the folded path: each such path is folded
+    once for a folder and a specifier, and looked up once for all that fold to it.
+    """
     source = F.col("source")
     external = ~F.regexp_like("source", F.lit(r"^[./]"))
+    keys = materialize(imports.select("repo", "path", "line", "source").distinct().withColumns({"is_external": external, "_dir": parent("path")}), "imports")
+    placed = keys.filter("not is_external").drop("is_external")
+    places = placed.select("repo", "_dir", "source").distinct()
     top = F.startswith(source, F.lit("/"))  # from the repository's root
-    base = normal_path(F.when(top, source).otherwise(F.concat_ws("/", parent("path"), "source")))
+    places = places.withColumn("_base", normal_path(F.when(top, source).otherwise(F.concat_ws("/", "_dir", "source"))))
+    base = F.col("_base")
     bare = F.regexp_replace(base, r"(?<=[^/])\.[^./]*$", "")  # a suffix is replaced, not added to
     ranked = [F.when(suffix(base).isin(EXTENSIONS), base), *[F.concat(bare, F.lit(e)) for e in EXTENSIONS], *[F.concat(base, F.lit("/index" + e)) for e in EXTENSIONS], base]
-    tried = imports.select("repo", "path", "line", "source", F.posexplode(F.array(*ranked)).alias("rank", "candidate")).filter(~external & F.col("candidate").isNotNull())
+    tried = places.select("repo", "_base").distinct().select("repo", "_base", F.posexplode(F.array(*ranked)).alias("rank", "candidate")).filter(F.col("candidate").isNotNull())
     known = files.select("repo", F.col("path").alias("candidate")).distinct()
-    found = tried.join(known, ["repo", "candidate"]).groupBy("repo", "path", "line", "source").agg(F.min_by("candidate", "rank").alias("resolved"))
-    keys = imports.select("repo", "path", "line", source).distinct()
-    return keys.join(found, ["repo", "path", "line", "source"], "left").withColumn("is_external", external)
+    found = tried.join(known, ["repo", "candidate"]).groupBy("repo", "_base").agg(F.min_by("candidate", "rank").alias("resolved"))
+    led = places.join(found, ["repo", "_base"]).select("repo", "_dir", "source", "resolved")
+    inner = placed.join(led, ["repo", "_dir", "source"], "left").select("repo", "path", "line", "source", "resolved", F.lit(False).alias("is_external"))
+    rest = keys.filter("coalesce(is_external, true)")  # also without a source
+    return inner.unionByName(rest.select("repo", "path", "line", "source", F.lit(None).cast("string").alias("resolved"), "is_external"))
 
 
 def importers(resolved: DataFrame) -> DataFrame:

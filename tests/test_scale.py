@@ -1,8 +1,21 @@
 """What makes steps grow with their input alone, and the same results as plain ways give."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from auditlake.operators import guidelines
+from auditlake.operators import guidelines, symbols
+
+
+def test_imports_are_looked_up_once_for_each_folded_path(spark):
+    """Candidates are made after the paths are made distinct, so a thousand imports of one module are one lookup."""
+    imports = spark.range(1000).select(F.lit("r").alias("repo"), F.lit("src/a.ts").alias("path"), F.col("id").alias("line"), F.lit("./../src/./b").alias("source"))
+    files = spark.createDataFrame([("r", "src/b.js")], "repo string, path string")
+    got = symbols.resolve_imports(imports.unionByName(spark.createDataFrame([("r", "src/a.ts", -1, None), ("r", "src/a.ts", -2, "react")], "repo string, path string, line long, source string")), files)
+    lines = got._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    made = next(i for i, x in enumerate(lines) if "posexplode" in x)
+    assert any("Aggregate" in x for x in lines[made:])
+    rows = {r.line: (r.resolved, r.is_external) for r in got.collect()}
+    assert len(rows) == 1002 and rows[5] == ("src/b.js", False) and rows[-1] == (None, None) and rows[-2] == (None, True)
 
 
 def test_search_compares_blocks_and_is_exact(spark):

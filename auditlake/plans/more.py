@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import scalars as S
 from ..operators import clones, history, patches, rules, symbols
-from ..shared import ship
+from ..shared import materialize, ship
 from . import code
 
 
@@ -62,7 +62,7 @@ def redone_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .catalog import _doc_patches
 
     files, ops = _doc_patches(spark, sf_dir)
-    kept, after = patches.snapshot(files, ops, "s1"), patches.apply_patches(files, ops)
+    kept, after = patches.snapshot(files, ops, "s1"), materialize(patches.apply_patches(files, ops), "patched")  # read three times below
     undone, kept, _ = patches.undo_session(after, kept, "s1", "u1")
     again, _, _ = patches.undo_session(undone, kept, "u1", "u2")
     return again.select("path", F.sha2("content", 256).alias("sha256"))

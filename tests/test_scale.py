@@ -39,3 +39,10 @@ def test_search_compares_blocks_and_is_exact(spark):
         assert [i for i, _ in got.get(q, [])] == best and np.allclose([v for _, v in got.get(q, [])], s[best])
 
 
+def test_patched_files_are_stored_before_they_are_undone(spark, sf):
+    from auditlake.plans import more
+
+    stored = more.redone_patches(spark, sf).inputFiles()
+    assert any("/patched-" in f for f in stored)  # the edits are applied once, not in each of the three reads
+
+

@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..shared import materialize
 from . import rules as R
 from .findings import evidence
 
@@ -41,7 +42,11 @@ def _like(pattern: str) -> Column:
 
 
 def scan_plc(files: DataFrame) -> DataFrame:
-    """All violations of ``files(path, content)``: ``path, line_no, rule_id, name, severity, description``, each once."""
+    """All violations of ``files(path, content)``: ``path, line_no, rule_id, name, severity, description``, each once.
+
+    More than twenty rules read the files, so they are stored: whatever makes them is done once.
+    """
+    files = materialize(files.select("path", "content"), "plc-files")
     lines = files.select("path", F.posexplode(F.split("content", "\n")).alias("i", "text")).select("path", (F.col("i") + 1).alias("line_no"), "text")
     variables, blocks = R.st_vars(files), R.st_blocks(lines)
     out = [R.scan_rules(lines, LINE_RULES).select("path", "line_no", "rule_id", "name", "severity", "description")]
@@ -51,7 +56,7 @@ def scan_plc(files: DataFrame) -> DataFrame:
     out.append(_violation(pointer, "PLC-012", "Pointer dereference without nil check", "error", "Pointer dereference without null check.", line))
     program = R.in_block(lines, r"(?i)^\s*PROGRAM\b", r"(?i)^\s*END_PROGRAM\b").filter("inside").filter(~R.is_comment() & F.regexp_like("text", F.lit(r"(?i)\bRETURN\b")))
     out.append(_violation(program, "PLC-025", "RETURN in PROGRAM block", "warning", "RETURN in a PROGRAM block ends the cycle.", line))
-    arrays = R.with_context(lines, 5, 5).filter(~R.is_comment()).withColumn("access", F.explode(F.regexp_extract_all("text", F.lit(r"(\w+\[\w+\])"), F.lit(1))))
+    arrays = R.with_context(lines, 5, 5, of=~R.is_comment() & F.regexp_like("text", F.lit(r"\w\[\w+\]"))).withColumn("access", F.explode(F.regexp_extract_all("text", F.lit(r"(\w+\[\w+\])"), F.lit(1))))
     arrays = arrays.select("path", "line_no", "context", F.regexp_extract("access", r"(\w+)\[", 1).alias("a"), F.regexp_extract("access", r"\[(\w+)\]", 1).alias("x"))
     arrays = arrays.filter(~F.regexp_like("x", F.lit(r"^\d+$")) & ~((F.upper("x") == F.col("x")) & F.regexp_like("x", F.lit("[A-Z]"))))
     bounds = F.regexp_like("context", F.concat(F.lit(r"(?i)(?:UPPER_BOUND|LOWER_BOUND|LEN|SIZEOF)\s*\(\s*"), "a", F.lit(r"\s*\)")))

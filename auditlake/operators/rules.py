@@ -46,15 +46,15 @@ def dedup_violations(violations: DataFrame) -> DataFrame:
     return violations.dropDuplicates(["path", "rule_id", "line_no", "description"])
 
 
-def with_context(lines: DataFrame, before: int, after: int = 0, piece: int = scans.PIECE) -> DataFrame:
-    """Adds ``context``: the lines around a line, joined by line ends."""
-    return scans.lines_around(lines, ["path"], "line_no", "text", before, after, "context", piece).withColumn("context", F.array_join("context", "\n"))
+def with_context(lines: DataFrame, before: int, after: int = 0, piece: int = scans.PIECE, of: Column | None = None) -> DataFrame:
+    """Adds ``context``: the lines around a line, joined by line ends; with ``of`` to the lines where it holds, which alone come out."""
+    return scans.lines_around(lines, ["path"], "line_no", "text", before, after, "context", piece, of).withColumn("context", F.array_join("context", "\n"))
 
 
 def guarded_hits(lines: DataFrame, hit: Column, guard: Column | str, before: int, after: int = 0, piece: int = scans.PIECE) -> DataFrame:
     """Code lines where ``hit`` holds and no guard pattern stands in the lines around; ``guard`` may be a column."""
     guard = F.lit(guard) if isinstance(guard, str) else guard
-    return with_context(lines, before, after, piece).filter(~is_comment() & hit).filter(~F.regexp_like("context", guard))
+    return with_context(lines, before, after, piece, ~is_comment() & hit).filter(~F.regexp_like("context", guard))
 
 
 def in_block(lines: DataFrame, start: str, end: str, piece: int = scans.PIECE) -> DataFrame:

@@ -63,10 +63,19 @@ def _with_copies(df: DataFrame, order: str, before: int, after: int, piece: int)
     return every
 
 
-def lines_around(df: DataFrame, keys: list[str], order: str, value: str, before: int, after: int, name: str, piece: int = PIECE) -> DataFrame:
-    """Adds ``name``: in order, the values of the rows from ``before`` numbers ahead of each row's to ``after`` behind it."""
-    w = Window.partitionBy(*keys, "_piece").orderBy(order).rangeBetween(-before, after)
-    return _with_copies(df, order, before, after, piece).withColumn(name, F.collect_list(value).over(w)).filter("not _copy").drop("_piece", "_copy")
+def lines_around(df: DataFrame, keys: list[str], order: str, value: str, before: int, after: int, name: str, piece: int = PIECE, of: Column | None = None) -> DataFrame:
+    """Adds ``name``: in order, the values of the rows from ``before`` numbers ahead of each row's to ``after`` behind it.
+
+    With ``of`` only rows where it holds come out, and pieces without any are left out before values are gathered.
+    """
+    by = Window.partitionBy(*keys, "_piece").orderBy(order)
+    every = _with_copies(df, order, before, after, piece)
+    if of is not None:
+        every = every.withColumn("_of", F.coalesce(of, F.lit(False)) & ~F.col("_copy"))
+        whole = by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        every = every.withColumn("_any", F.max("_of").over(whole)).filter("_any").drop("_any")
+    out = every.withColumn(name, F.collect_list(value).over(by.rangeBetween(-before, after))).filter("not _copy")
+    return (out if of is None else out.filter("_of").drop("_of")).drop("_piece", "_copy")
 
 
 def next_within(df: DataFrame, keys: list[str], order: str, reach: int, name: str, piece: int = PIECE) -> DataFrame:

@@ -1,7 +1,8 @@
 """Approximate nearest neighbours: an NN-descent graph built by Spark joins, searched greedily.
 
 Equal vectors form one node. Random-projection trees, fitted on at most ``SAMPLE`` nodes, deal all nodes into leaves;
-nodes of a leaf are compared in blocks of at most ``BLOCK``, which gives each node its first ``degree`` neighbours.
+nodes of a leaf are compared in blocks of at most ``BLOCK``, which gives each node its first ``degree`` neighbours. Trees
+are many, as a leaf costs one matrix product and a descent round ships each vector to all lists that hold it.
 Each NN-descent round joins neighbours of neighbours: at every node its forward neighbours and nearest backward ones
 meet, and each pair that improves a list replaces an entry. Rounds go on until few entries change. Vectors are worked
 on as they are given (4 bytes a component, 8 for doubles) and compared in double precision, so neither their scale nor
@@ -30,17 +31,22 @@ from pyspark.sql import DataFrame, Observation, Window, functions as F
 
 from ..shared import discard, materialize
 
-DEGREE, TREES, SAMPLE, BLOCK, BEAM = 16, 3, 4096, 1024, 32
+DEGREE, TREES, SAMPLE, BLOCK, BEAM = 24, 24, 4096, 1024, 64
+LISTS = 1024  # lists of one node's neighbours that a task opens at a time
 PROBES, TARGET, MOST_BEAM, ENTRIES = 64, 0.95, 512, 8
 MOST_ROUNDS = 100  # of descent or search; both settle in a few, and raise rather than stop unsettled
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
     """Rows of packed vectors as a matrix; a first byte tells how wide components are."""
-    if not len(column):
+    n = len(column)
+    if not n:
         return np.zeros((0, 1))
-    raw = [x.as_buffer() for x in column]
-    return np.vstack([np.frombuffer(x, np.float64 if memoryview(x)[0] == 8 else np.float32, offset=1) for x in raw]).astype(np.float64)
+    column = column.cast(pa.large_binary())
+    _, ends, data = column.buffers()
+    ends = np.frombuffer(ends, np.int64)[column.offset : column.offset + n + 1]
+    raw = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]].reshape(n, -1)  # all are of one length
+    return np.ascontiguousarray(raw[:, 1:]).view(np.float64 if raw[0, 0] == 8 else np.float32).astype(np.float64)
 
 
 def valid_vectors(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -142,6 +148,7 @@ def _best(edges: DataFrame, degree: int, by: str = "u") -> DataFrame:
 def _first_graph(packed: DataFrame, n: int, degree: int) -> DataFrame:
     sample = _matrix(packed.orderBy(F.xxhash64("node"), "node").limit(SAMPLE).select("p").toArrow().column(0).combine_chunks())
     depth = max(0, math.ceil(math.log2(max(n, 1) / (BLOCK * 0.75))))
+    each = -(-degree // 2) if depth else degree  # the trees together give more than a list holds
     trees = packed.sparkSession.sparkContext.broadcast(_Trees(sample, depth, TREES if depth else 1))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,7 +162,7 @@ def _first_graph(packed: DataFrame, n: int, degree: int) -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             ids = np.array([h[1] for h in held], np.int64)
-            out = _edges(*_block_edges(ids, _matrix(pa.array([h[2] for h in held], pa.binary())), degree))
+            out = _edges(*_block_edges(ids, _matrix(pa.array([h[2] for h in held], pa.binary())), each))
             held.clear()
             return out
 
@@ -180,8 +187,7 @@ def _descend(graph: DataFrame, packed: DataFrame, degree: int) -> DataFrame:
     lists = meet.join(info, "node").groupBy("c").agg(F.collect_list(F.struct("node", "p", "worst")).alias("x"))  # 2 * degree at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column(0)
+        for lists in (batch.column(0).slice(at, LISTS) for batch in batches for at in range(0, len(batch), LISTS)):
             flat, sizes = lists.flatten(), np.diff(lists.offsets.to_numpy())
             nodes, x, worst = flat.field(0).to_numpy(), _matrix(flat.field(1)), flat.field(2).to_numpy()
             us, vs, ds, at = [], [], [], 0
@@ -201,7 +207,7 @@ def _descend(graph: DataFrame, packed: DataFrame, degree: int) -> DataFrame:
     return lists.select("x").mapInArrow(run, "u long, v long, d double")
 
 
-def build_graph(packed: DataFrame, degree: int = DEGREE, settle: float = 0.01) -> DataFrame:
+def build_graph(packed: DataFrame, degree: int = DEGREE, settle: float = 0.02) -> DataFrame:
     """``u, v, d``: each node's nearest neighbours found, d the squared distance; rounds end when under ``settle`` of all entries change."""
     n = packed.count()
     graph = materialize(_first_graph(packed, n, degree), "nn-graph")
@@ -220,14 +226,15 @@ def build_graph(packed: DataFrame, degree: int = DEGREE, settle: float = 0.01) -
 
 
 def _measured(pairs: DataFrame, queries: DataFrame, packed: DataFrame) -> DataFrame:
-    """Adds squared distances to (q, node) pairs; ``queries`` has q and its packed vector qp."""
+    """Squared distances of (q, node) pairs, of those that are not beyond ``worst``; ``queries`` has q, its packed vector qp and worst."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = _matrix(batch.column(2)), _matrix(batch.column(3))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(((a - b) ** 2).sum(axis=1))], names=["q", "node", "d"])
+            d = ((_matrix(batch.column(2)) - _matrix(batch.column(3))) ** 2).sum(axis=1)
+            near = pa.array(d <= batch.column(4).to_numpy())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(d)], names=["q", "node", "d"]).filter(near)
 
-    return pairs.join(packed, "node").join(queries, "q").select("q", "node", "p", "qp").mapInArrow(run, "q long, node long, d double")
+    return pairs.join(packed, "node").join(queries, "q").select("q", "node", "p", "qp", "worst").mapInArrow(run, "q long, node long, d double")
 
 
 def greedy_search(graph: DataFrame, packed: DataFrame, queries: DataFrame, entries: DataFrame, beam: int = BEAM, degree: int = DEGREE) -> DataFrame:
@@ -235,11 +242,14 @@ def greedy_search(graph: DataFrame, packed: DataFrame, queries: DataFrame, entri
     back = _best(graph, 2 * degree, "v")  # the nearest of those that list a node, so that no hub brings very many
     both = materialize(graph.select("u", "v").unionByName(back.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "nn-both")
     rank = F.row_number().over(Window.partitionBy("q").orderBy("d", "node"))
-    state = materialize(_measured(entries.distinct(), queries, packed).withColumn("done", F.lit(False)), "nn-beam")
+    anything = queries.withColumn("worst", F.lit(float("inf")))
+    state = materialize(_measured(entries.distinct(), anything, packed).withColumn("done", F.lit(False)), "nn-beam")
     for _ in range(MOST_ROUNDS):
         fresh = state.filter("not done").join(both, F.col("node") == F.col("u")).select("q", F.col("v").alias("node")).distinct()
         fresh = fresh.join(state.select("q", "node"), ["q", "node"], "left_anti")
-        found = _measured(fresh, queries, packed).withColumn("done", F.lit(False))
+        # What is beyond the last place of a full beam is measured and goes no further.
+        worst = state.groupBy("q").agg(F.when(F.count("*") >= beam, F.max("d")).otherwise(F.lit(float("inf"))).alias("worst"))
+        found = _measured(fresh, queries.join(worst, "q"), packed).withColumn("done", F.lit(False))
         seen = Observation()
         kept = state.select("q", "node", "d", F.lit(True).alias("done")).unionByName(found).withColumn("r", rank).filter(F.col("r") <= beam).drop("r")
         after = materialize(kept.observe(seen, F.count_if(~F.col("done")).alias("left")), "nn-beam")

@@ -4,7 +4,7 @@ Equal vectors form one node. Random-projection trees, fitted on at most ``SAMPLE
 nodes of a leaf are compared in blocks of at most ``BLOCK``, which gives each node its first ``degree`` neighbours. Trees
 are many, as a leaf costs one matrix product and a descent round ships each vector to all lists that hold it.
 Each NN-descent round joins neighbours of neighbours: at every node its forward neighbours and nearest backward ones
-meet, and each pair that improves a list replaces an entry. Rounds go on until few entries change. Vectors are worked
+meet, but for pairs of entries that both stood there before, and each pair that improves a list replaces an entry. Rounds go on until few entries change. Vectors are worked
 on as they are given (4 bytes a component, 8 for doubles) and compared in double precision, so neither their scale nor
 an offset matters.
 
@@ -179,28 +179,35 @@ def _first_graph(packed: DataFrame, n: int, degree: int) -> DataFrame:
 
 
 def _descend(graph: DataFrame, packed: DataFrame, degree: int) -> DataFrame:
-    """Entries that one round of neighbours of neighbours proposes: those nearer than a list's last."""
+    """Entries that one round of neighbours of neighbours proposes: those nearer than a list's last.
+
+    Of a list's pairs those meet that an entry marked ``fresh`` takes part in; two old entries have met in a round before.
+    """
     worst = graph.groupBy("u").agg(F.when(F.count("*") >= degree, F.max("d")).otherwise(F.lit(float("inf"))).alias("worst"))
     info = packed.join(worst, F.col("node") == F.col("u"), "left").select("node", "p", F.coalesce("worst", F.lit(float("inf"))).alias("worst"))
-    back = _best(graph, degree, "v").select(F.col("v").alias("c"), F.col("u").alias("node"))
-    meet = graph.select(F.col("u").alias("c"), F.col("v").alias("node")).unionByName(back)
-    lists = meet.join(info, "node").groupBy("c").agg(F.collect_list(F.struct("node", "p", "worst")).alias("x"))  # 2 * degree at most
+    rank = F.row_number().over(Window.partitionBy("v").orderBy("d", "u"))
+    back = graph.withColumn("r", rank).filter(F.col("r") <= degree).select(F.col("v").alias("c"), F.col("u").alias("node"), "fresh")
+    meet = graph.select(F.col("u").alias("c"), F.col("v").alias("node"), "fresh").unionByName(back)
+    lists = meet.join(info, "node").groupBy("c").agg(F.collect_list(F.struct("node", "p", "worst", "fresh")).alias("x"))  # 2 * degree at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lists in (batch.column(0).slice(at, LISTS) for batch in batches for at in range(0, len(batch), LISTS)):
             flat, sizes = lists.flatten(), np.diff(lists.offsets.to_numpy())
             nodes, x, worst = flat.field(0).to_numpy(), _matrix(flat.field(1)), flat.field(2).to_numpy()
+            fresh = flat.field(3).to_numpy(zero_copy_only=False).astype(bool)
             us, vs, ds, at = [], [], [], 0
             for m in sizes.tolist():
-                far = _squares(x[at : at + m])
-                own = nodes[at : at + m]  # one that is a neighbour both ways stands twice
-                _, once = np.unique(own, return_index=True)
-                use = np.zeros(m, bool)
-                use[once] = True
-                i, j = np.nonzero((far < worst[at : at + m, None]) & use[:, None] & use[None])
-                us.append(nodes[at + i])
-                vs.append(nodes[at + j])
-                ds.append(far[i, j])
+                new = fresh[at : at + m]
+                if new.any():
+                    far = _squares(x[at : at + m])
+                    own = nodes[at : at + m]  # one that is a neighbour both ways stands twice
+                    use = np.zeros(m, bool)
+                    use[np.unique(own, return_index=True)[1]] = True
+                    new = np.isin(own, own[new])
+                    i, j = np.nonzero((far < worst[at : at + m, None]) & use[:, None] & use[None] & (new[:, None] | new[None]))
+                    us.append(nodes[at + i])
+                    vs.append(nodes[at + j])
+                    ds.append(far[i, j])
                 at += m
             yield _edges(*(np.concatenate(z) if z else [] for z in (us, vs, ds)))
 
@@ -210,18 +217,18 @@ def _descend(graph: DataFrame, packed: DataFrame, degree: int) -> DataFrame:
 def build_graph(packed: DataFrame, degree: int = DEGREE, settle: float = 0.02) -> DataFrame:
     """``u, v, d``: each node's nearest neighbours found, d the squared distance; rounds end when under ``settle`` of all entries change."""
     n = packed.count()
-    graph = materialize(_first_graph(packed, n, degree), "nn-graph")
+    graph = materialize(_first_graph(packed, n, degree).withColumn("fresh", F.lit(True)), "nn-graph")
     rank = F.row_number().over(Window.partitionBy("u").orderBy("d", "v"))
     for _ in range(MOST_ROUNDS):
         proposed = graph.withColumn("fresh", F.lit(False)).unionByName(_descend(graph, packed, degree).withColumn("fresh", F.lit(True)))
         merged = proposed.groupBy("u", "v").agg(F.min("d").alias("d"), F.min("fresh").alias("fresh"))
         seen = Observation()
         better = merged.withColumn("r", rank).filter(F.col("r") <= degree).drop("r").observe(seen, F.count_if("fresh").alias("changed"))
-        after = materialize(better.drop("fresh"), "nn-graph")
+        after = materialize(better, "nn-graph")
         discard(graph)
         graph = after
         if seen.get["changed"] <= settle * n * degree:
-            return graph
+            return graph.drop("fresh")
     raise RuntimeError(f"the graph did not settle in {MOST_ROUNDS} rounds")
 
 

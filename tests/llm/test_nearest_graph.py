@@ -19,3 +19,11 @@ def test_beyond_the_beam_nothing_is_made(spark):
     queries = spark.createDataFrame([(0, bytes([8]) + x[0].tobytes(), 9.0)], "q long, qp binary, worst double")
     pairs = spark.createDataFrame([(0, i) for i in range(8)], "q long, node long")
     assert sorted(r.d for r in nearest._measured(pairs, queries, packed).collect()) == [0, 1, 4, 9]
+
+
+def test_old_entries_do_not_meet_again(spark):
+    x = np.random.default_rng(7).standard_normal((6, 3))
+    packed = spark.createDataFrame([(i, bytes([8]) + v.tobytes()) for i, v in enumerate(x)], "node long, p binary")
+    for fresh, pairs in ((set(), set()), ({1}, {(1, 2), (1, 3), (2, 1), (3, 1)}), ({1, 2, 3}, {(a, b) for a in (1, 2, 3) for b in (1, 2, 3) if a != b})):
+        graph = spark.createDataFrame([(0, v, float(((x[0] - x[v]) ** 2).sum()), v in fresh) for v in (1, 2, 3)], "u long, v long, d double, fresh boolean")
+        assert {(r.u, r.v) for r in nearest._descend(graph, packed, 4).collect()} == pairs

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery, StreamingQueryListener
@@ -30,40 +32,52 @@ def running_totals(events: DataFrame) -> DataFrame:
     return events.groupBy("session").agg(F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"), F.count("*").alias("calls"), F.max("ts").alias("last_ts"))
 
 
-#: What a session keeps between batches: events that the watermark has not passed, and the last one that it has.
-_WAITING = "ts array<long>, ends array<boolean>, tokens array<long>, last_ts long, last_ended boolean"
+#: Fixed value: sessions are dealt to so many buckets; a call for each session would cost more than its events do.
+CALL_BUCKETS = 1024
+#: What a bucket keeps between batches, as Arrow streams: events that the watermark has not passed, and each session's last one that it has.
+_WAITING = "waiting binary, last binary"
+_CALLS = pa.schema([("session", pa.string()), ("us", pa.int64()), ("ends", pa.bool_()), ("tokens", pa.int64())])
 
 
-def live_call_durations(events: DataFrame, late: str = "10 minutes") -> DataFrame:
+def _stored(rows: pd.DataFrame) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, _CALLS) as out:
+        out.write_table(pa.Table.from_pandas(rows, _CALLS, preserve_index=False))
+    return sink.getvalue().to_pybytes()
+
+
+def live_call_durations(events: DataFrame, late: str = "10 minutes", buckets: int = CALL_BUCKETS) -> DataFrame:
     """``session, ts, duration_s, tokens_per_s`` of each end event from the start just before it, as a stream.
 
     events(session, ts, kind 'start' or 'end', output_tokens). Events wait until the watermark has passed them, and are
     then taken in the order of :func:`..operators.usage.call_durations`, so arrival order and batches make no difference;
-    events that come after the watermark are left out. State is what a session has within the watermark.
+    events that come after the watermark, and those without a time, are left out. State is what a session has within the
+    watermark, kept for a bucket of sessions at a time.
     """
 
     def pair(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = state.getOption if state.exists else ([], [], [], None, None)
-        waiting, last, ended = list(zip(*held[:3], strict=True)), held[3], held[4]
-        for batch in () if state.hasTimedOut else batches:
-            micros = batch["ts"].astype("datetime64[us]").astype("int64")
-            waiting += zip(micros.tolist(), (batch["kind"] == "end").tolist(), batch["output_tokens"].fillna(0).astype("int64").tolist(), strict=True)
-        passed, out = state.getCurrentWatermarkMs() * 1000, []
-        waiting.sort()
-        while waiting and waiting[0][0] < passed:
-            ts, end, tokens = waiting.pop(0)
-            if end and ended is False:
-                seconds = (ts - last) / 1e6
-                out.append((key[0], pd.Timestamp(ts, unit="us"), seconds, tokens / seconds if seconds > 0.01 and tokens > 0 else None))
-            last, ended = ts, end
-        state.update((*(list(x) for x in zip(*waiting, strict=True)), last, ended) if waiting else ([], [], [], last, ended))
-        if waiting:
-            state.setTimeoutTimestamp(waiting[0][0] // 1000 + 1)
-        yield pd.DataFrame(out, columns=["session", "ts", "duration_s", "tokens_per_s"])
-
-    kind = events.schema["session"].dataType.simpleString()
-    rows = events.select("session", "ts", "kind", F.col("output_tokens").cast("long").alias("output_tokens")).withWatermark("ts", late)
-    return rows.groupBy("session").applyInPandasWithState(pair, f"session {kind}, ts timestamp, duration_s double, tokens_per_s double", _WAITING, "append", GroupStateTimeout.EventTimeTimeout)
+        held = [pa.ipc.open_stream(x).read_all().to_pandas() for x in state.getOption] if state.exists else [_CALLS.empty_table().to_pandas()] * 2
+        rows = pd.concat([held[0], *(() if state.hasTimedOut else (b[_CALLS.names] for b in batches))], ignore_index=True)
+        passed = state.getCurrentWatermarkMs() * 1000
+        due, waiting = rows[rows["us"] < passed], rows[rows["us"] >= passed]
+        run = pd.concat([held[1].assign(now=False), due.assign(now=True)], ignore_index=True)
+        run = run.assign(code=pd.factorize(run["session"], use_na_sentinel=False)[0]).sort_values(["code", "now", "us", "ends", "tokens"], kind="stable", ignore_index=True)
+        code, us, ends = run["code"].to_numpy(), run["us"].to_numpy(np.int64), run["ends"].to_numpy(bool)
+        same = code[1:] == code[:-1]
+        hit = np.flatnonzero(same & ends[1:] & ~ends[:-1]) + 1
+        seconds, tokens = (us[hit] - us[hit - 1]) / 1e6, run["tokens"].to_numpy(np.int64)[hit]
+        rate = np.divide(tokens, seconds, out=np.full(len(hit), np.nan), where=(seconds > 0.01) & (tokens > 0))
+        state.update((_stored(waiting), _stored(run[np.append(~same, True)[: len(run)]][_CALLS.names])))
+        if len(waiting):
+            state.setTimeoutTimestamp(int(waiting["us"].min()) // 1000 + 1)
+        if len(hit):
+            yield pd.DataFrame({"session": run["session"].iloc[hit], "us": us[hit], "duration_s": seconds, "tokens_per_s": pd.Series(rate, run.index[hit])})
+
+    kind, session = events.schema["session"].dataType, F.col("session").cast("string")
+    rows = events.filter("ts is not null").select(session.alias("session"), "ts", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.coalesce(F.col("kind") == "end", F.lit(False)).alias("ends"), F.coalesce(F.col("output_tokens").cast("long"), F.lit(0)).alias("tokens"))
+    dealt = rows.withColumn("bucket", F.pmod(F.xxhash64("session"), F.lit(buckets))).withWatermark("ts", late)
+    out = dealt.groupBy("bucket").applyInPandasWithState(pair, "session string, us long, duration_s double, tokens_per_s double", _WAITING, "append", GroupStateTimeout.EventTimeTimeout)
+    return out.select(F.col("session").cast(kind).alias("session"), F.timestamp_micros("us").alias("ts"), "duration_s", F.nanvl("tokens_per_s", F.lit(None)).alias("tokens_per_s"))
 
 
 def without_repeats(events: DataFrame, key: str = "event_id", late: str = "10 minutes") -> DataFrame:

@@ -1,6 +1,7 @@
 """Streams that stop and go on from their checkpoint, and histories of which an upsert rewrites the touched buckets only."""
 
 import os
+import random
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
@@ -31,6 +32,21 @@ def test_live_durations_equal_the_batch_over_several_runs(spark, tmp_path):
     assert len(got) == 4
 
 
+def test_live_durations_by_buckets_in_any_time_zone(spark, tmp_path):
+    rng = random.Random(3)
+    rows = [(f"s{rng.randrange(40)}", t, rng.choice(["start", "end"]), rng.randrange(9)) for t in rng.sample(range(4000), 600)]
+    parts = [calls(spark, rows[at : at + 200]) for at in (0, 200, 400)] + [calls(spark, [("z", 90000, "end", 1)])]
+    want = sorted(usage.call_durations(calls(spark, rows)).collect(), key=str)
+    place = f"file://{tmp_path}"
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        ev.arrivals(parts, f"{place}/in", lambda s: ev.live_call_durations(s, "2 hours", buckets=3).writeStream.format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/checkpoint"))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    assert sorted(spark.read.parquet(f"{place}/out").collect(), key=str) == want and len(want) > 100
+
+
 def findings(spark, names):
     rows = [(n, 1, 1, n, "info", "other", 1.0) for n in names]
     return history.with_fingerprint(spark.createDataFrame(rows, "file_path string, line_start int, line_end int, title string, severity string, category string, confidence double"))

@@ -18,8 +18,8 @@ RULES_A_SCAN = 50_000
 _FOLD = {c: c + 32 for c in range(65, 91)}
 
 
-def required(pattern: str) -> list[str] | None:
-    """Texts in lower case of which every match of ``pattern`` holds one; null where nothing can be told.
+def required(pattern: str, least: int = LEAST) -> list[str] | None:
+    """Texts in lower case, of ``least`` characters or more, of which every match of ``pattern`` holds one; null where nothing can be told.
 
     Patterns that this module cannot read (other dialects), and those that fold letters beyond ASCII, give null.
     """
@@ -31,7 +31,7 @@ def required(pattern: str) -> list[str] | None:
         return None
     found = _clauses(parsed)
     best = max(found, key=lambda c: (min(map(len, c)), -len(c)), default=None)
-    return best if best and min(map(len, best)) >= LEAST else None
+    return best if best and min(map(len, best)) >= least else None
 
 
 def _clauses(parsed) -> list[list[str]]:

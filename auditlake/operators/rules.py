@@ -6,6 +6,9 @@ data and broadcast. Comment lines (``//`` or ``(*`` after trimming) are passed o
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from . import literals, scans
@@ -24,10 +27,16 @@ def rule_table(spark, rules: list[tuple]) -> DataFrame:
     return spark.createDataFrame(rules, "rule_id string, name string, severity string, pattern string, description string, suggestion string")
 
 
+def _tried(pattern: str) -> Column:
+    """Whether ``text`` matches; a pattern that needs a literal is tried where the line holds it."""
+    needs, matches = literals.required(pattern, 1), F.regexp_like("text", F.lit(pattern))
+    return reduce(or_, [F.contains(F.lower("text"), F.lit(x)) for x in needs]) & matches if needs else matches
+
+
 def scan_rules(lines: DataFrame, rules: DataFrame | list[tuple], code_only: bool = True) -> DataFrame:
     """A violation per line and rule that matches it.
 
-    A list of rules is compiled into one projection. Of a table of rules, which may be thousands, a line is tried against
+    A list of rules is compiled into one projection, made for lines that some rule matches. Of a table of rules, which may be thousands, a line is tried against
     those only whose literals stand in it (:mod:`.literals`).
     """
     live = lines.filter(~is_comment()) if code_only else lines
@@ -36,8 +45,9 @@ def scan_rules(lines: DataFrame, rules: DataFrame | list[tuple], code_only: bool
             rules = rule_table(lines.sparkSession, [])
         else:
             none = F.lit(None).cast("string")
-            hits = [F.when(F.regexp_like("text", F.lit(r[3])), F.struct(*[(none if v is None else F.lit(v)).alias(k) for k, v in zip(KEYS, (r[0], r[1], r[2], r[4], r[5]), strict=True)])) for r in rules]
-            return live.select("path", "line_no", F.explode(F.array_compact(F.array(*hits))).alias("v"), "text").select("path", "line_no", "text", "v.*")
+            tried = [_tried(r[3]) for r in rules]
+            hits = [F.when(t, F.struct(*[(none if v is None else F.lit(v)).alias(k) for k, v in zip(KEYS, (r[0], r[1], r[2], r[4], r[5]), strict=True)])) for r, t in zip(rules, tried, strict=True)]
+            return live.filter(reduce(or_, tried)).select("path", "line_no", F.explode(F.array_compact(F.array(*hits))).alias("v"), "text").select("path", "line_no", "text", "v.*")
     met = literals.candidates(live.select("path", "line_no", "text"), rules.select("pattern", *KEYS))
     return met.filter(F.regexp_like("text", F.col("pattern"))).select("path", "line_no", "text", *KEYS)
 

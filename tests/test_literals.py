@@ -45,3 +45,13 @@ def test_ten_thousand_rules(spark):
     assert len(want) > 20
     assert {f for f in found if f[1] in ("unicode", "java", "case")} - {(i, "java") for i in range(300)} == {(1000, "unicode"), (1004, "java"), (1004, "case")}
     assert rules.scan_rules(spark.createDataFrame(lines, "path string, line_no int, text string"), rules.rule_table(spark, [])).count() == 0
+
+
+def test_a_list_of_rules_tries_lines_with_their_literals(spark):
+    made = [("S", "s", "info", r"(?i)(api[_-]?key|token)\s*[:=]", None, None), ("M", "m", "info", r"[A-Za-z0-9._]+@[A-Za-z0-9.]+", None, None), ("N", "n", "info", r"(^|[^0-9])[0-9]{5,}", None, None)]
+    assert [literals.required(r[3], 1) for r in made[1:]] == [["@"], None] and literals.required(made[1][3]) is None
+    texts = ["API_KEY: x", "a ToKeN = 1", "token", "me@home.example", "@", "no 12345 yes", "1234", None, "", "tOKEN:5@b 99999"]
+    lines = spark.createDataFrame([("f", i, t) for i, t in enumerate(texts)], "path string, line_no int, text string")
+    want = {(i, r[0]) for i, t in enumerate(texts) for r in made if t and re.search(r[3], t)}
+    found = rules.scan_rules(lines, made)
+    assert {(r.line_no, r.rule_id) for r in found.collect()} == want and len(want) == 7

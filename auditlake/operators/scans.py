@@ -2,7 +2,8 @@
 
 ``order`` is a column of integers, distinct within a key; a piece is ``piece`` successive values of it. Each piece is
 scanned by itself; what the pieces before it come to is a scan over one row for each piece, joined back. Rows with a
-null key are kept, each piece of them by itself.
+null key are kept, each piece of them by itself. Where ``piece`` is None keys are known to be short and are not cut:
+one scan for each, which needs no other dealing than by the key.
 """
 
 from __future__ import annotations
@@ -20,8 +21,12 @@ def _cut(df: DataFrame, order: str, piece: int) -> DataFrame:
     return df.withColumn("_piece", F.floor(F.col(order) / piece))
 
 
-def running(df: DataFrame, keys: list[str], order: str, step: Column, name: str, low: str | None = None, piece: int = PIECE) -> DataFrame:
+def running(df: DataFrame, keys: list[str], order: str, step: Column, name: str, low: str | None = None, piece: int | None = PIECE) -> DataFrame:
     """Adds ``name``, the sum of ``step`` up to and with each row, and ``low``, the least such sum so far."""
+    if piece is None:
+        whole = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        out = df.withColumn("_step", step).withColumn(name, F.sum("_step").over(whole)).drop("_step")
+        return out.withColumn(low, F.min(name).over(whole)) if low else out
     cut = _cut(df, order, piece).withColumn("_step", step)
     within = Window.partitionBy(*keys, "_piece").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     own = cut.withColumn("_sum", F.sum("_step").over(within))
@@ -35,8 +40,11 @@ def running(df: DataFrame, keys: list[str], order: str, step: Column, name: str,
     return out.drop("_piece", "_step", "_sum", "_base", "_floor")
 
 
-def last_mark(df: DataFrame, keys: list[str], order: str, mark: Column, name: str, own: bool = True, reverse: bool = False, piece: int = PIECE) -> DataFrame:
+def last_mark(df: DataFrame, keys: list[str], order: str, mark: Column, name: str, own: bool = True, reverse: bool = False, piece: int | None = PIECE) -> DataFrame:
     """Adds ``name``: the last ``mark`` that is not null up to each row (with ``own``: or on it); in reverse, the next one."""
+    if piece is None:
+        whole = Window.partitionBy(*keys).orderBy(F.desc(order) if reverse else order).rowsBetween(Window.unboundedPreceding, 0 if own else -1)
+        return df.withColumn("_mark", mark).withColumn(name, F.last("_mark", ignorenulls=True).over(whole)).drop("_mark")
     at = -F.col(order) if reverse else F.col(order)
     cut = _cut(df.withColumn("_at", at), "_at", piece).withColumn("_mark", mark)
     within = Window.partitionBy(*keys, "_piece").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0 if own else -1)
